@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rundiff.functions.numbers import fixed
+
 INFINITY = float("inf")
 
 
@@ -54,17 +56,19 @@ def percent_change(a_ms: Column, b_ms: Column) -> Column:
 
 def ms_text(ms: Column, signed: bool = False) -> Column:
     """``12.34 ms``, or ``N/A`` for a missing value."""
-    return F.when(ms.isNull(), "N/A").otherwise(F.format_string("%+.2f ms" if signed else "%.2f ms", ms))
+    return F.coalesce(F.concat(fixed(ms, 2, signed), F.lit(" ms")), F.lit("N/A"))
 
 
 def change_label(delta_ms: Column, factor: Column) -> Column:
     """How much slower or faster a hotspot got, in words."""
-    faster = F.format_string("%.1fms (%.1fx faster)", delta_ms, F.try_divide(F.lit(1.0), factor))
-    factor_text = F.when(factor == F.lit(INFINITY), "inf").otherwise(F.format_string("%.1f", factor))
+    delta = F.concat(fixed(delta_ms, 1), F.lit("ms ("))
     return (
-        F.when(delta_ms > 0, F.concat(F.format_string("+%.1fms (", delta_ms), factor_text, F.lit("x slower)")))
-        .when((delta_ms < 0) & (factor > 0), faster)
-        .when(delta_ms < 0, F.format_string("%.1fms (optimized)", delta_ms))
+        F.when(delta_ms > 0, F.concat(F.lit("+"), delta, fixed(factor, 1), F.lit("x slower)")))
+        .when(
+            (delta_ms < 0) & (factor > 0),
+            F.concat(delta, fixed(F.try_divide(F.lit(1.0), factor), 1), F.lit("x faster)")),
+        )
+        .when(delta_ms < 0, F.concat(delta, F.lit("optimized)")))
         .otherwise("no change")
     )
 

@@ -107,5 +107,5 @@ def list_pieces(
     piece = F.floor(F.col("_n") / F.lit(piece_rows)).alias("piece_no")
     entry = F.struct(F.col("_n"), *[F.col(v) for v in values])
     grouped = numbered.groupBy(*keys, piece).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
-    arrays = [F.transform("_e", lambda e, v=v: e[v]).alias(v) for v in values]
+    arrays = [F.col(f"_e.{v}").alias(v) for v in values]  # a field of an array of structs is an array
     return grouped.select(*keys, "piece_no", *arrays)

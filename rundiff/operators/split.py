@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rundiff.functions.numbers import rounded
 from rundiff.functions.text import first_field, is_heading, safe_section_name, safe_value_name
-from rundiff.operators.ordered import BLOCK_ROWS, Running, running
+from rundiff.operators.ordered import BLOCK_ROWS, Running, dense_index, running
 
 # Defaults of the split methods.
 DEFAULT_ROWS = 100
@@ -105,8 +106,6 @@ def sections_matched(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> Da
     """
 
     def numbered(df: DataFrame) -> DataFrame:
-        from rundiff.operators.ordered import dense_index
-
         starts = df.groupBy(*keys, "section_id", "heading").agg(F.count("*").alias("rows"))
         return dense_index(starts, [*keys, "heading"], "section_id", "occurrence")
 
@@ -147,7 +146,7 @@ def part_manifest(parts: DataFrame, part_columns: Sequence[str], row_bytes: Colu
         aggregates.append(F.sum(row_bytes).alias("file_size_bytes"))
     manifest = parts.groupBy(*part_columns).agg(*aggregates)
     if row_bytes is not None:
-        manifest = manifest.withColumn("file_size_mb", F.round(F.col("file_size_bytes") / (1024 * 1024), 2))
+        manifest = manifest.withColumn("file_size_mb", rounded(F.col("file_size_bytes") / (1024 * 1024)))
     return manifest
 
 
@@ -186,7 +185,7 @@ def table_profile(df: DataFrame, keys: Sequence[str] = (), row_bytes: Column | N
         .withColumn("estimated_output_files", estimated_parts(F.col("total_rows"), F.col("recommended_rows_per_file")))
     )
     if row_bytes is not None:
-        profile = profile.withColumn("file_size_mb", F.round(F.col("file_size_bytes") / (1024 * 1024), 2))
+        profile = profile.withColumn("file_size_mb", rounded(F.col("file_size_bytes") / (1024 * 1024)))
     return profile
 
 
