@@ -37,7 +37,7 @@ _JDK_ALTERNATIVES = "|".join(p.replace(".", r"\.") for p in JDK_PREFIXES)
 
 
 def _number(c: Column) -> Column:
-    return F.nullif(c, F.lit("")).try_cast("double")
+    return c.try_cast("double")  # NULL for the empty text of a failed match
 
 
 def stack_level(name: Column) -> Column:
@@ -77,8 +77,7 @@ def timing_ms(text: Column, legacy: bool = False) -> Column:
     if legacy:
         return F.coalesce(_number(F.regexp_extract(text, MS_PATTERN, 1)), F.lit(0.0))
     found = F.regexp_extract(F.translate(text, ",", ""), TIME_PATTERN, 0)
-    value = _number(F.rtrim(found, F.lit("ms \t")))
-    return F.when(found.endswith("ms"), value).otherwise(value * 1000)
+    return _number(F.rtrim(found, F.lit("ms \t"))) * F.when(found.endswith("ms"), 1.0).otherwise(1000.0)
 
 
 def hit_count(text: Column) -> Column:

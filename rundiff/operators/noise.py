@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rundiff.functions.profile import JDK_BUCKETS, JDK_OTHER, jdk_bucket, mentions_jdk
+from rundiff.functions.profile import JDK_BUCKETS, JDK_OTHER, mentions_jdk
 from rundiff.operators.ordered import BLOCK_ROWS, Running, running
 
 # Line classes, their patterns, and the words of the value filter.
@@ -29,7 +29,9 @@ LOW_VALUE_WORDS = [
 ]
 VALUE_WORDS = ["ms (", "%)", "hits", COMPRESSED]
 
+# Classes by number; a number keeps the many comparisons below small.
 CLASSES = [ZERO_SELF_TIME, COMPILATION, SIGNIFICANT, *[JDK + b for _, b in JDK_BUCKETS], JDK + JDK_OTHER]
+_ZERO, _JVM, _SIGNIFICANT, _JDK = 0, 1, 2, 3
 
 
 def _contains_any(c: Column, words: Sequence[str]) -> Column:
@@ -44,41 +46,49 @@ def clean_line(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, r"^\s+|\s+$", ""), r'^"+|"+$', "")
 
 
-def line_class(line: Column) -> Column:
-    """Class of a clean line; the first rule that fits counts."""
+def class_code(line: Column) -> Column:
+    """Number of the class of a clean line; the first rule that fits counts."""
+    bucket = F
+    for i, (text, _) in enumerate(JDK_BUCKETS):
+        bucket = bucket.when(line.contains(text), F.lit(_JDK + i))
     return (
-        F.when(line.rlike(ZERO_SELF_TIME_PATTERN), ZERO_SELF_TIME)
-        .when(mentions_jdk(line), F.concat(F.lit(JDK), jdk_bucket(line)))
-        .when(_contains_any(F.lower(line), COMPILATION_WORDS), COMPILATION)
-        .otherwise(SIGNIFICANT)
+        F.when(line.rlike(ZERO_SELF_TIME_PATTERN), _ZERO)
+        .when(mentions_jdk(line), bucket.otherwise(_JDK + len(JDK_BUCKETS)))
+        .when(F.lower(line).rlike("|".join(COMPILATION_WORDS)), _JVM)
+        .otherwise(_SIGNIFICANT)
     )
 
 
+def class_name(code: Column) -> Column:
+    """Name of a class number."""
+    return F.element_at(F.array(*[F.lit(c) for c in CLASSES]), code + 1)
+
+
 def line_runs(
     lines: DataFrame, keys: Sequence[str] = (), pos: str = "line_no", column: str = "line", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Classify the lines and mark runs of one class; blank lines are dropped.
 
-    Adds ``line_class`` and ``run_after``, the last position of any other class, which
+    Adds ``class_code`` and ``run_after``, the last position of any other class, which
     is the same for all lines of a run and for no other run. The set of classes is
     fixed, so one pass with a running maximum per class gives it.
     """
     cleaned = lines.withColumn(column, clean_line(F.col(column))).where(F.col(column) != "")
-    classed = cleaned.withColumn("line_class", line_class(F.col(column)))
-    specs = [
-        Running(f"_last_{i}", "max", F.when(F.col("line_class") == name, F.col(pos))) for i, name in enumerate(CLASSES)
-    ]
+    classed = cleaned.withColumn("class_code", class_code(F.col(column)))
+    codes = range(len(CLASSES))
+    specs = [Running(f"_last_{i}", "max", F.when(F.col("class_code") == i, F.col(pos))) for i in codes]
     marked = running(classed, keys, pos, specs, block_rows)
-    others = [F.when(F.col("line_class") != name, F.col(f"_last_{i}")) for i, name in enumerate(CLASSES)]
+    others = [F.when(F.col("class_code") != i, F.col(f"_last_{i}")) for i in codes]
     run_after = F.coalesce(F.greatest(*others), F.lit(-1)).alias("run_after")
     return marked.select(*classed.columns, run_after)
 
 
 def run_sizes(runs: DataFrame, keys: Sequence[str] = (), pos: str = "line_no") -> DataFrame:
     """One row per run: class, first position and number of lines."""
-    return runs.groupBy(*keys, "run_after", "line_class").agg(
+    sizes = runs.groupBy(*keys, "run_after", "class_code").agg(
         F.min(pos).alias("first_line"), F.count("*").alias("line_count")
     )
+    return sizes.withColumn("line_class", class_name(F.col("class_code"))).drop("class_code")
 
 
 def compress_runs(
@@ -90,18 +100,18 @@ def compress_runs(
     first and last line, as at most two of its lines survive, so even a run that is most
     of the data is folded by a map-side aggregation.
     """
-    kept = runs.where(F.col("line_class") == SIGNIFICANT).select(*keys, pos, column)
+    kept = runs.where(F.col("class_code") == _SIGNIFICANT).select(*keys, pos, column)
     entry = F.struct(F.col(pos), F.col(column))
     folded = (
-        runs.where(F.col("line_class").isin(ZERO_SELF_TIME, COMPILATION))
-        .groupBy(*keys, "run_after", "line_class")
+        runs.where(F.col("class_code") < _SIGNIFICANT)
+        .groupBy(*keys, "run_after", "class_code")
         .agg(F.count("*").alias("_n"), F.min(entry).alias("_first"), F.max(entry).alias("_last"))
     )
     n = F.col("_n").cast("string")
     zero = F.concat(F.lit(f"{COMPRESSED} "), n, F.lit("x repeated 'Self time, 0.0 ms' entries (noise removed)"))
     jvm = F.concat(F.lit(f"{COMPRESSED} "), n, F.lit("x JVM compilation entries (system internals)"))
-    marker = F.when((F.col("line_class") == ZERO_SELF_TIME) & (F.col("_n") >= 3), zero).when(
-        (F.col("line_class") == COMPILATION) & (F.col("_n") >= 2), jvm
+    marker = F.when((F.col("class_code") == _ZERO) & (F.col("_n") >= 3), zero).when(
+        (F.col("class_code") == _JVM) & (F.col("_n") >= 2), jvm
     )
     survivors = F.when(marker.isNotNull(), F.array(F.struct(F.col(f"_first.{pos}").alias(pos), marker.alias(column))))
     survivors = survivors.otherwise(F.array_distinct(F.array("_first", "_last")))

@@ -40,36 +40,30 @@ def running(
     specs: Sequence[Running],
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add running aggregates along ``pos`` within ``keys``.
+    """Add running aggregates along ``pos`` within ``keys``, which must not be NULL.
 
     ``pos`` is a whole number, unique within ``keys``; it need not be dense. One task
     handles at most ``block_rows`` rows of a key, and the second level handles one row
     per block. The block totals are aggregated before their shuffle, and their join
-    reuses the partitioning and sort order of the block windows.
+    reuses the partitioning and sort order of the block windows. ``df`` is read twice,
+    so give it a materialised input when it is costly.
     """
     keys = list(keys)
     block = "_block"
     blocked = df.withColumn(block, F.floor(F.col(pos) / F.lit(block_rows)))
     totals = blocked.groupBy(*keys, block).agg(*[_AGG[s.how](s.value).alias(f"_t_{s.out}") for s in specs])
 
-    across = []
+    across, inside = [], []
     for s in specs:
-        order = F.col(block).desc() if s.reverse else F.col(block)
-        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        by_block = F.col(block).desc() if s.reverse else F.col(block)
+        before = Window.partitionBy(*keys).orderBy(by_block).rowsBetween(Window.unboundedPreceding, -1)
         across.append(_AGG[s.how](F.col(f"_t_{s.out}")).over(before).alias(f"_c_{s.out}"))
-    carried = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(block).alias("_k_block"), *across)
-
-    inside = blocked
-    for s in specs:
-        order = F.col(pos).desc() if s.reverse else F.col(pos)
+        by_row = F.col(pos).desc() if s.reverse else F.col(pos)
         last = -1 if s.exclusive else Window.currentRow
-        frame = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
-        inside = inside.withColumn(f"_w_{s.out}", _AGG[s.how](s.value).over(frame))
+        frame = Window.partitionBy(*keys, block).orderBy(by_row).rowsBetween(Window.unboundedPreceding, last)
+        inside.append(_AGG[s.how](s.value).over(frame).alias(f"_w_{s.out}"))
 
-    on = F.col(block) == F.col("_k_block")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = inside.join(carried, on, "left")
+    joined = blocked.select("*", *inside).join(totals.select(*keys, block, *across), [*keys, block], "left")
     return joined.select(*[F.col(c) for c in df.columns], *[_combine(s).alias(s.out) for s in specs])
 
 

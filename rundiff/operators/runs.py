@@ -27,13 +27,10 @@ class ProfileColumns:
     time_unit: str
 
 
-def detect_columns(df: DataFrame, order: str = "row_idx") -> ProfileColumns:
-    """Find the profiler columns by their headings; the last match of a role counts.
-
-    Looks at the column names and at the time cell of the first row only.
-    """
+def column_roles(columns: Sequence[str]) -> dict[str, str]:
+    """Profiler columns by role, from their headings; the last match of a role counts."""
     roles: dict[str, str] = {}
-    for column in df.columns:
+    for column in columns:
         title = column.lower()
         if "total time" in title:
             roles["cpu_time" if "cpu" in title else "total_time"] = column
@@ -41,6 +38,12 @@ def detect_columns(df: DataFrame, order: str = "row_idx") -> ProfileColumns:
             roles["hits"] = column
         elif "name" in title:
             roles["name"] = column
+    return roles
+
+
+def detect_columns(df: DataFrame, order: str = "row_idx") -> ProfileColumns:
+    """Profiler columns and the form of their timings, judged by the first row."""
+    roles = column_roles(df.columns)
     sample = ""
     if "total_time" in roles:
         first = df.orderBy(order).select(F.col(f"`{roles['total_time']}`").cast("string")).head(1)
@@ -55,11 +58,13 @@ def detect_columns(df: DataFrame, order: str = "row_idx") -> ProfileColumns:
 
 def profile_rows(df: DataFrame, keys: Sequence[str] = (), order: str = "row_idx") -> DataFrame:
     """Project a profiler table onto ``name, total_time, cpu_time, hits`` text columns."""
-    found = detect_columns(df, order)
-    if not (found.name and found.total_time):
+    roles = column_roles(df.columns)
+    if not {"name", "total_time"} <= set(roles):
         raise ValueError("no Name or Total Time column")
-    roles = {"name": found.name, "total_time": found.total_time, "cpu_time": found.cpu_time, "hits": found.hits}
-    cells = [(F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")).alias(r) for r, c in roles.items()]
+    cells = [
+        (F.col(f"`{roles[r]}`").cast("string") if r in roles else F.lit(None).cast("string")).alias(r)
+        for r in ("name", "total_time", "cpu_time", "hits")
+    ]
     return df.select(*keys, order, *cells)
 
 

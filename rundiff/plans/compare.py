@@ -12,6 +12,7 @@ from rundiff.functions import scores
 from rundiff.functions.numbers import fixed
 from rundiff.operators import hotspots, noise, packing, rows, runs
 from rundiff.operators.ordered import BLOCK_ROWS, dense_index, list_pieces
+from rundiff.session import cut_lineage
 
 # List lengths of the summary, and the rule between two conflict sections.
 TOP_TIMING, TOP_FUNCTIONS, TOP_THREADS = 20, 15, 10
@@ -36,9 +37,15 @@ def compare_rows(
     keys: Sequence[str] = (),
     columns: Sequence[str] | None = None,
     block_rows: int = BLOCK_ROWS,
+    reuse: bool = False,
 ) -> RowComparison:
-    """Positional comparison of two tables with a dense ``row_idx``."""
+    """Positional comparison of two tables with a dense ``row_idx``.
+
+    ``reuse`` writes the differing rows to the checkpoint folder, so that several reports
+    on them do not compare the tables again.
+    """
     pairs = rows.with_ranges(rows.pair_rows(a, b, keys, columns), keys, block_rows)
+    pairs = cut_lineage(pairs) if reuse else pairs
     return RowComparison(pairs, rows.conflict_ranges(pairs, keys), tuple(keys))
 
 

@@ -190,7 +190,7 @@ def function_names(spark, sf_dir):
     )
 
 
-def _pairs(columns):
+def _pairs(columns, source="file_rows"):
     lines = {
         s: " || ', ' || ".join(f"'{c}=' || {s}.{c}" for c in columns) for s in ("a", "b")
     }
@@ -201,13 +201,13 @@ pairs AS (
     NOT coalesce({same}, false) AS differs, a.name AS name_a, b.name AS name_b, a.total_time AS time_text_a, b.total_time AS time_text_b,
     'Row ' || (coalesce(a.row_idx, b.row_idx) + 1) || ': ' || coalesce({lines["a"]}, '[FILE A ENDS]') AS a_line,
     'Row ' || (coalesce(a.row_idx, b.row_idx) + 1) || ': ' || coalesce({lines["b"]}, '[FILE B ENDS]') AS b_line
-  FROM (SELECT * FROM file_rows WHERE run = 'A') a FULL JOIN (SELECT * FROM file_rows WHERE run = 'B') b
+  FROM (SELECT * FROM {source} WHERE run = 'A') a FULL JOIN (SELECT * FROM {source} WHERE run = 'B') b
     ON a.file_id = b.file_id AND a.row_idx = b.row_idx),
 ranged AS (
   SELECT *, min(row_idx) OVER (PARTITION BY file_id, grp) AS range_start, max(row_idx) OVER (PARTITION BY file_id, grp) AS range_end,
     count(*) OVER (PARTITION BY file_id, grp) AS row_count
   FROM (SELECT *, row_idx - row_number() OVER (PARTITION BY file_id ORDER BY row_idx) AS grp FROM pairs WHERE differs
-    AND file_id IN (SELECT file_id FROM file_rows WHERE run = 'A') AND file_id IN (SELECT file_id FROM file_rows WHERE run = 'B'))),
+    AND file_id IN (SELECT file_id FROM {source} WHERE run = 'A') AND file_id IN (SELECT file_id FROM {source} WHERE run = 'B'))),
 ranges AS (SELECT DISTINCT file_id, range_start, range_end, row_count FROM ranged)"""
 
 
@@ -219,6 +219,11 @@ def _compared(spark, sf_dir, columns):
     return compare.compare_rows(*file_rows(spark, sf_dir), keys=["file_id"], columns=columns)
 
 
+def _compared_whole(spark, sf_dir, columns):
+    """One pair of files that holds all rows, for the reports that use it repeatedly."""
+    return compare.compare_rows(*run_rows(spark, sf_dir), keys=["file_id"], columns=columns, reuse=True)
+
+
 @query(
     CALLS,
     FILE_ROWS,
@@ -290,15 +295,15 @@ top_changes AS (
 
 @query(
     CALLS,
-    FILE_ROWS,
-    _pairs(TIMED),
+    RUN_ROWS,
+    _pairs(TIMED, "run_rows"),
     CHANGES,
     TOP_CHANGES,
     select="""SELECT file_id, kind, rank, range_no, function_a, function_b, round(delta, 4) AS delta, round(delta_percent, 2) AS delta_percent
 FROM top_changes JOIN numbered USING (file_id, range_start)""",
 )
 def top_changes(spark, sf_dir):
-    top = compare.top_changes(_compared(spark, sf_dir, TIMED))
+    top = compare.top_changes(_compared_whole(spark, sf_dir, TIMED))
     return top.select(
         "file_id",
         "kind",
@@ -313,8 +318,8 @@ def top_changes(spark, sf_dir):
 
 @query(
     CALLS,
-    FILE_ROWS,
-    _pairs(TIMED),
+    RUN_ROWS,
+    _pairs(TIMED, "run_rows"),
     CHANGES,
     TOP_CHANGES,
     """
@@ -341,7 +346,7 @@ totals AS (SELECT file_id, count(*) AS n FROM ranges GROUP BY file_id)""",
 FROM counts JOIN totals USING (file_id) LEFT JOIN texts USING (file_id)""",
 )
 def fast_summary(spark, sf_dir):
-    return compare.fast_summary(_compared(spark, sf_dir, TIMED), "a.csv", "b.csv")
+    return compare.fast_summary(_compared_whole(spark, sf_dir, TIMED), "a.csv", "b.csv")
 
 
 def _side(s):
@@ -370,13 +375,13 @@ spots AS (
     CASE WHEN tb IS NULL THEN ta WHEN ta IS NULL THEN tb * 2 ELSE abs(tb - ta) * greatest(1.0, abs(tb / ta - 1)) END AS impact_score
   FROM joined WHERE CASE WHEN ta IS NOT NULL AND tb IS NOT NULL THEN abs(tb - ta) > 0.01 OR abs((tb - ta) / ta) > 0.01
     ELSE coalesce(ta, tb) > 0.1 END)"""
-HOT_CTES = (CALLS, FILE_ROWS, _pairs(SHAPE), HOTSPOTS)
+HOT_CTES = (CALLS, RUN_ROWS, _pairs(SHAPE, "run_rows"), HOTSPOTS)
 _HOT_NUMBERS = ("file_a_time", "file_b_time", "time_delta", "regression_factor", "impact_score")
 _HOT_ROUND = ", ".join(f"round({c}, 4) AS {c}" for c in _HOT_NUMBERS)
 
 
 def _spots(spark, sf_dir):
-    result = _compared(spark, sf_dir, SHAPE)
+    result = _compared_whole(spark, sf_dir, SHAPE)
     return hs.find_hotspots(result.pairs, ["file_id"]), result
 
 

@@ -6,11 +6,12 @@ the same columns, so that a query and its oracle start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rundiff.operators.methods import source_lines
 from rundiff.operators.ordered import dense_index
+from rundiff.operators.results import result_key
 
 RUN_SPLIT = "2024-01-16 00:00:00"
 
@@ -20,52 +21,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cases(value: Column, cases: dict[str, Column], other: Column) -> Column:
-    chosen = F
-    for text, result in cases.items():
-        chosen = chosen.when(value == text, result)
-    return chosen.otherwise(other)
-
-
 # Profiler calls from events: the first half of the month is run A, the second run B, and
 # there is one file per hour of the day.
+_K = "cast(regexp_extract(props, '([0-9]+)', 1) as int)"
+_PLAIN = "cast(cast({v} as decimal(12, 2)) as string)"
+
+
+def _number(v: str) -> str:
+    return f"CASE WHEN {v} >= 999 THEN format_number({v}, 2) ELSE {_PLAIN.format(v=v)} END"
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    kind, u = F.col("event_type"), F.col("user_id").cast("string")
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    level = F.floor(k / 25).cast("int")
-    component = _cases(
-        kind,
-        {"view": F.lit("AwtToolkit"), "click": F.lit("EventQueue"), "purchase": F.lit("SocketPool"), "signup": F.lit("Worker")},
-        F.lit("java.util"),
-    )
-    call = _cases(
-        kind,
-        {
-            "view": F.concat(F.lit("com.app.ui.AwtToolkit"), u, F.lit(".paint (AwtToolkit"), u, F.lit(".java:17)")),
-            "click": F.concat(F.lit("com.app.ui.EventQueue"), u, F.lit(".dispatch ()")),
-            "purchase": F.concat(F.lit("com.app.net.SocketPool"), u, F.lit(".connection (SocketPool.java:"), u, F.lit(")")),
-            "signup": F.concat(F.lit("com.app.job.Worker"), u, F.lit(".run ()")),
-        },
-        F.concat(F.lit("java.util.Pool"), u, F.lit(".get (Pool.java:5)")),
-    )
-    total = (
-        F.when(kind == "purchase", F.concat(F.format_number("value", 2), F.lit(" s (3%)")))
-        .when((kind == "signup") & (F.col("value") < 1), F.lit("n/a"))
-        .otherwise(F.concat(F.format_number(F.col("value") * 10, 2), F.lit(" ms (5%)")))
+    events = table(spark, sf_dir, "events").selectExpr(
+        "*", f"{_K} AS k", f"cast(floor({_K} / 25) as int) AS level", "cast(user_id as string) AS u"
     )
-    coarse = F.concat(F.floor(F.col("value") / 50).cast("string"), F.lit(".5 ms ("), level.cast("string"), F.lit("%)"))
-    return events.select(
+    return events.selectExpr(
         "event_id",
-        F.when(F.col("ts") < F.lit(RUN_SPLIT).cast("timestamp"), "A").otherwise("B").alias("run"),
-        F.hour("ts").alias("file_id"),
-        component.alias("component"),
-        level.alias("level"),
-        F.concat(F.expr("repeat(' ', cast(floor(cast(regexp_extract(props, '([0-9]+)', 1) as int) / 25) as int))"), call).alias("name"),
-        total.alias("total_time"),
-        F.concat(F.format_number("value", 2), F.lit(" ms (1%)")).alias("cpu_time"),
-        k.cast("string").alias("hits"),
-        coarse.alias("timing"),
+        f"CASE WHEN ts < timestamp_ntz '{RUN_SPLIT}' THEN 'A' ELSE 'B' END AS run",
+        "hour(ts) AS file_id",
+        """CASE event_type WHEN 'view' THEN 'AwtToolkit' WHEN 'click' THEN 'EventQueue' WHEN 'purchase' THEN 'SocketPool'
+             WHEN 'signup' THEN 'Worker' ELSE 'java.util' END AS component""",
+        "level",
+        """concat(repeat(' ', level), CASE event_type
+             WHEN 'view' THEN concat('com.app.ui.AwtToolkit', u, '.paint (AwtToolkit', u, '.java:17)')
+             WHEN 'click' THEN concat('com.app.ui.EventQueue', u, '.dispatch ()')
+             WHEN 'purchase' THEN concat('com.app.net.SocketPool', u, '.connection (SocketPool.java:', u, ')')
+             WHEN 'signup' THEN concat('com.app.job.Worker', u, '.run ()')
+             ELSE concat('java.util.Pool', u, '.get (Pool.java:5)') END) AS name""",
+        f"""CASE WHEN event_type = 'purchase' THEN concat({_number("value")}, ' s (3%)')
+             WHEN event_type = 'signup' AND value < 1 THEN 'n/a'
+             ELSE concat({_number("(value * 10)")}, ' ms (5%)') END AS total_time""",
+        f"concat({_number('value')}, ' ms (1%)') AS cpu_time",
+        "cast(k as string) AS hits",
+        "concat(cast(floor(value / 50) as string), '.5 ms (', level, '%)') AS timing",
     )
 
 
@@ -94,19 +82,26 @@ calls AS (
 
 
 def run_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Runs A and B, rows numbered over the whole run."""
-    numbered = dense_index(calls(spark, sf_dir), ["run"], "event_id")
-    return numbered.where("run = 'A'").drop("run"), numbered.where("run = 'B'").drop("run")
+    """Runs A and B as one file each. Event ids are dense, so row numbers are offsets."""
+    both = calls(spark, sf_dir)
+    sides = []
+    for run in ("A", "B"):
+        side = both.where(F.col("run") == run)
+        first = side.agg(F.min("event_id"))
+        row_idx = (F.col("event_id") - first.scalar()).alias("row_idx")
+        sides.append(side.drop("run", "file_id").select("*", F.lit(0).alias("file_id"), row_idx))
+    return sides[0], sides[1]
 
 
 def file_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Runs A and B, rows numbered within each file."""
-    numbered = dense_index(calls(spark, sf_dir), ["run", "file_id"], "event_id")
-    return numbered.where("run = 'A'").drop("run"), numbered.where("run = 'B'").drop("run")
+    """Runs A and B with a file per hour, rows numbered within each file."""
+    both = calls(spark, sf_dir)
+    a, b = (dense_index(both.where(F.col("run") == run).drop("run"), ["file_id"], "event_id") for run in ("A", "B"))
+    return a, b
 
 
 RUN_ROWS = """
-run_rows AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY event_id) - 1 AS row_idx FROM calls)"""
+run_rows AS (SELECT * REPLACE (0 AS file_id), event_id - min(event_id) OVER (PARTITION BY run) AS row_idx FROM calls)"""
 FILE_ROWS = """
 file_rows AS (SELECT *, row_number() OVER (PARTITION BY run, file_id ORDER BY event_id) - 1 AS row_idx FROM calls)"""
 
@@ -118,20 +113,17 @@ IS_JDK = r"regexp_matches(lower(trim({c})), '^(java\.|javax\.|sun\.|com\.sun\.|j
 
 # Profiler text of each hour, with the kinds of noise that real exports have.
 def profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    value = F.format_number("value", 2)
-    u = F.col("user_id").cast("string")
-    line = _cases(
-        F.col("event_type"),
-        {
-            "view": F.lit('"Self time","0.0 ms (0%)","0.0 ms (0%)","1"'),
-            "click": F.concat(F.lit('"CompiledMethod stub'), u, F.lit('","'), value, F.lit(' ms (1%)","1"')),
-            "error": F.concat(F.lit('"java.'), F.when(F.col("value") > 30, "util").otherwise("io"), F.lit('.Call","'), value, F.lit(' ms (1%)"')),
-            "signup": F.when(F.col("value") < 5, "   ").otherwise(F.concat(F.lit('  "com.app.Job'), u, F.lit('","'), value, F.lit(' s"  '))),
-        },
-        F.concat(F.lit('"com.app.Order'), u, F.lit('","'), value, F.lit(' ms (2%)","1"')),
+    value = _number("value")
+    return table(spark, sf_dir, "events").selectExpr(
+        "hour(ts) AS file_id",
+        "event_id AS line_no",
+        f"""CASE event_type
+             WHEN 'view' THEN '"Self time","0.0 ms (0%)","0.0 ms (0%)","1"'
+             WHEN 'click' THEN concat('"CompiledMethod stub', user_id, '","', {value}, ' ms (1%)","1"')
+             WHEN 'error' THEN concat('"java.', CASE WHEN value > 30 THEN 'util' ELSE 'io' END, '.Call","', {value}, ' ms (1%)"')
+             WHEN 'signup' THEN CASE WHEN value < 5 THEN '   ' ELSE concat('  "com.app.Job', user_id, '","', {value}, ' s"  ') END
+             ELSE concat('"com.app.Order', user_id, '","', {value}, ' ms (2%)","1"') END AS line""",
     )
-    return events.select(F.hour("ts").alias("file_id"), F.col("event_id").alias("line_no"), line.alias("line"))
 
 
 PROFILE_TEXT = """
@@ -159,22 +151,16 @@ doc_lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line
 
 # Java sources, one file per part.
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    folder = F.when(F.col("p_size") <= 30, "src/main/java/").when(F.col("p_size") <= 40, "modules/core/").otherwise("")
-    path = F.concat(folder, F.lit("com/app/p"), size, F.lit("/P"), key, F.lit(".java"))
-    helper = F.when(F.col("p_type") == "ECONOMY", "").otherwise("    static int helper(int x) { return x; }\n")
-    body = F.concat(
-        F.lit("    private int size = "), size, F.lit(";\n    public void m"), size,
-        F.lit("(int a, String b) throws Error {\n        if (a > 0) {\n            helper(a);\n        }\n        this.size = a;\n    }\n"),
-        helper,
-        F.lit("    abstract void later(int q);\n"),
+    return table(spark, sf_dir, "part").selectExpr(
+        """concat(CASE WHEN p_size <= 30 THEN 'src/main/java/' WHEN p_size <= 40 THEN 'modules/core/' ELSE '' END,
+             'com/app/p', p_size, '/P', p_partkey, '.java') AS path""",
+        r"""concat('package com.app.p', p_size, ';\nimport java.util.List;\n// made from part\n\npublic class P', p_partkey, ' {\n',
+             CASE WHEN p_size > 3 THEN concat('    private int size = ', p_size, ';\n    public void m', p_size,
+               '(int a, String b) throws Error {\n        if (a > 0) {\n            helper(a);\n        }\n        this.size = a;\n    }\n',
+               CASE WHEN p_type = 'ECONOMY' THEN '' ELSE '    static int helper(int x) { return x; }\n' END,
+               '    abstract void later(int q);\n') ELSE '' END,
+             '}\n') AS content""",
     )
-    text = F.concat(
-        F.lit("package com.app.p"), size, F.lit(";\nimport java.util.List;\n// made from part\n\npublic class P"), key, F.lit(" {\n"),
-        F.when(F.col("p_size") > 3, body).otherwise(""),
-        F.lit("}\n"),
-    )
-    return table(spark, sf_dir, "part").select(path.alias("path"), text.alias("content"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,20 +185,6 @@ source_lines AS (SELECT path, unnest(range(1, len(l) + 1)) AS line_no, unnest(l)
   FROM (SELECT path, string_split(content, chr(10)) AS l FROM source_files))"""
 
 
-def _trace_text(form: Column) -> Column:
-    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    cls = F.concat(F.lit("com.app.p"), size, F.lit(".P"), key)
-    return (
-        F.when(form == 0, F.concat(cls, F.lit("#m"), size))
-        .when(form == 1, F.concat(cls, F.lit(".m"), size, F.lit("(P"), key, F.lit(".java:5)")))
-        .when(form == 2, F.concat(F.lit("at "), cls, F.lit(".m"), size, F.lit("(P"), key, F.lit(".java:7)")))
-        .when(form == 3, F.concat(cls, F.lit(".helper")))
-        .when(form == 4, F.concat(F.lit("src/main/java/com/app/p"), size, F.lit("/P"), key, F.lit(".java")))
-        .when(form == 5, F.concat(F.lit("P"), key))
-        .otherwise(F.concat(cls, F.lit("$Inner#LATER[1]")))
-    )
-
-
 _TRACE_TEXT = """CASE form WHEN 0 THEN cls || '#m' || p_size
   WHEN 1 THEN cls || '.m' || p_size || '(P' || p_partkey || '.java:5)'
   WHEN 2 THEN 'at ' || cls || '.m' || p_size || '(P' || p_partkey || '.java:7)'
@@ -227,13 +199,20 @@ def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Line items of one part give the same frames again and again, as real logs do.
     """
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    joined = items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select(
-        F.col("l_orderkey").alias("file_id"),
-        F.col("l_linenumber").alias("line_no"),
-        _trace_text(F.col("l_linenumber") - 1).alias("line"),
+    items = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey AS p_partkey", "l_linenumber")
+    parts = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "p_size", "concat('com.app.p', p_size, '.P', p_partkey) AS cls"
+    )
+    return items.join(parts, "p_partkey").selectExpr(
+        "l_orderkey AS file_id",
+        "l_linenumber AS line_no",
+        """CASE l_linenumber - 1 WHEN 0 THEN concat(cls, '#m', p_size)
+             WHEN 1 THEN concat(cls, '.m', p_size, '(P', p_partkey, '.java:5)')
+             WHEN 2 THEN concat('at ', cls, '.m', p_size, '(P', p_partkey, '.java:7)')
+             WHEN 3 THEN concat(cls, '.helper')
+             WHEN 4 THEN concat('src/main/java/com/app/p', p_size, '/P', p_partkey, '.java')
+             WHEN 5 THEN concat('P', p_partkey)
+             ELSE concat(cls, '$Inner#LATER[1]') END AS line""",
     )
 
 
@@ -249,17 +228,16 @@ NOW = "2024-01-31 00:00:00"
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rundiff.operators.results import result_key
-
     events = table(spark, sf_dir, "events")
-    extracted = F.col("event_type").isin("view", "click")
     return events.select(
         result_key(F.lit("repo"), F.concat(F.lit("com.app.U"), "user_id"), F.col("event_type")).alias("key"),
-        F.col("event_id").cast("string").alias("data"),
-        F.col("ts").alias("timestamp"),
-        F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("access_count"),
-        F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 60000000).cast("long")).alias("last_accessed"),
-        F.when(extracted, "extracted_code").otherwise("analysis_result").alias("entry_type"),
+        F.expr("cast(event_id as string) AS data"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.expr("cast(regexp_extract(props, '([0-9]+)', 1) as bigint) AS access_count"),
+        F.expr(
+            "timestamp_micros(unix_micros(cast(ts as timestamp)) + cast(floor(value * 60000000) as bigint)) AS last_accessed"
+        ),
+        F.expr("CASE WHEN event_type IN ('view', 'click') THEN 'extracted_code' ELSE 'analysis_result' END AS entry_type"),
     )
 
 
