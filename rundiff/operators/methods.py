@@ -75,7 +75,7 @@ def declarations(lines: DataFrame) -> DataFrame:
     ).where(~F.col("name").isin(*NOT_METHOD_NAMES))
 
 
-def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS, reuse: bool = False) -> DataFrame:
     """Declarations with their last line, found by brace balance.
 
     A method ends on the first line, at or after the one with its opening brace, where
@@ -87,7 +87,8 @@ def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     the file and has ``closed`` false.
 
     The declarations and brace lines, without other text, are written once to the
-    checkpoint folder, as several branches read them.
+    checkpoint folder, as several branches read them. ``reuse`` writes the index itself
+    too, for callers that join it more than once.
     """
     text = F.col("text")
     net = (_count(text, "{") - _count(text, "}")).cast("long")
@@ -125,7 +126,7 @@ def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     )
     on = (F.col("path") == F.col("_p")) & (F.col("_depth") == F.col("_d")) & (F.col("_open") == F.col("_a"))
     end = F.when(one_line, F.col("start_line")).when(immediate, F.col("_open")).otherwise(F.col("_end"))
-    return found.join(following, on, "left").select(
+    index = found.join(following, on, "left").select(
         "path",
         "name",
         "return_type",
@@ -136,6 +137,7 @@ def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         end.isNotNull().alias("closed"),
         "signature",
     )
+    return cut_lineage(index) if reuse else index
 
 
 def unique_methods(methods: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rundiff.operators import frames, methods, resolve
+from rundiff.session import cut_lineage
 
 # Advice per failure reason.
 SUGGESTIONS = {
@@ -48,9 +49,9 @@ def resolve_traces(
     ``fall_back`` reads a line that the grammar takes for a bare class name with the path
     grammar.
     """
-    parsed = frames.parse_lines(lines, grammar)
     if grammar not in ("reference", "tokens"):
         raise ValueError("grammar must be reference or tokens")
+    parsed = frames.parse_lines(lines, grammar)
     frame = F.col("frame")
     if fall_back:
         other = frames.parse_path(F.col("line"))
@@ -78,11 +79,10 @@ def resolve_traces(
         frame["pattern"].alias("pattern"),
     )
     distinct = flat.where("parsed").select("class_fqn", "method", "explicit_path").distinct()
-    files = resolve.resolve_frames(distinct, catalog, root)
-    located = distinct.join(
-        files,
-        (distinct["class_fqn"] == files["class_fqn"]) & distinct["explicit_path"].eqNullSafe(files["explicit_path"]),
-    ).select(distinct["class_fqn"], "method", distinct["explicit_path"], "path", "strategy", "candidate_count")
+    files = resolve.resolve_frames(distinct, catalog, root).withColumnsRenamed({"class_fqn": "_c", "explicit_path": "_e"})
+    same_frame = (F.col("class_fqn") == F.col("_c")) & F.col("explicit_path").eqNullSafe(F.col("_e"))
+    # the distinct frames with their files are few; the look-up reads them several times
+    located = cut_lineage(distinct.join(files, same_frame).drop("_c", "_e"))
     found = methods.find_methods(located, method_index)
     per_file = method_index.groupBy("path").agg(F.count("*").alias("method_count"))
     answers = found.join(per_file, "path", "left").select(
