@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 _CLOSED_FIELD = r'^"((?:[^"]++|"")*+)"'
 
 
+# The characters that count as whitespace at the ends of a text.
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
     """Remove all leading and trailing whitespace (``trim`` removes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def first_field(line: Column) -> Column:
@@ -42,7 +49,7 @@ def is_heading(value: Column, variant: str = "line") -> Column:
         return F.coalesce(bare.rlike(r"^\p{IsUppercase}"), F.lit(False))
     if variant != "line":
         raise ValueError(f"unknown heading variant: {variant}")
-    bare = F.regexp_replace(F.regexp_replace(value, r'^"+|"+$', ""), r"^'+|'+$", "")
+    bare = F.btrim(F.btrim(value, F.lit('"')), F.lit("'"))
     return F.coalesce(bare.rlike(r"^\p{Lu}") & (strip(bare) != "Self time"), F.lit(False))
 
 

@@ -66,7 +66,7 @@ PATH_PATTERNS = {
 def clean_frame(line: Column) -> Column:
     """Frame text without whitespace, quotes, backslashes (unless ``at …``) and a known prefix."""
     text = strip(line)
-    text = strip(F.regexp_replace(text, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2"))
+    text = F.when(text.rlike("^[\"']"), strip(F.regexp_replace(text, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2"))).otherwise(text)
     text = F.when(text.startswith("at "), text).otherwise(F.translate(text, "\\", "/"))
     return strip(F.regexp_replace(text, f"^(?:{'|'.join(LINE_PREFIXES)})", ""))
 
@@ -89,13 +89,13 @@ def _frame(package: Column, class_name: Column, method=None, file=None, line=Non
     )
 
 
-def parse_plain(line: Column) -> Column:
+def plain_frame(text: Column) -> Column:
     """Plain grammar: frames, ``at`` frames, paths and class names; NULL if nothing fits.
 
-    Struct ``package_path, class_name, method, full_class_path, file_name, line_number,
-    pattern``. ``method`` is NULL when the line names none.
+    Takes the text of ``clean_frame``. Struct ``package_path, class_name, method,
+    full_class_path, file_name, line_number, pattern``. ``method`` is NULL when the line
+    names none.
     """
-    text = clean_frame(line)
     structural = rf"(?i)^(?:.*/)?(?:{'|'.join(NON_PACKAGE_DIRS)})(?=/|$)/?"
     cases = []
     for name, pattern in PLAIN_PATTERNS.items():
@@ -165,15 +165,19 @@ def _path_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"\.java$", "")
 
 
-def parse_reference(line: Column, split_dotted: bool = True) -> Column:
+def clean_reference(line: Column) -> Column:
+    """Frame text without whitespace and without a trailing ``[…]``."""
+    text = strip(line)
+    return F.when(text.endswith("]"), F.regexp_replace(text, BRACKET_SUFFIX, "$1")).otherwise(text)
+
+
+def reference_frame(text: Column, split_dotted: bool = True) -> Column:
     """Reference grammar: path, ``Class#method``, ``Class.method(…)``, else a class.
 
-    Struct ``class_fqn, method, file_path_provided, explicit_path, pattern``. A trailing
-    ``[…]`` is dropped. With ``split_dotted`` a bare dotted name is split into class and
-    method by its capitalised token.
+    Takes the text of ``clean_reference``. Struct ``class_fqn, method,
+    file_path_provided, explicit_path, pattern``. With ``split_dotted`` a bare dotted
+    name is split into class and method by its capitalised token.
     """
-    trimmed = strip(line)
-    text = F.when(trimmed.rlike(BRACKET_SUFFIX), _group(trimmed, BRACKET_SUFFIX, 1)).otherwise(trimmed)
     stem = F.substring_index(_path_stem(text), "$", 1)
     hashed, framed, bare = (REFERENCE_PATTERNS[n] for n in ("intellij_format", "stack_frame", "class_only"))
     dotted = _split_dotted(text)
@@ -216,10 +220,16 @@ def _split_dotted(text: Column) -> Column:
     return F.struct(class_fqn.alias("class_fqn"), method.alias("method"))
 
 
-def parse_tokens(line: Column) -> Column:
-    """Token grammar: path, ``#``, frame, else dotted tokens. Same struct as ``parse_reference``."""
-    slashed = F.translate(strip(line), "\\", "/")
-    text = F.when(slashed.rlike(BRACKET_SUFFIX), _group(slashed, BRACKET_SUFFIX, 1)).otherwise(slashed)
+def clean_tokens(line: Column) -> Column:
+    """``clean_reference`` with forward slashes."""
+    return clean_reference(F.translate(line, "\\", "/"))
+
+
+def token_frame(text: Column) -> Column:
+    """Token grammar: path, ``#``, frame, else dotted tokens. Same struct as ``reference_frame``.
+
+    Takes the text of ``clean_tokens``.
+    """
     dotted = _split_dotted(text)
     return (
         F.when(text.rlike(EXPLICIT_PATH), _reference(_path_stem(text), _none(), text, F.lit("explicit_path")))
@@ -235,12 +245,17 @@ def parse_tokens(line: Column) -> Column:
     )
 
 
-def parse_path(line: Column) -> Column:
+def clean_path(line: Column) -> Column:
+    """Frame text without whitespace and quotes."""
+    return F.btrim(strip(line), F.lit("\"'"))
+
+
+def path_frame(text: Column) -> Column:
     """Path grammar: struct ``package_path, class_name, method, parse_type``.
 
-    Nothing fits: empty package and class, ``parse_type`` is ``no_match``.
+    Takes the text of ``clean_path``. Nothing fits: empty package and class,
+    ``parse_type`` is ``no_match``.
     """
-    text = F.regexp_replace(strip(line), r"""^["']+|["']+$""", "")
     parsed = F
     for name, (pattern, roles) in PATH_PATTERNS.items():
         part = {role: _group(text, pattern, i + 1) for i, role in enumerate(roles)}
@@ -268,9 +283,10 @@ def parse_path(line: Column) -> Column:
 
 def format_check(lines: DataFrame, column: str = "line") -> DataFrame:
     """Whether the path grammar understands each line, and its parts."""
+    parsed = lines.withColumn("_text", clean_path(F.col(column))).withColumn("_frame", path_frame(F.col("_text")))
     frame = F.col("_frame")
     valid = frame["class_name"] != ""
-    return lines.withColumn("_frame", parse_path(F.col(column))).select(
+    return parsed.select(
         *lines.columns,
         valid.alias("valid"),
         F.when(valid, frame["class_name"]).alias("parsed_class"),
@@ -291,12 +307,23 @@ def as_plain_frame(reference: Column) -> Column:
     return F.when(fqn.isNotNull(), _frame(package, class_name, reference["method"], pattern="converted"))
 
 
-_GRAMMARS = {"plain": parse_plain, "reference": parse_reference, "tokens": parse_tokens, "path": parse_path}
+_GRAMMARS = {
+    "plain": (clean_frame, plain_frame),
+    "reference": (clean_reference, reference_frame),
+    "tokens": (clean_tokens, token_frame),
+    "path": (clean_path, path_frame),
+}
 
 
 def parse_lines(lines: DataFrame, grammar: str = "reference", column: str = "line") -> DataFrame:
-    """Add ``frame`` and ``parsed``; lines that do not parse stay, with a NULL frame."""
-    parsed = lines.withColumn("frame", _GRAMMARS[grammar](F.col(column)))
+    """Add ``frame`` and ``parsed``; lines that do not parse stay, with a NULL frame.
+
+    The text is cleaned in a step of its own, as every pattern reads it.
+    """
+    clean, frame = _GRAMMARS[grammar]
+    parsed = lines.withColumn("_text", clean(F.col(column))).withColumn("frame", frame(F.col("_text")))
     if grammar == "path":
         parsed = parsed.withColumn("frame", F.when(F.col("frame.class_name") != "", F.col("frame")))
-    return parsed.withColumn("parsed", F.col("frame").isNotNull())
+    elif grammar != "plain":
+        parsed = parsed.withColumn("frame", F.when(F.col("_text") != "", F.col("frame")))
+    return parsed.withColumn("parsed", F.col("frame").isNotNull()).drop("_text")

@@ -47,32 +47,39 @@ def _count(c: Column, char: str) -> Column:
     return F.length(c) - F.length(F.translate(c, char, ""))
 
 
-def declarations(lines: DataFrame) -> DataFrame:
-    """Lines that declare a method, with its name, return type, parameters and modifiers.
+_DECLARED = ["name", "return_type", "parameters", "modifiers", "signature"]
+
+
+def with_declarations(lines: DataFrame) -> DataFrame:
+    """Add the parts of the method each line declares; all NULL on other lines.
 
     A line that calls ``name(…);`` after a word such as ``return`` looks like a
-    declaration to the pattern and is listed too. Whitespace is squeezed first, which
+    declaration to the pattern and is taken for one. Whitespace is squeezed first, which
     keeps the pattern linear on long indents. Declarations over several lines are not
     found.
     """
-    squeezed = F.regexp_replace(strip(F.col("text")), r"\s+", " ")
-    candidates = lines.where(F.contains("text", F.lit("(")) & F.col("text").rlike("[{;]")).withColumn("_s", squeezed)
-    found = candidates.where(F.col("_s").rlike(METHOD_PATTERN))
+    text, s = F.col("text"), F.col("_s")
+    candidate = F.contains(text, F.lit("(")) & (F.contains(text, F.lit("{")) | F.contains(text, F.lit(";")))
+    squeezed = F.when(candidate, F.regexp_replace(strip(text), r"\s+", " "))
+    name = F.regexp_extract("_s", METHOD_PATTERN, 2)  # empty where the pattern does not match
+    found = lines.withColumn("_s", squeezed).withColumn("name", F.when(~name.isin("", *NOT_METHOD_NAMES), name))
     parameters = F.transform(F.split(F.regexp_extract("_s", METHOD_PATTERN, 3), ","), lambda p: F.trim(p))
-    spaced = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
-    modifiers = [
-        F.when(F.contains(spaced, F.lit(f" {m} ")) | F.startswith(F.col("_s"), F.lit(m)), F.lit(m)) for m in MODIFIERS
-    ]
-    return found.select(
-        "path",
-        F.regexp_extract("_s", METHOD_PATTERN, 2).alias("name"),
-        F.trim(F.regexp_extract("_s", METHOD_PATTERN, 1)).alias("return_type"),
-        F.filter(parameters, lambda p: p != "").alias("parameters"),
-        F.array_compact(F.array(*modifiers)).alias("modifiers"),
-        F.col("line_no").alias("start_line"),
-        strip(F.col("text")).alias("signature"),
-        *[c for c in lines.columns if c not in ("path", "line_no", "text")],
-    ).where(~F.col("name").isin(*NOT_METHOD_NAMES))
+    spaced = F.concat(F.lit(" "), text, F.lit(" "))
+    modifiers = [F.when(F.contains(spaced, F.lit(f" {m} ")) | s.startswith(m), F.lit(m)) for m in MODIFIERS]
+    parts = {
+        "return_type": F.trim(F.regexp_extract("_s", METHOD_PATTERN, 1)),
+        "parameters": F.filter(parameters, lambda p: p != ""),
+        "modifiers": F.array_compact(F.array(*modifiers)),
+        "signature": strip(text),
+    }
+    declared = F.col("name").isNotNull()
+    return found.withColumns({c: F.when(declared, part) for c, part in parts.items()}).drop("_s")
+
+
+def declarations(lines: DataFrame) -> DataFrame:
+    """The lines that declare a method: ``path, start_line`` and the parts."""
+    found = with_declarations(lines).where("name is not null")
+    return found.select("path", F.col("line_no").alias("start_line"), *_DECLARED)
 
 
 def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS, reuse: bool = False) -> DataFrame:
@@ -99,14 +106,13 @@ def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS, reuse: bool = F
         Running("_last", "max", F.col("line_no"), reverse=True),
     ]
     balanced = running(lines.withColumn("_net", net), ["path"], "line_no", specs, block_rows)
-    declared = declarations(balanced).withColumnRenamed("start_line", "line_no")
-    braces = balanced.where(has_open | (F.col("_net") < 0)).select("path", "line_no", "_balance", "_net")
-    marked = cut_lineage(declared.unionByName(braces, allowMissingColumns=True))
-    found = marked.where(F.col("name").isNotNull()).withColumnRenamed("line_no", "start_line")
-    braces = marked.where(F.col("name").isNull())
+    kept = with_declarations(balanced).where(F.col("name").isNotNull() | has_open | (F.col("_net") < 0))
+    columns = ["path", "line_no", "_balance", "_net", "_open", "_last", *_DECLARED, has_open.alias("_has_open")]
+    marked = cut_lineage(kept.select(*columns))
+    found = marked.where("name is not null").withColumnRenamed("line_no", "start_line")
 
     found = found.withColumn("_depth", F.col("_balance") - F.col("_net"))
-    at_open = braces.select(F.col("path").alias("_bp"), F.col("line_no").alias("_bl"), F.col("_balance").alias("_after"))
+    at_open = marked.where("_has_open").select(F.col("path").alias("_bp"), F.col("line_no").alias("_bl"), F.col("_balance").alias("_after"))
     found = found.join(at_open, (F.col("path") == F.col("_bp")) & (F.col("_open") == F.col("_bl")), "left")
     one_line = F.col("signature").endswith(";")
     immediate = F.coalesce(F.col("_after") <= F.col("_depth"), F.lit(False))
@@ -115,7 +121,7 @@ def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS, reuse: bool = F
         "path", F.col("_depth").alias("depth"), F.col("_open").alias("at"), none.alias("crossing")
     )
     down = F.sequence(F.col("_balance"), F.col("_balance") - F.col("_net") - 1)
-    crossings = braces.where(F.col("_net") < 0).select(
+    crossings = marked.where(F.col("_net") < 0).select(
         "path", F.explode(down).alias("depth"), F.col("line_no").alias("at"), F.col("line_no").alias("crossing")
     )
     events = queries.where("at is not null").unionByName(crossings)

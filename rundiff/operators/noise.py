@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rundiff.functions.profile import JDK_BUCKETS, JDK_OTHER, mentions_jdk
+from rundiff.functions.text import strip
 from rundiff.operators.ordered import BLOCK_ROWS, Running, running
 
 # Line classes, their patterns, and the words of the value filter.
@@ -43,7 +44,7 @@ def _contains_any(c: Column, words: Sequence[str]) -> Column:
 
 def clean_line(line: Column) -> Column:
     """Line without outer whitespace and without the quotes around it."""
-    return F.regexp_replace(F.regexp_replace(line, r"^\s+|\s+$", ""), r'^"+|"+$', "")
+    return F.btrim(strip(line), F.lit('"'))
 
 
 def class_code(line: Column) -> Column:
@@ -65,22 +66,29 @@ def class_name(code: Column) -> Column:
 
 
 def line_runs(
-    lines: DataFrame, keys: Sequence[str] = (), pos: str = "line_no", column: str = "line", block_rows: int = BLOCK_ROWS
+    lines: DataFrame,
+    keys: Sequence[str] = (),
+    pos: str = "line_no",
+    column: str = "line",
+    block_rows: int = BLOCK_ROWS,
+    codes: Sequence[int] = tuple(range(len(CLASSES))),
 ) -> DataFrame:
     """Classify the lines and mark runs of one class; blank lines are dropped.
 
     Adds ``class_code`` and ``run_after``, the last position of any other class, which
     is the same for all lines of a run and for no other run. The set of classes is
-    fixed, so one pass with a running maximum per class gives it.
+    fixed, so one pass with a running maximum per class gives it; ``codes`` limits it to
+    some classes and leaves ``run_after`` NULL for the others.
     """
     cleaned = lines.withColumn(column, clean_line(F.col(column))).where(F.col(column) != "")
     classed = cleaned.withColumn("class_code", class_code(F.col(column)))
-    codes = range(len(CLASSES))
-    specs = [Running(f"_last_{i}", "max", F.when(F.col("class_code") == i, F.col(pos))) for i in codes]
+    code = F.col("class_code")
+    specs = [Running(f"_not_{i}", "max", F.when(code != i, F.col(pos))) for i in codes]
     marked = running(classed, keys, pos, specs, block_rows)
-    others = [F.when(F.col("class_code") != i, F.col(f"_last_{i}")) for i in codes]
-    run_after = F.coalesce(F.greatest(*others), F.lit(-1)).alias("run_after")
-    return marked.select(*classed.columns, run_after)
+    run_after = F
+    for i in codes:
+        run_after = run_after.when(code == i, F.coalesce(f"_not_{i}", F.lit(-1)))
+    return marked.select(*classed.columns, run_after.alias("run_after"))
 
 
 def run_sizes(runs: DataFrame, keys: Sequence[str] = (), pos: str = "line_no") -> DataFrame:
@@ -130,7 +138,7 @@ def reduce_noise(
     lines: DataFrame, keys: Sequence[str] = (), pos: str = "line_no", column: str = "line", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """All three passes: classify, compress runs, filter by value."""
-    runs = line_runs(lines, keys, pos, column, block_rows)
+    runs = line_runs(lines, keys, pos, column, block_rows, codes=(_ZERO, _JVM))
     return value_lines(compress_runs(runs, keys, pos, column), column)
 
 

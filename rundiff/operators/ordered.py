@@ -71,9 +71,7 @@ def _combine(s: Running) -> Column:
     carried, here = F.col(f"_c_{s.out}"), F.col(f"_w_{s.out}")
     if s.how == "sum":
         return F.coalesce(carried, F.lit(0)) + F.coalesce(here, F.lit(0))
-    # least/greatest take no structs, so compare by hand; NULL means "nothing yet"
-    better = carried > here if s.how == "max" else carried < here
-    return F.when(here.isNull() | better, F.coalesce(carried, here)).otherwise(here)
+    return (F.greatest if s.how == "max" else F.least)(carried, here)  # both skip NULL
 
 
 def dense_index(

@@ -117,10 +117,8 @@ def line_changes(ranged: DataFrame) -> DataFrame:
     ``thread_change``.
     """
     a, b = F.col("a_line"), F.col("b_line")
-    bare = r'^[ "]+|[ "]+$'
-
     def name(line: Column) -> Column:
-        before_comma = F.regexp_replace(F.substring_index(line, ",", 1), bare, "")
+        before_comma = F.btrim(F.substring_index(line, ",", 1), F.lit(' "'))
         return F.when(F.instr(line, ",") > 0, before_comma).otherwise(strip(line))
 
     timed = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rundiff.functions.numbers import rounded
-from rundiff.functions.text import first_field, is_heading, safe_section_name, safe_value_name
+from rundiff.functions.text import first_field, is_heading, safe_section_name, safe_value_name, strip
 from rundiff.operators.ordered import BLOCK_ROWS, Running, dense_index, running
 
 # Defaults of the split methods.
@@ -95,7 +95,7 @@ def split_by_sections(
 
 def split_lines_by_sections(lines: DataFrame, keys: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Sections of raw CSV lines ``row_idx, line``; lines are stripped, blank ones go."""
-    stripped = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
+    stripped = lines.withColumn("line", strip(F.col("line"))).where("line <> ''")
     return split_by_sections(stripped, "line", keys, "line", block_rows=block_rows)
 
 

@@ -44,42 +44,41 @@ def resolve_traces(
 ) -> DataFrame:
     """Every trace line with its file, method, status and reason.
 
-    Distinct frames are resolved and distinct (file, method) pairs looked up, and the
-    results joined back, so a frame that fills a third of the lines is worked on once.
-    ``fall_back`` reads a line that the grammar takes for a bare class name with the path
-    grammar.
+    Distinct lines are parsed, distinct frames resolved and distinct (file, method) pairs
+    looked up, and the results joined back, so a line that is a third of the input is
+    worked on once. ``fall_back`` reads a line that the grammar does not know with the
+    path grammar.
     """
     if grammar not in ("reference", "tokens"):
         raise ValueError("grammar must be reference or tokens")
-    parsed = frames.parse_lines(lines, grammar)
+    parsed = frames.parse_lines(lines.select("line").distinct(), grammar)
     frame = F.col("frame")
     if fall_back:
-        other = frames.parse_path(F.col("line"))
-        fqn = F.concat_ws(".", F.nullif(F.translate(other["package_path"], "/", "."), F.lit("")), other["class_name"])
-        usable = (frame["pattern"] == "fallback") & (other["class_name"] != "")
-        parsed = parsed.withColumn("_other", other).withColumn(
-            "frame",
-            F.when(
-                usable,
-                F.struct(
-                    fqn.alias("class_fqn"),
-                    F.col("_other.method").alias("method"),
-                    F.lit(False).alias("file_path_provided"),
-                    F.lit(None).cast("string").alias("explicit_path"),
-                    F.col("_other.parse_type").alias("pattern"),
-                ),
-            ).otherwise(frame),
-        ).drop("_other")
-    flat = parsed.select(
-        *lines.columns,
-        (F.coalesce(frame["class_fqn"], F.lit("")) != "").alias("parsed"),
-        frame["class_fqn"].alias("class_fqn"),
-        frame["method"].alias("method"),
-        frame["explicit_path"].alias("explicit_path"),
-        frame["pattern"].alias("pattern"),
+        other = frames.parse_lines(lines.select("line").distinct(), "path").select("line", F.col("frame").alias("_o"))
+        package = F.nullif(F.translate(F.col("_o.package_path"), "/", "."), F.lit(""))
+        from_path = F.struct(
+            F.concat_ws(".", package, "_o.class_name").alias("class_fqn"),
+            F.col("_o.method").alias("method"),
+            F.lit(False).alias("file_path_provided"),
+            F.lit(None).cast("string").alias("explicit_path"),
+            F.col("_o.parse_type").alias("pattern"),
+        )
+        usable = (frame["pattern"] == "fallback") & F.col("_o").isNotNull()
+        parsed = parsed.join(other, "line", "left").withColumn("frame", F.when(usable, from_path).otherwise(frame))
+    flat = cut_lineage(
+        parsed.select(
+            "line",
+            "parsed",
+            frame["class_fqn"].alias("class_fqn"),
+            frame["method"].alias("method"),
+            frame["explicit_path"].alias("explicit_path"),
+            frame["pattern"].alias("pattern"),
+        )
     )
     distinct = flat.where("parsed").select("class_fqn", "method", "explicit_path").distinct()
-    files = resolve.resolve_frames(distinct, catalog, root).withColumnsRenamed({"class_fqn": "_c", "explicit_path": "_e"})
+    files = resolve.resolve_frames(distinct, catalog, root).withColumnsRenamed(
+        {"class_fqn": "_c", "explicit_path": "_e"}
+    )
     same_frame = (F.col("class_fqn") == F.col("_c")) & F.col("explicit_path").eqNullSafe(F.col("_e"))
     # the distinct frames with their files are few; the look-up reads them several times
     located = cut_lineage(distinct.join(files, same_frame).drop("_c", "_e"))
@@ -101,7 +100,7 @@ def resolve_traces(
         & F.col("method").eqNullSafe(F.col("_m"))
         & F.col("explicit_path").eqNullSafe(F.col("_e"))
     )
-    joined = flat.join(answers, same, "left").drop("_c", "_m", "_e")
+    per_line = flat.join(answers, same, "left").drop("_c", "_m", "_e")
     missed = F.col("method").isNotNull() & F.col("match").isNull()
     reason = (
         F.when(~F.col("parsed"), "parsing_failed")
@@ -114,19 +113,19 @@ def resolve_traces(
         .when(F.col("method_count") > 0, "all_methods")
         .otherwise("full_file")
     )
-    return (
-        joined.withColumn("reason", reason)
+    per_line = (
+        per_line.withColumn("reason", reason)
         .withColumn("status", F.when(F.col("reason").isNull(), "success").otherwise("failure"))
         .withColumn("extraction_type", kind)
+    )
+    tried = resolve.searched_paths(F.col("class_fqn"), F.col("explicit_path"))
+    return (
+        lines.join(per_line, "line", "left")
+        .withColumn("reason", F.when(F.col("line").isNull(), "parsing_failed").otherwise(F.col("reason")))
+        .fillna({"status": "failure", "extraction_type": "error", "parsed": False})
         .withColumn("display_path", resolve.display_path(F.col("path")))
         .withColumn("suggestions", _suggestions(F.col("reason")))
-        .withColumn(
-            "searched_paths",
-            F.when(
-                F.col("reason") == "file_not_found",
-                resolve.searched_paths(F.col("class_fqn"), F.col("explicit_path")),
-            ),
-        )
+        .withColumn("searched_paths", F.when(F.col("reason") == "file_not_found", tried))
     )
 
 

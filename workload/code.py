@@ -51,8 +51,7 @@ plain AS (SELECT line, n, CASE
 FROM plain""",
 )
 def frame_plain(spark, sf_dir):
-    frame = frames.parse_plain(F.col("line"))
-    parsed = _lines(spark, sf_dir).withColumn("f", frame)
+    parsed = frames.parse_lines(_lines(spark, sf_dir), "plain").withColumnRenamed("frame", "f")
     return parsed.select(
         "line",
         "n",
@@ -85,7 +84,7 @@ reference AS (SELECT line, n,
 
 @query(TRACE_LINES, LINES, REFERENCE, select="SELECT line, n, class_fqn, method, explicit_path, pattern FROM reference")
 def frame_reference(spark, sf_dir):
-    parsed = _lines(spark, sf_dir).withColumn("f", frames.parse_reference(F.col("line")))
+    parsed = frames.parse_lines(_lines(spark, sf_dir), "reference").withColumnRenamed("frame", "f")
     return parsed.select("line", "n", "f.class_fqn", "f.method", "f.explicit_path", "f.pattern")
 
 
@@ -101,7 +100,7 @@ def frame_reference(spark, sf_dir):
 FROM (SELECT line, n, regexp_replace(line, '^(.+)\[.*\]$', '\1') AS text FROM lines)""",
 )
 def frame_tokens(spark, sf_dir):
-    parsed = _lines(spark, sf_dir).withColumn("f", frames.parse_tokens(F.col("line")))
+    parsed = frames.parse_lines(_lines(spark, sf_dir), "tokens").withColumnRenamed("frame", "f")
     return parsed.select("line", "n", "f.class_fqn", "f.method", "f.explicit_path")
 
 
@@ -128,8 +127,7 @@ def frame_format_check(spark, sf_dir):
   list_last(string_split(class_fqn, '.')) AS class_name, method, list_last(string_split(class_fqn, '.')) || '.java' AS file_name FROM reference""",
 )
 def frame_converted(spark, sf_dir):
-    converted = frames.as_plain_frame(frames.parse_reference(F.col("line")))
-    parsed = _lines(spark, sf_dir).withColumn("f", converted)
+    parsed = frames.parse_lines(_lines(spark, sf_dir), "reference").withColumn("f", frames.as_plain_frame(F.col("frame")))
     return parsed.select("line", "n", "f.package_path", "f.class_name", "f.method", "f.file_name")
 
 
@@ -152,7 +150,7 @@ resolved AS (
 
 @query(TRACE_LINES, LINES, REFERENCE, SOURCES, RESOLVED, select="SELECT * FROM resolved")
 def frame_resolve(spark, sf_dir):
-    parsed = _lines(spark, sf_dir).withColumn("f", frames.parse_reference(F.col("line"))).select("f.*")
+    parsed = frames.parse_lines(_lines(spark, sf_dir), "reference").select("frame.*")
     return resolve.resolve_frames(parsed, _catalog(spark, sf_dir))
 
 
