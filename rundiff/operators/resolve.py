@@ -43,16 +43,15 @@ DIRECT_FILES = 2
 
 
 def file_catalog(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Catalog columns of relative paths: ``path, dir, file_name, stem, depth``."""
+    """Catalog columns of relative paths: ``path, dir, file_name, depth``."""
     p = F.col(path)
     name = F.substring_index(p, "/", -1)
-    folder = F.regexp_replace(p, r"/?[^/]*$", "")
+    folder = F.substring(p, F.lit(1), F.greatest(F.length(p) - F.length(name) - 1, F.lit(0)))
     return paths.select(
         p.alias("path"),
         folder.alias("dir"),
         name.alias("file_name"),
-        F.regexp_replace(name, r"\.java$", "").alias("stem"),
-        F.when(folder == "", 0).otherwise(F.size(F.split(folder, "/"))).alias("depth"),
+        (F.length(p) - F.length(F.translate(p, "/", ""))).alias("depth"),
     )
 
 

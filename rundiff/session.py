@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,20 +22,29 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one ``spark.checkpoint.dir`` names.
 
-    The folder is the one named by ``spark.checkpoint.dir``. A local session without
-    one gets a temporary folder; a cluster session without one is an error, because a
-    machine-local folder would be lost with its executor.
+    A local session without one gets a temporary folder. A cluster session without one is
+    an error, because a machine-local folder would be lost with its executor.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", "")
-        if not folder and sc.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="rundiff-checkpoint-")
-        if not folder:
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", "")
+    if not folder:
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="rundiff-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and continue from its files.
+
+    Lost executors cost nothing that was written. Unlike a checkpoint of rows, the table
+    is read by column and its size is known to the planner, which can then broadcast it
+    when it is small. The files stay until the folder is cleaned.
+    """
+    path = f"{shared_folder(df.sparkSession)}/rundiff-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
