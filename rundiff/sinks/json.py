@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rundiff.sources.csv import NA_TOKENS, infer_types, read_csv_groups
 from rundiff.functions.text import null_if_token
+from rundiff.session import cut_lineage
+from rundiff.sources.csv import NA_TOKENS, infer_types, read_csv_groups
 from rundiff.sources.files import list_files
 from rundiff.sources.xml import read_xml, root_elements
 
@@ -79,15 +80,20 @@ def write_envelopes(lines: DataFrame, folder: str) -> None:
 
 
 def xml_envelopes(df: DataFrame, root_element: str) -> DataFrame:
-    """JSON envelope per XML row: metadata with the root element, and the nested data."""
+    """JSON envelope per XML row: metadata with the root element, and the nested data.
+
+    ``file_id, document, well_formed``.
+    """
     data = [c for c in df.columns if c not in ("file_id", "_corrupt_record")]
+    well_formed = F.col("_corrupt_record").isNull() if "_corrupt_record" in df.columns else F.lit(True)
     meta = F.struct(
         F.col("file_id").alias("source_file"),
         F.lit("xml").alias("file_type"),
         F.lit(root_element).alias("root_element"),
     )
     nested = F.struct(F.struct(*[F.col(f"`{c}`") for c in data]).alias(root_element))
-    return df.select("file_id", F.to_json(F.struct(meta.alias("metadata"), nested.alias("data"))).alias("document"))
+    document = F.to_json(F.struct(meta.alias("metadata"), nested.alias("data")))
+    return df.select("file_id", document.alias("document"), well_formed.alias("well_formed"))
 
 
 def convert_batch(
@@ -137,15 +143,17 @@ def convert_batch(
                 add(nothing)
                 continue
             table = read_xml(spark, kind["files"], kind["root_element"])
-            bad = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in table.columns else F.lit(False)
-            table = table.withColumn("_bad", bad)
-            xml_envelopes(table.where(~F.col("_bad")).drop("_bad"), kind["root_element"]).select("document").write.mode(
-                "overwrite"
-            ).text(f"{out}/xml_{i}")
-            seen = table.groupBy("file_id").agg(F.max("_bad").alias("_bad"))
-            asked = spark.createDataFrame([(f,) for f in kind["files"]], "file_id string").join(seen, "file_id", "left")
-            failed = F.coalesce(F.col("_bad"), F.lit(True))
-            add(asked.select("file_id", F.when(failed, F.lit("not well-formed XML")).alias("error")))
+            asked = spark.createDataFrame([(f,) for f in kind["files"]], "file_id string")
+            if set(table.columns) <= {"file_id", "_corrupt_record"}:  # not one element was readable
+                add(asked.withColumn("error", F.lit("not well-formed XML")))
+                continue
+            documents = cut_lineage(xml_envelopes(table, kind["root_element"]))
+            readable = documents.where("well_formed").select("document")
+            readable.write.mode("overwrite").text(f"{out}/xml_{i}")
+            seen = documents.groupBy("file_id").agg(F.min("well_formed").alias("_ok"))
+            failed = ~F.coalesce("_ok", F.lit(False))
+            checked = asked.join(seen, "file_id", "left")
+            add(checked.select("file_id", F.when(failed, F.lit("not well-formed XML")).alias("error")))
     return statuses
 
 
