@@ -25,7 +25,7 @@ from rundiff.session import cut_lineage
 DEFAULT_CHUNK = 20_000
 COMPARISON_CHUNK = 18_000
 
-BLOCK_LINES = 1 << 18
+BLOCK_LINES = 1 << 16
 FAN_OUT = 256
 
 _STEP = "_index long, _ends array<long>, _fills array<long>, _opened array<long>, _total long"
@@ -166,12 +166,15 @@ def chunk_lines(
     max_chunk_size: int = DEFAULT_CHUNK,
     block_lines: int = BLOCK_LINES,
     fan_out: int = FAN_OUT,
+    max_pos: int | None = None,
 ) -> DataFrame:
     """Add ``chunk_no`` (from 0) to the lines of each document.
 
     A line costs its length plus one. A line longer than the limit is a chunk of its
     own, and a document within the limit is one chunk. ``pos`` orders the lines and is
-    unique within a document; one task holds at most ``block_lines`` of them.
+    unique within a document; one task holds at most ``block_lines`` of them. A known
+    upper bound ``max_pos`` of ``pos`` saves the pass that looks for it; a line beyond it
+    fails the job.
     """
     keys = list(keys)
     schema = lines.schema
@@ -183,7 +186,11 @@ def chunk_lines(
             "_cost": (F.coalesce(F.length(column), F.lit(0)) + 1).cast("long"),
         }
     )
-    last_block = blocked.agg(F.max("_block")).head()[0] or 0
+    if max_pos is None:
+        max_pos = lines.agg(F.max(pos)).head()[0] or 0
+    else:
+        blocked = blocked.withColumn("_pos", F.when(F.col(pos) <= max_pos, F.col("_pos")).otherwise(F.raise_error(F.lit("pos exceeds max_pos"))))
+    last_block = max_pos // block_lines
     grouped = blocked.groupBy(*keys, "_block")
     if last_block == 0:
         return grouped.applyInArrow(_alone(_number_lines(max_chunk_size)), out)

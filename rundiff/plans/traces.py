@@ -162,9 +162,10 @@ def context_lines(targets: DataFrame, method_index: DataFrame, lines: DataFrame)
     """Lines of code around each target method, in reading order.
 
     ``targets``: ``path, name, start_line`` of methods. Parts: imports (0), class (1),
-    fields (2), the method (3), the methods of its file that it uses (4). In a large file
-    only the top of the file and nearby methods count. Result: ``path, name, start_line,
-    part, part_line, line_no, text``.
+    fields (2), the method (3), the methods of its file that it uses (4). The first three
+    are the same for all targets of a file and listed once, with NULL ``name`` and
+    ``start_line``. In a large file only the top of the file and nearby methods count.
+    Result: ``path, name, start_line, part, part_line, line_no, text``.
     """
     target = ["path", "name", "start_line"]
     wanted = targets.select(*target).distinct()
@@ -183,7 +184,8 @@ def context_lines(targets: DataFrame, method_index: DataFrame, lines: DataFrame)
         .unionByName(classes.withColumn("part", F.lit(1)))
         .unionByName(methods.class_fields(field_area).withColumn("part", F.lit(2)))
     )
-    around = wanted.join(shared, "path").withColumn("part_line", F.lit(0).cast("long"))
+    zero, none = F.lit(0).cast("long"), F.lit(None)
+    around = shared.withColumns({"name": none.cast("string"), "start_line": none.cast("long"), "part_line": zero})
 
     index = method_index.join(wanted.select("path").distinct(), "path", "left_semi")
     bodies = methods.method_lines(index, own)
@@ -208,15 +210,14 @@ def context_lines(targets: DataFrame, method_index: DataFrame, lines: DataFrame)
 
 
 def code_chunks(context: DataFrame) -> DataFrame:
-    """Context by kind of code: the method, the methods it uses, class context.
+    """Context by kind of code: the method, the methods it uses, the class of the file.
 
-    ``path, name, start_line, chunk_no, type, description, lines, char_count``. Code
-    itself stays in the context lines, keyed by ``chunk_no``.
+    ``path, name, start_line, chunk_no, lines, char_count, type, description``. Code
+    itself stays in the context lines.
     """
-    kind = F.when(F.col("part") == 3, 0).when(F.col("part") == 4, 1).otherwise(2)
     counted = (
         context.where("part <> 1")
-        .withColumn("chunk_no", kind)
+        .withColumn("chunk_no", F.when(F.col("part") == 3, 0).when(F.col("part") == 4, 1).otherwise(2))
         .groupBy("path", "name", "start_line", "chunk_no")
         .agg(
             F.count("*").alias("lines"),
@@ -224,18 +225,21 @@ def code_chunks(context: DataFrame) -> DataFrame:
             F.count_distinct("part_line").alias("_members"),
         )
     )
-    label = F.when(F.col("chunk_no") == 0, "target_method").when(F.col("chunk_no") == 1, "dependent_methods")
+    kind = F.col("chunk_no")
+    label = F.when(kind == 0, "target_method").when(kind == 1, "dependent_methods").otherwise("class_context")
     description = (
-        F.when(F.col("chunk_no") == 0, F.concat(F.lit("Target method: "), F.col("name")))
-        .when(F.col("chunk_no") == 1, F.concat(F.lit("Dependent methods ("), F.col("_members"), F.lit(" methods)")))
+        F.when(kind == 0, F.concat(F.lit("Target method: "), F.col("name")))
+        .when(kind == 1, F.concat(F.lit("Dependent methods ("), F.col("_members"), F.lit(" methods)")))
         .otherwise("Class context (imports and fields)")
     )
-    return counted.withColumn("type", label.otherwise("class_context")).withColumn("description", description).drop(
-        "_members"
-    )
+    return counted.withColumns({"type": label, "description": description}).drop("_members")
 
 
 def needs_chunking(context: DataFrame) -> DataFrame:
-    """Code size per target and whether it is above the limit for one piece."""
-    size = context.groupBy("path", "name", "start_line").agg(F.sum(F.length("text") + 1).alias("code_chars"))
-    return size.withColumn("chunked", F.col("code_chars") > MAX_CONTEXT_CHARS)
+    """Code size per target, with the shared parts, and whether it exceeds one piece."""
+    size = F.sum(F.length("text") + 1)
+    shared = context.where("name is null").groupBy("path").agg(size.alias("_shared"))
+    own = context.where("name is not null").groupBy("path", "name", "start_line").agg(size.alias("_own"))
+    chars = F.col("_own") + F.coalesce("_shared", F.lit(0))
+    total = own.join(shared, "path", "left").withColumn("code_chars", chars)
+    return total.drop("_own", "_shared").withColumn("chunked", F.col("code_chars") > MAX_CONTEXT_CHARS)

@@ -283,6 +283,8 @@ def test_traces_end_to_end(spark, java, fall_back):
     assert parts == [0, 0, 1, 2, 3, 3, 3, 3, 3, 4, 4, 4, 4, 4, 4]  # main itself counts, as its own name is called
     chunks = {r.type: r.description for r in traces.code_chunks(context).collect()}
     assert chunks == {"target_method": "Target method: main", "dependent_methods": "Dependent methods (2 methods)", "class_context": "Class context (imports and fields)"}
+    shared = context.where("name is null").select("part").distinct().count()
+    assert shared == 3
     assert not traces.needs_chunking(context).head().chunked
 
 

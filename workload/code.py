@@ -364,27 +364,61 @@ def source_parts(spark, sf_dir):
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
-@query(
-    SOURCES,
-    METHODS,
-    DEPS,
-    """
+CONTEXT = """
 targets AS (SELECT * FROM methods WHERE return_type = 'void' AND end_line > start_line),
 context AS (
-  SELECT t.path, t.name, t.start_line, 0 AS part, 0 AS part_line, s.line_no, regexp_replace(s.text, '^\\s+|\\s+$', '', 'g') AS text FROM targets t JOIN source_lines s ON s.path = t.path AND s.line_no <= 2
-  UNION ALL SELECT t.path, t.name, t.start_line, 1, 0, s.line_no, replace(s.text, ' {', '') FROM targets t JOIN source_lines s ON s.path = t.path AND s.text LIKE 'public class %'
-  UNION ALL SELECT t.path, t.name, t.start_line, 2, 0, s.line_no, regexp_replace(s.text, '^\\s+|\\s+$', '', 'g') FROM targets t JOIN source_lines s ON s.path = t.path AND s.text LIKE '    private int size%'
+  SELECT DISTINCT t.path, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS start_line, 0 AS part, 0 AS part_line, s.line_no, regexp_replace(s.text, '^\\s+|\\s+$', '', 'g') AS text FROM targets t JOIN source_lines s ON s.path = t.path AND s.line_no <= 2
+  UNION ALL SELECT DISTINCT t.path, NULL, NULL, 1, 0, s.line_no, replace(s.text, ' {', '') FROM targets t JOIN source_lines s ON s.path = t.path AND s.text LIKE 'public class %'
+  UNION ALL SELECT DISTINCT t.path, NULL, NULL, 2, 0, s.line_no, regexp_replace(s.text, '^\\s+|\\s+$', '', 'g') FROM targets t JOIN source_lines s ON s.path = t.path AND s.text LIKE '    private int size%'
   UNION ALL SELECT t.path, t.name, t.start_line, 3, t.start_line, s.line_no, s.text FROM targets t JOIN source_lines s ON s.path = t.path AND s.line_no BETWEEN t.start_line AND t.end_line
   UNION ALL SELECT t.path, t.name, t.start_line, 4, m.start_line, s.line_no, s.text FROM targets t JOIN deps d ON d.path = t.path AND d.start_line = t.start_line
-    JOIN methods m ON m.path = t.path AND m.name = d.dependency JOIN source_lines s ON s.path = t.path AND s.line_no BETWEEN m.start_line AND m.end_line)""",
+    JOIN methods m ON m.path = t.path AND m.name = d.dependency JOIN source_lines s ON s.path = t.path AND s.line_no BETWEEN m.start_line AND m.end_line)"""
+
+
+@query(
+    SOURCES,
+    METHODS,
+    DEPS,
+    CONTEXT,
     select="SELECT * FROM context",
 )
 def method_context(spark, sf_dir):
+    return _context(spark, sf_dir)
+
+
+def _context(spark, sf_dir):
     index = _index(spark, sf_dir)
     targets = index.where("return_type = 'void' AND end_line > start_line")
     return traces.context_lines(targets, index, inputs.sources(spark, sf_dir))
 
 
+@query(
+    SOURCES,
+    METHODS,
+    DEPS,
+    CONTEXT,
+    select="""SELECT path, name, start_line, CASE part WHEN 3 THEN 0 WHEN 4 THEN 1 ELSE 2 END AS chunk_no, count(*) AS lines, CAST(sum(length(text) + 1) AS BIGINT) AS char_count,
+  CASE part WHEN 3 THEN 'target_method' WHEN 4 THEN 'dependent_methods' ELSE 'class_context' END AS type,
+  CASE part WHEN 3 THEN 'Target method: ' || name WHEN 4 THEN 'Dependent methods (' || count(DISTINCT part_line) || ' methods)' ELSE 'Class context (imports and fields)' END AS description
+FROM (SELECT * REPLACE (CASE WHEN part = 2 THEN 0 ELSE part END AS part) FROM context WHERE part <> 1) GROUP BY path, name, start_line, part""",
+)
+def code_chunks(spark, sf_dir):
+    return traces.code_chunks(_context(spark, sf_dir))
+
+
+@query(
+    SOURCES,
+    METHODS,
+    DEPS,
+    CONTEXT,
+    select="""SELECT o.path, name, start_line, CAST(own + shared AS BIGINT) AS code_chars, own + shared > 16000 AS chunked
+FROM (SELECT path, name, start_line, sum(length(text) + 1) AS own FROM context WHERE name IS NOT NULL GROUP BY ALL) o
+JOIN (SELECT path, sum(length(text) + 1) AS shared FROM context WHERE name IS NULL GROUP BY path) s ON s.path = o.path""",
+)
+def code_size(spark, sf_dir):
+    return traces.needs_chunking(_context(spark, sf_dir))
+
+
 @query(
     TRACE_LINES,
     LINES,

@@ -166,7 +166,7 @@ def timing_values(spark, sf_dir):
 @query(
     CALLS,
     select=rf"""SELECT event_id, trim(name) AS function_name, length(name) - length(ltrim(name)) AS stack_level,
-  {IS_JDK.format(c="name")} AS is_jdk,
+  {IS_JDK.format(c="name")} AS is_jdk, CASE WHEN contains(name, 'java.util.') THEN 'Util' ELSE 'System' END AS jdk_bucket,
   CASE WHEN regexp_matches({CALL}, {FRAME}) THEN list_last(string_split(regexp_extract({CALL}, {FRAME}, 1), '.'))
     ELSE regexp_extract({CALL}, {PAIR}, 1) END AS class_name,
   CASE WHEN regexp_matches({CALL}, {FRAME}) THEN regexp_extract({CALL}, {FRAME}, 2) ELSE regexp_extract({CALL}, {PAIR}, 2) END AS method_name,
@@ -182,6 +182,7 @@ def function_names(spark, sf_dir):
         profile.function_name(name).alias("function_name"),
         profile.stack_level(name).alias("stack_level"),
         profile.is_jdk_internal(name).alias("is_jdk"),
+        profile.jdk_bucket(name).alias("jdk_bucket"),
         frame["class_name"].alias("class_name"),
         frame["method_name"].alias("method_name"),
         frame["line_number"].alias("line_number"),

@@ -31,8 +31,10 @@ def _number(v: str) -> str:
     return f"CASE WHEN {v} >= 999 THEN format_number({v}, 2) ELSE {_PLAIN.format(v=v)} END"
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").selectExpr(
+def calls(spark: SparkSession, sf_dir: str, run: str | None = None) -> DataFrame:
+    """Calls of one run, picked by a filter that reaches the scan, or of both."""
+    period = {None: "true", "A": f"ts < timestamp_ntz '{RUN_SPLIT}'", "B": f"ts >= timestamp_ntz '{RUN_SPLIT}'"}[run]
+    events = table(spark, sf_dir, "events").where(period).selectExpr(
         "*", f"{_K} AS k", f"cast(floor({_K} / 25) as int) AS level", "cast(user_id as string) AS u"
     )
     return events.selectExpr(
@@ -83,10 +85,9 @@ calls AS (
 
 def run_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Runs A and B as one file each. Event ids are dense, so row numbers are offsets."""
-    both = calls(spark, sf_dir)
     sides = []
     for run in ("A", "B"):
-        side = both.where(F.col("run") == run)
+        side = calls(spark, sf_dir, run)
         first = side.agg(F.min("event_id"))
         row_idx = (F.col("event_id") - first.scalar()).alias("row_idx")
         sides.append(side.drop("run", "file_id").select("*", F.lit(0).alias("file_id"), row_idx))
@@ -95,8 +96,7 @@ def run_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def file_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Runs A and B with a file per hour, rows numbered within each file."""
-    both = calls(spark, sf_dir)
-    a, b = (dense_index(both.where(F.col("run") == run).drop("run"), ["file_id"], "event_id") for run in ("A", "B"))
+    a, b = (dense_index(calls(spark, sf_dir, run).drop("run"), ["file_id"], "event_id") for run in ("A", "B"))
     return a, b
 
 

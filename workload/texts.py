@@ -277,16 +277,20 @@ chunks AS (SELECT doc_id, chunk_no, string_agg(line, chr(10) ORDER BY line_no) A
   length(string_agg(line, chr(10) ORDER BY line_no)) AS char_count FROM packed JOIN sized USING (doc_id, line_no) GROUP BY doc_id, chunk_no)"""
 
 
+def _chunked(spark, sf_dir):
+    # a text has at most one line more than characters
+    longest = table(spark, sf_dir, "documents").agg(F.max("n_chars")).head()[0]
+    return packing.chunk_lines(doc_lines(spark, sf_dir), ["doc_id"], max_chunk_size=CHUNK, max_pos=longest)
+
+
 @query(DOC_LINES, CHUNKED, select="SELECT doc_id, line_no, chunk_no FROM packed", recursive=True)
 def chunk_lines(spark, sf_dir):
-    chunked = packing.chunk_lines(doc_lines(spark, sf_dir), ["doc_id"], max_chunk_size=CHUNK)
-    return chunked.select("doc_id", "line_no", "chunk_no")
+    return _chunked(spark, sf_dir).select("doc_id", "line_no", "chunk_no")
 
 
 @query(DOC_LINES, CHUNKED, select="SELECT * FROM chunks", recursive=True)
 def chunk_texts(spark, sf_dir):
-    chunked = packing.chunk_lines(doc_lines(spark, sf_dir), ["doc_id"], max_chunk_size=CHUNK)
-    return packing.chunk_texts(chunked, ["doc_id"])
+    return packing.chunk_texts(_chunked(spark, sf_dir), ["doc_id"])
 
 
 @query(
