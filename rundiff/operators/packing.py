@@ -6,7 +6,7 @@ fill of the open chunk, a number up to the limit. A block of lines is thus a ste
 function from the fill before it to the fill after it and the number of chunks it opens.
 Blocks are computed independently, their functions are composed in a tree of groups, and
 a last pass numbers the lines of each block from its known entry. A document of one block
-needs only that last pass.
+needs only that last pass, which streams over many blocks per task.
 
 The functions that run in tasks import what they need and refer to nothing in this
 module, so executors do not need the package installed.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rundiff.session import cut_lineage
@@ -133,27 +133,41 @@ def _enter_children(limit: int):
 
 
 def _number_lines(limit: int):
-    """Lines of a block and its entry -> the lines with their chunk numbers."""
+    """Lines sorted by block and position -> the same lines with their chunk numbers.
 
-    def number(key, table, entry=None):
+    Batches of many blocks come in one stream. A block starts where the running size
+    equals the cost of the line; ``_fill`` and ``_chunk`` are its entry. Work is done per
+    chunk, not per line.
+    """
+
+    def number(batches):
         import numpy as np
         import pyarrow as pa
 
-        table = table.sort_by("_pos")
-        cost = table["_cost"].to_numpy()
-        ends, n = np.cumsum(cost), len(cost)
-        if entry is None:  # the whole document; what fits the limit without its last newline is one chunk
-            fill, chunk = (-1, 0) if ends[-1] <= limit + 1 else (limit, -1)
-        else:
-            fill, chunk = entry["_fill"][0].as_py(), entry["_chunk"][0].as_py()
-        chunks = np.full(n, chunk, dtype=np.int64)
-        at = int(np.searchsorted(ends, limit - fill, side="right"))
-        while at < n:
-            chunk += 1
-            following = max(at + 1, int(np.searchsorted(ends, ends[at] - cost[at] + limit, side="right")))
-            chunks[at:following] = chunk
-            at = following
-        return table.drop_columns(["_block", "_pos", "_cost"]).append_column("chunk_no", pa.array(chunks))
+        helpers = ("_ends", "_cost", "_fill", "_chunk")
+        chunk, bound = -1, 0  # the open chunk takes lines whose running size is within the bound
+        for batch in batches:
+            ends, cost, fill, first = (batch.column(c).to_numpy() for c in helpers)
+            n = len(ends)
+            chunks = np.empty(n, dtype=np.int64)
+            starts = np.flatnonzero(ends == cost).tolist()
+            opening = set(starts)
+            edges = [0, *[i for i in starts if i > 0], n]
+            for low, high in zip(edges, edges[1:]):
+                if low in opening:
+                    chunk, bound = int(first[low]), limit - int(fill[low])
+                at = low
+                while at < high:
+                    stop = max(at, low + int(np.searchsorted(ends[low:high], bound, side="right")))
+                    chunks[at:stop] = chunk
+                    if stop < high:  # this line opens the next chunk, however long it is
+                        chunk, bound = chunk + 1, int(ends[stop] - cost[stop]) + limit
+                        chunks[stop] = chunk
+                        stop += 1
+                    at = stop
+            names = [c for c in batch.schema.names if c not in helpers]
+            columns = [batch.column(c) for c in names] + [pa.array(chunks)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "chunk_no"])
 
     return number
 
@@ -172,9 +186,9 @@ def chunk_lines(
 
     A line costs its length plus one. A line longer than the limit is a chunk of its
     own, and a document within the limit is one chunk. ``pos`` orders the lines and is
-    unique within a document; one task holds at most ``block_lines`` of them. A known
-    upper bound ``max_pos`` of ``pos`` saves the pass that looks for it; a line beyond it
-    fails the job.
+    unique within a document. Only documents with a position from ``block_lines`` on
+    need the tree; ``max_pos``, an upper bound of ``pos``, saves the pass that looks for
+    one when it is below ``block_lines``.
     """
     keys = list(keys)
     schema = lines.schema
@@ -182,35 +196,57 @@ def chunk_lines(
     blocked = lines.withColumns(
         {
             "_block": F.floor(F.col(pos) / F.lit(block_lines)),
-            "_pos": F.col(pos).cast("long"),
             "_cost": (F.coalesce(F.length(column), F.lit(0)) + 1).cast("long"),
         }
     )
-    if max_pos is None:
+    if max_pos is None or max_pos >= block_lines:
         max_pos = lines.agg(F.max(pos)).head()[0] or 0
-    else:
-        blocked = blocked.withColumn("_pos", F.when(F.col(pos) <= max_pos, F.col("_pos")).otherwise(F.raise_error(F.lit("pos exceeds max_pos"))))
     last_block = max_pos // block_lines
-    grouped = blocked.groupBy(*keys, "_block")
-    if last_block == 0:
-        return grouped.applyInArrow(_alone(_number_lines(max_chunk_size)), out)
 
+    group = [*keys, "_block"]
+    rows = Window.partitionBy(*group).orderBy(pos)
+    placed = blocked.select(
+        "*",
+        F.sum("_cost").over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_ends"),
+        F.sum("_cost").over(rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_size"),
+    )
+    whole = F.col("_size") <= max_chunk_size + 1  # fits the limit without its last newline
+    fill = F.when(whole, -1).otherwise(max_chunk_size).cast("long")
+    chunk = F.when(whole, 0).otherwise(-1).cast("long")
+    if last_block > 0:
+        entries = _block_entries(blocked, keys, pos, max_chunk_size, fan_out, last_block)
+        placed = placed.join(entries, group, "left")
+        fill, chunk = F.coalesce("_in_fill", fill), F.coalesce("_in_chunk", chunk)
+    ready = placed.select(*schema.names, "_block", "_ends", "_cost", fill.alias("_fill"), chunk.alias("_chunk"))
+    ready = ready.sortWithinPartitions(*group, pos).drop("_block")  # the order the window left them in
+    return ready.mapInArrow(_number_lines(max_chunk_size), out)
+
+
+def _block_entries(
+    blocked: DataFrame, keys: list[str], pos: str, limit: int, fan_out: int, last_block: int
+) -> DataFrame:
+    """Entry fill and chunk of every block of the documents that have several blocks."""
+    schema = blocked.schema
+    sizes = blocked.select(*keys, "_block", F.col(pos).cast("long").alias("_pos"), "_cost")
+    if keys:
+        large = blocked.groupBy(*keys).agg(F.max("_block").alias("_m")).where("_m > 0").select(*keys)
+        sizes = sizes.join(large, keys, "left_semi")
     key_schema = "".join(f"`{k}` {schema[k].dataType.simpleString()}, " for k in keys)
-    sizes = blocked.select(*keys, "_block", "_pos", "_cost").groupBy(*keys, "_block")
-    levels = [cut_lineage(sizes.applyInArrow(_renamed(_describe_block(max_chunk_size), keys), key_schema + _STEP))]
+    described = sizes.groupBy(*keys, "_block").applyInArrow(_renamed(_describe_block(limit), keys), key_schema + _STEP)
+    levels = [cut_lineage(described)]
     while last_block > 0:
         last_block //= fan_out
         parents = levels[-1].withColumn("_parent", F.floor(F.col("_index") / F.lit(fan_out)))
         composed = parents.groupBy(*keys, "_parent").applyInArrow(
-            _renamed(_compose_group(max_chunk_size, fan_out), keys), key_schema + _STEP
+            _renamed(_compose_group(limit, fan_out), keys), key_schema + _STEP
         )
         levels.append(cut_lineage(composed))
 
-    whole = F.col("_total") <= max_chunk_size + 1
+    whole = F.col("_total") <= limit + 1
     entries = levels[-1].select(
         *keys,
         "_index",
-        F.when(whole, -1).otherwise(max_chunk_size).cast("long").alias("_fill"),
+        F.when(whole, -1).otherwise(limit).cast("long").alias("_fill"),
         F.when(whole, 0).otherwise(-1).cast("long").alias("_chunk"),
     )
     for level in reversed(levels[:-1]):
@@ -219,19 +255,11 @@ def chunk_lines(
             entries.groupBy(*keys, "_index")
             .cogroup(members)
             .applyInArrow(
-                _renamed(_enter_children(max_chunk_size), keys, pair=True),
+                _renamed(_enter_children(limit), keys, pair=True),
                 key_schema + "_index long, _fill long, _chunk long",
             )
         )
-    entries = entries.withColumnRenamed("_index", "_block")
-    return grouped.cogroup(entries.groupBy(*keys, "_block")).applyInArrow(_number_lines(max_chunk_size), out)
-
-
-def _alone(number):
-    def run(key, table):
-        return number(key, table)
-
-    return run
+    return entries.withColumnsRenamed({"_index": "_block", "_fill": "_in_fill", "_chunk": "_in_chunk"})
 
 
 def _renamed(function, keys: list[str], pair: bool = False):

@@ -104,6 +104,6 @@ def test_task_functions_do_not_need_the_package():
     from rundiff.operators import packing
 
     functions = [packing._describe_block(8), packing._compose_group(8, 2), packing._enter_children(8)]
-    functions += [packing._renamed(f, ["k"]) for f in functions] + [packing._alone(packing._number_lines(8))]
+    functions += [packing._renamed(f, ["k"]) for f in functions] + [packing._number_lines(8)]
     code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read()); assert 'rundiff' not in sys.modules"
     subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(functions), check=True, cwd="/")
