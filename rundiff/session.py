@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,13 +26,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one ``spark.checkpoint.dir`` names.
 
-    A local session without one gets a temporary folder. A cluster session without one is
-    an error, because a machine-local folder would be lost with its executor.
+    A session in one process without one gets a temporary folder. Any other session without
+    one is an error, because a machine-local folder would be lost with its executor.
     """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", "")
     if not folder:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="rundiff-checkpoint-")
         sc.setCheckpointDir(folder)
