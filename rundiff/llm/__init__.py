@@ -5,7 +5,7 @@ Functions that run in tasks are pickled by value, so executors need no extra fil
 
 from pyspark import cloudpickle
 
-from rundiff.llm import arrays, vector_dedup
+from rundiff.llm import arrays, ngram_join, vector_dedup
 
-for module in (arrays, vector_dedup):
+for module in (arrays, ngram_join, vector_dedup):
     cloudpickle.register_pickle_by_value(module)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rundiff.llm import mixing, vector_dedup
+from rundiff.llm import mixing, ngram_join, vector_dedup
 from rundiff.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,29 @@ def query(sql: str | None = None):
     return register
 
 
+WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+reps AS (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM sets GROUP BY list_sort(s)),
+item AS (SELECT rep, len(s) AS n, unnest(s) AS t FROM reps),
+num AS (SELECT rep, len(s) AS n FROM reps),
+common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM item a JOIN item b ON a.t = b.t AND a.rep < b.rep
+  AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY a.rep, b.rep),
+link AS (SELECT a, b FROM common JOIN num x ON x.rep = a JOIN num y ON y.rep = b WHERE c * 100 >= (x.n + y.n - c) * 80),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT sets.doc_id, len(sets.s) AS n_shingles, CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE least(reps.rep, coalesce(m, reps.rep)) END AS component_id
+FROM sets JOIN reps ON list_sort(sets.s) = reps.s LEFT JOIN low ON low.a = reps.rep"""
+)
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
