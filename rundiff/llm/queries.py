@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rundiff.llm import mixing, ngram_join, pii, secret_scan, vector_dedup, warc
+from rundiff.llm import mixing, ngram_join, pii, secret_scan, seq_packing, vector_dedup, warc
 from rundiff.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file of the packing query, where the public tokenizers are installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seq_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query(
     """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 s AS (SELECT page_id, octet_length(encode(h)) AS n, sha256(h) AS d FROM p),
