@@ -5,7 +5,7 @@ Functions that run in tasks are pickled by value, so executors need no extra fil
 
 from pyspark import cloudpickle
 
-from rundiff.llm import arrays, ngram_join, secret_scan, seq_packing, tokens, vector_dedup, warc
+from rundiff.llm import arrays, language, ngram_join, secret_scan, seq_packing, tokens, vector_dedup, warc
 
-for module in (arrays, ngram_join, secret_scan, seq_packing, tokens, vector_dedup, warc):
+for module in (arrays, language, ngram_join, secret_scan, seq_packing, tokens, vector_dedup, warc):
     cloudpickle.register_pickle_by_value(module)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rundiff.llm import mixing, ngram_join, pii, secret_scan, seq_packing, vector_dedup, warc
+from rundiff.llm import language, mixing, ngram_join, pii, secret_scan, seq_packing, vector_dedup, warc
 from rundiff.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,11 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_language(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 @query()
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
