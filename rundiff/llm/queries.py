@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rundiff.llm import language, mixing, ngram_join, passages, pii, secret_scan, seq_packing, vector_dedup, warc
+from rundiff.llm import language, mixing, neighbours, ngram_join, passages, pii, secret_scan, seq_packing, vector_dedup, warc
 from rundiff.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query(
     """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE list_count(embedding) = len(embedding) AND isfinite(list_sum(embedding::DOUBLE[])) AND (list_max(embedding) > 0 OR list_min(embedding) < 0)),
