@@ -7,6 +7,7 @@ All hashes are fixed functions of the bytes, the same in every task and every ru
 import numpy as np
 
 _WORK = 1 << 20  # bytes hashed at a time
+_PART = 1 << 22  # bytes split into words at a time
 
 
 def mix(x):
@@ -91,11 +92,44 @@ def word_hashes(data, starts, ends):
     return mix(out)
 
 
+def _cuts(data, start, end):
+    """Ends of pieces of a long text, cut at white space."""
+    while end - start > _PART:
+        gaps = np.flatnonzero(_SPACE[data[start : start + _PART]])
+        if len(gaps):
+            start += int(gaps[-1]) + 1
+        else:
+            while start < end and not _SPACE[data[start : start + _PART]].any():
+                start += _PART
+            start = min(end, start)
+            start += int(np.argmax(_SPACE[data[start : start + _PART]])) + 1 if start < end else 0
+        yield min(start, end)
+    if start < end:
+        yield end
+
+
 def row_words(column):
-    """Word hashes of all rows of a string column, and the offsets of the rows in them."""
+    """Yields (row, word hashes) of a string column, in row order, with few bytes in work at a time."""
     data, offsets = text_buffer(column)
-    starts, ends, rows = word_bounds(data, offsets)
-    return word_hashes(data, starts, ends), rows
+    row = 0
+    while row < len(offsets) - 1:
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _PART, side="right")) - 1)
+        start, end = int(offsets[row]), int(offsets[to])
+        if to == row + 1 and end - start > _PART:
+            parts, at = [], start
+            for cut in _cuts(data, start, end):
+                part = data[at:cut]
+                first, last, _ = word_bounds(part, np.array([0, len(part)]))
+                parts.append(word_hashes(part, first, last))
+                at = cut
+            yield row, np.concatenate(parts)
+        else:
+            part = data[start:end]
+            first, last, rows = word_bounds(part, offsets[row : to + 1] - start)
+            words = word_hashes(part, first, last)
+            for i in range(to - row):
+                yield row + i, words[rows[i] : rows[i + 1]]
+        row = to
 
 
 def shingles(words, width):
@@ -121,15 +155,3 @@ def set_key(tokens):
         return np.uint64(0)
     total = np.uint64([np.add.reduce(mix(tokens ^ np.uint64(0x5851F42D4C957F2D))) + np.uint64(len(tokens))])
     return mix(total)[0]
-
-
-def batch_of(schema_names, columns):
-    import pyarrow as pa
-
-    return pa.RecordBatch.from_arrays(columns, names=schema_names)
-
-
-def binary_column(pieces):
-    import pyarrow as pa
-
-    return pa.array(pieces, type=pa.binary())

@@ -12,8 +12,8 @@ from rundiff.llm import arrays
 from rundiff.llm.graph import components
 from rundiff.session import cut_lineage
 
-_BUCKET_TOKENS = 3_000_000  # shingles of one bucket of the token count, about
-_FLUSH_TOKENS = 4_000_000  # shingles that a task holds before it sends them
+_BUCKET_TOKENS = 2_000_000  # shingles of one bucket of the token count, about
+_FLUSH_TOKENS = 1_500_000  # shingles that a task holds before it sends them
 _BLOCK = 512  # entries of one block of an index list, about
 _BAND = 1.05  # ratio of set sizes in one band
 
@@ -24,10 +24,9 @@ def _fingerprints(width):
 
     def run(batches):
         for batch in batches:
-            words, rows = arrays.row_words(batch.column("text"))
             n, keys = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.uint64)
-            for i in range(batch.num_rows):
-                tokens = arrays.shingle_set(words[rows[i] : rows[i + 1]], width)
+            for i, words in arrays.row_words(batch.column("text")):
+                tokens = arrays.shingle_set(words, width)
                 n[i], keys[i] = len(tokens), arrays.set_key(tokens)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(keys.view(np.int64))], names=["id", "n", "set_key"])
 
@@ -43,9 +42,9 @@ def _send_tokens(width, buckets):
 
     def flush(keys, sets):
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        where = tokens % np.uint64(buckets)
-        order = np.argsort(where.astype(np.uint16) if buckets <= 1 << 16 else where, kind="stable")
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+        where = (tokens % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint64)
+        order = np.argsort(where, kind="stable")
         tokens, owner, where = tokens[order], owner[order], where[order]
         edges = np.flatnonzero(np.diff(where)) + 1
         keys = np.array(keys, dtype=np.uint64)
@@ -67,9 +66,8 @@ def _send_tokens(width, buckets):
     def run(batches):
         seen, sets, held = {}, [], 0
         for batch in batches:
-            words, rows = arrays.row_words(batch.column("text"))
-            for i in range(batch.num_rows):
-                tokens = arrays.shingle_set(words[rows[i] : rows[i + 1]], width)
+            for _, words in arrays.row_words(batch.column("text")):
+                tokens = arrays.shingle_set(words, width)
                 key = arrays.set_key(tokens)
                 if not len(tokens) or key in seen:
                     continue
@@ -109,7 +107,7 @@ def _shared_tokens(batches):
             sizes.append(np.repeat(size, count))
             tokens.append(np.frombuffer(blob, np.uint64, -1, 8 + 16 * n))
         keys, sizes, tokens = np.concatenate(keys), np.concatenate(sizes), np.concatenate(tokens)
-        order = np.argsort(tokens, kind="stable")
+        order = np.argsort(tokens)
         tokens = tokens[order]
         twice = np.zeros(len(tokens), dtype=bool)
         same = tokens[1:] == tokens[:-1]
@@ -180,7 +178,7 @@ def _reduced_sets(num, den):
                     rows[-1][2].append(tokens)
                     rows[-1][3].append(counts)
                 else:
-                    if held > 1 << 24:
+                    if held > 1 << 22:
                         yield answer(rows)
                         rows, held = [], 0
                     rows.append((key, n, [tokens], [counts]))
