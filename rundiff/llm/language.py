@@ -9,18 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rundiff.llm import arrays
+from rundiff.llm.tables import free_prefix, only
 from rundiff.session import cut_lineage
 
 SAMPLE = 200  # labelled texts per language that the text model is fitted on
 LONGEST_SAMPLE = 20000  # characters of such a text, at most
-LEAST_SAMPLE = 5
+LEAST_SAMPLE = 1
 MOST_LANGUAGES = 64
 STRENGTH = 20.0  # rows that the prior of the level above counts for
 LEAST_CONFIDENCE = 0.5
 UNKNOWN = "und"
 _BINS = 1 << 16
 _SMOOTH = 0.5
-_UNKNOWN_TRIGRAM = -math.log(20000)  # what a trigram costs under no language
+_UNKNOWN_TRIGRAM = -math.log(1 << 16)  # what a trigram costs under no language: all bins alike
 _TEMPER = 1 / 3  # each letter is part of three trigrams
 _CHUNK = 1 << 22
 _KEPT = ("id", "row_key", "declared", "suffix", "host", "domain", "words")
@@ -152,7 +153,8 @@ def identify_language(docs: DataFrame, key: str = "doc_id", text: str = "text",
     confidence of at least one half. row_key is equal for equal rows only.
 
     A null or empty text is ``und`` and not kept. Null evidence is left out. Repeated rows have equal answers.
-    An empty table, or one without five declared texts of any language, has every text as ``und``. Other columns are ignored.
+    In a table that declares no language every text is ``und``, and as nothing speaks against them, texts with a word
+    are kept. An empty table gives no rows. Other columns are ignored.
     """
     optional = lambda c: (F.lower(F.col(c).cast("string")) if c else F.lit(None).cast("string"))
     body = F.col(text).cast("string")
@@ -172,7 +174,7 @@ def identify_language(docs: DataFrame, key: str = "doc_id", text: str = "text",
     columns = f"id {kind}, row_key string, declared string, suffix string, host string, domain string, words boolean, text_ll array<double>, belief array<double>"
     scored = cut_lineage(rows.mapInArrow(_likelihoods(model), columns))
     if not languages:
-        return scored.select(F.col("id").alias(key), "row_key", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), "declared", F.lit(False).alias("kept"))
+        return scored.select(F.col("id").alias(key), "row_key", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), "declared", F.col("words").alias("kept"))
     sums = F.array(*[F.sum(F.col("belief")[k]) for k in range(len(names))])
     everything = np.array(scored.agg(sums).first()[0] or [0.0] * len(names), dtype=float)
     rows, totals = scored, {}
@@ -196,6 +198,7 @@ def document_key(docs: DataFrame, *columns: str | None) -> Column:
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
     """``docs`` without the rows whose language is not identified; same columns. The rejected rows are joined, not the kept ones."""
     answers = identify_language(docs, key, text, declared, host)
-    rejected = cut_lineage(answers.where(~F.col("kept")).select(F.col("row_key").alias("_rejected")).distinct())
-    keyed = docs.withColumn("_row", document_key(docs, key, text, declared, host))
-    return keyed.join(rejected, F.col("_row") == F.col("_rejected"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    p = free_prefix(docs)
+    rejected = cut_lineage(answers.where(~F.col("kept")).select(F.col("row_key").alias(f"{p}gone")).distinct())
+    keyed = docs.withColumn(f"{p}row", document_key(docs, key, text, declared, host))
+    return only(keyed.join(rejected, F.col(f"{p}row") == F.col(f"{p}gone"), "left_anti"), docs.columns)

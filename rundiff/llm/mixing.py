@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rundiff.llm.tables import free_prefix, only, row_struct
 from rundiff.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -68,7 +69,7 @@ def _take_first(docs: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, limit: float = LIMIT, weight: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: (key, size, source_size, target, taken).
+    """One row per row of ``docs``: (key, size, source_size, target, taken, copies).
 
     Every document of a source is expected to be taken target / source_size times. The whole part of
     that is certain. The rest is the odds of one more copy: documents are ranked by random odds
@@ -123,5 +124,17 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)
-    taken = (F.col("copies") + F.col("fits").cast("long")) * F.col("size")
-    return rows.select(F.col("row_key").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    copies = F.when(F.col("size") > 0, F.col("copies") + F.col("fits").cast("long")).otherwise(0).cast("long")
+    return rows.select(F.col("row_key").alias(key), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"))
+
+
+def take_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, limit: float = LIMIT) -> DataFrame:
+    """The rows of the mix: each row of ``docs`` as often as ``mix_sources`` takes it; same columns."""
+    p = free_prefix(docs)
+    keyed = docs.withColumn(f"{p}key", row_struct(F.col(key), F.col(text)))
+    counts = mix_sources(keyed, f"{p}key", source, text, weights, limit)
+    counts = cut_lineage(counts.groupBy(F.col(f"{p}key").alias(f"{p}own")).agg(F.sum("copies").alias(f"{p}copies"), F.count("*").alias(f"{p}rows")))
+    if not counts.where(f"{p}rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates([f"{p}key"])
+    taken = keyed.join(counts.where(f"{p}copies > 0"), F.col(f"{p}key").eqNullSafe(F.col(f"{p}own")))
+    return only(taken.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}copies")))), docs.columns)

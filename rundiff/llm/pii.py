@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rundiff.llm.tables import free_prefix, only
 from rundiff.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -219,10 +220,11 @@ def redact_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds:
     before = F.coalesce(F.lag("to").over(Window.partitionBy("rid").orderBy("from")), F.lit(0))
     merged = merged.withColumn("before", before)
     by_row = merged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("from", "before", "to", "kind"))).alias("cuts"))
-    by_row = cut_lineage(by_row.select(F.col("rid").alias("_rid"), F.col("cuts").alias("_cuts")))
+    p = free_prefix(docs)
+    by_row = cut_lineage(by_row.select(F.col("rid").alias(f"{p}rid"), F.col("cuts").alias(f"{p}cuts")))
     raw = F.col(text).cast("binary")
     piece = lambda c: F.concat(F.substring(raw, (c["before"] + 1).cast("int"), (c["from"] - c["before"]).cast("int")).cast("string"), F.lit("["), F.upper(F.regexp_replace(c["kind"], "^like_", "")), F.lit("]"))
-    last = F.element_at("_cuts", -1)["to"]
-    made = F.concat(F.array_join(F.transform("_cuts", piece), ""), F.substring(raw, (last + 1).cast("int"), F.octet_length(text)).cast("string"))
-    joined = docs.withColumn("_row", row_key(F.col(key), F.col(text))).join(by_row, F.col("_row") == F.col("_rid"), "left")
-    return joined.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(made)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    last = F.element_at(f"{p}cuts", -1)["to"]
+    made = F.concat(F.array_join(F.transform(f"{p}cuts", piece), ""), F.substring(raw, (last + 1).cast("int"), F.octet_length(text)).cast("string"))
+    joined = docs.withColumn(f"{p}row", row_key(F.col(key), F.col(text))).join(by_row, F.col(f"{p}row") == F.col(f"{p}rid"), "left")
+    return only(joined.withColumn(text, F.when(F.col(f"{p}cuts").isNull(), F.col(text)).otherwise(made)), docs.columns)
