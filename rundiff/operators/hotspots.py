@@ -82,33 +82,40 @@ def impact_order() -> list:
 
 
 def top_hotspots(spots: DataFrame, n: int = TOP_HOTSPOTS, keys: Sequence[str] = ()) -> DataFrame:
-    """The ``n`` hotspots with the highest impact, ranked and labelled."""
-    order = [*impact_order(), *[F.col(k) for k in keys]]
-    best = spots.orderBy(*order).limit(n)  # ranked below over these n rows only
-    return best.select(
-        F.row_number().over(Window.orderBy(*order)).alias("rank"),
-        "*",
+    """The ``n`` hotspots with the highest impact (per key), ranked and labelled."""
+    return _ranked(spots, n, keys).select(
+        "rank",
+        *spots.columns,
         scores.change_label(F.col("time_delta"), F.col("regression_factor")).alias("change"),
         scores.location_label(F.col("class_name"), F.col("method_name"), F.col("line_number")).alias("location"),
     )
 
 
+def _ranked(spots: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows by impact with their ``rank``; the bound on the rank lets each task keep only its own first rows."""
+    best = spots if keys else spots.orderBy(*impact_order()).limit(n)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*impact_order())))
+    return ranked.where(F.col("rank") <= n)
+
+
 def recommendations(spots: DataFrame, n: int = TOP_RECOMMENDATIONS, keys: Sequence[str] = ()) -> DataFrame:
     """Advice for the ``n`` hotspots with the highest impact."""
     advice = recommendation(F.col("class_name"), F.col("method_name"), F.col("time_delta"))
     return top_hotspots(spots, n, keys).withColumn("recommendation", advice)
 
 
-def remaining_hotspots(spots: DataFrame, n: int = TOP_HOTSPOTS) -> DataFrame:
-    """How many hotspots lie beyond the first ``n`` and their range of impact.
+def remaining_hotspots(spots: DataFrame, n: int = TOP_HOTSPOTS, keys: Sequence[str] = ()) -> DataFrame:
+    """How many hotspots lie beyond the first ``n`` (per key) and their range of impact.
 
     The counts come from one aggregation; the impact at rank ``n + 1`` is the smallest
-    of the first ``n + 1``. No window runs over all hotspots.
+    of the first ``n + 1``.
     """
-    everything = spots.agg(F.count("*").alias("total"), F.min("impact_score").alias("lowest"))
-    head = spots.orderBy(F.col("impact_score").desc()).limit(n + 1).agg(F.min("impact_score").alias("next_impact"))
-    return everything.where(F.col("total") > n).select(
+    everything = spots.groupBy(*keys).agg(F.count("*").alias("total"), F.min("impact_score").alias("lowest"))
+    head = _ranked(spots, n + 1, keys).groupBy(*keys).agg(F.min("impact_score").alias("next_impact"))
+    both = everything.join(head, list(keys)) if keys else everything.withColumn("next_impact", head.scalar())
+    return both.where(F.col("total") > n).select(
+        *keys,
         (F.col("total") - n).alias("additional"),
-        head.scalar().alias("highest_impact"),
+        F.col("next_impact").alias("highest_impact"),
         F.col("lowest").alias("lowest_impact"),
     )

@@ -26,11 +26,9 @@ CALL_PATTERNS = [
 ]
 FIELD_PATTERN = r"^\s*(private|protected|public)?\s+.*\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*[=;].*$"
 
-# Limits for large files and for signatures in lists.
+# Limits for large files, where a caller asks for them, and for signatures in lists.
 LARGE_FILE_LINES = 1000
 NEAR_LINES = 50
-HEADER_LINES = 100
-FIELD_LINES = 500
 SIGNATURE_CHARS = 100
 
 PIECE_ROWS = 10_000
@@ -171,14 +169,15 @@ def method_bodies(body_lines: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFr
 
 
 def method_lists(methods: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """Methods per file in line order: names, lines and shortened signatures, in pieces.
+    """Methods per file in line order: names, lines, signatures whole and shortened, in pieces.
 
     Several declarations on one line cannot occur, so the line orders the list.
     """
-    shown = methods.withColumn("signature", short_signature(F.col("signature")))
-    pieces = list_pieces(
-        shown.withColumnRenamed("start_line", "line"), ["path"], "line", ["name", "line", "signature"], piece_rows
+    shown = methods.withColumns(
+        {"full_signature": F.col("signature"), "signature": short_signature(F.col("signature"))}
     )
+    listed = ["name", "line", "signature", "full_signature"]
+    pieces = list_pieces(shown.withColumnRenamed("start_line", "line"), ["path"], "line", listed, piece_rows)
     return pieces.withColumn("method_count", F.size("name"))
 
 
@@ -194,7 +193,8 @@ def find_methods(requests: DataFrame, methods: DataFrame) -> DataFrame:
     Adds ``match`` (``exact``, ``case_insensitive``, ``contains`` or NULL), ``found`` (the
     first such method by line) and ``overloads`` (methods of exactly that name). Each
     level joins one row per key. For the last one every name in a file with open requests
-    is listed under all its parts, which are few, instead of pairing names with requests.
+    is listed under its parts of the lengths that are asked for there, and only parts that
+    are asked for stay; names are not paired with requests.
     """
     wanted = requests.select("path", "method").where("path is not null and method is not null").distinct()
     # named _m so that the name column can serve as a key
@@ -211,16 +211,13 @@ def find_methods(requests: DataFrame, methods: DataFrame) -> DataFrame:
     exact = look_up(wanted, first(methods, F.col("name"), "_exact"), F.col("method"))
     cased = look_up(exact, first(methods, F.lower("name"), "_ci"), lower)
 
-    open_paths = cased.where(F.col("_ci").isNull()).select("path").distinct()
-    names = methods.join(open_paths, "path", "left_semi")
-    size = F.length("name")
-    parts = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size),
-            lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.lower("name"), i, n)),
-        )
-    )
+    asked = cased.where(F.col("_ci").isNull()).select("path", lower.alias("_part")).distinct()
+    lengths = asked.select("path", F.length("_part").alias("_size")).distinct()
+    names = methods.join(lengths, "path").where(F.length("name") >= F.col("_size"))
+    starts = F.sequence(F.lit(1), F.length("name") - F.col("_size") + 1)
+    parts = F.transform(starts, lambda i: F.substring(F.lower("name"), i, F.col("_size")))
     listed = names.select("path", "start_line", "name", "end_line", "signature", F.explode(F.array_distinct(parts)).alias("_part"))
+    listed = listed.join(asked, ["path", "_part"], "left_semi")
     found = look_up(cased, first(listed, F.col("_part"), "_part"), lower)
 
     best = F.coalesce("_exact", "_ci", "_part")
@@ -274,15 +271,24 @@ def call_edges(deps: DataFrame, methods: DataFrame) -> DataFrame:
     )
 
 
-def near_edges(edges: DataFrame, methods: DataFrame, file_sizes: DataFrame) -> DataFrame:
-    """Edges kept for the context of a method: in a large file only nearby callees."""
+def near_edges(
+    edges: DataFrame,
+    methods: DataFrame,
+    file_sizes: DataFrame,
+    large_file_lines: int = LARGE_FILE_LINES,
+    near_lines: int = NEAR_LINES,
+) -> DataFrame:
+    """Edges to nearby callees only, in files of more than ``large_file_lines`` lines.
+
+    Contexts keep all edges; this is for a caller that wants short ones.
+    """
     ends = methods.select("path", F.col("name").alias("caller"), F.col("start_line").alias("caller_line"), "end_line")
     sized = edges.join(ends.dropDuplicates(["path", "caller", "caller_line"]), ["path", "caller", "caller_line"])
     sized = sized.join(file_sizes, "path")
-    near = (F.col("callee_line") >= F.col("caller_line") - NEAR_LINES) & (
-        F.col("callee_line") <= F.col("end_line") + NEAR_LINES
+    near = (F.col("callee_line") >= F.col("caller_line") - near_lines) & (
+        F.col("callee_line") <= F.col("end_line") + near_lines
     )
-    return sized.where((F.col("line_count") <= LARGE_FILE_LINES) | near).drop("line_count", "end_line")
+    return sized.where((F.col("line_count") <= large_file_lines) | near).drop("line_count", "end_line")
 
 
 def file_sizes(lines: DataFrame) -> DataFrame:

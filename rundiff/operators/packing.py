@@ -26,7 +26,7 @@ DEFAULT_CHUNK = 20_000
 COMPARISON_CHUNK = 18_000
 
 BLOCK_LINES = 1 << 16
-FAN_OUT = 256
+FAN_OUT = 32  # step functions composed in one task, each of at most three lists as long as a chunk
 
 _STEP = "_index long, _ends array<long>, _fills array<long>, _opened array<long>, _total long"
 
@@ -180,15 +180,13 @@ def chunk_lines(
     max_chunk_size: int = DEFAULT_CHUNK,
     block_lines: int = BLOCK_LINES,
     fan_out: int = FAN_OUT,
-    max_pos: int | None = None,
 ) -> DataFrame:
     """Add ``chunk_no`` (from 0) to the lines of each document.
 
     A line costs its length plus one. A line longer than the limit is a chunk of its
     own, and a document within the limit is one chunk. ``pos`` orders the lines and is
     unique within a document. Only documents with a position from ``block_lines`` on
-    need the tree; ``max_pos``, an upper bound of ``pos``, saves the pass that looks for
-    one when it is below ``block_lines``.
+    need the tree; one pass over the positions looks for the largest.
     """
     keys = list(keys)
     schema = lines.schema
@@ -199,9 +197,7 @@ def chunk_lines(
             "_cost": (F.coalesce(F.length(column), F.lit(0)) + 1).cast("long"),
         }
     )
-    if max_pos is None or max_pos >= block_lines:
-        max_pos = lines.agg(F.max(pos)).head()[0] or 0
-    last_block = max_pos // block_lines
+    last_block = (lines.agg(F.max(pos)).head()[0] or 0) // block_lines
 
     group = [*keys, "_block"]
     rows = Window.partitionBy(*group).orderBy(pos)

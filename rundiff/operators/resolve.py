@@ -34,10 +34,8 @@ ROOT_PATTERNS = [
     "src/main/resources",
     "impl/*/src",
 ]
-# Folders after which a display path starts, and the search limits.
+# Folders after which a display path starts, and sizes that make a folder a source root.
 DISPLAY_DIRS = ["src", "java", "main", "test", "tests"]
-MAX_DEPTH = 8
-VERIFY_LINES = 51
 MANY_FILES = 5
 DIRECT_FILES = 2
 
@@ -85,14 +83,13 @@ def by_class_path(frames: DataFrame, catalog: DataFrame, fqn: str = "class_fqn",
 
 
 def by_file_name(frames: DataFrame, catalog: DataFrame, fqn: str = "class_fqn") -> DataFrame:
-    """Any file named after the class, exact case first, down to a fixed depth.
+    """Any file named after the class, exact case first, at any depth.
 
     Adds ``fuzzy`` (exact case) and ``fuzzy_ci`` (any case) with their candidate counts.
     """
-    near = catalog.where(F.col("depth") <= MAX_DEPTH)
     name = F.concat(F.substring_index(F.substring_index(fqn, "$", 1), ".", -1), F.lit(".java"))
-    exact = _find(frames, name, _best(near, F.col("file_name"), [], "fuzzy"))
-    return _find(exact, F.lower(name), _best(near, F.lower("file_name"), [], "fuzzy_ci"))
+    exact = _find(frames, name, _best(catalog, F.col("file_name"), [], "fuzzy"))
+    return _find(exact, F.lower(name), _best(catalog, F.lower("file_name"), [], "fuzzy_ci"))
 
 
 def candidate_files(frames: DataFrame, catalog: DataFrame, fqn: str = "class_fqn") -> DataFrame:
@@ -102,8 +99,8 @@ def candidate_files(frames: DataFrame, catalog: DataFrame, fqn: str = "class_fqn
     """
     name = F.lower(F.concat(F.substring_index(F.substring_index(fqn, "$", 1), ".", -1), F.lit(".java")))
     wanted = frames.select(name.alias("lower_name")).distinct()
-    near = catalog.where(F.col("depth") <= MAX_DEPTH).withColumn("lower_name", F.lower("file_name"))
-    return near.join(wanted, "lower_name", "left_semi").select("lower_name", "path", "depth")
+    named = catalog.withColumn("lower_name", F.lower("file_name"))
+    return named.join(wanted, "lower_name", "left_semi").select("lower_name", "path", "depth")
 
 
 def by_explicit_path(frames: DataFrame, catalog: DataFrame, root: str = "", path: str = "explicit_path") -> DataFrame:
@@ -252,12 +249,12 @@ def by_path_suffix(frames: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def declared_files(catalog: DataFrame, source_lines: DataFrame) -> DataFrame:
-    """Files that declare a class or interface of their own name near the top."""
+    """Files that declare a class or interface of their own name, on any line."""
     stem = F.regexp_extract("path", r"([^/]*)\.java$", 1)
     declares = F.col("text").contains(F.concat(F.lit("class "), stem)) | F.col("text").contains(
         F.concat(F.lit("interface "), stem)
     )
-    declaring = source_lines.where((F.col("line_no") <= VERIFY_LINES) & declares).select("path").distinct()
+    declaring = source_lines.where(declares).select("path").distinct()
     return catalog.join(declaring, "path", "left_semi")
 
 

@@ -11,6 +11,7 @@ from rundiff.functions.profile import mentions_threads, percent_timing_ms
 from rundiff.functions.scores import percent_change
 from rundiff.functions.text import render_row, strip
 from rundiff.operators.ordered import BLOCK_ROWS, Running, running
+from rundiff.session import cut_lineage
 
 RANGE_TYPE = "data_mismatch"
 
@@ -87,7 +88,10 @@ def with_ranges(pairs: DataFrame, keys: Sequence[str] = (), block_rows: int = BL
         Running("_equal", "max", F.when(~F.col("differs"), F.col("row_idx"))),
         Running("_both", "max", F.when(F.col("row_idx") == 0, two_sided)),
     ]
-    marked = running(pairs, keys, "row_idx", specs, block_rows)
+    # written once, as the running values read it twice; rows that agree need no text
+    differs = F.col("differs")
+    slim = pairs.withColumns({c: F.when(differs, F.col(c)) for c in ("a_line", "b_line")})
+    marked = running(cut_lineage(slim), keys, "row_idx", specs, block_rows)
     return (
         marked.where(F.col("differs") & F.col("_both"))
         .withColumn("range_start", F.coalesce(F.col("_equal"), F.lit(-1)) + 1)

@@ -153,16 +153,20 @@ def conflict_totals(conflicts: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     )
 
 
-def display_rows(conflicts: DataFrame, limit: int = DISPLAY_LIMIT) -> DataFrame:
-    """First conflicts in line order with their times as text."""
+def display_rows(conflicts: DataFrame, limit: int = DISPLAY_LIMIT, keys: Sequence[str] = ()) -> DataFrame:
+    """First conflicts (per key) in line order with their times as text."""
 
     def content(c: str):
         return F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(not present)")).alias(c)
 
+    if keys:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*conflict_order()))
+        first = conflicts.withColumn("_rank", rank).where(F.col("_rank") <= limit)
+    else:
+        first = conflicts.orderBy(*conflict_order()).limit(limit)
     return (
-        conflicts.orderBy(*conflict_order())
-        .limit(limit)
-        .select(
+        first.select(
+            *keys,
             "line_number",
             "function_name",
             "stack_level",

@@ -191,7 +191,7 @@ def prepare_chunks(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Noise-reduced conflict text in size-bounded chunks: ``keys, chunk_no, text, …``."""
-    lines = _comparison_lines(result, file_a, file_b, block_rows)
+    lines = cut_lineage(_comparison_lines(result, file_a, file_b, block_rows))
     chunked = packing.chunk_lines(lines, result.keys, "pos", "line", max_chunk_size)
     return packing.chunk_texts(chunked, result.keys, "pos", "line")
 

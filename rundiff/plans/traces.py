@@ -164,25 +164,20 @@ def context_lines(targets: DataFrame, method_index: DataFrame, lines: DataFrame)
     ``targets``: ``path, name, start_line`` of methods. Parts: imports (0), class (1),
     fields (2), the method (3), the methods of its file that it uses (4). The first three
     are the same for all targets of a file and listed once, with NULL ``name`` and
-    ``start_line``. In a large file only the top of the file and nearby methods count.
-    Result: ``path, name, start_line, part, part_line, line_no, text``.
+    ``start_line``. Files of any size count whole. Result: ``path, name, start_line, part, part_line, line_no, text``.
     """
     target = ["path", "name", "start_line"]
     wanted = targets.select(*target).distinct()
-    sizes = methods.file_sizes(lines)
-    own = lines.join(wanted.select("path").distinct(), "path", "left_semi")
-    sized = own.join(sizes, "path")
-    small = F.col("line_count") <= methods.LARGE_FILE_LINES
-    top = sized.where(small | (F.col("line_no") <= methods.HEADER_LINES)).select(*lines.columns)
-    field_area = sized.where(small | (F.col("line_no") <= methods.FIELD_LINES)).select(*lines.columns)
-
-    classes = methods.class_declarations(top).select(
+    # read by several branches, so the lines of the files that matter are written once
+    own = cut_lineage(lines.join(wanted.select("path").distinct(), "path", "left_semi"))
+
+    classes = methods.class_declarations(own).select(
         "path", F.coalesce("line_no", F.lit(0)).alias("line_no"), F.col("declaration").alias("text")
     )
     shared = (
-        methods.imports(top).withColumn("part", F.lit(0))
+        methods.imports(own).withColumn("part", F.lit(0))
         .unionByName(classes.withColumn("part", F.lit(1)))
-        .unionByName(methods.class_fields(field_area).withColumn("part", F.lit(2)))
+        .unionByName(methods.class_fields(own).withColumn("part", F.lit(2)))
     )
     zero, none = F.lit(0).cast("long"), F.lit(None)
     around = shared.withColumns({"name": none.cast("string"), "start_line": none.cast("long"), "part_line": zero})
@@ -192,7 +187,6 @@ def context_lines(targets: DataFrame, method_index: DataFrame, lines: DataFrame)
     own_body = bodies.join(wanted, target, "left_semi").withColumn("part", F.lit(3))
     own_body = own_body.withColumn("part_line", F.col("start_line"))
     used = methods.call_edges(methods.dependencies(own_body.select(*target, "text")), index)
-    used = methods.near_edges(used, index, sizes)
     callee_bodies = bodies.select(
         "path", F.col("name").alias("callee"), F.col("start_line").alias("callee_line"), "line_no", "text"
     )

@@ -480,3 +480,20 @@ HAVING count(*) > 10""",
 def hotspot_tail(spark, sf_dir):
     spots, _ = _spots(spark, sf_dir)
     return _round(hs.remaining_hotspots(spots), "highest_impact", "lowest_impact")
+
+
+@query(
+    CALLS,
+    FILE_ROWS,
+    _pairs(SHAPE),
+    HOTSPOTS,
+    select="""SELECT file_id, rank, range_start, function_name, round(impact_score, 4) AS impact_score, n - 10 AS additional FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY impact_score DESC, function_name, range_start) AS rank, count(*) OVER (PARTITION BY file_id) AS n FROM spots)
+WHERE rank <= 10 AND n > 10""",
+)
+def hotspots_per_file(spark, sf_dir):
+    result = _compared(spark, sf_dir, SHAPE)
+    spots = hs.find_hotspots(result.pairs, ["file_id"])
+    rest = hs.remaining_hotspots(spots, keys=["file_id"]).select("file_id", "additional")
+    top = hs.top_hotspots(spots, keys=["file_id"]).join(rest, "file_id")
+    return _round(top, "impact_score").select("file_id", "rank", "range_start", "function_name", "impact_score", "additional")

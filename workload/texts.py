@@ -278,9 +278,7 @@ chunks AS (SELECT doc_id, chunk_no, string_agg(line, chr(10) ORDER BY line_no) A
 
 
 def _chunked(spark, sf_dir):
-    # a text has at most one line more than characters
-    longest = table(spark, sf_dir, "documents").agg(F.max("n_chars")).head()[0]
-    return packing.chunk_lines(doc_lines(spark, sf_dir), ["doc_id"], max_chunk_size=CHUNK, max_pos=longest)
+    return packing.chunk_lines(doc_lines(spark, sf_dir), ["doc_id"], max_chunk_size=CHUNK)
 
 
 @query(DOC_LINES, CHUNKED, select="SELECT doc_id, line_no, chunk_no FROM packed", recursive=True)
