@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rundiff.functions.text import null_if_token
 from rundiff.session import cut_lineage
-from rundiff.sources.csv import NA_TOKENS, infer_types, read_csv_groups
+from rundiff.sources.csv import NA_TOKENS, TRUE_TOKENS, cell_kinds, csv_headers, rows_of_records
+from rundiff.sources.csv import csv_records as read_records
 from rundiff.sources.files import list_files
 from rundiff.sources.xml import read_xml, root_elements
 
@@ -69,16 +70,49 @@ def envelope_lines(records: DataFrame, metadata: DataFrame | None = None) -> Dat
     return opening.unionByName(body).unionByName(closing)
 
 
+def file_key(name: Column) -> Column:
+    """A file name as a folder name: reversible, and safe as it is in any path."""
+    coded = F.replace(F.replace(F.url_encode(name), F.lit("_"), F.lit("%5F")), F.lit("*"), F.lit("%2A"))
+    return F.translate(coded, "%", "_")
+
+
+def file_of_key(key: Column) -> Column:
+    """The file name that ``file_key`` made a folder name of."""
+    return F.url_decode(F.translate(key, "_", "%"))
+
+
 def write_envelopes(lines: DataFrame, folder: str) -> None:
-    """Write envelope lines, one sub-folder per file, its parts in document order.
+    """Write envelope lines, one sub-folder ``file=<key>`` per file, its parts in document order.
 
     Ranges over (file, position) spread one large file over many tasks.
     """
-    placed = lines.withColumn("file", F.regexp_replace(F.col("file_id"), r"[/\\:]+", "_"))
+    placed = lines.withColumn("file", file_key(F.col("file_id")))
     ordered = placed.repartitionByRange("file", "pos").sortWithinPartitions("file", "pos")
     ordered.select("file", "text").write.mode("overwrite").partitionBy("file").text(folder)
 
 
+def row_records(rows: DataFrame, na_tokens: Sequence[str] = tuple(NA_TOKENS)) -> DataFrame:
+    """JSON records of CSV rows ``file_id, row_idx, header, cells``, each file with the types of its own cells."""
+    kinds = cut_lineage(cell_kinds(rows, na_tokens))
+
+    def value(i: Column) -> Column:
+        text = null_if_token(F.try_element_at("cells", (i + 1).cast("int")), na_tokens)
+        kind = F.try_element_at("kinds", i)
+        return (
+            F.when(kind == "long", json_value(text.try_cast("long")))
+            .when(kind == "double", json_value(text.try_cast("double")))
+            .when(kind == "boolean", json_value(F.when(text.isNotNull(), text.isin(*TRUE_TOKENS))))
+            .otherwise(json_value(text))
+        )
+
+    def field(name: Column, i: Column) -> Column:
+        return F.concat(json_value(name), F.lit(":"), value(i))
+
+    fields = F.array_join(F.transform("header", field), ",")
+    record = F.concat(F.lit("{"), fields, F.lit("}")).alias("record")
+    return rows.join(kinds, "file_id").select("file_id", "row_idx", record)
+
+
 def xml_envelopes(df: DataFrame, root_element: str) -> DataFrame:
     """JSON envelope per XML row: metadata with the root element, and the nested data.
 
@@ -101,60 +135,69 @@ def convert_batch(
 ) -> DataFrame:
     """Convert all CSV and XML files of a folder and return a status row per file.
 
-    ``filename, output, status, error``. Files of one kind are converted by one job; a
-    file with a record that does not parse is reported as failed.
+    ``filename, output, status, error``. Every listed file has one row, and on success one
+    envelope in the sub-folder ``output`` of ``out``. A CSV file without a header, or with a row that
+    does not fit it, and XML that does not parse fail; a header alone is an envelope without records.
+    The types of a CSV file come from its own cells. File names stay distributed.
     """
-    listed = list_files(spark, folder, glob)
+    listed = cut_lineage(list_files(spark, folder, glob))
     kinds = {r["extension"] for r in listed.where("rejected is null").select("extension").distinct().collect()}
-    statuses = listed.where("rejected is not null").select(
-        F.col("file_name").alias("filename"),
-        F.lit(None).cast("string").alias("output"),
-        F.lit("Failed").alias("status"),
-        F.col("rejected").alias("error"),
+    name = F.url_decode(F.substring_index("file_id", "/", -1))
+    done = spark.createDataFrame([], "file_name string, error string")
+    if "csv" in kinds:
+        done = done.unionByName(_convert_csv(spark, f"{folder}/{{*.[cC][sS][vV]}}", f"{out}/csv", glob, metadata, encoding))
+    if "xml" in kinds:
+        documents = cut_lineage(_xml_documents(spark, f"{folder}/{{*.[xX][mM][lL]}}", glob))
+        readable = documents.where("error is null").select(file_key(name).alias("file"), "document")
+        readable.write.mode("overwrite").partitionBy("file").text(f"{out}/xml")
+        done = done.unionByName(documents.groupBy(name.alias("file_name")).agg(F.max("error").alias("error")))
+    nothing = F.when(F.col("extension") == "csv", "no columns to parse").otherwise("no element found")
+    statuses = listed.join(done.withColumn("_seen", F.lit(True)), "file_name", "left")
+    error = F.coalesce("rejected", "error", F.when(F.col("_seen").isNull(), nothing))
+    return statuses.select(F.col("file_name").alias("filename"), "extension", error.alias("error")).select(
+        "filename",
+        F.when(F.col("error").isNull(), F.concat(F.col("extension"), F.lit("/file="), file_key(F.col("filename")))).alias("output"),
+        F.when(F.col("error").isNull(), "Success").otherwise("Failed").alias("status"),
+        "error",
     )
 
-    def add(done: DataFrame) -> None:
-        nonlocal statuses
-        name = F.url_decode(F.substring_index("file_id", "/", -1))
-        statuses = statuses.unionByName(
-            done.select(
-                name.alias("filename"),
-                F.when(F.col("error").isNull(), F.lit(out)).alias("output"),
-                F.when(F.col("error").isNull(), "Success").otherwise("Failed").alias("status"),
-                "error",
-            )
-        )
 
-    if "csv" in kinds:
-        paths = [r["path"] for r in listed.where("extension = 'csv'").select("path").toLocalIterator()]
-        for i, table in enumerate(read_csv_groups(spark, paths, encoding)):
-            data = [c for c in table.columns if c not in ("file_id", "row_idx")]
-            cells = [null_if_token(F.col(f"`{c}`"), NA_TOKENS).alias(c) for c in data]
-            typed = infer_types(table.select("file_id", *cells, "row_idx"), data)
-            lines = envelope_lines(csv_records(typed), csv_metadata(typed) if metadata else None)
-            write_envelopes(lines, f"{out}/csv_{i}")
-            add(typed.select("file_id").distinct().withColumn("error", F.lit(None).cast("string")))
-    if "xml" in kinds:
-        paths = [r["path"] for r in listed.where("extension = 'xml'").select("path").toLocalIterator()]
-        roots = root_elements(spark, paths).groupBy("root_element").agg(F.collect_list("file_id").alias("files"))
-        for i, kind in enumerate(roots.collect()):
-            if not kind["root_element"]:
-                nothing = spark.createDataFrame([(f, "no element found") for f in kind["files"]], "file_id string, error string")
-                add(nothing)
-                continue
-            table = read_xml(spark, kind["files"], kind["root_element"])
-            asked = spark.createDataFrame([(f,) for f in kind["files"]], "file_id string")
-            if set(table.columns) <= {"file_id", "_corrupt_record"}:  # not one element was readable
-                add(asked.withColumn("error", F.lit("not well-formed XML")))
-                continue
-            documents = cut_lineage(xml_envelopes(table, kind["root_element"]))
-            readable = documents.where("well_formed").select("document")
-            readable.write.mode("overwrite").text(f"{out}/xml_{i}")
-            seen = documents.groupBy("file_id").agg(F.min("well_formed").alias("_ok"))
-            failed = ~F.coalesce("_ok", F.lit(False))
-            checked = asked.join(seen, "file_id", "left")
-            add(checked.select("file_id", F.when(failed, F.lit("not well-formed XML")).alias("error")))
-    return statuses
+def _convert_csv(spark: SparkSession, paths: str, out: str, glob: str, metadata: bool, encoding: str | None) -> DataFrame:
+    """Writes an envelope per CSV file whose rows all fit its header; ``file_name, error`` of every file with a header."""
+    name = F.url_decode(F.substring_index("file_id", "/", -1))
+    records = read_records(spark, paths, encoding, glob).withColumn("file_id", name)
+    headers, rows = cut_lineage(csv_headers(records)), cut_lineage(rows_of_records(records))
+    errors = rows.groupBy("file_id").agg(F.count("*").alias("total_records"), F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("row_idx"))).alias("error"))
+    files = cut_lineage(headers.join(errors, "file_id", "left").withColumn("total_records", F.coalesce("total_records", F.lit(0))))
+    good = files.where("error is null")
+    body = row_records(rows.join(good.select("file_id"), "file_id", "left_semi"))
+    opening = good.select(F.col("file_id").alias("source_file"), F.col("total_records").cast("long"), F.col("header").alias("columns"), F.lit("csv").alias("file_type"))
+    lines = envelope_lines(body, opening) if metadata else _bare_lines(body, good)
+    write_envelopes(lines, out)
+    return files.select(F.col("file_id").alias("file_name"), "error")
+
+
+def _bare_lines(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Lines of documents without metadata, also of files without records."""
+    lines = envelope_lines(records).where(F.col("pos").between(0, 2**62 - 1))
+    ends = F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("pos"), F.lit("[").alias("text")), F.struct(F.lit(2**62).alias("pos"), F.lit("]").alias("text"))))
+    return lines.unionByName(files.select("file_id", ends.alias("e")).select("file_id", "e.pos", "e.text"))
+
+
+def _xml_documents(spark: SparkSession, paths: str, glob: str) -> DataFrame:
+    """``file_id, document, error`` of every XML file with an element; one scan per distinct root element."""
+    roots = cut_lineage(root_elements(spark, paths, glob))
+    out = spark.createDataFrame([], "file_id string, document string, error string")
+    for tag in sorted(r["root_element"] for r in roots.where("root_element <> ''").select("root_element").distinct().collect()):
+        own = roots.where(F.col("root_element") == tag).select("file_id")
+        table = read_xml(spark, paths, tag)
+        if set(table.columns) <= {"file_id", "_corrupt_record"}:  # not one element was readable
+            found = own.select("file_id", F.lit(None).cast("string").alias("document"), F.lit(False).alias("well_formed"))
+        else:
+            found = own.join(xml_envelopes(table, tag), "file_id", "left")
+        failed = F.when(~F.coalesce("well_formed", F.lit(False)), F.lit("not well-formed XML"))
+        out = out.unionByName(found.select("file_id", "document", failed.alias("error")))
+    return out
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:

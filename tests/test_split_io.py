@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rundiff.operators import noise, split
 from rundiff.plans.convert import split_and_convert
 from rundiff.plans.prompts import prompt_table
-from rundiff.sinks.json import convert_batch, csv_metadata, csv_records, envelope_lines, status_counts
+from rundiff.sinks.json import convert_batch, csv_metadata, csv_records, envelope_lines, file_of_key, status_counts
 from rundiff.sinks.parts import manifest_totals, write_parts, written_manifest
 from rundiff.sources import csv, files, xml
 
@@ -166,15 +166,46 @@ def test_batch_conversion(spark, tmp_path):
     assert got["a.csv"] == ("Success", None) and got["b.CSV"] == ("Success", None) and got["c.xml"] == ("Success", None)
     assert got["bad.xml"][0] == "Failed" and got["d.txt"] == ("Failed", "Unsupported file type: .txt")
     assert {r.status: r.files for r in status_counts(status).collect()} == {"Success": 3, "Failed": 2}
-    texts = ["".join(p.read_text() for p in sorted(f.glob("part-*"))) for f in (tmp_path / "out").glob("csv_*/file=*")]
+    texts = ["".join(p.read_text() for p in sorted(f.glob("part-*"))) for f in (tmp_path / "out").glob("csv/file=*")]
     documents = [json.loads(t) for t in texts]
     assert sorted(d["metadata"]["total_records"] for d in documents) == [1, 1]
     assert {"X": 1, "Y": 2} in [d["data"][0] for d in documents]
-    written = json.loads(spark.read.text(str(tmp_path / "out" / "xml_0")).head()[0])
+    written = json.loads(spark.read.text(str(tmp_path / "out" / "xml")).head()[0])
     assert written["metadata"]["root_element"] == "employees"
     assert written["data"]["employees"]["employee"][1]["name"] == "Bo"
 
 
+def test_batch_conversion_of_odd_files(spark, tmp_path):
+    files_in = {
+        "typed.csv": "Name,Age\nA,25\n",
+        "texts.csv": "Name,Age\nB,old\n",
+        "ragged.csv": "Name,Age\nz,1,EXTRA\n",
+        "short.csv": "Name,Age,City\nq\n",
+        "head.csv": "Name,Age\n",
+        "empty.csv": "",
+        "open.csv": 'Name,Age\n"x,1\n',
+        "a b_c.csv": 'K,V\n\n"two\nlines, ""q""",NA\n\nx,True\n',
+        "none.xml": "",
+    }
+    for name, text in files_in.items():
+        write(tmp_path / "in" / name, text)
+    status = {r.filename: r for r in convert_batch(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()}
+    assert set(status) == set(files_in)
+    good = {name for name, r in status.items() if r.status == "Success"}
+    assert good == {"typed.csv", "texts.csv", "short.csv", "head.csv", "a b_c.csv"}
+    assert "saw 3" in status["ragged.csv"].error and status["empty.csv"].error == "no columns to parse"
+    data = {}
+    for name in good:
+        folder = tmp_path / "out" / status[name].output
+        data[name] = json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))
+    assert len({r.output for r in status.values() if r.output}) == len(good)
+    assert data["typed.csv"]["data"] == [{"Name": "A", "Age": 25}] and data["texts.csv"]["data"] == [{"Name": "B", "Age": "old"}]
+    assert data["short.csv"]["data"] == [{"Name": "q", "Age": "", "City": ""}]
+    assert data["head.csv"] == {"metadata": {"source_file": "head.csv", "total_records": 0, "columns": ["Name", "Age"], "file_type": "csv"}, "data": []}
+    assert data["a b_c.csv"]["data"] == [{"K": 'two\nlines, "q"', "V": ""}, {"K": "x", "V": True}]
+    assert {r.filename: spark.range(1).select(file_of_key(F.lit(r.output.split("=")[1]))).head()[0] for r in status.values() if r.output} == {n: n for n in good}
+
+
 def test_written_parts_and_manifest(spark, employees, tmp_path):
     manifest = split_and_convert(employees, str(tmp_path / "out"), "rows", rows_per_part=30).collect()
     assert sorted(m.row_count for m in manifest) == [10, 30, 30, 30]
