@@ -7,7 +7,7 @@ from rundiff.operators import noise, split
 from rundiff.plans.convert import split_and_convert
 from rundiff.plans.prompts import prompt_table
 from rundiff.sinks.json import convert_batch, csv_metadata, csv_records, envelope_lines, file_of_key, status_counts
-from rundiff.sinks.parts import manifest_totals, write_parts, written_manifest
+from rundiff.sinks.parts import manifest_totals, write_parts
 from rundiff.sources import csv, files, xml
 
 
@@ -210,16 +210,31 @@ def test_written_parts_and_manifest(spark, employees, tmp_path):
     manifest = split_and_convert(employees, str(tmp_path / "out"), "rows", rows_per_part=30).collect()
     assert sorted(m.row_count for m in manifest) == [10, 30, 30, 30]
     assert all(m.column_count == 5 and m.file_size_bytes > 0 for m in manifest)
-    totals = manifest_totals(written_manifest(spark, str(tmp_path / "out" / "csv")), "x.csv").head()
+    assert sorted((m.part_no, m.filename) for m in manifest)[0] == (1, "split_part_001_rows_1_to_30.csv")
+    totals = manifest_totals(spark.createDataFrame(manifest), "x.csv").head()
     assert (totals.total_split_files, totals.total_rows) == (4, 100)
-    back = spark.read.option("header", True).csv(str(tmp_path / "out" / "csv" / "part_id=0"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out" / "csv" / "part=v0"))
     assert [r.ID for r in back.collect()] == [str(i) for i in range(30)]
-    records = spark.read.text(str(tmp_path / "out" / "json" / "part_id=3"))
+    records = spark.read.text(str(tmp_path / "out" / "json" / "part=v3"))
     assert json.loads(records.head().value)["ID"] == 90
     write_parts(split.split_by_value(employees, "Department").drop("group_value"), ["group_name"], str(tmp_path / "v"))
     assert spark.read.option("header", True).csv(str(tmp_path / "v" / "group_name=IT")).count() == 20
 
 
+def test_parts_of_values_and_files_stay_apart(spark, tmp_path):
+    """Values that share a shortened name, NULL and the empty text, and equal values of two files are parts of their own."""
+    long = "x" * 50
+    values = [long + "1", long + "2", "a/b", "a_b", None, "", "line\nbreak", "y" * 300]
+    rows = [(f, v, None if v is None else "t\nu", i) for f in ("f1", "f2") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "file_id string, k string, text string, row_idx long")
+    manifest = split_and_convert(df, str(tmp_path / "out"), "column", column="k").collect()
+    assert len(manifest) == 2 * len(values) and all(m.row_count == 1 and m.file_size_bytes > 0 for m in manifest)
+    assert sorted((m.file, m.part_no) for m in manifest) == [(f, n + 1) for f in ("f1", "f2") for n in range(len(values))]
+    assert len({m.file_path for m in manifest}) == len(manifest)
+    records = spark.read.text(str(tmp_path / "out" / "json")).select("value").collect()
+    assert sorted(json.loads(r.value)["k"] for r in records) == sorted((v or "") for v in values for _ in range(2))
+
+
 def test_listing_sources_and_traces(spark, tmp_path):
     write(tmp_path / "src" / "main" / "java" / "a b" / "T.java", "class T {\n  int x = 1;\n}\n")
     write(tmp_path / "t.log", "a.B#c\n\n  at x.Y.z()\r\n")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rundiff.functions import text as tx
 from rundiff.functions.numbers import rounded
 from rundiff.operators import noise, packing, split
 from rundiff.plans import compare, prompts
-from rundiff.sinks.json import csv_metadata, csv_records, envelope_lines, status_counts
+from rundiff.plans.convert import split_and_convert
+from rundiff.session import shared_folder
+from rundiff.sinks.json import convert_batch, csv_metadata, csv_records, envelope_lines, status_counts
+from rundiff.sources.csv import read_csv
 from rundiff.sources.xml import parse_xml
 from workload.diffs import SHAPE, _compared_whole
 from workload.inputs import DOC_LINES, PROFILE_TEXT, doc_lines, profile_text, table
@@ -392,3 +397,79 @@ def encoding_probe(spark, sf_dir):
 def batch_status(spark, sf_dir):
     status = F.when(F.col("n_chars") > 1000, "Failed").otherwise("Success").alias("status")
     return status_counts(table(spark, sf_dir, "documents").select(status))
+
+
+def _written(spark, df, name):
+    """A table written as CSV to the shared folder, one folder per value of its column ``p``."""
+    folder = f"{shared_folder(spark)}/rundiff-{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy("p").option("header", True).option("escape", '"').csv(folder)
+    return folder
+
+
+@query(
+    select="""SELECT o_orderpriority AS p, count(*) AS n, sum(o_orderkey) AS keys, CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS VARCHAR) AS price,
+  count(nullif(o_orderstatus, 'P')) AS known FROM orders GROUP BY o_orderpriority"""
+)
+def csv_scan(spark, sf_dir):
+    orders = _with_gaps(spark, sf_dir).drop("file_id", "row_idx").withColumn("p", F.col("o_orderpriority"))
+    read = read_csv(spark, f"{_written(spark, orders, 'scan')}/*/*.csv")
+    return read.groupBy(F.col("o_orderpriority").alias("p")).agg(
+        F.count("*").alias("n"),
+        F.sum("o_orderkey").alias("keys"),
+        F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("string").alias("price"),
+        F.count("o_orderstatus").alias("known"),
+    )
+
+
+@query(
+    DOC_LINES,
+    select="""SELECT lang, count(*) AS records, count(DISTINCT doc_id) AS docs, sum(length(line)) AS chars,
+  count(*) FILTER (line = '' OR line IN ('NA', 'None', 'null', 'nan', 'n/a', 'NULL', 'N/A', 'NaN')) AS missing
+FROM doc_lines JOIN documents USING (doc_id) GROUP BY lang""",
+)
+def batch_convert(spark, sf_dir):
+    """Every line of every document through CSV files with quotes, the batch conversion, and back from its envelopes."""
+    langs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("p"))
+    lines = doc_lines(spark, sf_dir).join(langs, "doc_id").select("doc_id", "line_no", "line", F.col("p").alias("lang"), "p")
+    folder = _written(spark, lines, "batch")
+    out = f"{folder}-json"
+    converted = None
+    for lang in sorted(r["p"] for r in langs.select("p").distinct().collect()):
+        done = convert_batch(spark, f"{folder}/p={lang}", f"{out}/{lang}", "*.csv")
+        converted = done if converted is None else converted.unionByName(done)
+    failed = converted.where("status <> 'Success'").count()
+    if failed:
+        raise ValueError(f"{failed} files failed")
+    text = spark.read.option("recursiveFileLookup", "true").text(f"{out}")
+    record = F.regexp_replace("value", "^,", "")
+    parsed = text.where(~F.col("value").startswith('{"metadata"') & (F.col("value") != "]}")).select(F.from_json(record, "doc_id long, line_no long, line string, lang string").alias("r"))
+    blank = F.col("r.line") == ""
+    return parsed.groupBy(F.col("r.lang").alias("lang")).agg(
+        F.count("*").alias("records"), F.countDistinct("r.doc_id").alias("docs"), F.sum(F.length("r.line")).alias("chars"), F.count_if(blank).alias("missing")
+    )
+
+
+@query(
+    select="""SELECT o_orderpriority AS p, count(*) AS row_count, min(o_orderkey) + 1 AS first_row, max(o_orderkey) + 1 AS last_row, 5 AS column_count,
+  row_number() OVER (ORDER BY min(o_orderkey)) AS part_no, 'orders_' || substr(translate(o_orderpriority, '/\\:', '___'), 1, 50) || '.csv' AS filename,
+  count(*) AS written FROM orders GROUP BY o_orderpriority"""
+)
+def split_written(spark, sf_dir):
+    """Orders split by a value and written; rows counted again in the files."""
+    folder = f"{shared_folder(spark)}/rundiff-parts-{uuid.uuid4().hex}"
+    manifest = split_and_convert(_orders(spark, sf_dir), folder, "column", prefix="orders", column="o_orderpriority")
+    back = spark.read.option("header", True).csv(f"{folder}/csv").groupBy("part").agg(F.count("*").alias("written"), F.min("o_orderpriority").alias("p"))
+    return manifest.join(back, "part").select("p", "row_count", "first_row", "last_row", "column_count", "part_no", "filename", "written")
+
+
+@query(
+    select="""SELECT part_id + 1 AS part_no, count(*) AS records, sum(o_orderkey) AS keys, count(DISTINCT o_orderstatus) AS statuses
+FROM (SELECT *, o_orderkey // 1000 AS part_id FROM orders) GROUP BY part_id"""
+)
+def split_converted(spark, sf_dir):
+    """Orders split by rows and converted; the JSON records of each part read back."""
+    folder = f"{shared_folder(spark)}/rundiff-parts-{uuid.uuid4().hex}"
+    manifest = split_and_convert(_orders(spark, sf_dir), folder, "rows", rows_per_part=1000)
+    read = spark.read.text(f"{folder}/json").select("part", F.from_json("value", "o_orderkey long, o_orderstatus string").alias("r"))
+    found = read.groupBy("part").agg(F.count("*").alias("records"), F.sum("r.o_orderkey").alias("keys"), F.countDistinct("r.o_orderstatus").alias("statuses"))
+    return manifest.select("part", "part_no").join(found, "part").drop("part")
