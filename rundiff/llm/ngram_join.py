@@ -14,6 +14,7 @@ from rundiff.llm.tables import free_prefix, only, row_struct
 from rundiff.session import cut_lineage
 
 _BUCKET_TOKENS = 2_000_000  # shingles of one bucket of the token count, about
+_GROUP_SETS = 2048  # sets whose shared shingles meet in one place, about
 _FLUSH_TOKENS = 1_500_000  # shingles that a task holds before it sends them
 _BLOCK = 512  # entries of one block of an index list, about
 _BAND = 1.05  # ratio of set sizes in one band
@@ -84,17 +85,27 @@ def _send_tokens(width, buckets):
     return run
 
 
-def _binary_rows(values, starts):
-    """A binary column whose rows are the consecutive pieces of an array that begin at ``starts``."""
-    import pyarrow as pa
+def _pack(keys, sizes, tokens, counts):
+    """Sets with their sizes, and tokens with the numbers of sets that hold them; rows are sorted by key."""
+    first = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1]
+    lengths = np.diff(np.r_[first, len(keys)]).astype(np.uint32)
+    parts = (np.array([len(first), len(keys)]), keys[first], tokens, sizes[first].astype(np.uint32), lengths, counts.astype(np.uint32))
+    return b"".join(p.tobytes() for p in parts)
+
 
-    width = values.dtype.itemsize
-    offsets = (np.r_[starts, len(values)] * width).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+def _unpack(blob):
+    """(keys, sizes, tokens, counts), one row per token."""
+    sets, total = np.frombuffer(blob, np.int64, 2).tolist()
+    at = 16
+    keys = np.frombuffer(blob, np.uint64, sets, at)
+    tokens = np.frombuffer(blob, np.uint64, total, at + 8 * sets)
+    at += 8 * (sets + total)
+    sizes, lengths = np.frombuffer(blob, np.uint32, sets, at), np.frombuffer(blob, np.uint32, sets, at + 4 * sets)
+    return np.repeat(keys, lengths), np.repeat(sizes, lengths), tokens, np.frombuffer(blob, np.uint32, total, at + 8 * sets)
 
 
-def _shared_tokens(batches):
-    """Of each bucket, the shingles that several sets hold: (set_key, n, tokens, counts), one row per set and bucket."""
+def _shared_tokens(groups):
+    """(grp, blob): of each bucket, the shingles that several sets hold, dealt by set to groups."""
     import pyarrow as pa
 
     def answer(blobs):
@@ -125,33 +136,34 @@ def _shared_tokens(batches):
             return
         first = np.r_[0, np.flatnonzero(tokens[1:] != tokens[:-1]) + 1]
         length = np.diff(np.r_[first, len(tokens)])
-        counts = np.repeat(length, length).astype(np.uint32)
+        counts = np.repeat(length, length)
+        grp = (keys % np.uint64(groups)).astype(np.int64)
         order = np.flatnonzero(counts > 1)
-        order = order[np.argsort(keys[order], kind="stable")]
-        keys, sizes, tokens, counts = keys[order], sizes[order], tokens[order], counts[order]
+        order = order[np.lexsort((keys[order], grp[order]))]
+        keys, sizes, tokens, counts, grp = keys[order], sizes[order], tokens[order], counts[order], grp[order]
         if not len(tokens):
             return
-        starts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1]
-        for a in range(0, len(starts), 4096):
-            part = starts[a : a + 4096]
-            end = starts[a + 4096] if a + 4096 < len(starts) else len(keys)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys[part].view(np.int64)),
-                    pa.array(sizes[part].astype(np.int32)),
-                    _binary_rows(tokens[part[0] : end], part - part[0]),
-                    _binary_rows(counts[part[0] : end], part - part[0]),
-                ],
-                names=["set_key", "n", "tokens", "counts"],
-            )
+        edges = np.r_[0, np.flatnonzero(grp[1:] != grp[:-1]) + 1, len(grp)]
+        for i in range(0, len(edges) - 1, 256):
+            spans = list(zip(edges[i : i + 256], edges[i + 1 : i + 257]))
+            blobs = [_pack(keys[a:b], sizes[a:b], tokens[a:b], counts[a:b]) for a, b in spans]
+            yield pa.RecordBatch.from_arrays([pa.array([int(grp[a]) for a, _ in spans], pa.int64()), pa.array(blobs, pa.binary())], names=["grp", "blob"])
+
+    def run(batches):
+        yield from _by_first(batches, answer)
+
+    return run
+
 
+def _by_first(batches, answer):
+    """Calls ``answer`` with the blobs of each group; rows are (group, blob), sorted by group."""
     current, blobs = None, []
     for batch in batches:
-        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-            if bucket != current and blobs:
+        for group, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if group != current and blobs:
                 yield from answer(blobs)
                 blobs = []
-            current = bucket
+            current = group
             blobs.append(blob)
     if blobs:
         yield from answer(blobs)
@@ -161,31 +173,21 @@ def _reduced_sets(num, den):
     """One row per set that enough other sets share: (set_key, n, shared, tokens), rare tokens first."""
     import pyarrow as pa
 
-    def answer(rows):
-        out = []
-        for key, n, tokens, counts in rows:
-            tokens, counts = np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(counts), np.uint32)
-            if len(tokens) * den >= n * num:
-                out.append((key, n, len(tokens), tokens[np.lexsort((tokens, counts))].tobytes()))
-        columns = list(zip(*out)) if out else [[], [], [], []]
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["set_key", "n", "shared", "tokens"])
+    def answer(blobs):
+        keys, sizes, tokens, counts = map(np.concatenate, zip(*map(_unpack, blobs)))
+        order = np.lexsort((tokens, counts, keys))
+        keys, sizes, tokens = keys[order], sizes[order], tokens[order]
+        edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+        kept = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) if (b - a) * den >= int(sizes[a]) * num]
+        for i in range(0, len(kept), 256):
+            spans = kept[i : i + 256]
+            first = np.array([a for a, _ in spans])
+            shared = np.array([b - a for a, b in spans], dtype=np.int32)
+            columns = [pa.array(keys[first].view(np.int64)), pa.array(sizes[first].astype(np.int32)), pa.array(shared), pa.array([tokens[a:b].tobytes() for a, b in spans], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_key", "n", "shared", "tokens"])
 
     def run(batches):
-        rows, held = [], 0
-        for batch in batches:
-            for key, n, tokens, counts in zip(*(batch.column(c).to_pylist() for c in ("set_key", "n", "tokens", "counts"))):
-                if rows and rows[-1][0] == key:
-                    rows[-1][2].append(tokens)
-                    rows[-1][3].append(counts)
-                else:
-                    if held > 1 << 22:
-                        yield answer(rows)
-                        rows, held = [], 0
-                    rows.append((key, n, [tokens], [counts]))
-                held += len(tokens)
-        if rows:
-            yield answer(rows)
+        yield from _by_first(batches, answer)
 
     return run
 
@@ -328,11 +330,11 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     base = cut_lineage(rows.mapInArrow(_fingerprints(width), f"id {id_type}, n int, set_key long"))
-    total = base.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, math.ceil(total / _BUCKET_TOKENS))
+    total, sets = (v or 0 for v in base.agg(F.sum("n"), F.count("*")).first())
+    buckets, groups = max(8, math.ceil(total / _BUCKET_TOKENS)), max(8, math.ceil(sets / _GROUP_SETS))
     sent = rows.select("text").mapInArrow(_send_tokens(width, buckets), "bucket int, blob binary")
-    shared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens, "set_key long, n int, tokens binary, counts binary")
-    sets = shared.repartition("set_key").sortWithinPartitions("set_key").mapInArrow(_reduced_sets(num, den), "set_key long, n int, shared int, tokens binary")
+    shared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens(groups), "grp long, blob binary")
+    sets = shared.repartition("grp").sortWithinPartitions("grp").mapInArrow(_reduced_sets(num, den), "set_key long, n int, shared int, tokens binary")
     sets = cut_lineage(sets)
     entries = cut_lineage(sets.mapInArrow(_prefix_entries(num, den), "token long, set_key long, n long, own long, pos long"))
 
