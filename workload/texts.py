@@ -15,8 +15,8 @@ from rundiff.session import shared_folder
 from rundiff.sinks.json import convert_batch, csv_metadata, csv_records, envelope_lines, status_counts
 from rundiff.sources.csv import read_csv
 from rundiff.sources.xml import parse_xml
-from workload.diffs import SHAPE, _compared_whole
-from workload.inputs import DOC_LINES, PROFILE_TEXT, doc_lines, profile_text, table
+from workload.diffs import SHAPE, _compared_whole, _pairs
+from workload.inputs import CALLS, DOC_LINES, PROFILE_TEXT, RUN_ROWS, doc_lines, profile_text, table
 from workload.registry import query
 
 # Orders are numbered 0, 1, 2, … by their key, so the key is the row number.
@@ -309,13 +309,49 @@ def prompt_table(spark, sf_dir):
     return prompts.prompt_table(chunks, "comparison", ["doc_id"], file_a="a.csv", file_b="b.csv")
 
 
-@query()
+# The text of a comparison: its lines, reduced per range and side, in a frame, packed into chunks.
+CONFLICT_TEXT = """
+profile_text AS (SELECT range_start || '|' || side AS file_id, row_idx AS line_no, line FROM (
+  SELECT range_start, row_idx, 'a' AS side, a_line AS line FROM ranged UNION ALL SELECT range_start, row_idx, 'b', b_line FROM ranged))"""
+CONFLICT_LINES = f"""
+kept AS (SELECT CAST(split_part(file_id, '|', 1) AS BIGINT) AS range_start, split_part(file_id, '|', 2) AS side, line_no AS row_idx, line FROM reduced),
+framed AS (SELECT r.range_start, row_count AS n, range_start + 1 AS s, range_end + 1 AS e, row_number() OVER (ORDER BY range_start) AS no,
+  EXISTS (SELECT 1 FROM kept k WHERE k.range_start = r.range_start AND side = 'a') AS has_a,
+  EXISTS (SELECT 1 FROM kept k WHERE k.range_start = r.range_start AND side = 'b') AS has_b FROM ranges r),
+placed AS (
+  SELECT range_start, 0 AS place, '' AS line FROM framed
+  UNION ALL SELECT range_start, 1, 'CONFLICT RANGE #' || no || ' (Rows ' || s || '-' || e || '):' FROM framed
+  UNION ALL SELECT range_start, 2, '' FROM framed
+  UNION ALL SELECT range_start, 3, 'File A (a.csv):' FROM framed
+  UNION ALL SELECT range_start, 4, '' FROM framed WHERE NOT has_a
+  UNION ALL SELECT k.range_start, row_idx - k.range_start + 4, line FROM kept k WHERE side = 'a'
+  UNION ALL SELECT range_start, n + 4, '' FROM framed
+  UNION ALL SELECT range_start, n + 5, 'File B (b.csv):' FROM framed
+  UNION ALL SELECT range_start, n + 6, '' FROM framed WHERE NOT has_b
+  UNION ALL SELECT k.range_start, row_idx - k.range_start + n + 6, line FROM kept k JOIN framed USING (range_start) WHERE side = 'b'
+  UNION ALL SELECT range_start, 2 * n + 6, '' FROM framed
+  UNION ALL SELECT range_start, 2 * n + 7, 'Conflict Type: data_mismatch' FROM framed
+  UNION ALL SELECT range_start, 2 * n + 8, 'Description: Conflicting data found in rows ' || s || ' to ' || e FROM framed
+  UNION ALL SELECT range_start, 2 * n + 9, '{compare.SECTION_RULE}' FROM framed
+  UNION ALL SELECT range_start, 2 * n + 10, '' FROM framed),
+doc_lines AS (SELECT 0 AS doc_id, row_number() OVER (ORDER BY range_start, place) - 1 AS line_no, line FROM placed)"""
+CONFLICT_CHUNKED = CHUNKED.replace(str(CHUNK + 1), str(packing.COMPARISON_CHUNK + 1)).replace(f"> {CHUNK} ", f"> {packing.COMPARISON_CHUNK} ")
+_CONFLICT = (CALLS, RUN_ROWS, _pairs([*SHAPE, "total_time"], "run_rows"), CONFLICT_TEXT, CLASSED, REDUCED, CONFLICT_LINES, CONFLICT_CHUNKED)
+
+
+@query(*_CONFLICT, select="SELECT doc_id AS file_id, chunk_no, text, line_count, char_count FROM chunks", recursive=True)
 def conflict_chunks(spark, sf_dir):
     result = _compared_whole(spark, sf_dir, [*SHAPE, "total_time"])
     return compare.prepare_chunks(result, "a.csv", "b.csv")
 
 
-@query()
+@query(
+    *_CONFLICT,
+    select="""SELECT 0 AS file_id, raw_chars, reduced_chars, 100 - reduced_chars / raw_chars * 100.0 AS compression_percent FROM
+  (SELECT CAST(sum(size) AS BIGINT) AS raw_chars FROM (SELECT sum(length(a_line) + length(b_line) + 2) - 2 AS size FROM ranged GROUP BY range_start)),
+  (SELECT CAST(sum(char_count + 1) - 1 AS BIGINT) AS reduced_chars FROM chunks)""",
+    recursive=True,
+)
 def conflict_compression(spark, sf_dir):
     result = _compared_whole(spark, sf_dir, [*SHAPE, "total_time"])
     return compare.compression(result, compare.prepare_chunks(result, "a.csv", "b.csv"))
