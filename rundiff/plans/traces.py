@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rundiff.operators import frames, methods, resolve
+from rundiff.operators.ordered import list_pieces
 from rundiff.session import cut_lineage
 
 # Advice per failure reason.
@@ -206,8 +207,8 @@ def context_lines(targets: DataFrame, method_index: DataFrame, lines: DataFrame)
 def code_chunks(context: DataFrame) -> DataFrame:
     """Context by kind of code: the method, the methods it uses, the class of the file.
 
-    ``path, name, start_line, chunk_no, lines, char_count, type, description``. Code
-    itself stays in the context lines.
+    ``path, name, start_line, chunk_no, lines, char_count, type, description``; the code
+    itself comes from ``code_texts``.
     """
     counted = (
         context.where("part <> 1")
@@ -229,6 +230,46 @@ def code_chunks(context: DataFrame) -> DataFrame:
     return counted.withColumns({"type": label, "description": description}).drop("_members")
 
 
+def code_texts(context: DataFrame, piece_rows: int = methods.PIECE_ROWS) -> DataFrame:
+    """The code of each chunk of ``code_chunks`` in reading order, in pieces of at most ``piece_rows`` lines.
+
+    ``path, name, start_line, chunk_no, piece_no, text``. Shared chunks have NULL ``name`` and ``start_line``.
+    """
+    chunk = F.when(F.col("part") == 3, 0).when(F.col("part") == 4, 1).otherwise(2)
+    # parts in order, then methods by their first line, then lines
+    place = F.col("part").cast("long") * F.lit(1 << 58) + F.col("part_line") * F.lit(1 << 29) + F.col("line_no")
+    numbered = context.where("part <> 1").select(
+        "path", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("start_line", F.lit(-1)).alias("start_line"), chunk.alias("chunk_no"), place.alias("_pos"), "text"
+    )
+    pieces = list_pieces(numbered, ["path", "name", "start_line", "chunk_no"], "_pos", ["text"], piece_rows)
+    return pieces.select(
+        "path",
+        F.nullif("name", F.lit("")).alias("name"),
+        F.nullif("start_line", F.lit(-1)).alias("start_line"),
+        "chunk_no",
+        "piece_no",
+        F.array_join("text", "\n").alias("text"),
+    )
+
+
+def available_methods(resolved: DataFrame, method_index: DataFrame) -> DataFrame:
+    """The methods to choose from where a trace names none or one that does not exist: ``path, piece_no, name, line, signature, …``.
+
+    One list per file, in pieces, for the files of the lines that ``resolve_traces`` marks
+    ``method_not_found`` or ``all_methods``.
+    """
+    asked = resolved.where((F.col("reason") == "method_not_found") | (F.col("extraction_type") == "all_methods"))
+    return methods.method_lists(method_index.join(asked.select("path").distinct(), "path", "left_semi"))
+
+
+def candidate_paths(resolved: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The files that share the name of a class whose file was not found: ``class_fqn, lower_name, path, depth``."""
+    lost = resolved.where("reason = 'file_not_found' AND class_fqn IS NOT NULL").select("class_fqn").distinct()
+    files = resolve.candidate_files(lost, catalog)
+    name = F.lower(F.concat(F.substring_index(F.substring_index("class_fqn", "$", 1), ".", -1), F.lit(".java")))
+    return lost.withColumn("lower_name", name).join(files, "lower_name").select("class_fqn", "lower_name", "path", "depth")
+
+
 def needs_chunking(context: DataFrame) -> DataFrame:
     """Code size per target, with the shared parts, and whether it exceeds one piece."""
     size = F.sum(F.length("text") + 1)

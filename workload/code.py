@@ -43,12 +43,13 @@ plain AS (SELECT line, n, CASE
     TRACE_LINES,
     LINES,
     PLAIN,
-    select=r"""SELECT line, n, pattern, translate(package, '.', '/') AS package_path,
+    select=rf"""SELECT *, coalesce(len(string_split(package_path, '/')) <= {frames.MAX_PACKAGE_DEPTH} AND regexp_matches(class_name, '^\p{{Lu}}')
+  AND (method IS NULL OR regexp_matches(method, '^\p{{Ll}}')), false) AS valid
+FROM (SELECT line, n, pattern, translate(package, '.', '/') AS package_path,
   CASE WHEN pattern = 'class_token' AND line LIKE '%#LATER%' THEN CASE WHEN length(class_name) >= 5 THEN class_name ELSE 'Inner' END ELSE class_name END AS class_name,
   CASE WHEN pattern IN ('with_line', 'at_format') THEN regexp_extract(line, '\.([a-z]\w*)\(', 1) END AS method,
-  CASE WHEN pattern IN ('with_line', 'at_format') THEN CAST(regexp_extract(line, ':(\d+)\)', 1) AS INT) END AS line_number,
-  pattern IN ('with_line', 'at_format', 'class_only', 'file_path_slash') OR true AS valid
-FROM plain""",
+  CASE WHEN pattern IN ('with_line', 'at_format') THEN CAST(regexp_extract(line, ':(\d+)\)', 1) AS INT) END AS line_number
+  FROM plain)""",
 )
 def frame_plain(spark, sf_dir):
     parsed = frames.parse_lines(_lines(spark, sf_dir), "plain").withColumnRenamed("frame", "f")
@@ -253,14 +254,15 @@ declared AS (SELECT path, regexp_extract(s, {_DECL}, 2) AS name, regexp_extract(
     line_no AS start_line, s AS signature, balance - net AS depth, last_line FROM balanced
   WHERE regexp_matches(s, {_DECL}) AND regexp_extract(s, {_DECL}, 2) NOT IN ('if', 'for', 'while', 'switch', 'catch', 'return', 'new')),
 ends AS (SELECT d.path AS p, d.start_line AS l, min(b.line_no) AS e FROM declared d JOIN balanced b ON b.path = d.path AND b.line_no >= d.start_line AND b.balance <= d.depth GROUP BY 1, 2),
-methods AS (SELECT path, name, return_type, args, start_line, signature, CASE WHEN signature LIKE '%;' THEN start_line ELSE coalesce(e, last_line) END AS end_line
+methods AS (SELECT path, name, return_type, args, start_line, signature, CASE WHEN signature LIKE '%;' THEN start_line ELSE coalesce(e, last_line) END AS end_line,
+    signature LIKE '%;' OR e IS NOT NULL AS closed
   FROM declared LEFT JOIN ends ON p = path AND l = start_line)"""
 
 
 @query(
     SOURCES,
     METHODS,
-    select="""SELECT path, name, return_type, args AS parameters, start_line, end_line, true AS closed, signature,
+    select="""SELECT path, name, return_type, args AS parameters, start_line, end_line, closed, signature,
   concat_ws(',', CASE WHEN signature LIKE 'public %' THEN 'public' END, CASE WHEN signature LIKE 'static %' THEN 'static' END, CASE WHEN signature LIKE 'abstract %' THEN 'abstract' END) AS modifiers
 FROM methods""",
 )
@@ -274,8 +276,9 @@ def method_index(spark, sf_dir):
 @query(
     SOURCES,
     METHODS,
-    select="""SELECT path, CAST(0 AS BIGINT) AS piece_no, string_agg(name, ',' ORDER BY start_line) AS names, string_agg(start_line, ',' ORDER BY start_line) AS lines,
-  count(*) AS method_count FROM methods GROUP BY path""",
+    select="""SELECT path, piece_no, string_agg(name, ',' ORDER BY start_line) AS names, string_agg(start_line, ',' ORDER BY start_line) AS lines,
+  string_agg(signature, ' | ' ORDER BY start_line) AS signatures, count(*) AS method_count
+FROM (SELECT *, (row_number() OVER (PARTITION BY path ORDER BY start_line) - 1) // 10000 AS piece_no FROM methods) GROUP BY path, piece_no""",
 )
 def method_lists(spark, sf_dir):
     lists = methods.method_lists(_index(spark, sf_dir, reuse=False))
@@ -284,6 +287,7 @@ def method_lists(spark, sf_dir):
         "piece_no",
         F.array_join("name", ",").alias("names"),
         F.array_join(F.col("line").cast("array<string>"), ",").alias("lines"),
+        F.array_join("full_signature", " | ").alias("signatures"),
         F.col("method_count").cast("long").alias("method_count"),
     )
 
@@ -291,8 +295,9 @@ def method_lists(spark, sf_dir):
 @query(
     SOURCES,
     METHODS,
-    select="""SELECT m.path, name, start_line, CAST(0 AS BIGINT) AS piece_no, string_agg(text, chr(10) ORDER BY line_no) AS body
-FROM methods m JOIN source_lines s ON s.path = m.path AND s.line_no BETWEEN start_line AND end_line GROUP BY m.path, name, start_line""",
+    select="""SELECT path, name, start_line, piece_no, string_agg(text, chr(10) ORDER BY line_no) AS body
+FROM (SELECT m.path, name, start_line, line_no, text, (line_no - start_line) // 10000 AS piece_no
+  FROM methods m JOIN source_lines s ON s.path = m.path AND s.line_no BETWEEN start_line AND end_line) GROUP BY path, name, start_line, piece_no""",
 )
 def method_bodies(spark, sf_dir):
     return methods.method_bodies(methods.method_lines(_index(spark, sf_dir, reuse=False), inputs.sources(spark, sf_dir)))
@@ -307,9 +312,9 @@ requests AS (SELECT path, unnest(['m' || split_part(regexp_extract(path, '/p(\\d
     METHODS,
     REQUESTS,
     select="""SELECT path, method, CASE WHEN x IS NOT NULL THEN 'exact' WHEN c IS NOT NULL THEN 'case_insensitive' WHEN p IS NOT NULL THEN 'contains' END AS match,
-  coalesce(x, c, p) AS found_line, CASE WHEN x IS NOT NULL THEN 1 ELSE 0 END AS overloads FROM (
+  coalesce(x, c, p) AS found_line, overloads FROM (
   SELECT r.path, r.method, min(start_line) FILTER (name = method) AS x, min(start_line) FILTER (lower(name) = lower(method)) AS c,
-    min(start_line) FILTER (contains(lower(name), lower(method))) AS p
+    min(start_line) FILTER (contains(lower(name), lower(method))) AS p, count(*) FILTER (name = method) AS overloads
   FROM requests r LEFT JOIN methods m ON m.path = r.path GROUP BY r.path, r.method)""",
 )
 def method_lookup(spark, sf_dir):
@@ -365,7 +370,7 @@ def source_parts(spark, sf_dir):
 
 
 CONTEXT = """
-targets AS (SELECT * FROM methods WHERE return_type = 'void' AND end_line > start_line),
+targets AS (SELECT * FROM methods),
 context AS (
   SELECT DISTINCT t.path, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS start_line, 0 AS part, 0 AS part_line, s.line_no, regexp_replace(s.text, '^\\s+|\\s+$', '', 'g') AS text FROM targets t JOIN source_lines s ON s.path = t.path AND s.line_no <= 2
   UNION ALL SELECT DISTINCT t.path, NULL, NULL, 1, 0, s.line_no, replace(s.text, ' {', '') FROM targets t JOIN source_lines s ON s.path = t.path AND s.text LIKE 'public class %'
@@ -388,8 +393,7 @@ def method_context(spark, sf_dir):
 
 def _context(spark, sf_dir):
     index = _index(spark, sf_dir)
-    targets = index.where("return_type = 'void' AND end_line > start_line")
-    return traces.context_lines(targets, index, inputs.sources(spark, sf_dir))
+    return traces.context_lines(index, index, inputs.sources(spark, sf_dir))
 
 
 @query(
@@ -443,6 +447,41 @@ def trace_to_method(spark, sf_dir):
     )
 
 
+@query(
+    SOURCES,
+    METHODS,
+    DEPS,
+    CONTEXT,
+    select="""SELECT path, name, start_line, CASE part WHEN 3 THEN 0 WHEN 4 THEN 1 ELSE 2 END AS chunk_no, CAST(0 AS BIGINT) AS piece_no,
+  string_agg(text, chr(10) ORDER BY part_order, part_line, line_no) AS text
+FROM (SELECT * REPLACE (CASE WHEN part = 2 THEN 0 ELSE part END AS part), part AS part_order FROM context WHERE part <> 1) GROUP BY path, name, start_line, part""",
+)
+def code_texts(spark, sf_dir):
+    return traces.code_texts(_context(spark, sf_dir))
+
+
+@query(
+    TRACE_LINES,
+    LINES,
+    REFERENCE,
+    SOURCES,
+    RESOLVED,
+    METHODS,
+    select="""SELECT m.path, string_agg(DISTINCT m.name, ',' ORDER BY m.name) AS names, count(DISTINCT m.start_line) AS method_count
+FROM (SELECT r.line, z.path, r.method, bool_or(contains(lower(m.name), lower(r.method))) AS hit
+  FROM reference r JOIN resolved z ON z.class_fqn = r.class_fqn AND z.explicit_path IS NOT DISTINCT FROM r.explicit_path
+    LEFT JOIN methods m ON m.path = z.path WHERE z.path IS NOT NULL GROUP BY ALL) t
+JOIN methods m ON m.path = t.path WHERE t.method IS NULL OR NOT coalesce(t.hit, false) GROUP BY m.path""",
+)
+def trace_methods(spark, sf_dir):
+    """Methods to choose from where a trace has no method or one that its file lacks."""
+    index = _index(spark, sf_dir)
+    resolved = traces.resolve_traces(_lines(spark, sf_dir), _catalog(spark, sf_dir), index)
+    lists = traces.available_methods(resolved, index)
+    names = lists.select("path", F.explode("name").alias("name")).groupBy("path").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))
+    return names.join(lists.groupBy("path").agg(F.sum("method_count").alias("method_count")), "path")
+
+
 @query(
     TRACE_LINES,
     LINES,
