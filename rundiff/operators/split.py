@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rundiff.functions.numbers import rounded
 from rundiff.functions.text import first_field, is_heading, safe_section_name, safe_value_name, strip
 from rundiff.operators.ordered import BLOCK_ROWS, Running, dense_index, running
+from rundiff.session import cut_lineage
 
 # Defaults of the split methods.
 DEFAULT_ROWS = 100
@@ -106,7 +107,8 @@ def sections_matched(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> Da
     """
 
     def numbered(df: DataFrame) -> DataFrame:
-        starts = df.groupBy(*keys, "section_id", "heading").agg(F.count("*").alias("rows"))
+        # one row per section, written as the numbering reads it twice
+        starts = cut_lineage(df.groupBy(*keys, "section_id", "heading").agg(F.count("*").alias("rows")))
         return dense_index(starts, [*keys, "heading"], "section_id", "occurrence")
 
     left = numbered(a).withColumnsRenamed({"section_id": "section_a", "rows": "rows_a"})
