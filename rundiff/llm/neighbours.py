@@ -13,10 +13,9 @@ from rundiff.session import cut_lineage
 
 DEGREE = 32  # neighbours of a vector in the graph
 REVERSE = 16  # vectors that have it as a neighbour and meet with them, about
-ROUNDS = 3  # of NN-descent, at most
-LEAST_CHANGE = 0.02  # share of changed neighbours below which no further round is made
+ROUNDS = 2  # of NN-descent
 TREES, LEAF = 8, 4096  # random projection trees for the first graph
-SAMPLE = 20000  # vectors that the trees are fitted on
+SAMPLE = 20000  # vectors that the trees are fitted on, about
 BEAM = 128  # vectors that a search keeps
 _SALTS = 64
 
@@ -168,8 +167,16 @@ def _grouped(batches, names):
         yield held.combine_chunks()
 
 
+def fingerprints(ids):
+    """16-bit hashes of node numbers."""
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
+
+
 def _keep_nearest(degree):
-    """(node, code, ids, far, reach, changed): the nearest of all entries of a node; ``changed`` counts new ones."""
+    """The nearest of all entries of a node: (node, code, ids, far, reach, known).
+
+    ``reach`` is the distance of the furthest, ``known`` the fingerprints of all.
+    """
     import pyarrow as pa
 
     def run(batches):
@@ -178,33 +185,35 @@ def _keep_nearest(degree):
             ids, far = table.column("ids").to_pylist(), table.column("far").to_pylist()
             sizes = np.array([len(b or b"") // 8 for b in ids])
             owner = np.repeat(nodes, sizes)
-            old = np.repeat(np.array([c is not None for c in table.column("code").to_pylist()]), sizes)
             other, distance = np.frombuffer(b"".join(b or b"" for b in ids), np.int64), np.frombuffer(b"".join(b or b"" for b in far), np.float32)
-            order = np.lexsort((distance, ~old, other, owner))
-            owner, other, distance, old = owner[order], other[order], distance[order], old[order]
+            order = np.lexsort((distance, other, owner))
+            owner, other, distance = owner[order], other[order], distance[order]
             fresh = np.r_[True, (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])] if len(owner) else np.zeros(0, bool)
-            owner, other, distance, old = owner[fresh], other[fresh], distance[fresh], old[fresh]
+            owner, other, distance = owner[fresh], other[fresh], distance[fresh]
             order = np.lexsort((other, distance, owner))
-            owner, other, distance, old = owner[order], other[order], distance[order], old[order]
+            owner, other, distance = owner[order], other[order], distance[order]
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
             lengths = np.diff(np.r_[starts, len(owner)])
             near = np.arange(len(owner)) - np.repeat(starts, lengths) < degree
-            owner, other, distance, old = owner[near], other[near], distance[near], old[near]
+            owner, other, distance = owner[near], other[near], distance[near]
             codes = {n: c for n, c in zip(nodes.tolist(), table.column("code").to_pylist()) if c is not None}
             every = np.array(sorted(codes), dtype=np.int64)
             low, high = np.searchsorted(owner, every), np.searchsorted(owner, every, side="right")
-            rows = [
-                (n, codes[n], other[a:b].tobytes(), distance[a:b].tobytes(), float(distance[b - 1]) if b - a == degree else math.inf, int(np.count_nonzero(~old[a:b])))
-                for n, a, b in zip(every.tolist(), low, high)
-            ]
-            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float32(), pa.int64())
+            rows = []
+            for n, a, b in zip(every.tolist(), low, high):
+                known = np.full(degree, n, dtype=np.int64)
+                known[: b - a] = other[a:b]
+                reach = float(distance[b - 1]) if b - a == degree else math.inf
+                rows.append((n, codes[n], other[a:b].tobytes(), distance[a:b].tobytes(), reach, fingerprints(known).tobytes()))
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float32(), pa.binary())
             for a in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4096]), types)], names=["node", "code", "ids", "far", "reach", "changed"])
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4096]), types)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "code", "ids", "far", "reach", "known"])
 
     return run
 
 
-_GRAPH = "node long, code binary, ids binary, far binary, reach float, changed long"
+_GRAPH = "node long, code binary, ids binary, far binary, reach float, known binary"
 
 
 def _edges(batches):
@@ -220,31 +229,42 @@ def _edges(batches):
 
 
 def _meet(batches):
-    """Neighbours of one vector meet: each pair of them that is nearer than one's furthest neighbour is an entry."""
+    """Neighbours of one vector meet: a pair of them that is nearer than one's furthest neighbour is an entry.
+
+    Pairs that are neighbours already are left out by the fingerprints of the neighbours; so is, rarely, one that is not.
+    """
     import pyarrow as pa
 
+    def flush(found):
+        owner, other, distance = map(np.concatenate, zip(*found))
+        order = np.argsort(owner, kind="stable")
+        made = _entries(owner[order], other[order], distance[order])
+        if made is not None:
+            yield pa.RecordBatch.from_arrays(list(made), names=["node", "ids", "far"])
+
+    found, held = [], 0
     for table in _grouped(batches, ("u",)):
         hubs, nodes = np.array(table.column("u")), np.array(table.column("v"))
         x, reach = _vectors(table.column("code")).astype(np.float32), np.array(table.column("reach"))
+        known = np.frombuffer(b"".join(table.column("known").to_pylist()), np.uint16).reshape(len(nodes), -1)
+        marks = fingerprints(nodes)
         edges = np.r_[0, np.flatnonzero(hubs[1:] != hubs[:-1]) + 1, len(hubs)]
-        owners, others, far, held = [], [], [], 0
         for a, b in zip(edges[:-1], edges[1:]):
             own, first = np.unique(nodes[a:b], return_index=True)
-            found = _squares(x[a:b][first], x[a:b][first])
-            near = found < reach[a:b][first][:, None]
+            first += a
+            far = _squares(x[first], x[first])
+            near = far < reach[first][:, None]
             np.fill_diagonal(near, False)
             p, q = np.nonzero(near)
-            owners.append(own[p])
-            others.append(own[q])
-            far.append(found[p, q])
+            fresh = ~(known[first][p] == marks[first][q][:, None]).any(axis=1)
+            p, q = p[fresh], q[fresh]
+            found.append((own[p], own[q], far[p, q]))
             held += len(p)
-            if held > 1 << 20 or b == len(hubs):
-                owner, other, distance = map(np.concatenate, (owners, others, far))
-                order = np.argsort(owner, kind="stable")
-                made = _entries(owner[order], other[order], distance[order])
-                if made is not None:
-                    yield pa.RecordBatch.from_arrays(list(made), names=["node", "ids", "far"])
-                owners, others, far, held = [], [], [], 0
+            if held > 1 << 20:
+                yield from flush(found)
+                found, held = [], 0
+    if found:
+        yield from flush(found)
 
 
 def _undirected(graph: DataFrame, degree: int) -> DataFrame:
@@ -260,7 +280,7 @@ def neighbour_graph(codes: DataFrame, n: int, degree: int = DEGREE, rounds: int
     """The neighbour graph of (node, code): the leaves of random projection trees give first neighbours, then rounds of
     NN-descent let the neighbours of each vector meet. Every vector is in one leaf of every tree; a leaf that is much
     larger than planned is cut by a hash, as the rounds make up for it."""
-    some = codes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("code").collect()
+    some = codes.where(F.pmod(F.xxhash64("node"), F.lit(n)) < SAMPLE).select("code").collect()  # a share of SAMPLE / n, by hash
     sample = np.frombuffer(b"".join(bytes(r["code"]) for r in some), np.float16).reshape(len(some), -1).astype(np.float32)
     planted = codes.mapInArrow(_plant(grow_trees(sample, math.ceil(n / LEAF))), "tree int, leaf long, node long, code binary")
     planted = cut_lineage(planted)
@@ -275,12 +295,10 @@ def neighbour_graph(codes: DataFrame, n: int, degree: int = DEGREE, rounds: int
 
     graph = nearest(first, none)
     for _ in range(rounds):
-        members = graph.select(F.col("node").alias("v"), "code", "reach")
-        met = _undirected(graph, REVERSE).join(members, "v").select("u", "v", "code", "reach")
+        members = graph.select(F.col("node").alias("v"), "code", "reach", "known")
+        met = _undirected(graph, REVERSE).join(members, "v").select("u", "v", "code", "reach", "known")
         entries = met.repartition("u").sortWithinPartitions("u").mapInArrow(_meet, "node long, ids binary, far binary")
         graph = nearest(entries, graph.select("node", "code", "ids", "far"))
-        if (graph.agg(F.sum("changed")).first()[0] or 0) < LEAST_CHANGE * n * degree:
-            break
     return graph
 
 
@@ -343,7 +361,8 @@ def greedy_search(graph: DataFrame, queries: DataFrame, beam: int = BEAM) -> Dat
     state = cut_lineage(start.mapInArrow(_start, _STATE))
     while True:
         visited = state.where("todo > 0").mapInArrow(_pick, "query long, node long")
-        found = visited.join(neighbours, F.col("node") == F.col("u")).select("query", F.col("v").alias("node")).distinct()
+        found = visited.join(neighbours, F.col("node") == F.col("u")).select("query", F.col("v").alias("node"))
+        found = found.repartition("node").distinct()  # dealt as the join below needs it
         found = found.join(codes, "node").select("query", "node", "code")
         blank = [F.lit(None).cast("binary").alias(c) for c in ("beam", "far", "seen")]
         every = found.select("query", "node", "code", *blank).union(state.select("query", F.lit(None).cast("long"), "code", "beam", "far", "seen"))
