@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rundiff.llm import arrays
@@ -14,7 +14,6 @@ from rundiff.session import cut_lineage
 
 SAMPLE = 200  # labelled texts per language that the text model is fitted on
 LONGEST_SAMPLE = 20000  # characters of such a text, at most
-LEAST_SAMPLE = 1
 MOST_LANGUAGES = 64
 STRENGTH = 20.0  # rows that the prior of the level above counts for
 LEAST_CONFIDENCE = 0.5
@@ -132,13 +131,24 @@ def domain_of(host: Column) -> Column:
 
 
 def _samples(rows: DataFrame, most: int) -> dict:
-    """{declared language: texts}: of each of the most frequent languages, the texts with the smallest hashes."""
+    """{declared language: texts}: of each of the most frequent languages, the distinct texts with the smallest hashes.
+
+    Only hashes are ranked; the texts are picked by the greatest hash that counts, so no task sends more than that.
+    """
     usable = rows.where("declared IS NOT NULL AND text IS NOT NULL").where(F.length("text").between(1, LONGEST_SAMPLE))
-    counts = usable.groupBy("declared").count().where(F.col("count") >= LEAST_SAMPLE).orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()
-    out = {}
-    for language in sorted(r["declared"] for r in counts):
-        texts = usable.where(F.col("declared") == language).select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(most)
-        out[language] = [r["text"] for r in texts.collect()]
+    counts = usable.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()
+    languages = sorted(r["declared"] for r in counts)
+    if not languages:
+        return {}
+    hashed = usable.where(F.col("declared").isin(languages)).withColumn("h", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("declared").orderBy("h"))
+    first = hashed.select("declared", "h").distinct().withColumn("place", place).where(F.col("place") <= most)
+    last = {r["declared"]: r["last"] for r in first.groupBy("declared").agg(F.max("h").alias("last")).collect()}
+    picked = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    texts = hashed.where(F.col("h") <= picked[F.col("declared")]).groupBy("declared", "h").agg(F.first("text").alias("text"))
+    out = {language: [] for language in languages}
+    for r in texts.orderBy("declared", "h").collect():
+        out[r["declared"]].append(r["text"])
     return out
 
 
