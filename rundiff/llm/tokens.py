@@ -8,7 +8,8 @@ import re
 
 import numpy as np
 
-_MOST_WORDS = 600_000  # words and pieces kept by a task, each
+_MOST_WORDS = 150_000  # words whose ids a worker keeps
+_MOST_PIECES = 350_000  # pieces of words whose ids a worker keeps
 _PIECE = 1 << 20  # characters of a text handled at a time
 
 # U+001C to U+001F end a word for str.split but are symbols to the tokenizer; texts with them are cut elsewhere
@@ -35,7 +36,7 @@ class Pieces(dict):
         letters = self.letters
         mapped = "".join([letters[b] for b in piece.encode()])
         ids = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-        if len(self) >= _MOST_WORDS:
+        if len(self) >= _MOST_PIECES:
             self.clear()
         if len(piece) <= 64:
             self[piece] = ids
