@@ -156,10 +156,11 @@ def _shared_tokens(groups):
 
 
 def _by_first(batches, answer):
-    """Calls ``answer`` with the blobs of each group; rows are (group, blob), sorted by group."""
+    """Calls ``answer`` with the blobs of each group, not copied; rows are (group, blob), sorted by group."""
     current, blobs = None, []
     for batch in batches:
-        for group, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for group, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            blob = value.as_buffer()
             if group != current and blobs:
                 yield from answer(blobs)
                 blobs = []

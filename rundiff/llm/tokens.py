@@ -8,8 +8,8 @@ import re
 
 import numpy as np
 
-_MOST_WORDS = 150_000  # words whose ids a worker keeps
-_MOST_PIECES = 350_000  # pieces of words whose ids a worker keeps
+_MOST_WORDS = 120_000  # words whose ids a worker keeps
+_MOST_PIECES = 280_000  # pieces of words whose ids a worker keeps
 _PIECE = 1 << 20  # characters of a text handled at a time
 
 # U+001C to U+001F end a word for str.split but are symbols to the tokenizer; texts with them are cut elsewhere
