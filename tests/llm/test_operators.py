@@ -267,6 +267,25 @@ def test_chains_are_best():
         assert abs(max(map(total, passages.chains(pieces, 0.1, 1000))) - max(best.values())) < 1e-9
 
 
+def test_chains_after_a_long_piece():
+    """A piece too far back does not hide a nearer one, whatever its score."""
+    pieces = np.array([[0, 0, 2000], [3000, 5000, 26], [3029, 5029, 26]])
+    assert sorted(passages.chains(pieces)) == [[0], [1, 2]]
+    rng = random.Random(11)
+    for _ in range(50):
+        pieces = np.array([[rng.randrange(300), rng.randrange(300), rng.randint(4, 90)] for _ in range(14)])
+        best = {}
+        for i in np.argsort(pieces[:, 1], kind="stable"):
+            gaps = {j: pieces[i, :2] - pieces[j, :2] - pieces[j, 2] for j in best}
+            best[i] = pieces[i, 2] + max([0, *[best[j] - 0.1 * g.sum() for j, g in gaps.items() if (g >= 0).all() and (g <= 40).all()]])
+        totals = []
+        for c in passages.chains(pieces, 0.1, 40):
+            gaps = pieces[c][1:, :2] - pieces[c][:-1, :2] - pieces[c][:-1, 2:]
+            assert (gaps >= 0).all() and (gaps <= 40).all()
+            totals.append(pieces[c][:, 2].sum() - 0.1 * gaps.sum())
+        assert abs(max(totals) - max(best.values())) < 1e-9
+
+
 @pytest.mark.parametrize("split", ["128m", "150"])
 def test_warc_with_records_inside_payloads(spark, split):
     fake = "\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
