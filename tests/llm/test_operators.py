@@ -286,6 +286,32 @@ def test_chains_after_a_long_piece():
         assert abs(max(totals) - max(best.values())) < 1e-9
 
 
+@pytest.mark.parametrize("every", [5, 6, 7, 9, 10, 12])
+def test_passages_with_many_edits(spark, every):
+    """Passages with an edit every few words are all found, as by brute force over the planted pairs."""
+    rng = random.Random(every)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    words = lambda n: [word() for _ in range(n)]
+    rows = [*ODD]
+    for i in range(40):
+        passage = words(60 + i)
+        edit = [w if j % every != every // 2 else ("qq" if i % 2 else f"{w} qq") for j, w in enumerate(passage)]
+        rows.append((100 + i, " ".join(words(30) + passage + words(20)), "en", "s"))
+        rows.append((200 + i, " ".join(words(10) + edit + words(40)), "en", "s"))
+    got = {r.doc_id: r for r in passages.repeated_passages(documents(spark, rows)).collect()}
+    for i in range(40):
+        for key, other, at in ((100 + i, 200 + i, 30), (200 + i, 100 + i, 10)):
+            assert got[key].partner_id == other
+            assert abs(got[key].start_word - at) <= every and got[key].n_words >= 60 + i - 2 * every
+
+
+def test_alignment_keeps_a_passage_with_a_bad_start():
+    """A gap that brings the start below the identity does not end a passage that has it as a whole."""
+    x = np.arange(100, dtype=np.uint32)
+    y = np.r_[np.arange(4), np.arange(900, 906), np.arange(10, 16), np.arange(910, 913), np.arange(19, 59), np.arange(800, 830)].astype(np.uint32)
+    assert passages.align(x, y, np.array([[0, 0, 4], [10, 10, 6], [19, 19, 40]])) == [(0, 59, 0, 59, 50)]
+
+
 @pytest.mark.parametrize("split", ["128m", "150"])
 def test_warc_with_records_inside_payloads(spark, split):
     fake = "\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
