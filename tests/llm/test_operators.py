@@ -312,6 +312,24 @@ def test_alignment_keeps_a_passage_with_a_bad_start():
     assert passages.align(x, y, np.array([[0, 0, 4], [10, 10, 6], [19, 19, 40]])) == [(0, 59, 0, 59, 50)]
 
 
+def test_passages_of_common_lines(spark):
+    """A passage of lines that other documents hold alone, and one that a document holds twice."""
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    lines = [words(10) for _ in range(8)]
+    whole = sum(lines, [])
+    rows = [(1, " ".join(words(40) + whole + words(30)), "en", "s"), (2, " ".join(words(15) + whole + words(50)), "en", "s")]
+    for i, line in enumerate(lines):  # enough that some have smaller keys and some come in between
+        rows += [(100 + 20 * i + j, " ".join(words(25) + line + words(25)), "en", "s") for j in range(20)]
+    got = {(r.doc_id, r.start_word, r.end_word, r.partner_id) for r in passages.repeated_passages(documents(spark, rows)).collect()}
+    assert got == {(1, 40, 120, 2), (2, 15, 95, 1)}
+    for seed in range(6):
+        passage, twice = words(60), words(20)
+        rows = [(1, " ".join(words(20) + passage + twice + passage + words(10)), "en", "s"), (2, " ".join(words(30) + passage + words(30)), "en", "s")]
+        got = {(r.doc_id, r.start_word, r.end_word, r.partner_id) for r in passages.repeated_passages(documents(spark, rows)).collect()}
+        assert got == {(1, 20, 80, 2), (1, 100, 160, 2), (2, 30, 90, 1)}
+
+
 @pytest.mark.parametrize("split", ["128m", "150"])
 def test_warc_with_records_inside_payloads(spark, split):
     fake = "\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
