@@ -13,8 +13,7 @@ from rundiff.llm.tables import free_prefix, only
 from rundiff.session import cut_lineage
 
 SAMPLE = 200  # labelled texts per language that the text model is fitted on
-LONGEST_SAMPLE = 20000  # characters of such a text, at most
-MOST_LANGUAGES = 64
+LONGEST_SAMPLE = 20000  # characters of such a text that count: its first
 STRENGTH = 20.0  # rows that the prior of the level above counts for
 LEAST_CONFIDENCE = 0.5
 UNKNOWN = "und"
@@ -130,33 +129,35 @@ def domain_of(host: Column) -> Column:
     return F.when(F.size(F.split(host, r"\.")) > 2, F.substring_index(host, ".", -2))
 
 
-def _samples(rows: DataFrame, most: int) -> dict:
-    """{declared language: texts}: of each of the most frequent languages, the distinct texts with the smallest hashes.
+def _fit(table):
+    """The model of one declared language, as bytes."""
+    import pyarrow as pa
+
+    languages, rows = fit_text({table.column("declared")[0].as_py(): table.column("text").to_pylist()})
+    return pa.table({"declared": pa.array(languages, pa.string()), "model": pa.array([row.tobytes() for row in rows], pa.binary())})
+
 
-    Only hashes are ranked; the texts are picked by the greatest hash that counts, so no task sends more than that.
+def fit_languages(rows: DataFrame, most: int) -> tuple:
+    """(languages, models) of all declared languages, each fitted on the starts of texts with the smallest hashes.
+
+    Only hashes are ranked; the texts are picked by the greatest hash that counts, so no task sends more than that, and
+    each language is fitted in a task of its own.
     """
-    usable = rows.where("declared IS NOT NULL AND text IS NOT NULL").where(F.length("text").between(1, LONGEST_SAMPLE))
-    counts = usable.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["declared"] for r in counts)
-    if not languages:
-        return {}
-    hashed = usable.where(F.col("declared").isin(languages)).withColumn("h", F.xxhash64("text"))
+    usable = rows.where("declared IS NOT NULL AND text <> ''").select("declared", F.substring("text", 1, LONGEST_SAMPLE).alias("text"))
+    hashed = usable.withColumn("h", F.xxhash64("text"))
     place = F.row_number().over(Window.partitionBy("declared").orderBy("h"))
     first = hashed.select("declared", "h").distinct().withColumn("place", place).where(F.col("place") <= most)
-    last = {r["declared"]: r["last"] for r in first.groupBy("declared").agg(F.max("h").alias("last")).collect()}
-    picked = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
-    texts = hashed.where(F.col("h") <= picked[F.col("declared")]).groupBy("declared", "h").agg(F.first("text").alias("text"))
-    out = {language: [] for language in languages}
-    for r in texts.orderBy("declared", "h").collect():
-        out[r["declared"]].append(r["text"])
-    return out
+    last = first.groupBy("declared").agg(F.max("h").alias("last"))
+    texts = hashed.join(last, "declared").where(F.col("h") <= F.col("last")).groupBy("declared", "h").agg(F.first("text").alias("text"))
+    fitted = texts.groupBy("declared").applyInArrow(_fit, "declared string, model binary").orderBy("declared").collect()
+    return [r["declared"] for r in fitted], np.array([np.frombuffer(r["model"], np.float32) for r in fitted], dtype=np.float32).reshape(len(fitted), _BINS)
 
 
 def identify_language(docs: DataFrame, key: str = "doc_id", text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, sample: int = SAMPLE) -> DataFrame:
     """One row per row: (key, row_key, language, confidence, declared, kept).
 
-    A text has a likelihood under each language, from byte trigrams fitted on up to ``sample`` texts of each
-    declared language, and under none. Counts over all rows give how often a language is declared as another,
+    A text has a likelihood under each declared language, however many there are, from byte trigrams fitted on the
+    starts of up to ``sample`` of its texts, and under none. Counts over all rows give how often a language is declared as another,
     how often it occurs under an address suffix, and how often at a host; a host is smoothed towards its domain and
     a domain towards all rows, and a row does not count towards its own prior. The posterior is their product.
     ``kept`` means that the text has a word and that a language, not ``und``, is believed with a
@@ -179,7 +180,7 @@ def identify_language(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"),
     )
     kind = rows.schema["id"].dataType.simpleString()
-    languages, model = fit_text(_samples(rows, sample))
+    languages, model = fit_languages(rows, sample)
     names = [*languages, UNKNOWN]
     columns = f"id {kind}, row_key string, declared string, suffix string, host string, domain string, words boolean, text_ll array<double>, belief array<double>"
     scored = cut_lineage(rows.mapInArrow(_likelihoods(model), columns))

@@ -368,6 +368,18 @@ def test_language_evidence(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r.doc_id) for r in out if r.kept)
 
 
+def test_many_languages_and_long_texts(spark, monkeypatch):
+    """Each of 70 declared languages is found, and one that has long texts only."""
+    monkeypatch.setattr(language, "LONGEST_SAMPLE", 300)
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    syllables = [["".join(rng.choice(letters) for _ in range(3)) for _ in range(6)] for _ in range(70)]
+    say = lambda i, n: " ".join("".join(rng.choice(syllables[i]) for _ in range(2)) for _ in range(n))
+    rows = [(1000 + 10 * i + j, say(i, 100 if i == 69 else 30), f"l{i}", None) for i in range(70) for j in range(3 if i < 60 else 2)]
+    got = {r.doc_id: r for r in language.identify_language(documents(spark, rows)).collect()}
+    assert all(got[k].language == declared and got[k].kept for k, _, declared, _ in rows)
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame(
         [(1, "https://www.a.org/de/1", '<html lang="DE"><style>x</style><p>Hallo</p>'), (2, None, None), (3, "http://b.fr", "<p>x")], "page_id long, url string, html string"
