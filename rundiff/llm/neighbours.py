@@ -13,7 +13,7 @@ from rundiff.session import cut_lineage
 
 DEGREE = 32  # neighbours of a vector in the graph
 REVERSE = 16  # vectors that have it as a neighbour and meet with them, about
-ROUNDS = 2  # of NN-descent
+LEAST_CHANGE = 0.02  # share of changed neighbours below which no further round of NN-descent is made
 TREES, LEAF = 8, 4096  # random projection trees for the first graph
 SAMPLE = 20000  # vectors that the trees are fitted on, about
 BEAM = 128  # vectors that a search keeps
@@ -21,10 +21,15 @@ _SALTS = 64
 
 
 def _vectors(column):
-    """A binary column of equally long float16 vectors as a matrix."""
-    width = len(column[0].as_py()) // 2
-    flat = b"".join(column.to_pylist())
-    return np.frombuffer(flat, np.float16).reshape(-1, width)
+    """A binary column of equally long codes as a float32 matrix."""
+    return _decoded(column.to_pylist())
+
+
+def _decoded(codes):
+    """Codes are the scale of a vector, as float32, and the vector divided by it, as float16."""
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    scales, values = np.ascontiguousarray(raw[:, :4]).view(np.float32), np.ascontiguousarray(raw[:, 4:]).view(np.float16)
+    return values.astype(np.float32) * scales
 
 
 def _squares(x, y):
@@ -79,14 +84,20 @@ def _leaf_of(tree, x):
 
 
 def _encode(scale):
-    """(node, code): vectors divided by the scale, as float16."""
+    """(node, code): vectors divided by their largest component, as float16, after that component as a multiple of ``scale``.
+
+    Multiples are kept between 1e-15 and 1e15, so that squares are finite; a vector beyond keeps its direction.
+    """
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             column = batch.column("vector")
-            x = (column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64) / scale).astype(np.float16)
-            codes = pa.array([row.tobytes() for row in x], pa.binary())
+            x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+            largest = np.abs(x).max(axis=1, keepdims=True)
+            with np.errstate(over="ignore"):
+                multiples = np.clip(largest / scale, 1e-15, 1e15).astype(np.float32)
+            codes = pa.array([m.tobytes() + row.tobytes() for m, row in zip(multiples, (x / largest).astype(np.float16))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), codes], names=["node", "code"])
 
     return run
@@ -99,7 +110,7 @@ def _plant(trees):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _vectors(batch.column("code")).astype(np.float32)
+            x = _vectors(batch.column("code"))
             for k, tree in enumerate(trees):
                 leaf = _leaf_of(tree, x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(leaf.astype(np.int64)), batch.column("node"), batch.column("code")], names=["tree", "leaf", "node", "code"])
@@ -129,7 +140,7 @@ def _within_leaf(degree):
 
     def run(table):
         nodes = np.array(table.column("node"))
-        x = _vectors(table.column("code")).astype(np.float32)
+        x = _vectors(table.column("code"))
         k = min(degree, len(nodes) - 1)
         owners, others, far = [], [], []
         for a in range(0, len(nodes) if k > 0 else 0, 1024):
@@ -173,9 +184,9 @@ def fingerprints(ids):
 
 
 def _keep_nearest(degree):
-    """The nearest of all entries of a node: (node, code, ids, far, reach, known).
+    """The nearest of all entries of a node: (node, code, ids, far, reach, known, changed).
 
-    ``reach`` is the distance of the furthest, ``known`` the fingerprints of all.
+    ``reach`` is the distance of the furthest, ``known`` the fingerprints of all; ``changed`` counts new ones.
     """
     import pyarrow as pa
 
@@ -186,16 +197,17 @@ def _keep_nearest(degree):
             sizes = np.array([len(b or b"") // 8 for b in ids])
             owner = np.repeat(nodes, sizes)
             other, distance = np.frombuffer(b"".join(b or b"" for b in ids), np.int64), np.frombuffer(b"".join(b or b"" for b in far), np.float32)
-            order = np.lexsort((distance, other, owner))
-            owner, other, distance = owner[order], other[order], distance[order]
+            old = np.repeat(np.array([c is not None for c in table.column("code").to_pylist()]), sizes)
+            order = np.lexsort((distance, ~old, other, owner))
+            owner, other, distance, old = owner[order], other[order], distance[order], old[order]
             fresh = np.r_[True, (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])] if len(owner) else np.zeros(0, bool)
-            owner, other, distance = owner[fresh], other[fresh], distance[fresh]
+            owner, other, distance, old = owner[fresh], other[fresh], distance[fresh], old[fresh]
             order = np.lexsort((other, distance, owner))
-            owner, other, distance = owner[order], other[order], distance[order]
+            owner, other, distance, old = owner[order], other[order], distance[order], old[order]
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
             lengths = np.diff(np.r_[starts, len(owner)])
             near = np.arange(len(owner)) - np.repeat(starts, lengths) < degree
-            owner, other, distance = owner[near], other[near], distance[near]
+            owner, other, distance, old = owner[near], other[near], distance[near], old[near]
             codes = {n: c for n, c in zip(nodes.tolist(), table.column("code").to_pylist()) if c is not None}
             every = np.array(sorted(codes), dtype=np.int64)
             low, high = np.searchsorted(owner, every), np.searchsorted(owner, every, side="right")
@@ -204,16 +216,16 @@ def _keep_nearest(degree):
                 known = np.full(degree, n, dtype=np.int64)
                 known[: b - a] = other[a:b]
                 reach = float(distance[b - 1]) if b - a == degree else math.inf
-                rows.append((n, codes[n], other[a:b].tobytes(), distance[a:b].tobytes(), reach, fingerprints(known).tobytes()))
-            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float32(), pa.binary())
+                rows.append((n, codes[n], other[a:b].tobytes(), distance[a:b].tobytes(), reach, fingerprints(known).tobytes(), int(np.count_nonzero(~old[a:b]))))
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float32(), pa.binary(), pa.int64())
             for a in range(0, len(rows), 4096):
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4096]), types)]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "code", "ids", "far", "reach", "known"])
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "code", "ids", "far", "reach", "known", "changed"])
 
     return run
 
 
-_GRAPH = "node long, code binary, ids binary, far binary, reach float, known binary"
+_GRAPH = "node long, code binary, ids binary, far binary, reach float, known binary, changed long"
 
 
 def _edges(batches):
@@ -245,7 +257,7 @@ def _meet(batches):
     found, held = [], 0
     for table in _grouped(batches, ("u",)):
         hubs, nodes = np.array(table.column("u")), np.array(table.column("v"))
-        x, reach = _vectors(table.column("code")).astype(np.float32), np.array(table.column("reach"))
+        x, reach = _vectors(table.column("code")), np.array(table.column("reach"))
         known = np.frombuffer(b"".join(table.column("known").to_pylist()), np.uint16).reshape(len(nodes), -1)
         marks = fingerprints(nodes)
         edges = np.r_[0, np.flatnonzero(hubs[1:] != hubs[:-1]) + 1, len(hubs)]
@@ -276,12 +288,12 @@ def _undirected(graph: DataFrame, degree: int) -> DataFrame:
     return edges.union(back)
 
 
-def neighbour_graph(codes: DataFrame, n: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(codes: DataFrame, n: int, degree: int = DEGREE, least: float = LEAST_CHANGE) -> DataFrame:
     """The neighbour graph of (node, code): the leaves of random projection trees give first neighbours, then rounds of
-    NN-descent let the neighbours of each vector meet. Every vector is in one leaf of every tree; a leaf that is much
+    NN-descent let the neighbours of each vector meet, until less than the share ``least`` of the neighbours changes. Every vector is in one leaf of every tree; a leaf that is much
     larger than planned is cut by a hash, as the rounds make up for it."""
     some = codes.where(F.pmod(F.xxhash64("node"), F.lit(n)) < SAMPLE).select("code").collect()  # a share of SAMPLE / n, by hash
-    sample = np.frombuffer(b"".join(bytes(r["code"]) for r in some), np.float16).reshape(len(some), -1).astype(np.float32)
+    sample = _decoded([bytes(r["code"]) for r in some])
     planted = codes.mapInArrow(_plant(grow_trees(sample, math.ceil(n / LEAF))), "tree int, leaf long, node long, code binary")
     planted = cut_lineage(planted)
     sizes = planted.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2.0 * LEAF)).alias("cuts"))
@@ -294,11 +306,13 @@ def neighbour_graph(codes: DataFrame, n: int, degree: int = DEGREE, rounds: int
         return cut_lineage(every.repartition("node").sortWithinPartitions("node").mapInArrow(_keep_nearest(degree), _GRAPH))
 
     graph = nearest(first, none)
-    for _ in range(rounds):
+    changed = math.inf
+    while changed >= least * degree * n:
         members = graph.select(F.col("node").alias("v"), "code", "reach", "known")
         met = _undirected(graph, REVERSE).join(members, "v").select("u", "v", "code", "reach", "known")
         entries = met.repartition("u").sortWithinPartitions("u").mapInArrow(_meet, "node long, ids binary, far binary")
         graph = nearest(entries, graph.select("node", "code", "ids", "far"))
+        changed = graph.agg(F.sum("changed")).first()[0]
     return graph
 
 
@@ -336,8 +350,8 @@ def _advance(beam):
                 opened = np.zeros(len(nodes), bool)
                 if len(found):
                     codes = part.column("code").filter(pa.array(~held)).take(pa.array(first))
-                    own = np.frombuffer(row["code"], np.float16).astype(np.float32)[None]
-                    near = _squares(own, _vectors(codes).astype(np.float32))[0]
+                    own = _decoded([row["code"]])
+                    near = _squares(own, _vectors(codes))[0]
                     nodes, far, opened = np.r_[nodes, found], np.r_[far, near.astype(np.float32)], np.r_[opened, np.ones(len(found), bool)]
                     order = np.lexsort((nodes, far))[:beam]
                     nodes, far, opened = nodes[order], far[order], opened[order]
@@ -395,7 +409,7 @@ def _search_one_size(rows: DataFrame, every: int, k: int) -> DataFrame:
     grouped = rows.groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     nodes = cut_lineage(grouped)
     largest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
-    n, scale, most = nodes.agg(F.count("*"), F.max(largest), F.max("copies")).first()
+    n, scale, most = nodes.agg(F.count("*"), F.percentile_approx(largest.cast("double"), 0.5), F.max("copies")).first()
     copied = None
     if most > 1:  # ids of copies, by node: as many as one answer can list, and one more
         copied = rows.join(nodes.where("copies > 1").select(F.col("vector").alias("v"), "node"), F.col("vector") == F.col("v")).select("node", "id")

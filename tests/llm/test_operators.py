@@ -464,6 +464,36 @@ def test_nearest_of_odd_vectors(spark):
     assert answers[7] == expected[7] and answers[0] == expected[0]
 
 
+@pytest.mark.parametrize("huge", [1e7, 1e30])
+def test_nearest_beside_one_huge_vector(spark, huge):
+    """One vector of another magnitude leaves the neighbours of the rest as they are."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    x[599] *= huge
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest_neighbours(df, every=5, k=6).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & set(np.argsort(np.where(np.arange(600) == q, np.inf, ((x - x[q]) ** 2).sum(axis=1)), kind="stable")[:6].tolist())) for q in range(0, 599, 5))
+    assert len(got) == 120 and hits >= 0.95 * 120 * 6
+
+
+def test_rounds_go_on_until_little_changes(spark, monkeypatch):
+    """From a poor first graph more than two rounds are made."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 12))
+    monkeypatch.setattr(neighbours, "LEAF", 24)
+    monkeypatch.setattr(neighbours.grow_trees, "__defaults__", (3, 7))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vector array<double>")
+    graph = neighbours.neighbour_graph(df.mapInArrow(neighbours._encode(1.0), "node long, code binary"), 1500, 8)
+    hits = 0
+    for r in graph.collect():
+        far = ((x - x[r.node]) ** 2).sum(axis=1)
+        far[r.node] = np.inf
+        hits += len(set(np.frombuffer(r.ids, np.int64).tolist()) & set(np.argsort(far)[:8].tolist()))
+    assert graph.agg(F.sum("changed")).first()[0] < 0.02 * 8 * 1500 and hits >= 0.9 * 8 * 1500
+
+
 def test_empty_tables(spark):
     docs = documents(spark, [(1, "x", "en", "s")]).where("false")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
