@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +16,11 @@ KINDS = ("assign", "access", "hex")
 SAMPLE = 1000  # distinct labelled values per kind that an automaton is fitted on
 LONGEST_SAMPLE = 256  # characters of a labelled value, at most, to be fitted on
 LEAST_SAMPLE = 20
-_LEAST = 16  # characters of a candidate
+_LEAST = 6  # characters of a candidate: of the shortest value that a format finds
 _ALPHA = 0.05  # of the Hoeffding test
 _MARGIN = 0.7  # natural log units a character by which a format must beat the background
 
-_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+_REMEMBERED = 32  # characters of a run whose answer is remembered, at most
 
 
 def _either_case(word):
@@ -62,27 +63,39 @@ def find_candidates(text, base):
     return out
 
 
-def _scan(batches):
+def _labelled(batches):
+    """(kind, value) of all base spans."""
     import pyarrow as pa
 
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-    names = ("kind", "start", "end", "value")
     for batch in batches:
-        base, candidates = [], []
+        found = [(s[0], s[3]) for text in batch.column("text").to_pylist() for s in find_base(text or "")]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(2)], names=["kind", "value"])
+
+
+def _count_symbols(batches):
+    """(symbol, n): how often each class is in the candidates of a task."""
+    import pyarrow as pa
+
+    counts = Counter()
+    for batch in batches:
         for text in batch.column("text").to_pylist():
             text = text or ""
-            spans = find_base(text)
-            base.append([dict(zip(names, s)) for s in spans])
-            candidates.append([dict(zip(names, s)) for s in find_candidates(text, spans)])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(base, kind), pa.array(candidates, kind)], names=["id", "base", "candidates"])
+            for _, _, _, value in find_candidates(text, find_base(text)):
+                counts.update(value)
+    yield pa.RecordBatch.from_arrays([pa.array([symbol(c) for c in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["symbol", "n"])
 
 
 _CLASSES = {**{c: "0" for c in "0123456789"}, **{c: "a" for c in "abcdef"}, **{c: "g" for c in "ghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEF"}, **{c: "G" for c in "GHIJKLMNOPQRSTUVWXYZ"}}
 _CLASS_SIZE = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20}
 
 
+def symbol(c):
+    """The class of a character; others than letters and digits stand for themselves."""
+    return _CLASSES.get(c, c)
+
+
 def symbols(value):
-    """A value as character classes; other characters stand for themselves."""
+    """A value as character classes."""
     return [_CLASSES.get(c, c) for c in value]
 
 
@@ -186,9 +199,8 @@ def fit(values):
     return automaton, scores[len(scores) // 20]
 
 
-def accept(value, models, background):
-    """The kind whose format the value has, or None: typical of its automaton and far from the background."""
-    word = symbols(value)
+def accept(word, models, background):
+    """The kind whose format a value, as classes, has, or None: typical of its automaton and far from the background."""
     common = background.score(word)
     best = None
     for kind, (automaton, least) in models.items():
@@ -201,19 +213,34 @@ def accept(value, models, background):
 def _answer(models, background):
     import pyarrow as pa
 
+    table = str.maketrans(_CLASSES)
+
     def run(batches):
+        known = {}  # the answers for short runs of classes, which repeat
+
+        def kind_of(value):
+            word = value.translate(table)
+            if len(word) > _REMEMBERED:
+                return accept(word, models, background)
+            if word not in known:
+                if len(known) >= 1 << 18:
+                    known.clear()
+                known[word] = accept(word, models, background)
+            return known[word]
+
         for batch in batches:
             rows = []
-            for base, candidates in zip(batch.column("base").to_pylist(), batch.column("candidates").to_pylist()):
-                plain = [f"{s['kind']}:{s['start']}:{s['end']}" for s in base]
-                spans = [(s["start"], KINDS.index(s["kind"]), p) for s, p in zip(base, plain)]
+            for text in batch.column("text").to_pylist():
+                base = find_base(text or "")
+                plain = [f"{kind}:{start}:{end}" for kind, start, end, _ in base]
+                spans = [(s[1], KINDS.index(s[0]), p) for s, p in zip(base, plain)]
                 added = 0
-                for s in candidates:
-                    kind = accept(s["value"], models, background)
+                for _, start, end, value in find_candidates(text or "", base) if models else []:
+                    kind = kind_of(value)
                     if kind is not None:
-                        spans.append((s["start"], len(KINDS) + KINDS.index(kind), f"like_{kind}:{s['start']}:{s['end']}"))
+                        spans.append((start, len(KINDS) + KINDS.index(kind), f"like_{kind}:{start}:{end}"))
                         added += 1
-                counts = [sum(s["kind"] == k for s in base) for k in KINDS]
+                counts = [sum(s[0] == k for s in base) for k in KINDS]
                 rows.append((*counts, hashlib.sha256(",".join(plain).encode()).hexdigest(), ",".join(s[2] for s in sorted(spans)), added))
             columns = list(zip(*rows)) if rows else [[]] * 6
             types = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64()]
@@ -223,30 +250,25 @@ def _answer(models, background):
     return run
 
 
-def fit_models(found: DataFrame, sample: int = SAMPLE):
-    """Automata by kind, and one state of class frequencies for the background, from bounded samples.
+def fit_models(rows: DataFrame, sample: int = SAMPLE):
+    """Automata by kind from bounded samples, and one state of the class frequencies of all candidates for the background.
 
     The sample of a kind is the ``sample`` distinct values with the smallest hashes.
     """
-    def values(column, kind=None):
-        flat = found.select(F.explode(column).alias("s")).select("s.kind", "s.value")
-        flat = flat.where((F.col("kind") == kind if kind else F.lit(True)) & (F.length("value") <= LONGEST_SAMPLE))
-        some = flat.select("value").distinct().orderBy(F.xxhash64("value"), "value").limit(sample)
-        return [r["value"] for r in some.collect()]
-
+    labelled = cut_lineage(rows.mapInArrow(_labelled, "kind string, value string").where(F.length("value") <= LONGEST_SAMPLE).distinct())
     models = {}
     for kind in KINDS:
-        known = values("base", kind)
+        known = [r["value"] for r in labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
         if len(known) >= LEAST_SAMPLE:
             models[kind] = fit(known)
     background = Automaton()
     background.state()
     background.add([])
-    for value in values("candidates"):
-        for s in symbols(value):
-            background.entered[0] += 1
-            background.freq[0][s] = background.freq[0].get(s, 0) + 1
-            background.go[0][s] = 0
+    counts = rows.mapInArrow(_count_symbols, "symbol string, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    for r in counts.orderBy("symbol").collect() if models else []:
+        background.entered[0] += r["n"]
+        background.freq[0][r["symbol"]] = r["n"]
+        background.go[0][r["symbol"]] = 0
     return models, background
 
 
@@ -255,9 +277,9 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
 
     Base spans have one of three fixed formats. Their values are labelled credentials: for each kind, the prefix
     tree of up to ``sample`` distinct values, as character classes, is folded into a probabilistic automaton by
-    merging states that a Hoeffding test cannot tell apart. Every other run of at least 16 credential characters
-    with a letter and a digit is then scored by all automata. One that scores like the labelled values, and
-    better than the class frequencies of all such runs, is added as like_<kind>.
+    merging states that a Hoeffding test cannot tell apart. Every other run of credential characters with a
+    letter and a digit, as long as the shortest value that a format finds (6), is then scored by all automata. One that scores like the labelled
+    values, and better than the class frequencies of all such runs, is added as like_<kind>.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind. base_sha256 covers the base
     spans. A null text counts as empty, a null key is an ordinary key, repeated rows each have their row, an empty
@@ -265,7 +287,6 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     """
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = cut_lineage(rows.mapInArrow(_scan, f"id {kind}, base {_SPANS}, candidates {_SPANS}"))
-    models, background = fit_models(found, sample)
-    out = found.mapInArrow(_answer(models, background), f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
+    models, background = fit_models(rows, sample)
+    out = rows.mapInArrow(_answer(models, background), f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
     return out.withColumnRenamed("id", key)

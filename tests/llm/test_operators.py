@@ -168,6 +168,21 @@ def test_secret_formats(spark):
     assert got == sorted(expected)
 
 
+def test_short_and_long_runs_are_scored(spark):
+    """Runs as short as labelled values are scored; the background counts all runs, long ones too."""
+    rng = random.Random(16)
+    made = lambda: "Q7" + "".join(rng.choice("GHIJKLMNOPQRSTUVWXYZ") for _ in range(6))
+    rows = [(i, f"{sentence(rng, 30)} password: {made()} {sentence(rng, 30)} plainwords to h264 mp3play2 follow", "en", "s") for i in range(60)]
+    rows += [(100 + i, f"plainwords then {made()} and others", "en", "s") for i in range(5)] + [(200, "a1" * 500, "en", "s")]
+    df = documents(spark, rows)
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(df).collect()}
+    assert all(got[100 + i].spans == "like_assign:16:24" for i in range(5))
+    assert all(got[k].n_added == 0 for k in (*range(60), 200))
+    _, background = secret_scan.fit_models(df.select("doc_id", "text"))
+    runs = [v for _, t, _, _ in rows for *_, v in secret_scan.find_candidates(t, secret_scan.find_base(t))]
+    assert background.freq[0]["a"] == sum(c in "abcdef" for v in runs for c in v) and background.entered[0] == 1 + sum(map(len, runs))
+
+
 def test_inferred_automata():
     """States merge to a small automaton that tells its format from others."""
     rng = random.Random(6)
