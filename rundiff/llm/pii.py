@@ -12,7 +12,8 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 LEAST_SEEDS = 3  # distinct seeds that a pattern must surround
 LEAST_CONFIDENCE = 0.8
-_CONTEXT = 64  # characters on either side in which context words are looked for
+_LONG = 64  # characters of a context word that is not stood for by its hash, at most
+_WORD = r"[^\x20\x09-\x0D]++"
 
 # The formats, written so that no position is tried twice: a match starts where a run starts or where the
 # last match ended, and quantifiers do not give back. They match what the plain formats match, except that
@@ -58,7 +59,7 @@ def _holds(kind: Column, match: Column) -> Column:
 
 
 def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, rid, found): per kind with a match, the matches and what lies between them."""
+    """(id, rid, found, text): per kind with a match, the matches and what lies between them; the text if there are any."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("id"), row_key(F.col(key), whole).alias("rid"), whole.alias("text"))
     parts = []
@@ -67,11 +68,16 @@ def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
         found = F.struct(
             F.lit(kind).alias("kind"),
             F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("matches"),
-            F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.octet_length(g).alias("bytes"), F.right(g, F.lit(_CONTEXT)).alias("tail"), F.left(g, F.lit(_CONTEXT)).alias("head"))).alias("gaps"),
+            F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.octet_length(g).alias("bytes"), F.regexp_count(g, F.lit(_WORD)).alias("words"), _solid(F.left(g, F.lit(1))).alias("opens"), _solid(F.right(g, F.lit(1))).alias("closes"))).alias("gaps"),
         )
         parts.append(F.when(_possible(kind, F.col("text")), found))
     found = F.filter(F.array(*parts), lambda p: p.isNotNull() & (F.size(p["matches"]) > 0))
-    return rows.select("id", "rid", found.alias("found"))
+    return rows.select("id", "rid", found.alias("found"), "text").withColumn("text", F.when(F.size("found") > 0, F.col("text")))
+
+
+def _solid(c: Column) -> Column:
+    """Whether a character is one of a word, as a number; the empty text is not."""
+    return c.rlike(_WORD).cast("int")
 
 
 def row_key(key: Column, text: Column) -> Column:
@@ -80,8 +86,11 @@ def row_key(key: Column, text: Column) -> Column:
 
 
 def _occurrences(scanned: DataFrame) -> DataFrame:
-    """(rid, kind, start, end, from, to, value, before, after): all matches with their places in characters and bytes."""
-    several = scanned.where(F.size("found") > 0).select("rid", "found").dropDuplicates(["rid"])
+    """(rid, kind, start, end, from, to, value, patterns): all matches with their places in characters and bytes, and their contexts.
+
+    The words that start in a gap or a match are counted up to each match, which begins and ends inside a word.
+    """
+    several = scanned.where(F.size("found") > 0).select("rid", "found", "text").dropDuplicates(["rid"])
     flat = several.select("rid", F.explode("found").alias("f")).select("rid", F.col("f.kind").alias("kind"), F.posexplode(F.arrays_zip("f.matches", "f.gaps")), F.col("f.gaps").alias("gaps"))
     flat = flat.select(
         "rid",
@@ -90,35 +99,43 @@ def _occurrences(scanned: DataFrame) -> DataFrame:
         F.col("col.matches").alias("value"),
         F.col("col.gaps.n").alias("gap"),
         F.col("col.gaps.bytes").alias("gap_bytes"),
-        F.col("col.gaps.tail").alias("before"),
-        F.col("col.gaps.head").alias("head"),
+        F.col("col.gaps.words").alias("gap_words"),
+        F.col("col.gaps.opens").alias("opens"),
+        F.col("col.gaps.closes").alias("closes"),
     )
     order = Window.partitionBy("rid", "kind").orderBy("i")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    gap_starts = F.col("gap_words") - F.when(F.col("i") > 0, F.col("opens")).otherwise(0)
+    joined = F.when(F.col("gap") > 0, F.col("closes")).otherwise((F.col("i") > 0).cast("int"))  # to the word before the match
+    starts = F.coalesce(F.regexp_count("value", F.lit(_WORD)), F.lit(0))
     length, size = F.coalesce(F.length("value"), F.lit(0)), F.coalesce(F.octet_length("value"), F.lit(0))
     placed = flat.select(
         "rid",
         "kind",
         "value",
-        "before",
-        F.lead("head").over(order).alias("after"),
+        F.sum(gap_starts + F.when(F.col("value").isNull(), 0).otherwise(starts - joined)).over(upto).alias("last"),
+        starts.alias("n"),
         (F.sum(F.col("gap") + length).over(upto)).cast("long").alias("end"),
         (F.sum(F.col("gap_bytes") + size).over(upto)).cast("long").alias("to"),
     ).where("value IS NOT NULL")
     placed = placed.withColumn("start", F.col("end") - F.length("value")).withColumn("from", F.col("to") - F.octet_length("value"))
-    return placed.where(_holds(F.col("kind"), F.col("value")))
-
-
-def _patterns(before: Column, after: Column) -> Column:
-    """The contexts of an occurrence: two words before, one on either side, two words after; digits as 0."""
-    plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    left = F.filter(F.split(plain(before), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    right = F.filter(F.split(plain(after), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    last, next_ = F.try_element_at(left, F.lit(-1)), F.try_element_at(right, F.lit(1))
+    columns = ("kind", "start", "end", "from", "to", "value")
+    listed = placed.where(_holds(F.col("kind"), F.col("value"))).groupBy("rid").agg(F.collect_list(F.struct(*columns, "last", "n")).alias("listed"))
+    plain = F.split(F.regexp_replace(F.lower("text"), "[0-9]", "0"), r"[\x20\x09-\x0D]+")
+    short = lambda w: F.when(F.length(w) <= _LONG, w).otherwise(F.concat(F.lit("#"), F.xxhash64(w).cast("string")))
+    words = F.transform(F.filter(plain, lambda w: w != ""), short)
+    told = listed.join(several.select("rid", words.alias("words")), "rid")
+    told = told.select("rid", F.explode(F.transform("listed", lambda o: F.struct(*[o[c].alias(c) for c in columns], _patterns(F.col("words"), o["last"] - o["n"] + 1, o["last"]).alias("patterns")))).alias("o"))
+    return told.select("rid", "o.*")
+
+
+def _patterns(words: Column, first: Column, last: Column) -> Column:
+    """The contexts of an occurrence in some words: two words before, one on either side, two words after."""
+    at = lambda i: F.get(words, (i - 1).cast("int"))
     made = F.array(
-        F.concat(F.lit("left "), F.try_element_at(left, F.lit(-2)), F.lit(" "), last),
-        F.concat(F.lit("both "), last, F.lit(" "), next_),
-        F.concat(F.lit("right "), next_, F.lit(" "), F.try_element_at(right, F.lit(2))),
+        F.concat(F.lit("left "), at(first - 2), F.lit(" "), at(first - 1)),
+        F.concat(F.lit("both "), at(first - 1), F.lit(" "), at(last + 1)),
+        F.concat(F.lit("right "), at(last + 1), F.lit(" "), at(last + 2)),
     )
     return F.filter(made, lambda p: p.isNotNull())
 
@@ -136,7 +153,7 @@ def _bootstrap(occurrences: DataFrame, rounds: int) -> DataFrame:
     covers = F.coalesce(F.min(F.when(is_base, F.col("start"))).over(by_place.rowsBetween(1, Window.unboundedFollowing)) < F.col("end"), F.lit(False))
     free = occurrences.withColumn("touched", covered | covers).where(is_base | ~F.col("touched"))
     free = free.withColumn("seed", F.when(is_base, F.col("kind")))
-    edges = free.select(F.explode(_patterns(F.col("before"), F.col("after"))).alias("pattern"), F.xxhash64("value").alias("value"), "seed").distinct()
+    edges = free.select(F.explode("patterns").alias("pattern"), F.xxhash64("value").alias("value"), "seed").distinct()
     seeded = edges.where("seed IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= LEAST_SEEDS)
     edges = cut_lineage(edges.join(seeded.select("pattern"), "pattern"))
     if edges.where("seed IS NULL").isEmpty():
@@ -155,7 +172,7 @@ def _bootstrap(occurrences: DataFrame, rounds: int) -> DataFrame:
         unseen = unseen.withColumn("belief", F.least("belief", F.lit(0.999)))
         beliefs = cut_lineage(edges.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct().unionByName(unseen))
     strong = scores.where(F.col("score") >= LEAST_CONFIDENCE)
-    words = free.where("seed IS NULL").drop("kind").withColumn("pattern", F.explode(_patterns(F.col("before"), F.col("after"))))
+    words = free.where("seed IS NULL").drop("kind").withColumn("pattern", F.explode("patterns"))
     hits = words.join(strong, "pattern").groupBy("rid", "start", "end", "from", "to").agg(F.max(F.struct("score", "kind")).alias("best"))
     return hits.where(F.array_contains(kinds, F.col("best.kind"))).select("rid", F.concat(F.lit("like_"), F.col("best.kind")).alias("kind"), "start", "end", "from", "to")
 
@@ -171,8 +188,8 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: i
     """One row per row: (key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added).
 
     Base spans have one of four fixed formats, leftmost and non-overlapping within a kind; matches that fail the
-    test of their kind are dropped. Base values are seeds: the words around them make contexts, contexts and values
-    make a graph that is scored in ``rounds`` rounds, and words in contexts of high confidence are added as
+    test of their kind are dropped. Base values are seeds: the words before and after those they are in, with digits as 0, make
+    contexts, contexts and values make a graph that is scored in ``rounds`` rounds, and words in contexts of high confidence are added as
     like_<kind>. Spans are kind:start:end in code points, end exclusive, by kind and then start; base_sha256
     covers the base spans.
 

@@ -129,6 +129,23 @@ def test_personal_data_contexts(spark):
     assert clean[100] == "please write to [EMAIL] for any help today" and clean[101] == rows[-1][1]
 
 
+def test_personal_data_contexts_of_neighbours(spark):
+    """Context words may be other identifiers, longer than any limit, and beyond a match in the same word."""
+    long = "w" * 100
+    rows = [(i, f"tel 061{i}345678 +31 6{i}5 555 01{i}0 fax 06{i}1 end", "en", "s") for i in range(8)]
+    rows += [(100, "tel 0612345678 0698765432 fax 0611 end", "en", "s"), (101, "nothing 12a here", "en", "s")]
+    rows += [(200 + i, f"x {long}a b{i}@c.de {long}b (d{i}@e.fr,f{i}@g.hi) y", "en", "s") for i in range(4)]
+    rows += [(300, f"x {long}a bob(at)0 {long}b y", "en", "s"), (301, f"x {long}c tim(at)0 {long}d y", "en", "s")]
+    got = {r.doc_id: r for r in pii.find_pii(documents(spark, rows)).collect()}
+    assert "like_phone:15:25" in got[100].spans.split(",") and got[101].spans == ""
+    assert got[300].spans == "like_email:104:112" and got[301].spans == ""
+    df = documents(spark, [(1, "é 1.1.1.1,2.2.2.2 a@b.cd-a@b.ce  +1 234 567 89\tq7 z", "en", "s")])
+    told = {(r.kind, r.start): sorted(r.patterns) for r in pii._occurrences(pii._scan(df, "doc_id", "text")).collect()}
+    assert told["ip", 2] == told["ip", 10] == ["both é a@b.cd-a@b.ce", "right a@b.cd-a@b.ce +0"]
+    assert told["phone", 33] == ["both a@b.cd-a@b.ce q0", "left 0.0.0.0,0.0.0.0 a@b.cd-a@b.ce", "right q0 z"]
+    assert told["word", 47] == ["both 00 z", "left 000 00"]
+
+
 def test_redaction(spark):
     rng = random.Random(2)
     rows = [*ODD, (7, "é x@y.zz 😀 +1 234 567 8901 10.0.0.1", "en", "s"), (7, "é x@y.zz 😀 +1 234 567 8901 10.0.0.1", "en", "s"), (8, f"+{card(rng, 16)} {card(rng, 16)}", "en", "s")]
