@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rundiff.llm import language, mixing, neighbours, ngram_join, passages, pii, secret_scan, seq_packing, vector_dedup, warc
+from rundiff.llm import language, mixing, neighbours, ngram_join, online_packing, passages, pii, secret_scan, seq_packing, vector_dedup, warc
 from rundiff.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,15 @@ FROM embeddings LEFT JOIN low ON low.a = vec_id LEFT JOIN num ON num.a = vec_id"
 )
 def op10_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def byte_tokenizer_path() -> str:
+    """The byte-level tokenizer file of the online packing query."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op11_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online_packing.pack_online(table(spark, sf_dir, "documents"), byte_tokenizer_path())
