@@ -59,12 +59,12 @@ def text_buffer(column):
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_bounds(data, offsets):
+def word_bounds(data, offsets, gaps=_SPACE):
     """Byte positions where words start and end, and for each row the number of its first word."""
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets), dtype=np.int64)
-    word = ~_SPACE[data]
+    word = ~gaps[data]
     starts, ends = word.copy(), word.copy()
     starts[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]
@@ -92,24 +92,27 @@ def word_hashes(data, starts, ends):
     return mix(out)
 
 
-def _cuts(data, start, end):
-    """Ends of pieces of a long text, cut at white space."""
+def _cuts(data, start, end, space):
+    """Ends of pieces of a long text, cut between words."""
     while end - start > _PART:
-        gaps = np.flatnonzero(_SPACE[data[start : start + _PART]])
+        gaps = np.flatnonzero(space[data[start : start + _PART]])
         if len(gaps):
             start += int(gaps[-1]) + 1
         else:
-            while start < end and not _SPACE[data[start : start + _PART]].any():
+            while start < end and not space[data[start : start + _PART]].any():
                 start += _PART
             start = min(end, start)
-            start += int(np.argmax(_SPACE[data[start : start + _PART]])) + 1 if start < end else 0
+            start += int(np.argmax(space[data[start : start + _PART]])) + 1 if start < end else 0
         yield min(start, end)
     if start < end:
         yield end
 
 
-def row_words(column):
-    """Yields (row, word hashes) of a string column, in row order, with few bytes in work at a time."""
+def row_words(column, gaps=_SPACE):
+    """Yields (row, word hashes) of a string column, in row order, with few bytes in work at a time.
+
+    ``gaps`` says for each byte whether it is between words.
+    """
     data, offsets = text_buffer(column)
     row = 0
     while row < len(offsets) - 1:
@@ -117,15 +120,15 @@ def row_words(column):
         start, end = int(offsets[row]), int(offsets[to])
         if to == row + 1 and end - start > _PART:
             parts, at = [], start
-            for cut in _cuts(data, start, end):
+            for cut in _cuts(data, start, end, gaps):
                 part = data[at:cut]
-                first, last, _ = word_bounds(part, np.array([0, len(part)]))
+                first, last, _ = word_bounds(part, np.array([0, len(part)]), gaps)
                 parts.append(word_hashes(part, first, last))
                 at = cut
             yield row, np.concatenate(parts)
         else:
             part = data[start:end]
-            first, last, rows = word_bounds(part, offsets[row : to + 1] - start)
+            first, last, rows = word_bounds(part, offsets[row : to + 1] - start, gaps)
             words = word_hashes(part, first, last)
             for i in range(to - row):
                 yield row + i, words[rows[i] : rows[i + 1]]

@@ -4,7 +4,6 @@ Such a tokenizer cuts a text by a fixed pattern and merges bytes inside each pie
 pattern and merges does most texts; what it might do differently or slowly goes to the tokenizer itself.
 """
 
-import functools
 import json
 import re
 from array import array
@@ -23,30 +22,33 @@ _WIDE_GAP = re.compile(r"\s{%d}" % _LONGEST_QUICK)
 _CUT = re.compile(r"(?<=\S)\s")  # no piece goes on over white space after another character
 
 
-def _ranks(path):
-    """The vocabulary of a tokenizer file by bytes; in a byte-level one a token's id is the rank of its merge."""
+def encoder(path):
+    """A function from a text to its ids as little-endian unsigned 32-bit numbers, for the tokenizer file at ``path``."""
+    import tiktoken
+
     letters = {letter: byte for byte, letter in _byte_letters().items()}
     with open(path, encoding="utf-8") as file:
         stored = json.load(file)
     special = {t["content"] for t in stored["added_tokens"]}
-    return {bytes([letters[c] for c in token]): i for token, i in stored["model"]["vocab"].items() if token not in special}
+    # in a byte-level vocabulary a token's id is the rank of its merge
+    ranks = {bytes([letters[c] for c in token]): i for token, i in stored["model"]["vocab"].items() if token not in special}
+    quick = tiktoken.Encoding("quick", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    kept = []
 
+    def exact(text):
+        if not kept:  # seldom needed, and slow to load
+            from tokenizers import Tokenizer
 
-def _new_encoder(path):
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    quick = tiktoken.Encoding("quick", pat_str=_PATTERN, mergeable_ranks=_ranks(path), special_tokens={}).encode_ordinary
+            kept.append(Tokenizer.from_file(path))
+        return kept[0].encode(text, add_special_tokens=False).ids
 
     def stretch(text):
         plain = _SETTLED.fullmatch(text) and max(map(len, text.split()), default=0) <= _LONGEST_QUICK and not _WIDE_GAP.search(text)
-        return array("I", quick(text) if plain else tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", quick(text) if plain else exact(text)).tobytes()
 
     def encode(text):
         if any(s in text for s in special):
-            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("I", exact(text)).tobytes()
         out, at = [], 0
         while len(text) - at > _STRETCH:
             cut = _CUT.search(text, at + _STRETCH)
@@ -57,12 +59,3 @@ def _new_encoder(path):
         return b"".join(out)
 
     return encode
-
-
-@functools.lru_cache(maxsize=2)
-def encoder(path):
-    """A function from a text to its ids as little-endian unsigned 32-bit numbers, for the tokenizer file at ``path``.
-
-    A worker process that serves many tasks makes it once.
-    """
-    return _new_encoder(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rundiff.llm import language, mixing, neighbours, ngram_join, online_packing, passages, pii, secret_scan, seq_packing, vector_dedup, warc
+from rundiff.llm import language, lexical_search, mixing, neighbours, ngram_join, online_packing, passages, pii, secret_scan, seq_packing, vector_dedup, warc
 from rundiff.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,20 @@ def byte_tokenizer_path() -> str:
 @query()
 def op11_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_packing.pack_online(table(spark, sf_dir, "documents"), byte_tokenizer_path())
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+size AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0),
+tf AS (SELECT doc_id, len(terms)::BIGINT AS n, unnest(list_distinct(terms)) AS term, terms FROM d),
+items AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+hits AS (SELECT doc_id, n, term, len(list_filter(terms, lambda x: x = term))::BIGINT AS tf FROM tf WHERE term IN (SELECT term FROM items)),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM hits, size GROUP BY term, docs),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM items JOIN hits USING (term) JOIN weight USING (term), size GROUP BY item_id, doc_id)
+SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0) WHERE rank <= 10"""
+)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
