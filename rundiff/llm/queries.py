@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rundiff.llm import language, lexical_search, mixing, neighbours, ngram_join, online_packing, passages, pii, secret_scan, seq_packing, vector_dedup, warc
+from rundiff.llm import conversations, language, lexical_search, mixing, neighbours, ngram_join, online_packing, passages, pii, secret_scan, seq_packing, vector_dedup, warc
 from rundiff.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,38 @@ SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY
 )
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 bit by bit, as the SQL engine has none; the cost program goes through the turns one by one.
+@query(
+    r"""WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+c AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * len(name))),
+  lambda a, k: xor((CASE WHEN k % 8 = 0 THEN xor(a, ascii(name[k // 8 + 1])::BIGINT) ELSE a END) >> 1,
+  3988292384 * ((CASE WHEN k % 8 = 0 THEN xor(a, ascii(name[k // 8 + 1])::BIGINT) ELSE a END) & 1)))) % 20 AS fate FROM h),
+d AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+  WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault,
+  coalesce((lag(role) OVER w)[1] || role[1] NOT IN ('su', 'ua', 'au'), false) AS odd FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+ins AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', '|user:'), (1, 2, 3, 'I', '|user:'), (3, 2, 3, 'I', '|user:'),
+  (2, 3, 3, 'I', '|assistant:'), (0, 3, 6, 'II', '|user:|assistant:'), (1, 3, 6, 'II', '|user:|assistant:')) AS t(s, t, c, e, l)),
+arc AS (SELECT conv_id, i, s, t, c, e, l FROM f, (VALUES (0), (1), (2), (3)) AS st(s), LATERAL (
+  SELECT s AS t, 4 AS c, 'D' AS e, '' AS l
+  UNION ALL SELECT CASE role[1] WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CASE fault WHEN 3 THEN 3 ELSE 0 END, 'K', chr(10) || role || ':' || text
+    WHERE fault IN (0, 3) AND ((role[1] = 's' AND s = 0) OR (role[1] = 'u' AND s <> 2) OR (role[1] = 'a' AND s = 2))
+  UNION ALL SELECT CASE s WHEN 2 THEN 3 ELSE 2 END, CASE fault WHEN 3 THEN 6 ELSE 3 END, 'R', chr(10) || CASE s WHEN 2 THEN 'assistant:' ELSE 'user:' END || text WHERE fault IN (0, 3))),
+dp AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS s, {'c': 0, 'e': '', 'l': ''} AS best FROM f
+  UNION ALL SELECT dp.conv_id, dp.i + 1, arc.t, min({'c': best.c + ins.c + arc.c, 'e': best.e || ins.e || arc.e, 'l': best.l || replace(ins.l, '|', chr(10)) || arc.l})
+  FROM dp JOIN ins ON ins.s = dp.s JOIN arc ON arc.conv_id IS NOT DISTINCT FROM dp.conv_id AND arc.i = dp.i + 1 AND arc.s = ins.t GROUP BY dp.conv_id, dp.i, arc.t),
+n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (odd) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY conv_id),
+won AS (SELECT dp.conv_id, min({'c': best.c + ins.c, 'e': best.e || ins.e, 'l': best.l || replace(ins.l, '|', chr(10))}) AS best
+  FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i JOIN ins ON ins.s = dp.s AND (ins.t = 3 OR (ins.t = 0 AND dp.s = 0)) GROUP BY dp.conv_id)
+SELECT k.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.e, '') AS audit, sha256(coalesce(best.l[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN won ON won.conv_id IS NOT DISTINCT FROM k.conv_id"""
+)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damage(table(spark, sf_dir, "conversations")), copies=F.col("copies"))
