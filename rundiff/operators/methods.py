@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rundiff.functions.text import strip
 from rundiff.operators.ordered import BLOCK_ROWS, Running, list_pieces, running
+from rundiff.operators.statements import long_statements
 from rundiff.session import cut_lineage
 
 # The declaration pattern. Groups: return type, name, parameters.
@@ -48,47 +49,68 @@ def _count(c: Column, char: str) -> Column:
 _DECLARED = ["name", "return_type", "parameters", "modifiers", "signature"]
 
 
+def _declared_parts(squeezed: Column, text: Column) -> dict[str, Column]:
+    """Name and other parts of the method that a squeezed text declares; the name is NULL where it declares none."""
+    name = F.regexp_extract(squeezed, METHOD_PATTERN, 2)  # empty where the pattern does not match
+    parameters = F.transform(F.split(F.regexp_extract(squeezed, METHOD_PATTERN, 3), ","), lambda p: F.trim(p))
+    spaced = F.concat(F.lit(" "), text, F.lit(" "))
+    modifiers = [F.when(F.contains(spaced, F.lit(f" {m} ")) | squeezed.startswith(m), F.lit(m)) for m in MODIFIERS]
+    return {
+        "name": F.when(~name.isin("", *NOT_METHOD_NAMES), name),
+        "return_type": F.trim(F.regexp_extract(squeezed, METHOD_PATTERN, 1)),
+        "parameters": F.filter(parameters, lambda p: p != ""),
+        "modifiers": F.array_compact(F.array(*modifiers)),
+        "signature": strip(text),
+    }
+
+
 def with_declarations(lines: DataFrame) -> DataFrame:
     """Add the parts of the method each line declares; all NULL on other lines.
 
     A line that calls ``name(…);`` after a word such as ``return`` looks like a
     declaration to the pattern and is taken for one. Whitespace is squeezed first, which
-    keeps the pattern linear on long indents. Declarations over several lines are not
-    found.
+    keeps the pattern linear on long indents. Declarations over several lines are found
+    by ``long_declarations``.
     """
-    text, s = F.col("text"), F.col("_s")
+    text = F.col("text")
     candidate = F.contains(text, F.lit("(")) & (F.contains(text, F.lit("{")) | F.contains(text, F.lit(";")))
     squeezed = F.when(candidate, F.regexp_replace(strip(text), r"\s+", " "))
-    name = F.regexp_extract("_s", METHOD_PATTERN, 2)  # empty where the pattern does not match
-    found = lines.withColumn("_s", squeezed).withColumn("name", F.when(~name.isin("", *NOT_METHOD_NAMES), name))
-    parameters = F.transform(F.split(F.regexp_extract("_s", METHOD_PATTERN, 3), ","), lambda p: F.trim(p))
-    spaced = F.concat(F.lit(" "), text, F.lit(" "))
-    modifiers = [F.when(F.contains(spaced, F.lit(f" {m} ")) | s.startswith(m), F.lit(m)) for m in MODIFIERS]
-    parts = {
-        "return_type": F.trim(F.regexp_extract("_s", METHOD_PATTERN, 1)),
-        "parameters": F.filter(parameters, lambda p: p != ""),
-        "modifiers": F.array_compact(F.array(*modifiers)),
-        "signature": strip(text),
-    }
+    parts = _declared_parts(F.col("_s"), text)
+    found = lines.withColumn("_s", squeezed).withColumn("name", parts.pop("name"))
     declared = F.col("name").isNotNull()
     return found.withColumns({c: F.when(declared, part) for c, part in parts.items()}).drop("_s")
 
 
+def long_declarations(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Declarations that go on over several lines: ``path, start_line, last_line`` and the parts.
+
+    ``last_line`` is the line with the ``{`` or ``;``; the signature is the whole declaration, squeezed, without
+    comments and annotations.
+    """
+    found = long_statements(lines, block_rows).where(F.contains("statement", F.lit("(")))
+    parts = _declared_parts(F.col("statement"), F.col("statement"))
+    named = found.withColumn("name", parts.pop("name")).where("name is not null")
+    return named.select("path", "start_line", "last_line", "name", *[part.alias(c) for c, part in parts.items()])
+
+
 def declarations(lines: DataFrame) -> DataFrame:
     """The lines that declare a method: ``path, start_line`` and the parts."""
     found = with_declarations(lines).where("name is not null")
     return found.select("path", F.col("line_no").alias("start_line"), *_DECLARED)
 
 
-def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS, reuse: bool = False) -> DataFrame:
+def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS, reuse: bool = False, long: bool = False) -> DataFrame:
     """Declarations with their last line, found by brace balance.
 
+    With ``long``, declarations over several lines are found too. Without, one has to end
+    on its line, which spares two passes over the lines.
+
     A method ends on the first line, at or after the one with its opening brace, where
     the balance is back to what it was before the declaration. Such a line either is the
     one with the brace or crosses that depth downwards, so each crossing is listed once
     per depth and a reverse running minimum per (path, depth) finds the end of every
     method: no join of methods with the lines below them. Braces in strings and comments
-    count. A declaration that ends in ``;`` is one line long. An unclosed one ends with
+    count. A declaration that ends in ``;`` ends there. An unclosed one ends with
     the file and has ``closed`` false.
 
     The declarations and brace lines, without other text, are written once to the
@@ -104,8 +126,17 @@ def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS, reuse: bool = F
         Running("_last", "max", F.col("line_no"), reverse=True),
     ]
     balanced = running(lines.withColumn("_net", net), ["path"], "line_no", specs, block_rows)
-    kept = with_declarations(balanced).where(F.col("name").isNotNull() | has_open | (F.col("_net") < 0))
-    columns = ["path", "line_no", "_balance", "_net", "_open", "_last", *_DECLARED, has_open.alias("_has_open")]
+    declared = with_declarations(balanced).withColumn("_decl", F.col("line_no"))
+    if long:
+        more = long_declarations(lines, block_rows).select(
+            F.col("path").alias("_lp"), F.col("start_line").alias("_ll"), F.col("last_line"), *[F.col(c).alias(f"_l{c}") for c in _DECLARED]
+        )
+        joined = declared.join(more, (F.col("path") == F.col("_lp")) & (F.col("line_no") == F.col("_ll")), "left")
+        own = F.col("name").isNotNull()
+        parts = {c: F.when(own, F.col(c)).otherwise(F.col(f"_l{c}")) for c in _DECLARED}
+        declared = joined.withColumns({"_decl": F.when(own, F.col("_decl")).otherwise(F.coalesce("last_line", "_decl")), **parts})
+    kept = declared.where(F.col("name").isNotNull() | has_open | (F.col("_net") < 0))
+    columns = ["path", "line_no", "_balance", "_net", "_open", "_last", "_decl", *_DECLARED, has_open.alias("_has_open")]
     marked = cut_lineage(kept.select(*columns))
     found = marked.where("name is not null").withColumnRenamed("line_no", "start_line")
 
@@ -129,7 +160,7 @@ def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS, reuse: bool = F
         F.col("path").alias("_p"), F.col("depth").alias("_d"), F.col("at").alias("_a"), "_end"
     )
     on = (F.col("path") == F.col("_p")) & (F.col("_depth") == F.col("_d")) & (F.col("_open") == F.col("_a"))
-    end = F.when(one_line, F.col("start_line")).when(immediate, F.col("_open")).otherwise(F.col("_end"))
+    end = F.when(one_line, F.col("_decl")).when(immediate, F.col("_open")).otherwise(F.col("_end"))
     index = found.join(following, on, "left").select(
         "path",
         "name",

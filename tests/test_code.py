@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from rundiff.operators import frames, methods, resolve, results
+from rundiff.operators import frames, methods, resolve, results, statements
 from rundiff.plans import traces
 
 
@@ -321,3 +321,81 @@ def test_results(spark):
 
     key = results.result_key(F.lit("r"), F.lit("a.B"), F.lit(None).cast("string"))
     assert spark.range(1).select(key).head()[0] == hashlib.sha256(b"r::a.B::unknown").hexdigest()[:16]
+
+
+def lexed(text):
+    """{line: whether it starts in a comment} and the code without comments and quoted texts, by a plain automaton."""
+    states, code, inside = {}, {}, False
+    for n, line in enumerate(text.split("\n"), 1):
+        states[n], out, i = inside, "", 0
+        while i < len(line):
+            two = line[i : i + 2]
+            quoted = re.match(r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')""", line[i:])
+            if inside:
+                inside, i = two != "*/", i + (2 if two == "*/" else 1)
+            elif quoted:
+                out, i = out + " ", i + quoted.end()
+            elif two == "//":
+                break
+            elif two == "/*":
+                out, inside, i = out + " ", True, i + 2
+            else:
+                out, i = out + line[i], i + 1
+        code[n] = out
+    return states, code
+
+
+def long_statements(code):
+    """(start, last, statement) of statements over several lines, word by word."""
+    out, part = [], []
+    for n, line in sorted(code.items()):
+        for piece in re.findall(r"[^{};]*[{};]|[^{};]+", line):
+            piece = " ".join(piece.split())
+            if piece and not re.fullmatch(r"(?:@\w+(?:\.\w+)*(?:\s*\([^)]*\))?\s*)+", piece):
+                part.append((n, piece))
+            if piece and piece[-1] in "{};":
+                if part and part[0][0] < part[-1][0] and piece[-1] != "}":
+                    out.append((part[0][0], part[-1][0], " ".join(p for _, p in part)))
+                part = []
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 1 << 20])
+def test_statements_over_lines_equal_an_automaton(spark, block):
+    rng = random.Random(17)
+    marks = ["/*", "*/", "/*/", "//", '"', "'", "\\", "{", "}", ";", "a", "int b", "(", ")", " ", " ", "@X ", "f(c,"]
+    files = {f"f{i}": "\n".join("".join(rng.choices(marks, k=rng.randint(0, 6))) for _ in range(rng.randint(1, 25))) for i in range(120)}
+    files["empty"], files["one"] = "", "void f(\nint a)\n{"
+    lines = methods.source_lines(spark.createDataFrame(list(files.items()), "path string, content string"))
+    states, found = {p: {} for p in files}, {p: [] for p in files}
+    for r in statements.with_comment_state(lines, block_rows=block).collect():
+        states[r.path][r.line_no] = r.in_comment
+    for r in statements.long_statements(lines, block).collect():
+        found[r.path].append((r.start_line, r.last_line, r.statement))
+    for path, text in files.items():
+        expected, code = lexed(text)
+        assert states[path] == expected, text
+        assert sorted(found[path]) == [(a, b, re.sub(r"^(?:@\w+(?:\.\w+)*(?:\s*\([^)]*\))?\s*)+", "", s)) for a, b, s in long_statements(code)], text
+
+
+def test_declarations_over_lines(spark):
+    text = """class A {
+  @Deprecated
+  public <T> Map<String,
+      T> both(int a, /* b;
+      */ List<T> c)
+      throws X,
+        Y
+  {
+    if (a
+      > 0) { go(a,
+      c); }
+  }
+  void one() { }
+  int open(
+"""
+    lines = methods.source_lines(spark.createDataFrame([("A.java", text)], "path string, content string"))
+    got = {r.name: r for r in methods.method_index(lines, 4, long=True).collect()}
+    assert set(got) == {"both", "one"} and got["one"].start_line == got["one"].end_line == 13
+    both = got["both"]
+    assert (both.start_line, both.end_line, both.closed, both.parameters, both.modifiers) == (3, 12, True, ["int a", "List<T> c"], ["public"])

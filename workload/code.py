@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rundiff.operators import frames, methods, resolve, results
 from rundiff.plans import traces
 from workload import inputs
-from workload.inputs import NOW, RESULTS, SOURCES, TRACE_LINES
+from workload.inputs import LONG_SOURCES, NOW, RESULTS, SOURCES, TRACE_LINES
 from workload.registry import query
 
 # Frames repeat in the trace lines; the parse queries report each distinct line with its count.
@@ -273,6 +273,49 @@ def method_index(spark, sf_dir):
     )
 
 
+# Declarations on one line, and those whose lines, from one after the end of a statement to another, put together declare a method.
+LONG_METHODS = METHODS.replace("declared AS (", "declared_here AS (").split("ends AS (")[0] + rf"""
+commented AS (SELECT *, coalesce(sum((contains(text, '/*'))::INT - (contains(text, '*/'))::INT) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0
+    OR contains(text, '/*') AS remark FROM source_lines),
+bare AS (SELECT path, line_no, trim(regexp_replace(regexp_replace(regexp_replace(text, '"[^"]*"', ' ', 'g'), '//.*', ''), '\s+', ' ', 'g')) AS code FROM commented WHERE NOT remark),
+listed AS (SELECT *, row_number() OVER w AS i, lag(code) OVER w AS above FROM bare WHERE code <> '' AND NOT regexp_matches(code, '^@\w+$') WINDOW w AS (PARTITION BY path ORDER BY line_no)),
+joined AS (SELECT a.path, a.line_no AS start_line, b.line_no AS last, (SELECT string_agg(code, ' ' ORDER BY line_no) FROM listed c WHERE c.path = a.path AND c.i BETWEEN a.i AND b.i) AS s
+  FROM listed a JOIN listed b ON b.path = a.path AND b.i BETWEEN a.i + 1 AND a.i + 9 WHERE a.above IS NULL OR regexp_matches(a.above, '[{{}};]$')),
+declared AS (SELECT path, name, return_type, args, start_line, signature, depth, last_line, start_line AS last FROM declared_here
+  UNION ALL SELECT j.path, regexp_extract(s, {_DECL}, 2), regexp_extract(s, {_DECL}, 1), trim(regexp_extract(s, {_DECL}, 3)), start_line, s, b.balance - b.net, b.last_line, last
+  FROM joined j JOIN (SELECT path, line_no, balance, net, last_line FROM balanced) b ON b.path = j.path AND b.line_no = j.start_line
+  WHERE regexp_full_match(s, '[^{{}};]*[{{;]') AND regexp_matches(s, {_DECL})),
+ends AS (SELECT d.path AS p, d.start_line AS l, min(b.line_no) AS e FROM declared d JOIN balanced b ON b.path = d.path AND b.line_no >= d.last AND b.balance <= d.depth GROUP BY 1, 2),
+methods AS (SELECT path, name, return_type, args, start_line, signature, CASE WHEN signature LIKE '%;' THEN last ELSE coalesce(e, last_line) END AS end_line,
+    signature LIKE '%;' OR e IS NOT NULL AS closed, last FROM declared LEFT JOIN ends ON p = path AND l = start_line)"""
+
+
+@query(
+    LONG_SOURCES,
+    LONG_METHODS,
+    select="""SELECT path, name, return_type, args AS parameters, start_line, end_line, closed, signature,
+  concat_ws(',', CASE WHEN signature LIKE 'public %' THEN 'public' END, CASE WHEN signature LIKE '% static %' THEN 'static' END) AS modifiers
+FROM methods""",
+)
+def method_multiline(spark, sf_dir):
+    index = methods.method_index(inputs.long_sources(spark, sf_dir), long=True)
+    return index.withColumns({"parameters": F.array_join("parameters", ", "), "modifiers": F.array_join("modifiers", ",")})
+
+
+@query(
+    LONG_SOURCES,
+    LONG_METHODS,
+    select="""SELECT path, name AS method, start_line, end_line, signature, start_line = min(start_line) OVER (PARTITION BY path, name) AS is_default,
+  count(*) OVER (PARTITION BY path, name) AS candidates FROM methods WHERE name = 'm' || regexp_extract(path, '/p(\d+)/', 1)""",
+)
+def method_overloads(spark, sf_dir):
+    index = methods.method_index(inputs.long_sources(spark, sf_dir), reuse=True, long=True)
+    requests = index.select("path", F.concat(F.lit("m"), F.regexp_extract("path", "/p([0-9]+)/", 1)).alias("method")).distinct()
+    found = methods.overloads(requests, index)
+    counts = methods.find_methods(requests, index).select("path", "method", F.col("overloads").alias("candidates"))
+    return found.join(counts, ["path", "method"]).select("path", "method", "start_line", "end_line", "signature", "is_default", "candidates")
+
+
 @query(
     SOURCES,
     METHODS,

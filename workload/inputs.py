@@ -163,6 +163,29 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LONG_SOURCES = """
+source_lines AS (SELECT path, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS text FROM (
+  SELECT 'com/app/p' || p_size || '/L' || p_partkey || '.java' AS path, string_split(replace(
+    'package com.app.p' || p_size || ';|/* made from part|   int fake(int a,|       int b); */|public class L' || p_partkey || ' {|'
+    || '    @Override|    public static int|        m' || p_size || '(|            int a' || repeat(', // one;|            int b', p_size % 4) || ')|'
+    || CASE WHEN p_size % 3 = 0 THEN '        throws IOException,|            Error|' ELSE '' END || '    {|        call(a, ";",|            b);|        return a;|    }|'
+    || '    int m' || p_size || '(int a) { return a; }|    void later(|        int q);|    void m' || p_size || '(long c,|        int d) {|    }|'
+    || CASE WHEN p_size % 5 = 0 THEN '    void open(int a,|        int b) {|' ELSE '}|' END, '|', chr(10)), chr(10)) AS l FROM part))"""
+
+
+def long_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of source files with declarations over one to six lines, overloads, comments and a last method without an end."""
+    files = table(spark, sf_dir, "part").selectExpr(
+        "concat('com/app/p', p_size, '/L', p_partkey, '.java') AS path",
+        r"""concat('package com.app.p', p_size, ';\n/* made from part\n   int fake(int a,\n       int b); */\npublic class L', p_partkey, ' {\n',
+             '    @Override\n    public static int\n        m', p_size, '(\n            int a', repeat(', // one;\n            int b', p_size % 4), ')\n',
+             CASE WHEN p_size % 3 = 0 THEN '        throws IOException,\n            Error\n' ELSE '' END, '    {\n        call(a, ";",\n            b);\n        return a;\n    }\n',
+             '    int m', p_size, '(int a) { return a; }\n    void later(\n        int q);\n    void m', p_size, '(long c,\n        int d) {\n    }\n',
+             CASE WHEN p_size % 5 = 0 THEN '    void open(int a,\n        int b) {\n' ELSE '}\n' END) AS content""",
+    )
+    return source_lines(files)
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source lines ``path, line_no, text``."""
     return source_lines(source_files(spark, sf_dir))
