@@ -12,7 +12,9 @@ from rundiff.session import cut_lineage
 from rundiff.sources.csv import NA_TOKENS, TRUE_TOKENS, cell_kinds, csv_headers, rows_of_records
 from rundiff.sources.csv import csv_records as read_records
 from rundiff.sources.files import list_files
-from rundiff.sources.xml import read_xml, root_elements
+from rundiff.sources.xml_events import read_xml_events, xml_json
+
+_ROW_PIECES = 4096  # pieces of a document in one row of its parts
 
 
 def json_value(c: Column) -> Column:
@@ -147,10 +149,7 @@ def convert_batch(
     if "csv" in kinds:
         done = done.unionByName(_convert_csv(spark, f"{folder}/{{*.[cC][sS][vV]}}", f"{out}/csv", glob, metadata, encoding))
     if "xml" in kinds:
-        documents = cut_lineage(_xml_documents(spark, f"{folder}/{{*.[xX][mM][lL]}}", glob))
-        readable = documents.where("error is null").select(file_key(name).alias("file"), "document")
-        readable.write.mode("overwrite").partitionBy("file").text(f"{out}/xml")
-        done = done.unionByName(documents.groupBy(name.alias("file_name")).agg(F.max("error").alias("error")))
+        done = done.unionByName(_convert_xml(spark, f"{folder}/{{*.[xX][mM][lL]}}", f"{out}/xml", glob))
     nothing = F.when(F.col("extension") == "csv", "no columns to parse").otherwise("no element found")
     statuses = listed.join(done.withColumn("_seen", F.lit(True)), "file_name", "left")
     error = F.coalesce("rejected", "error", F.when(F.col("_seen").isNull(), nothing))
@@ -184,20 +183,27 @@ def _bare_lines(records: DataFrame, files: DataFrame) -> DataFrame:
     return lines.unionByName(files.select("file_id", ends.alias("e")).select("file_id", "e.pos", "e.text"))
 
 
-def _xml_documents(spark: SparkSession, paths: str, glob: str) -> DataFrame:
-    """``file_id, document, error`` of every XML file with an element; one scan per distinct root element."""
-    roots = cut_lineage(root_elements(spark, paths, glob))
-    out = spark.createDataFrame([], "file_id string, document string, error string")
-    for tag in sorted(r["root_element"] for r in roots.where("root_element <> ''").select("root_element").distinct().collect()):
-        own = roots.where(F.col("root_element") == tag).select("file_id")
-        table = read_xml(spark, paths, tag)
-        if set(table.columns) <= {"file_id", "_corrupt_record"}:  # not one element was readable
-            found = own.select("file_id", F.lit(None).cast("string").alias("document"), F.lit(False).alias("well_formed"))
-        else:
-            found = own.join(xml_envelopes(table, tag), "file_id", "left")
-        failed = F.when(~F.coalesce("well_formed", F.lit(False)), F.lit("not well-formed XML"))
-        out = out.unionByName(found.select("file_id", "document", failed.alias("error")))
-    return out
+def _convert_xml(spark: SparkSession, paths: str, out: str, glob: str) -> DataFrame:
+    """Writes an envelope per well-formed XML file; ``file_name, error`` of every file with anything in it.
+
+    Pieces are sorted over all tasks by file and place, and a part holds its pieces in rows of bounded number.
+    """
+    name = F.url_decode(F.substring_index("file_id", "/", -1))
+    events = read_xml_events(spark, paths, glob)
+    metadata = F.to_json(F.struct(F.col("file_id").alias("source_file"), F.lit("xml").alias("file_type"), "root_element"))
+    ends = F.array(
+        F.struct(F.array(F.lit(-1).cast("long")).alias("path"), F.concat(F.lit('{"metadata":'), metadata, F.lit(',"data":{')).alias("text")),
+        F.struct(F.array(F.lit((1 << 63) - 1)).alias("path"), F.lit("}}").alias("text")),
+    )
+    pieces = xml_json(events).select("file_id", "path", F.concat("lead", "body", "shut").alias("text"))
+    pieces = pieces.unionByName(events.files.where("error is null").select("file_id", F.inline(ends)))
+    ordered = pieces.repartitionByRange("file_id", "path").sortWithinPartitions("file_id", "path")
+    ordered = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    glued = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "text"))), lambda p: p["text"]), "")
+    rows = ordered.groupBy("file_id", F.floor(F.col("_at") / _ROW_PIECES).alias("_row")).agg(glued.alias("text"))
+    placed = rows.withColumn("file", file_key(name)).repartitionByRange("file", "_row").sortWithinPartitions("file", "_row")
+    placed.select("file", "text").write.mode("overwrite").partitionBy("file").text(out)
+    return events.files.select(name.alias("file_name"), "error")
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:

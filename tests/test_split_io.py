@@ -1,14 +1,16 @@
 import json
+import random
+from xml.parsers import expat
 
 import pytest
 from pyspark.sql import functions as F
 
-from rundiff.operators import noise, split
+from rundiff.operators import automaton, noise, split
 from rundiff.plans.convert import split_and_convert
 from rundiff.plans.prompts import prompt_table
 from rundiff.sinks.json import convert_batch, csv_metadata, csv_records, envelope_lines, file_of_key, status_counts
 from rundiff.sinks.parts import manifest_totals, write_parts
-from rundiff.sources import csv, files, xml
+from rundiff.sources import csv, files, xml, xml_events
 
 
 @pytest.fixture
@@ -253,3 +255,94 @@ def test_prompts(spark):
     assert "Part 2 of 2" in prompt_table(chunks, "{part}: {text}").orderBy("chunk_id").collect()[1].prompt
     with pytest.raises(ValueError):
         prompt_table(chunks, "custom", file_a="a", file_b="b")
+
+
+def plain_xml(text):
+    """What an XML text is in JSON, by a streaming parser; None if it is not well-formed."""
+    stack, root = [], {}
+
+    def start(tag, attributes):
+        stack.append((tag, {f"@{k}": v for k, v in attributes.items()}, []))
+
+    def end(tag):
+        _, item, texts = stack.pop()
+        text = "".join(texts).strip(" \t\n\r")
+        value = {**item, **({"#text": text} if text else {})} if item else text or None
+        into = stack[-1][1] if stack else root
+        into.setdefault(tag, []).append(value) if isinstance(into.get(tag, []), Several) else into.update({tag: value if tag not in into else Several([into[tag], value])})
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = lambda t: stack[-1][2].append(t)
+    try:
+        parser.Parse(text, True)
+    except expat.ExpatError:
+        return None
+    return root
+
+
+class Several(list):
+    """Elements of one tag."""
+
+
+XML_FILES = {
+    "plain.xml": XML,
+    "mixed.xml": "<a>one <b/> two<c>\n x </c> three  </a>",
+    "order.xml": "<r><a>1</a><b>2</b><a>3</a><c><a k='1'/><d/><a/></c><b/></r>",
+    "refs.xml": "<r a='&lt;&quot;x&gt;y&#33;' b=\"it's\">&amp;lt; &#x1F600;&#233; \\ \"q\"</r>",
+    "cdata.xml": "<?xml version='1.0'?><!-- <x> --><r><![CDATA[<y a='1'> & ]]]]><![CDATA[>]]><!-- a > b <z/> --><s>t<![CDATA[]]></s></r><!-- end -->",
+    "pi.xml": "<r><?p <q> ?>k<?p?></r>\n",
+    "many.xml": "<r>" + "".join(f"<i n='{i}'>{'v' * (i % 3)}<!-- <i> --></i>\n" for i in range(400)) + "</r>",
+    "deep.xml": "<d>" * 5 + "x" + "</d>" * 5,
+    "bom.xml": "\ufeff<r/>",
+    "crossed.xml": "<a><b></a></b>",
+    "open.xml": "<a><b></b>",
+    "two.xml": "<a/><b/>",
+    "text.xml": "<a/>x",
+    "before.xml": "x<a/>",
+    "twice.xml": "<a k='1' k='2'/>",
+    "unclosed.xml": "<a><!-- </a>",
+    "entity.xml": "<a>&nope;</a>",
+    "tag.xml": "<a b=1></a>",
+    "stray.xml": "<a></a></a>",
+}
+
+
+@pytest.mark.parametrize("split", [None, 2048])
+def test_xml_events(spark, tmp_path, split):
+    for name, text in XML_FILES.items():
+        write(tmp_path / "in" / name, text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        events = xml_events.read_xml_events(spark, str(tmp_path / "in"), block_rows=64 if split else 1 << 20)
+        pieces = xml_events.xml_json(events).orderBy("file_id", "path").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    name = lambda r: r.file_id.rsplit("/", 1)[1]
+    texts = {}
+    for r in pieces:
+        texts[name(r)] = texts.get(name(r), "{") + r.lead + r.body + r.shut
+    expected = {n: plain_xml(t) for n, t in XML_FILES.items()}
+    assert {name(r) for r in events.files.collect() if r.error} == {n for n, e in expected.items() if e is None}
+    assert {n: json.loads(t + "}") for n, t in texts.items()} == {n: e for n, e in expected.items() if e is not None}
+    assert {n: list(json.loads(t + "}")) for n, t in texts.items()} == {n: list(e) for n, e in expected.items() if e is not None}
+
+
+def test_xml_rows(spark, tmp_path):
+    write(tmp_path / "o.xml", XML_FILES["order.xml"])
+    pieces = xml_events.xml_json(xml_events.read_xml_events(spark, str(tmp_path)))
+    got = [json.loads(r.record) for r in xml_events.xml_rows(pieces, 1).orderBy("pos").collect()]
+    assert got == ["1", "2", "3", {"a": [{"@k": "1"}, None], "d": None}, None]
+
+
+def test_states_along_long_sequences(spark):
+    rng = random.Random(5)
+    rows = [(k, i, [rng.randrange(3) for _ in range(3)]) for k in "ab" for i in range(rng.choice([1, 90]))]
+    got = automaton.with_state(spark.createDataFrame(rows, "k string, i long, m array<int>"), ["k"], "i", "m", 3, width=4)
+    state = {}
+    found = {(r.k, r.i): r.state for r in got.collect()}
+    for k, i, m in rows:
+        assert found[k, i] == state.get(k, 0)
+        state[k] = m[state.get(k, 0)]
