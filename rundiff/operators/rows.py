@@ -14,6 +14,7 @@ from rundiff.operators.ordered import BLOCK_ROWS, Running, running
 from rundiff.session import cut_lineage
 
 RANGE_TYPE = "data_mismatch"
+DIGEST_ROWS = 4096  # rows of one digest
 
 
 def trimmed_header(df: DataFrame) -> DataFrame:
@@ -76,27 +77,52 @@ def pair_rows(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), columns: Seq
     )
 
 
-def with_ranges(pairs: DataFrame, keys: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Keep the differing rows and give each the first row of its range.
+def differing_blocks(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str], block_rows: int = DIGEST_ROWS) -> DataFrame:
+    """``keys, block``: the blocks of ``block_rows`` rows that are not the same on both sides.
 
-    A range starts right after the last equal row, so one running maximum over the
-    equal rows finds it; the start identifies the range. A file pair of which one file
-    has no rows at all has no ranges; row 0, present on both sides or not, tells.
+    The digest of a block is the exclusive or of two 64-bit hashes of its rows, each with its number, over both sides:
+    rows that agree cancel out. Rows are folded before the shuffle, so it moves a row per block, whatever the size of
+    the tables. A file pair of which one file has no rows at all has no blocks.
     """
-    two_sided = F.col("a").isNotNull() & F.col("b").isNotNull()
-    specs = [
-        Running("_equal", "max", F.when(~F.col("differs"), F.col("row_idx"))),
-        Running("_both", "max", F.when(F.col("row_idx") == 0, two_sided)),
-    ]
-    # written once, as the running values read it twice; rows that agree need no text
-    differs = F.col("differs")
-    slim = pairs.withColumns({c: F.when(differs, F.col(c)) for c in ("a_line", "b_line")})
-    marked = running(cut_lineage(slim), keys, "row_idx", specs, block_rows)
-    return (
-        marked.where(F.col("differs") & F.col("_both"))
-        .withColumn("range_start", F.coalesce(F.col("_equal"), F.lit(-1)) + 1)
-        .drop("_equal", "_both", "differs")
-    )
+    keys = list(keys)
+
+    def hashed(df: DataFrame, side: int) -> DataFrame:
+        cells = [strip(F.col(f"`{c}`").cast("string")) for c in columns]
+        parts = [F.col("row_idx"), *[p for c in cells for p in (c.isNull(), c)]]
+        block = F.floor(F.col("row_idx") / block_rows).alias("block")
+        return df.select(*keys, block, F.lit(side).alias("_side"), F.xxhash64(*parts).alias("_x"), F.xxhash64(F.lit("second"), *parts).alias("_y"))
+
+    both = hashed(a, 1).union(hashed(b, 2))
+    sides = F.max((F.col("_side") == 1).cast("int")) + F.max((F.col("_side") == 2).cast("int")) * 2
+    blocks = cut_lineage(both.groupBy(*keys, "block").agg(F.bit_xor("_x").alias("_x"), F.bit_xor("_y").alias("_y"), sides.alias("_sides")))
+    # the first block tells whether both files have rows
+    paired = blocks.where("block = 0 AND _sides = 3").select(*keys, F.lit(True).alias("_paired"))
+    changed = blocks.where("_x <> 0 OR _y <> 0").select(*keys, "block")
+    return changed.join(paired, keys, "left_semi") if keys else changed.where(F.lit(not paired.isEmpty()))
+
+
+def differing_rows(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] | None = None, digest_rows: int = DIGEST_ROWS) -> DataFrame:
+    """The row pairs that differ, as ``pair_rows`` gives them: only blocks of rows that differ are paired."""
+    a, b = trimmed_header(a), trimmed_header(b)
+    if columns is None:
+        columns = common_columns(a, b, [*keys, "row_idx"])
+    if columns:
+        blocks = cut_lineage(differing_blocks(a, b, keys, columns, digest_rows))
+        block = F.floor(F.col("row_idx") / digest_rows)
+        a, b = (df.withColumn("block", block).join(blocks, [*keys, "block"], "left_semi").select(df.columns) for df in (a, b))
+    return pair_rows(a, b, keys, columns).where("differs")
+
+
+def with_ranges(differing: DataFrame, keys: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Give each differing row the first row of its range, which identifies the range.
+
+    Along a range the row number and the count of differing rows up to it grow alike, so their difference is the same
+    for all its rows and tells it from other ranges. Only rows that differ are written.
+    """
+    numbered = running(cut_lineage(differing.drop("differs")), keys, "row_idx", [Running("_n", "sum", F.lit(1).cast("long"))], block_rows)
+    numbered = numbered.withColumn("_range", F.col("row_idx") - F.col("_n")).drop("_n")
+    starts = numbered.groupBy(*keys, "_range").agg(F.min("row_idx").alias("range_start"))
+    return numbered.join(starts, [*keys, "_range"]).drop("_range")
 
 
 def conflict_ranges(ranged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -38,13 +38,16 @@ def compare_rows(
     columns: Sequence[str] | None = None,
     block_rows: int = BLOCK_ROWS,
     reuse: bool = False,
+    digest_rows: int = rows.DIGEST_ROWS,
 ) -> RowComparison:
     """Positional comparison of two tables with a dense ``row_idx``.
 
+    Blocks of rows are compared by digest first; only those that differ are paired, and only rows that differ are
+    written. The tables are read twice, so number their rows cheaply, as a file scan does.
     ``reuse`` writes the differing rows to the checkpoint folder, so that several reports
     on them do not compare the tables again.
     """
-    pairs = rows.with_ranges(rows.pair_rows(a, b, keys, columns), keys, block_rows)
+    pairs = rows.with_ranges(rows.differing_rows(a, b, keys, columns, digest_rows), keys, block_rows)
     pairs = cut_lineage(pairs) if reuse else pairs
     return RowComparison(pairs, rows.conflict_ranges(pairs, keys), tuple(keys))
 

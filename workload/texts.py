@@ -15,6 +15,7 @@ from rundiff.session import shared_folder
 from rundiff.sinks.json import convert_batch, csv_metadata, csv_records, envelope_lines, status_counts
 from rundiff.sources.csv import read_csv
 from rundiff.sources.xml import parse_xml
+from rundiff.sources.xml_events import read_xml_events, xml_json, xml_rows
 from workload.diffs import SHAPE, _compared_whole, _pairs
 from workload.inputs import CALLS, DOC_LINES, PROFILE_TEXT, RUN_ROWS, doc_lines, profile_text, table
 from workload.registry import query
@@ -408,6 +409,38 @@ def xml_nested(spark, sf_dir):
     )
 
 
+@query(
+    select="""SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR) AS price,
+  CASE WHEN o_orderstatus = 'F' THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 2 END AS tags, o_orderpriority || '<&>' AS last_tag,
+  'orders' AS root, CAST(NULL AS VARCHAR) AS error FROM orders"""
+)
+def xml_files(spark, sf_dir):
+    """All orders through one XML file for each priority, with comments and literal texts, and back by their events."""
+    lines = """concat('<order id="', o_orderkey, '">\n  <status>', o_orderstatus, '</status><price currency="', CASE WHEN o_orderstatus = 'F' THEN 'EUR' ELSE 'USD' END, '">',
+      cast(o_totalprice as decimal(12, 2)), '</price>', CASE WHEN o_orderstatus = 'P' THEN '' ELSE '<tag>first</tag><!-- <tag> -->' END, '<tag><![CDATA[', o_orderpriority, '<&>]]></tag></order>')"""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_orderkey").cast("long").alias("at"), F.expr(lines).alias("text"))
+    ends = F.array(F.struct(F.lit(-1).cast("long").alias("at"), F.lit('<?xml version="1.0"?>\n<orders>').alias("text")), F.struct(F.lit(2**62).alias("at"), F.lit("</orders>").alias("text")))
+    whole = orders.union(orders.select("p").distinct().select("p", F.inline(ends)))
+    folder = f"{shared_folder(spark)}/rundiff-xml-{uuid.uuid4().hex}"
+    whole.repartition("p").sortWithinPartitions("p", "at").select("p", "text").write.partitionBy("p").text(folder)
+    events = read_xml_events(spark, f"{folder}/*/*.txt", "*")
+    schema = "`@id` string, status string, price struct<`@currency`: string, `#text`: string>, tag string"
+    rows = xml_rows(xml_json(events), 1).select("file_id", F.from_json("record", schema).alias("x"), F.get_json_object("record", "$.tag").alias("tag"))
+    listed = F.from_json("tag", "array<string>")
+    several = F.col("tag").startswith("[")
+    return rows.join(events.files, "file_id").select(
+        F.col("x.@id").cast("long").alias("o_orderkey"),
+        F.col("x.@id").alias("id"),
+        F.col("x.status").alias("status"),
+        F.col("x.price.#text").alias("price"),
+        F.col("x.price.@currency").alias("currency"),
+        F.when(several, F.size(listed)).otherwise(1).alias("tags"),
+        F.when(several, F.element_at(listed, -1)).otherwise(F.col("tag")).alias("last_tag"),
+        F.col("root_element").alias("root"),
+        "error",
+    )
+
+
 @query(
     DOC_LINES,
     select=r"""SELECT doc_id, bool_and(regexp_full_match(line, '[\x00-\x7F]*')) AS ascii_as_latin1,
