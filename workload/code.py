@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rundiff.operators import frames, methods, resolve, results
 from rundiff.plans import traces
+from rundiff.session import shared_folder
 from workload import inputs
 from workload.inputs import LONG_SOURCES, NOW, RESULTS, SOURCES, TRACE_LINES
 from workload.registry import query
@@ -305,7 +308,7 @@ def method_multiline(spark, sf_dir):
 @query(
     LONG_SOURCES,
     LONG_METHODS,
-    select="""SELECT path, name AS method, start_line, end_line, signature, start_line = min(start_line) OVER (PARTITION BY path, name) AS is_default,
+    select=r"""SELECT path, name AS method, start_line, end_line, signature, start_line = min(start_line) OVER (PARTITION BY path, name) AS is_default,
   count(*) OVER (PARTITION BY path, name) AS candidates FROM methods WHERE name = 'm' || regexp_extract(path, '/p(\d+)/', 1)""",
 )
 def method_overloads(spark, sf_dir):
@@ -466,6 +469,15 @@ def code_size(spark, sf_dir):
     return traces.needs_chunking(_context(spark, sf_dir))
 
 
+ANSWERS = """
+found AS (SELECT r.line, r.n, r.class_fqn, r.method, z.path, z.strategy, min(m.start_line) FILTER (m.name = r.method) AS x,
+    min(m.start_line) FILTER (lower(m.name) = lower(r.method)) AS c, min(m.start_line) FILTER (contains(lower(m.name), lower(r.method))) AS p, count(m.name) AS k
+  FROM reference r LEFT JOIN resolved z ON z.class_fqn = r.class_fqn AND z.explicit_path IS NOT DISTINCT FROM r.explicit_path
+    LEFT JOIN methods m ON m.path = z.path GROUP BY ALL),
+answers AS (SELECT *, CASE WHEN path IS NULL THEN 'file_not_found' WHEN method IS NOT NULL AND coalesce(x, c, p) IS NULL THEN 'method_not_found' END AS reason,
+  CASE WHEN path IS NULL THEN 'error' WHEN coalesce(x, c, p) IS NOT NULL THEN 'specific_method' WHEN k > 0 THEN 'all_methods' ELSE 'full_file' END AS extraction_type FROM found)"""
+
+
 @query(
     TRACE_LINES,
     LINES,
@@ -473,13 +485,7 @@ def code_size(spark, sf_dir):
     SOURCES,
     RESOLVED,
     METHODS,
-    """
-found AS (SELECT r.line, r.n, r.class_fqn, r.method, z.path, z.strategy, min(m.start_line) FILTER (m.name = r.method) AS x,
-    min(m.start_line) FILTER (lower(m.name) = lower(r.method)) AS c, min(m.start_line) FILTER (contains(lower(m.name), lower(r.method))) AS p, count(m.name) AS k
-  FROM reference r LEFT JOIN resolved z ON z.class_fqn = r.class_fqn AND z.explicit_path IS NOT DISTINCT FROM r.explicit_path
-    LEFT JOIN methods m ON m.path = z.path GROUP BY ALL),
-answers AS (SELECT *, CASE WHEN path IS NULL THEN 'file_not_found' WHEN method IS NOT NULL AND coalesce(x, c, p) IS NULL THEN 'method_not_found' END AS reason,
-  CASE WHEN path IS NULL THEN 'error' WHEN coalesce(x, c, p) IS NOT NULL THEN 'specific_method' WHEN k > 0 THEN 'all_methods' ELSE 'full_file' END AS extraction_type FROM found)""",
+    ANSWERS,
     select="""SELECT line, n, class_fqn, method, path, strategy, coalesce(x, c, p) AS start_line, reason, extraction_type,
   CASE WHEN reason IS NULL THEN 'success' ELSE 'failure' END AS status FROM answers""",
 )
@@ -611,3 +617,69 @@ def result_reused(spark, sf_dir):
     return results.reused_results(_asked(spark, sf_dir), stored, _now()).select(
         "key", "data", "access_count", "entry_type"
     )
+
+
+@query(
+    TRACE_LINES,
+    LINES,
+    REFERENCE,
+    SOURCES,
+    RESOLVED,
+    METHODS,
+    ANSWERS,
+    select="""SELECT line, n, reason, CASE reason WHEN 'file_not_found' THEN 'Verify class name spelling|Check repository path|Provide explicit file path|Check if file exists in repository'
+    WHEN 'method_not_found' THEN 'Check method name spelling|Choose from available methods|Verify the method exists in this class' END AS suggestions,
+  CASE WHEN reason = 'file_not_found' THEN CASE WHEN a.explicit_path IS NOT NULL THEN a.explicit_path
+    ELSE list_aggregate(list_transform(['', 'src/main/java/', 'src/test/java/', 'src/java/', 'src/', 'test/java/', 'tests/src/'], lambda d: d || translate(split_part(class_fqn, '$', 1), '.', '/') || '.java'), 'string_agg', '|') END END AS searched,
+  CASE WHEN reason = 'method_not_found' THEN (SELECT string_agg(name, ',' ORDER BY start_line) FROM methods m WHERE m.path = a.path) END AS choices
+FROM (SELECT DISTINCT a.*, r.explicit_path FROM answers a JOIN reference r USING (line)) a WHERE reason IS NOT NULL""",
+)
+def trace_failures(spark, sf_dir):
+    """Lines without an answer, with what was tried and what to choose from; a third of the classes have no file."""
+    lines, index = _lines(spark, sf_dir), _index(spark, sf_dir)
+    lost = traces.resolve_traces(lines, _catalog(spark, sf_dir), index).where("reason is not null")
+    choices = traces.available_methods(lost, index).where("piece_no = 0").select("path", F.array_join("name", ",").alias("choices"))
+    missed = F.when(F.col("reason") == "method_not_found", F.col("choices"))
+    return lost.join(choices, "path", "left").select(
+        "line", "n", "reason", F.array_join("suggestions", "|").alias("suggestions"), F.array_join("searched_paths", "|").alias("searched"), missed.alias("choices")
+    )
+
+
+@query(
+    TRACE_LINES,
+    LINES,
+    REFERENCE,
+    SOURCES,
+    RESOLVED,
+    METHODS,
+    ANSWERS,
+    select="""SELECT CASE WHEN reason IS NULL THEN 'success' ELSE 'failure' END AS status, reason, extraction_type, a.explicit_path IS NOT NULL AS provided,
+  count(*) AS traces, count(DISTINCT class_fqn) AS classes, count(a.method) AS methods
+FROM (SELECT DISTINCT a.*, r.explicit_path FROM answers a JOIN reference r USING (line)) a GROUP BY 1, 2, 3, 4""",
+)
+def trace_export(spark, sf_dir):
+    """Resolved lines written as nested JSON and read back."""
+    folder = f"{shared_folder(spark)}/rundiff-traces-{uuid.uuid4().hex}"
+    traces.export_traces(traces.resolve_traces(_lines(spark, sf_dir), _catalog(spark, sf_dir), _index(spark, sf_dir)), folder)
+    schema = """stack_trace_info struct<class_fqn: string, method: string, file_path_provided: boolean, explicit_path: string>,
+      analysis_result struct<status: string, reason: string, extraction_type: string>, exported_at timestamp"""
+    read = spark.read.schema(schema).json(folder)
+    keys = [F.col(f"analysis_result.{c}").alias(c) for c in ("status", "reason", "extraction_type")]
+    return read.groupBy(*keys, F.col("stack_trace_info.file_path_provided").alias("provided")).agg(
+        F.count("exported_at").alias("traces"), F.countDistinct("stack_trace_info.class_fqn").alias("classes"), F.count("stack_trace_info.method").alias("methods")
+    )
+
+
+@query(
+    SOURCES,
+    METHODS,
+    DEPS,
+    select="""SELECT d.path, d.name AS caller, d.start_line AS caller_line, dependency AS callee, m.start_line AS callee_line, m.end_line AS callee_end_line
+FROM deps d JOIN methods m ON m.path = d.path AND m.name = dependency JOIN methods c ON c.path = d.path AND c.name = d.name AND c.start_line = d.start_line
+JOIN (SELECT path, count(*) AS n FROM source_lines GROUP BY path) s ON s.path = d.path WHERE n <= 14 OR m.start_line BETWEEN c.start_line AND c.end_line""",
+)
+def near_calls(spark, sf_dir):
+    deps, index = _deps(spark, sf_dir)
+    sizes = methods.file_sizes(inputs.sources(spark, sf_dir))
+    near = methods.near_edges(methods.call_edges(deps, index), index, sizes, large_file_lines=14, near_lines=0)
+    return near.select("path", "caller", "caller_line", "callee", "callee_line", "callee_end_line")

@@ -12,7 +12,7 @@ from rundiff.operators import noise, packing, split
 from rundiff.plans import compare, prompts
 from rundiff.plans.convert import split_and_convert
 from rundiff.session import shared_folder
-from rundiff.sinks.json import convert_batch, csv_metadata, csv_records, envelope_lines, status_counts
+from rundiff.sinks.json import convert_batch, csv_metadata, csv_records, envelope_lines
 from rundiff.sources.csv import read_csv
 from rundiff.sources.xml import parse_xml
 from rundiff.sources.xml_events import read_xml_events, xml_json, xml_rows
@@ -441,33 +441,6 @@ def xml_files(spark, sf_dir):
     )
 
 
-@query(
-    DOC_LINES,
-    select=r"""SELECT doc_id, bool_and(regexp_full_match(line, '[\x00-\x7F]*')) AS ascii_as_latin1,
-  bool_or(length(regexp_replace(line, '[^"]', '', 'g')) % 2 = 1) AS multi_line FROM doc_lines GROUP BY doc_id""",
-)
-def encoding_probe(spark, sf_dir):
-    # the documents written as ISO-8859-1: only pure ASCII ones are valid UTF-8
-    as_bytes = F.encode(F.regexp_replace("line", "[^\\x00-\\xFF]", "é"), "ISO-8859-1").cast("string")
-    return (
-        doc_lines(spark, sf_dir)
-        .withColumn("_bytes", as_bytes)
-        .groupBy("doc_id")
-        .agg(
-            F.bool_and(F.is_valid_utf8("_bytes")).alias("ascii_as_latin1"),
-            F.bool_or(F.length(F.regexp_replace("line", '[^"]', "")) % 2 == 1).alias("multi_line"),
-        )
-    )
-
-
-@query(
-    select="""SELECT CASE WHEN n_chars > 1000 THEN 'Failed' ELSE 'Success' END AS status, count(*) AS files FROM documents GROUP BY 1"""
-)
-def batch_status(spark, sf_dir):
-    status = F.when(F.col("n_chars") > 1000, "Failed").otherwise("Success").alias("status")
-    return status_counts(table(spark, sf_dir, "documents").select(status))
-
-
 def _written(spark, df, name):
     """A table written as CSV to the shared folder, one folder per value of its column ``p``."""
     folder = f"{shared_folder(spark)}/rundiff-{name}-{uuid.uuid4().hex}"
