@@ -367,14 +367,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
 def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked rows: the smallest key, nulls last; same columns.
 
-    Rows are told apart by key and text; of rows that agree in both, one stays. The rows that go are joined, so texts
-    move only if those are many.
+    Rows are told apart by key and text; of rows that agree in both, one stays. Texts move once, to the keys of
+    the rows that go, at every size alike.
     """
     p = free_prefix(docs)
     keyed = docs.withColumn(f"{p}key", row_struct(F.col(key), F.col(text)))
     answers = cut_lineage(ngram_jaccard_join(keyed, width, num, den, f"{p}key", text).select(F.col(f"{p}key").alias("own"), "component_id"))
     gone = cut_lineage(answers.where("own <> component_id").select(F.col("own").alias(f"{p}gone")).distinct())
-    left = keyed.join(gone, F.col(f"{p}key").eqNullSafe(F.col(f"{p}gone")), "left_anti")
+    left = keyed.join(gone.hint("shuffle_hash"), F.col(f"{p}key").eqNullSafe(F.col(f"{p}gone")), "left_anti")
     if not answers.groupBy("own").count().where("count > 1").isEmpty():
         left = left.dropDuplicates([f"{p}key"])
     return only(left, docs.columns)

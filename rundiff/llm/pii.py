@@ -243,5 +243,5 @@ def redact_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds:
     piece = lambda c: F.concat(F.substring(raw, (c["before"] + 1).cast("int"), (c["from"] - c["before"]).cast("int")).cast("string"), F.lit("["), F.upper(F.regexp_replace(c["kind"], "^like_", "")), F.lit("]"))
     last = F.element_at(f"{p}cuts", -1)["to"]
     made = F.concat(F.array_join(F.transform(f"{p}cuts", piece), ""), F.substring(raw, (last + 1).cast("int"), F.octet_length(text)).cast("string"))
-    joined = docs.withColumn(f"{p}row", row_key(F.col(key), F.col(text))).join(by_row, F.col(f"{p}row") == F.col(f"{p}rid"), "left")
+    joined = docs.withColumn(f"{p}row", row_key(F.col(key), F.col(text))).join(by_row.hint("shuffle_hash"), F.col(f"{p}row") == F.col(f"{p}rid"), "left")
     return only(joined.withColumn(text, F.when(F.col(f"{p}cuts").isNull(), F.col(text)).otherwise(made)), docs.columns)
