@@ -140,15 +140,14 @@ def _fit(table):
 def fit_languages(rows: DataFrame, most: int) -> tuple:
     """(languages, models) of all declared languages, each fitted on the starts of texts with the smallest hashes.
 
-    Only hashes are ranked; the texts are picked by the greatest hash that counts, so no task sends more than that, and
-    each language is fitted in a task of its own.
+    Only hashes are ranked and written. Texts are picked by language and hash, so no language owns a task, and texts
+    move only if the picked hashes are too many to send to all tasks. Each language is fitted in a task of its own.
     """
     usable = rows.where("declared IS NOT NULL AND text <> ''").select("declared", F.substring("text", 1, LONGEST_SAMPLE).alias("text"))
     hashed = usable.withColumn("h", F.xxhash64("text"))
     place = F.row_number().over(Window.partitionBy("declared").orderBy("h"))
-    first = hashed.select("declared", "h").distinct().withColumn("place", place).where(F.col("place") <= most)
-    last = first.groupBy("declared").agg(F.max("h").alias("last"))
-    texts = hashed.join(last, "declared").where(F.col("h") <= F.col("last")).groupBy("declared", "h").agg(F.first("text").alias("text"))
+    first = cut_lineage(hashed.select("declared", "h").distinct().withColumn("place", place).where(F.col("place") <= most).drop("place"))
+    texts = hashed.join(first, ["declared", "h"]).groupBy("declared", "h").agg(F.first("text").alias("text"))
     fitted = texts.groupBy("declared").applyInArrow(_fit, "declared string, model binary").orderBy("declared").collect()
     return [r["declared"] for r in fitted], np.array([np.frombuffer(r["model"], np.float32) for r in fitted], dtype=np.float32).reshape(len(fitted), _BINS)
 

@@ -92,6 +92,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+@query()
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op7 over web pages, with all its evidence: markup, address suffix, host and domain."""
+    pages = language.page_evidence(table(spark, sf_dir, "pages"))
+    return language.identify_language(pages, "page_id", "text", "declared", "host", "suffix").drop("row_key")
+
+
 @query()
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -154,8 +161,10 @@ c AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, ran
 d AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
   unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM d),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
-  WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault,
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+  WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault,
   coalesce((lag(role) OVER w)[1] || role[1] NOT IN ('su', 'ua', 'au'), false) AS odd FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
 ins AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', '|user:'), (1, 2, 3, 'I', '|user:'), (3, 2, 3, 'I', '|user:'),
   (2, 3, 3, 'I', '|assistant:'), (0, 3, 6, 'II', '|user:|assistant:'), (1, 3, 6, 'II', '|user:|assistant:')) AS t(s, t, c, e, l)),
