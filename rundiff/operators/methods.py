@@ -33,6 +33,7 @@ NEAR_LINES = 50
 SIGNATURE_CHARS = 100
 
 PIECE_ROWS = 10_000
+GRAM = 3  # characters of the runs that names are listed under
 SPAN = 4096
 
 
@@ -218,14 +219,38 @@ def short_signature(signature: Column) -> Column:
     return F.when(F.length(signature) > SIGNATURE_CHARS, cut).otherwise(signature)
 
 
+def _grams(text: Column, size: Column | int) -> Column:
+    """The distinct runs of ``size`` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+
+
+def _names_with_part(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """``path, _part, _lower``: the names of a file that contain a part asked for there.
+
+    Every name is listed once under each of its runs of ``GRAM`` characters, in files where something is asked. A
+    part is looked up under the one of its runs that the fewest names of the file have, and what is found there is
+    compared in full. Parts shorter than a run are listed under their own length, in files that ask for such.
+    """
+    size = F.least(F.length("_part"), F.lit(GRAM))
+    sized = asked.withColumn("_size", size)
+    held = names.join(sized.select("path", "_size").distinct(), "path").where(F.length("_lower") >= F.col("_size"))
+    postings = cut_lineage(held.select("path", "_lower", "_size", F.explode(_grams(F.col("_lower"), F.col("_size"))).alias("_gram")))
+    counts = postings.groupBy("path", "_size", "_gram").agg(F.count("*").alias("_names"))
+    wanted = sized.select("path", "_part", "_size", F.explode(_grams(F.col("_part"), F.col("_size"))).alias("_gram"))
+    rarest = wanted.join(counts, ["path", "_size", "_gram"], "left").groupBy("path", "_part", "_size").agg(
+        F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r")
+    )
+    keyed = rarest.where("_r.n > 0").select("path", "_part", "_size", F.col("_r.gram").alias("_gram"))
+    return postings.join(keyed, ["path", "_size", "_gram"]).where(F.contains("_lower", F.col("_part"))).select("path", "_part", "_lower")
+
+
 def find_methods(requests: DataFrame, methods: DataFrame) -> DataFrame:
     """Method of each (path, method) request: exact name, any case, then part of a name.
 
     Adds ``match`` (``exact``, ``case_insensitive``, ``contains`` or NULL), ``found`` (the
     first such method by line) and ``overloads`` (methods of exactly that name). Each
-    level joins one row per key. For the last one every name in a file with open requests
-    is listed under its parts of the lengths that are asked for there, and only parts that
-    are asked for stay; names are not paired with requests.
+    level joins one row per key. Parts of names are looked up by their rarest gram.
     """
     wanted = requests.select("path", "method").where("path is not null and method is not null").distinct()
     # named _m so that the name column can serve as a key
@@ -242,13 +267,9 @@ def find_methods(requests: DataFrame, methods: DataFrame) -> DataFrame:
     exact = look_up(wanted, first(methods, F.col("name"), "_exact"), F.col("method"))
     cased = look_up(exact, first(methods, F.lower("name"), "_ci"), lower)
 
-    asked = cased.where(F.col("_ci").isNull()).select("path", lower.alias("_part")).distinct()
-    lengths = asked.select("path", F.length("_part").alias("_size")).distinct()
-    names = methods.join(lengths, "path").where(F.length("name") >= F.col("_size"))
-    starts = F.sequence(F.lit(1), F.length("name") - F.col("_size") + 1)
-    parts = F.transform(starts, lambda i: F.substring(F.lower("name"), i, F.col("_size")))
-    listed = names.select("path", "start_line", "name", "end_line", "signature", F.explode(F.array_distinct(parts)).alias("_part"))
-    listed = listed.join(asked, ["path", "_part"], "left_semi")
+    asked = cut_lineage(cased.where(F.col("_ci").isNull()).select("path", lower.alias("_part")).distinct())
+    candidates = _names_with_part(asked, methods.select("path", F.lower("name").alias("_lower")).distinct())
+    listed = methods.withColumn("_lower", F.lower("name")).join(candidates, ["path", "_lower"])
     found = look_up(cased, first(listed, F.col("_part"), "_part"), lower)
 
     best = F.coalesce("_exact", "_ci", "_part")

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rundiff.session import cut_lineage
+
 BLOCK_ROWS = 1 << 20
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -39,31 +41,42 @@ def running(
     pos: str,
     specs: Sequence[Running],
     block_rows: int = BLOCK_ROWS,
+    height: int = 2,
 ) -> DataFrame:
     """Add running aggregates along ``pos`` within ``keys``, which must not be NULL.
 
     ``pos`` is a whole number, unique within ``keys``; it need not be dense. One task
-    handles at most ``block_rows`` rows of a key, and the second level handles one row
-    per block. The block totals are aggregated before their shuffle, and their join
+    handles at most ``block_rows`` rows of a key on each level: rows, block totals, totals
+    of blocks of blocks, and so on. ``height`` levels hold positions up to
+    ``block_rows ** height``; two are enough for 2**40 rows of a key. The block totals are aggregated before their shuffle, and their join
     reuses the partitioning and sort order of the block windows. ``df`` is read twice,
     so give it a materialised input when it is costly.
     """
     keys = list(keys)
-    block = "_block"
+    block = "_block" if "_block" not in df.columns else f"_block{height}"
     blocked = df.withColumn(block, F.floor(F.col(pos) / F.lit(block_rows)))
     totals = blocked.groupBy(*keys, block).agg(*[_AGG[s.how](s.value).alias(f"_t_{s.out}") for s in specs])
 
-    across, inside = [], []
+    if height > 2:
+        above = [Running(f"_c_{s.out}", s.how, F.col(f"_t_{s.out}"), s.reverse, True) for s in specs]
+        carried = running(cut_lineage(totals), keys, block, above, block_rows, height - 1)
+        carried = carried.select(*keys, block, *[f"_c_{s.out}" for s in specs])
+    else:
+        across = []
+        for s in specs:
+            by_block = F.col(block).desc() if s.reverse else F.col(block)
+            before = Window.partitionBy(*keys).orderBy(by_block).rowsBetween(Window.unboundedPreceding, -1)
+            across.append(_AGG[s.how](F.col(f"_t_{s.out}")).over(before).alias(f"_c_{s.out}"))
+        carried = totals.select(*keys, block, *across)
+
+    inside = []
     for s in specs:
-        by_block = F.col(block).desc() if s.reverse else F.col(block)
-        before = Window.partitionBy(*keys).orderBy(by_block).rowsBetween(Window.unboundedPreceding, -1)
-        across.append(_AGG[s.how](F.col(f"_t_{s.out}")).over(before).alias(f"_c_{s.out}"))
         by_row = F.col(pos).desc() if s.reverse else F.col(pos)
         last = -1 if s.exclusive else Window.currentRow
         frame = Window.partitionBy(*keys, block).orderBy(by_row).rowsBetween(Window.unboundedPreceding, last)
         inside.append(_AGG[s.how](s.value).over(frame).alias(f"_w_{s.out}"))
 
-    joined = blocked.select("*", *inside).join(totals.select(*keys, block, *across), [*keys, block], "left")
+    joined = blocked.select("*", *inside).join(carried, [*keys, block], "left")
     return joined.select(*[F.col(c) for c in df.columns], *[_combine(s).alias(s.out) for s in specs])
 
 

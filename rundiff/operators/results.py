@@ -5,16 +5,18 @@ Columns: ``key, data, timestamp, access_count, last_accessed, entry_type``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rundiff.functions.numbers import rounded
+from rundiff.session import cut_lineage
 
 # Lifetime and size of a result table, and its entry types.
 MAX_AGE_DAYS = 7
 MAX_ENTRIES = 1000
 EXTRACTED_CODE = "extracted_code"
 ANALYSIS_RESULT = "analysis_result"
+BUCKETS = 256  # of a stored result table
 
 
 def result_key(repo: Column, class_path: Column, method: Column, analysis: bool = False) -> Column:
@@ -75,3 +77,37 @@ def statistics(results: DataFrame, now: Column) -> DataFrame:
         F.coalesce(F.sum("access_count"), F.lit(0)).alias("total_access_count"),
         rounded(F.coalesce(F.avg(_age_hours(now)), F.lit(0.0))).alias("average_age_hours"),
     )
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def stored_results(spark: SparkSession, folder: str, now: Column, max_age_days: int = MAX_AGE_DAYS) -> DataFrame:
+    """The valid rows of a result table in a folder."""
+    return spark.read.parquet(folder).drop("bucket").where(is_valid(now, max_age_days))
+
+
+def upkeep(folder: str, new: DataFrame, now: Column, max_age_days: int = MAX_AGE_DAYS, buckets: int = BUCKETS) -> list[int]:
+    """Merge new rows into a result table in a folder, in place, and return the buckets that were rewritten.
+
+    Rows are stored by a hash of their key. Only the buckets of new keys are read and replaced, with the newest row of
+    each key, without expired ones; other buckets keep their files, and their expired rows are left out when read. The
+    merged rows are written aside first, so a lost executor costs no stored row; two writers must take turns.
+    """
+    spark = new.sparkSession
+    incoming = cut_lineage(new.select("*", _bucket(buckets)))
+    touched = sorted(r["bucket"] for r in incoming.select("bucket").distinct().collect())  # at most ``buckets``
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    merged = incoming
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        old = spark.read.parquet(folder).where(F.col("bucket").isin(touched))
+        merged = incoming.unionByName(old.select(incoming.columns))
+    # at least one row of a bucket stays, or its old files would: the newest, which reading leaves out if it expired
+    newest = newest_per_key(merged.drop("bucket")).select("*", _bucket(buckets))
+    newest = cut_lineage(newest)
+    last = newest.groupBy("bucket").agg(F.max(F.struct("timestamp", "key")).alias("_last"))  # one row per bucket
+    kept = newest.join(last, "bucket").where(is_valid(now, max_age_days) | (F.struct("timestamp", "key") == F.col("_last"))).drop("_last")
+    written = cut_lineage(kept).repartition("bucket")
+    written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    return touched

@@ -399,3 +399,34 @@ def test_declarations_over_lines(spark):
     assert set(got) == {"both", "one"} and got["one"].start_line == got["one"].end_line == 13
     both = got["both"]
     assert (both.start_line, both.end_line, both.closed, both.parameters, both.modifiers) == (3, 12, True, ["int a", "List<T> c"], ["public"])
+
+
+def test_parts_of_names(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abAB", k=rng.randint(1, 9))) for _ in range(80)]
+    index = [(f"f{i % 3}", name, i + 1, i + 1, f"void {name}();") for i, name in enumerate(names)]
+    asked = [(f"f{rng.randrange(4)}", "".join(rng.choices("abAB", k=rng.randint(1, 6)))) for _ in range(120)] + [("f0", "zzz"), ("f1", "")]
+    methods_df = spark.createDataFrame(index, "path string, name string, start_line long, end_line long, signature string")
+    got = {(r.path, r.method): r.found and r.found.line for r in methods.find_methods(spark.createDataFrame(asked, "path string, method string"), methods_df).collect()}
+    for path, part in asked:
+        own = [(n, line) for p, n, line, _, _ in index if p == path]
+        for fits in (lambda n: n == part, lambda n: n.lower() == part.lower(), lambda n: part.lower() in n.lower()):
+            lines = [line for n, line in own if fits(n)]
+            if lines:
+                break
+        assert got[path, part] == (min(lines) if lines else None), (path, part)
+
+
+def test_upkeep_rewrites_touched_buckets_only(spark, tmp_path):
+    folder, now = str(tmp_path / "results"), F.lit(datetime(2024, 1, 30))
+    row = lambda key, day, data: (key, data, datetime(2024, 1, day), 1, datetime(2024, 1, day), "extracted_code")
+    schema = "key string, data string, timestamp timestamp, access_count long, last_accessed timestamp, entry_type string"
+    first = [row(f"k{i}", 29, "a") for i in range(40)] + [row("old", 2, "a")]
+    results.upkeep(folder, spark.createDataFrame(first, schema), now, buckets=16)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "results").glob("bucket=*/*.parquet")}
+    touched = results.upkeep(folder, spark.createDataFrame([row("k3", 30, "b"), row("k3", 28, "c"), row("k4", 1, "d"), row("new", 1, "e")], schema), now, buckets=16)
+    assert 0 < len(touched) <= 3
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "results").glob("bucket=*/*.parquet")}
+    assert all(after.get(p) == t for p, t in before.items() if int(p.parent.name.split("=")[1]) not in touched)
+    got = {r.key: r.data for r in results.stored_results(spark, folder, now).collect()}
+    assert got == {f"k{i}": "b" if i == 3 else "a" for i in range(40)}

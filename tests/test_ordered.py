@@ -107,3 +107,22 @@ def test_task_functions_do_not_need_the_package():
     functions += [packing._renamed(f, ["k"]) for f in functions] + [packing._number_lines(8)]
     code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read()); assert 'rundiff' not in sys.modules"
     subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(functions), check=True, cwd="/")
+
+
+@pytest.mark.parametrize("height", [2, 3, 5])
+def test_running_values_over_several_levels(spark, height):
+    """Blocks of three rows, so that the totals of blocks have blocks of their own."""
+    rng = random.Random(height)
+    rows = [(k, i, rng.choice([None, rng.randint(-9, 9)])) for k in "ab" for i in sorted(rng.sample(range(3**height if height > 2 else 9), 9))]
+    specs = [
+        Running("total", "sum", F.col("v")),
+        Running("before", "sum", F.col("v"), exclusive=True),
+        Running("high", "max", F.col("v"), exclusive=True),
+        Running("low", "min", F.col("v"), reverse=True),
+    ]
+    got = {(r.k, r.i): (r.total, r.before, r.high, r.low) for r in running(spark.createDataFrame(rows, "k string, i long, v long"), ["k"], "i", specs, 3, height).collect()}
+    for k, i, v in rows:
+        upto = [x for kk, j, x in rows if kk == k and j <= i and x is not None]
+        past = [x for kk, j, x in rows if kk == k and j < i and x is not None]
+        rest = [x for kk, j, x in rows if kk == k and j >= i and x is not None]
+        assert got[k, i] == (sum(upto), sum(past), max(past, default=None), min(rest, default=None))

@@ -589,6 +589,22 @@ def result_stats(spark, sf_dir):
     return results.statistics(inputs.results(spark, sf_dir), _now())
 
 
+@query(
+    RESULTS,
+    """
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY timestamp DESC) AS rank FROM results
+  WHERE CAST(data AS BIGINT) % 2 = 0 OR CAST(data AS BIGINT) % 7 = 0) WHERE rank = 1)""",
+    select=f"SELECT key, data, {_TIMES}, access_count, entry_type FROM newest WHERE {VALID}",
+)
+def result_upkeep(spark, sf_dir):
+    """A stored result table after two rounds of new rows."""
+    folder = f"{shared_folder(spark)}/rundiff-results-{uuid.uuid4().hex}"
+    new, number = inputs.results(spark, sf_dir), F.col("data").cast("long")
+    results.upkeep(folder, new.where(number % 2 == 0), _now())
+    results.upkeep(folder, new.where((number % 7 == 0) & (number % 2 == 1)), _now())
+    return _shown(results.stored_results(spark, folder, _now()))
+
+
 # Asked for: every user's purchase and a kind of result that is never stored.
 ASKED = """
 asked AS (SELECT DISTINCT substr(sha256('repo::com.app.U' || user_id || '::' || k), 1, 16) AS key FROM events, (SELECT unnest(['purchase', 'refund']) AS k))"""
