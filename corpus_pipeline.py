@@ -1,6 +1,10 @@
 """A training corpus from raw documents: identify languages, drop near-duplicates, redact, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of documents.
+
+Nulls, empty texts and repeats: a text without words is no language and goes in the first stage; of rows with equal key
+and text one stays in the second; a null source is a source, a null key a key; a null text is one token long. Other
+columns stay with their rows. An empty table gives no rows in any stage. ``n_chars`` is needed by the third stage.
 """
 
 from __future__ import annotations
