@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,11 +132,12 @@ def resolve_traces(
     )
 
 
-def trace_totals(resolved: DataFrame) -> DataFrame:
-    """Lines and successes."""
-    return resolved.agg(
-        F.count("*").alias("total_traces"), F.count_if(F.col("status") == "success").alias("successful_traces")
-    )
+def trace_totals(resolved: DataFrame, times: str | None = None) -> DataFrame:
+    """Lines and successes. ``times`` names a column that says how often a line occurs, for distinct lines."""
+    n = F.lit(1) if times is None else F.col(times)
+    succeeded = F.when(F.col("status") == "success", n).otherwise(0)
+    total, good = (F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in (n, succeeded))
+    return resolved.agg(total.alias("total_traces"), good.alias("successful_traces"))
 
 
 def export_traces(resolved: DataFrame, folder: str) -> None:
@@ -159,19 +162,33 @@ def export_traces(resolved: DataFrame, folder: str) -> None:
     nested.write.mode("overwrite").json(folder)
 
 
-def context_lines(targets: DataFrame, method_index: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines of code around each target method, in reading order.
+@dataclass(frozen=True)
+class CodeContext:
+    """Code around methods, by reference: bodies are named, not copied.
 
-    ``targets``: ``path, name, start_line`` of methods. Parts: imports (0), class (1),
-    fields (2), the method (3), the methods of its file that it uses (4). The first three
-    are the same for all targets of a file and listed once, with NULL ``name`` and
-    ``start_line``. Files of any size count whole. Result: ``path, name, start_line, part, part_line, line_no, text``.
+    ``shared``: path, part, line_no, text of imports (0), class (1) and fields (2), once per file. ``bodies``: path, name,
+    start_line, body, lines, chars; equal bodies have the same ``body``. ``texts``: body, offset, text, one copy of
+    each. ``edges``: path, name, start_line of a method, and part, body_name, part_line of a body in its context: its
+    own (3) and those of the methods of its file that it uses (4).
     """
-    target = ["path", "name", "start_line"]
-    wanted = targets.select(*target).distinct()
+
+    shared: DataFrame
+    bodies: DataFrame
+    texts: DataFrame
+    edges: DataFrame
+
+
+_METHOD = ["path", "name", "start_line"]
+
+
+def context_references(targets: DataFrame, method_index: DataFrame, lines: DataFrame) -> CodeContext:
+    """The code around each target method ``path, name, start_line``; rows are linear in lines and calls.
+
+    A body is told by its number of lines and two 64-bit hashes of its lines with their places.
+    """
+    wanted = targets.select(*_METHOD).distinct()
     # read by several branches, so the lines of the files that matter are written once
     own = cut_lineage(lines.join(wanted.select("path").distinct(), "path", "left_semi"))
-
     classes = methods.class_declarations(own).select(
         "path", F.coalesce("line_no", F.lit(0)).alias("line_no"), F.col("declaration").alias("text")
     )
@@ -180,28 +197,72 @@ def context_lines(targets: DataFrame, method_index: DataFrame, lines: DataFrame)
         .unionByName(classes.withColumn("part", F.lit(1)))
         .unionByName(methods.class_fields(own).withColumn("part", F.lit(2)))
     )
-    zero, none = F.lit(0).cast("long"), F.lit(None)
-    around = shared.withColumns({"name": none.cast("string"), "start_line": none.cast("long"), "part_line": zero})
-
     index = method_index.join(wanted.select("path").distinct(), "path", "left_semi")
-    bodies = methods.method_lines(index, own)
-    own_body = bodies.join(wanted, target, "left_semi").withColumn("part", F.lit(3))
-    own_body = own_body.withColumn("part_line", F.col("start_line"))
-    used = methods.call_edges(methods.dependencies(own_body.select(*target, "text")), index)
-    callee_bodies = bodies.select(
-        "path", F.col("name").alias("callee"), F.col("start_line").alias("callee_line"), "line_no", "text"
+    body_lines = cut_lineage(methods.method_lines(index, own).withColumn("offset", F.col("line_no") - F.col("start_line")))
+    hashes = [F.hex(F.bit_xor(F.xxhash64(F.lit(seed), "offset", "text"))) for seed in (1, 2)]
+    bodies = cut_lineage(
+        body_lines.groupBy(*_METHOD).agg(
+            F.concat_ws(":", F.count("*"), *hashes).alias("body"), F.count("*").alias("lines"), F.sum(F.length("text") + 1).alias("chars")
+        )
     )
-    dependents = used.join(callee_bodies, ["path", "callee", "callee_line"]).select(
-        "path",
-        F.col("caller").alias("name"),
-        F.col("caller_line").alias("start_line"),
-        F.lit(4).alias("part"),
-        F.col("callee_line").alias("part_line"),
-        "line_no",
-        "text",
+    first = bodies.groupBy("body").agg(F.min(F.struct(*_METHOD)).alias("_first")).select("body", "_first.*")
+    texts = body_lines.join(first, _METHOD).select("body", "offset", "text")
+    calling = body_lines.join(wanted, _METHOD, "left_semi").select(*_METHOD, "text")
+    used = methods.call_edges(methods.dependencies(calling), index)
+    calls = used.select(
+        "path", F.col("caller").alias("name"), F.col("caller_line").alias("start_line"), F.lit(4).alias("part"), F.col("callee").alias("body_name"), F.col("callee_line").alias("part_line")
+    )
+    selves = wanted.select(*_METHOD, F.lit(3).alias("part"), F.col("name").alias("body_name"), F.col("start_line").alias("part_line"))
+    return CodeContext(shared.select("path", "part", "line_no", "text"), bodies, texts, cut_lineage(selves.unionByName(calls)))
+
+
+def _with_bodies(context: CodeContext) -> DataFrame:
+    named = context.bodies.select("path", F.col("name").alias("body_name"), F.col("start_line").alias("part_line"), "body", "lines", "chars")
+    return context.edges.join(named, ["path", "body_name", "part_line"])
+
+
+def context_text(context: CodeContext) -> DataFrame:
+    """The lines of all contexts: ``path, name, start_line, part, part_line, line_no, text``; bodies are copied here only.
+
+    The shared parts are listed once per file, with NULL ``name`` and ``start_line``.
+    """
+    columns = [*_METHOD, "part", "part_line", "line_no", "text"]
+    none = {"name": F.lit(None).cast("string"), "start_line": F.lit(None).cast("long"), "part_line": F.lit(0).cast("long")}
+    copied = _with_bodies(context).join(context.texts, "body").withColumn("line_no", F.col("part_line") + F.col("offset"))
+    return context.shared.withColumns(none).select(*columns).unionByName(copied.select(*columns))
+
+
+def context_lines(targets: DataFrame, method_index: DataFrame, lines: DataFrame) -> DataFrame:
+    """Lines of code around each target method, in reading order.
+
+    ``targets``: ``path, name, start_line`` of methods. Parts: imports (0), class (1),
+    fields (2), the method (3), the methods of its file that it uses (4). The first three
+    are the same for all targets of a file and listed once, with NULL ``name`` and
+    ``start_line``. Files of any size count whole. Result: ``path, name, start_line, part, part_line, line_no, text``.
+    """
+    return context_text(context_references(targets, method_index, lines))
+
+
+def _chunk_totals(context: CodeContext) -> DataFrame:
+    """Lines, characters and methods of each chunk, from bodies and shared lines, without copying any."""
+    kind = F.when(F.col("part") == 3, 0).otherwise(1).alias("chunk_no")
+    own = _with_bodies(context).groupBy(*_METHOD, kind).agg(
+        F.sum("lines").alias("lines"), F.sum("chars").alias("char_count"), F.count_distinct("part_line").alias("_members")
     )
-    columns = [*target, "part", "part_line", "line_no", "text"]
-    return around.select(*columns).unionByName(own_body.select(*columns)).unionByName(dependents)
+    shared = context.shared.where("part <> 1").groupBy("path").agg(F.count("*").alias("lines"), F.sum(F.length("text") + 1).alias("char_count"))
+    shared = shared.withColumns({"name": F.lit(None).cast("string"), "start_line": F.lit(None).cast("long"), "chunk_no": F.lit(2), "_members": F.lit(1).cast("long")})
+    return own.unionByName(shared)
+
+
+def context_chunks(context: CodeContext) -> DataFrame:
+    """``code_chunks`` of contexts by reference."""
+    return _described(_chunk_totals(context))
+
+
+def context_sizes(context: CodeContext) -> DataFrame:
+    """``needs_chunking`` of contexts by reference."""
+    own = _with_bodies(context).groupBy(*_METHOD).agg(F.sum("chars").alias("_own"))
+    return _sized(own, context.shared)
 
 
 def code_chunks(context: DataFrame) -> DataFrame:
@@ -210,7 +271,7 @@ def code_chunks(context: DataFrame) -> DataFrame:
     ``path, name, start_line, chunk_no, lines, char_count, type, description``; the code
     itself comes from ``code_texts``.
     """
-    counted = (
+    return _described(
         context.where("part <> 1")
         .withColumn("chunk_no", F.when(F.col("part") == 3, 0).when(F.col("part") == 4, 1).otherwise(2))
         .groupBy("path", "name", "start_line", "chunk_no")
@@ -220,6 +281,9 @@ def code_chunks(context: DataFrame) -> DataFrame:
             F.count_distinct("part_line").alias("_members"),
         )
     )
+
+
+def _described(counted: DataFrame) -> DataFrame:
     kind = F.col("chunk_no")
     label = F.when(kind == 0, "target_method").when(kind == 1, "dependent_methods").otherwise("class_context")
     description = (
@@ -272,9 +336,12 @@ def candidate_paths(resolved: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def needs_chunking(context: DataFrame) -> DataFrame:
     """Code size per target, with the shared parts, and whether it exceeds one piece."""
-    size = F.sum(F.length("text") + 1)
-    shared = context.where("name is null").groupBy("path").agg(size.alias("_shared"))
-    own = context.where("name is not null").groupBy("path", "name", "start_line").agg(size.alias("_own"))
+    own = context.where("name is not null").groupBy(*_METHOD).agg(F.sum(F.length("text") + 1).alias("_own"))
+    return _sized(own, context.where("name is null"))
+
+
+def _sized(own: DataFrame, shared_lines: DataFrame) -> DataFrame:
+    shared = shared_lines.groupBy("path").agg(F.sum(F.length("text") + 1).alias("_shared"))
     chars = F.col("_own") + F.coalesce("_shared", F.lit(0))
     total = own.join(shared, "path", "left").withColumn("code_chars", chars)
     return total.drop("_own", "_shared").withColumn("chunked", F.col("code_chars") > MAX_CONTEXT_CHARS)

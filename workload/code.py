@@ -437,9 +437,13 @@ def method_context(spark, sf_dir):
     return _context(spark, sf_dir)
 
 
-def _context(spark, sf_dir):
+def _references(spark, sf_dir):
     index = _index(spark, sf_dir)
-    return traces.context_lines(index, index, inputs.sources(spark, sf_dir))
+    return traces.context_references(index, index, inputs.sources(spark, sf_dir))
+
+
+def _context(spark, sf_dir):
+    return traces.context_text(_references(spark, sf_dir))
 
 
 @query(
@@ -453,7 +457,7 @@ def _context(spark, sf_dir):
 FROM (SELECT * REPLACE (CASE WHEN part = 2 THEN 0 ELSE part END AS part) FROM context WHERE part <> 1) GROUP BY path, name, start_line, part""",
 )
 def code_chunks(spark, sf_dir):
-    return traces.code_chunks(_context(spark, sf_dir))
+    return traces.context_chunks(_references(spark, sf_dir))
 
 
 @query(
@@ -466,7 +470,7 @@ FROM (SELECT path, name, start_line, sum(length(text) + 1) AS own FROM context W
 JOIN (SELECT path, sum(length(text) + 1) AS shared FROM context WHERE name IS NULL GROUP BY path) s ON s.path = o.path""",
 )
 def code_size(spark, sf_dir):
-    return traces.needs_chunking(_context(spark, sf_dir))
+    return traces.context_sizes(_references(spark, sf_dir))
 
 
 ANSWERS = """
@@ -545,8 +549,8 @@ found AS (SELECT r.line, r.n, r.method, z.path, bool_or(contains(lower(m.name),
     select="""SELECT CAST(sum(n) AS BIGINT) AS total_traces, CAST(sum(n) FILTER (path IS NOT NULL AND (method IS NULL OR coalesce(hit, false))) AS BIGINT) AS successful_traces FROM found""",
 )
 def trace_totals(spark, sf_dir):
-    lines = inputs.trace_lines(spark, sf_dir)
-    return traces.trace_totals(traces.resolve_traces(lines, _catalog(spark, sf_dir), _index(spark, sf_dir)))
+    # each distinct line once, with its count
+    return traces.trace_totals(traces.resolve_traces(_lines(spark, sf_dir), _catalog(spark, sf_dir), _index(spark, sf_dir)), "n")
 
 
 def _now():
