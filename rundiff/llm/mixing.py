@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from rundiff.session import cut_lineage
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 _BUCKET = 256  # documents in one bucket of ranks, about
-_PASSES = 3
+_EQUAL = 4096  # equal rows that one task numbers
 
 
 def word_count(text: Column) -> Column:
@@ -55,7 +57,7 @@ def _take_first(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     The running sum has two levels: sums of rank buckets, then rows inside a bucket.
     """
     docs = docs.withColumn("bucket", F.floor(F.col("u") * F.col("n_buckets")))
-    inside = Window.partitionBy("source_no", "bucket").orderBy("rank", "size", "row_key")
+    inside = Window.partitionBy("source_no", "bucket").orderBy("rank", F.desc("size"), "row_key", "nth").rowsBetween(Window.unboundedPreceding, 0)
     sums = docs.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).join(budgets, "source_no")
@@ -68,64 +70,102 @@ def _take_first(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return even.unionByName(mixed).drop("bucket", "bucket_size", "before", "budget")
 
 
+def _odds_per_word(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_no, per_word): inclusion odds are per_word times the measure of a document, 1 at most, such that the
+    words expected are the budget.
+
+    Documents that would pass 1 are certain: the measures are gone through from the greatest, as long as what is
+    left of the budget would give the next one more than 1. One row per source and measure is all that is sorted.
+    """
+    words = rows.groupBy("source_no", "measure").agg(F.sum("size").alias("words")).join(sources.select("source_no", "budget"), "source_no")
+    order = Window.partitionBy("source_no").orderBy(F.desc("measure"))
+    certain = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = F.sum(F.col("words") * F.col("measure")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    tried = words.withColumn("per_word", (F.col("budget") - certain) / open_)
+    return tried.where("per_word * measure <= 1").groupBy("source_no").agg(F.max_by("per_word", "measure").alias("per_word"))
+
+
 def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, limit: float = LIMIT, weight: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: (key, size, source_size, target, taken, copies).
 
-    Every document of a source is expected to be taken target / source_size times. The whole part of
-    that is certain. The rest is the odds of one more copy: documents are ranked by random odds
-    divided by inclusion odds (``weight``, if given, scales the inclusion odds of a row within its
-    source), and taken in that order while their words fit the rest of the target; then, twice, the
-    later documents that fit the gap. The random numbers are hashes of key and size, so reruns agree.
-
-    Nulls: a null text has size 0, a null source is a source of its own (last), a null key is an
-    ordinary key. Rows of size 0 are taken 0 times. Repeated rows are ranked apart and may get
-    different counts. An empty table gives no rows. Other columns are ignored.
+    Every source is expected to be taken target / source_size times. The whole part of that is certain for each of
+    its documents. The rest of the target is sampled: documents have inclusion odds in proportion to their size
+    (times ``weight``, if given), those that would pass 1 being certain; they are ranked by random odds divided by
+    inclusion odds, and taken in that order while their words fit. Then the later documents that fit the gap are
+    taken the same way, as often as any fits, and then further copies of small ones, as long as ``limit`` allows: what
+    is missing in the end is less than the smallest document that could still be taken. No target is exceeded. The
+    random numbers are hashes of key, size and the number of a copy, so reruns agree.
+
+    Nulls: a null text has size 0, a null source is a source of its own (last), a null key is an ordinary key. Rows of
+    size 0 are taken 0 times. Rows with equal key, source and size are numbered, so each is drawn by itself and may
+    get another count. An empty table gives no rows. Other columns are ignored.
     """
-    sized = cut_lineage(
-        docs.select(
-            F.col(key).alias("row_key"),
-            F.col(source).cast("string").alias("source"),
-            word_count(F.col(text)).alias("size"),
-            (weight if weight is not None else F.lit(1.0)).cast("double").alias("doc_weight"),
-        )
+    equal = docs.select(
+        F.col(key).alias("row_key"),
+        F.col(source).cast("string").alias("source"),
+        word_count(F.col(text)).alias("size"),
+        (weight if weight is not None else F.lit(1.0)).cast("double").alias("doc_weight"),
     )
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    equal = cut_lineage(equal.groupBy("row_key", "source", "size", "doc_weight").agg(F.count("*").alias("many")))
+    sources = equal.groupBy("source").agg(F.sum(F.col("size") * F.col("many")).alias("source_size"), F.sum("many").alias("n"))
     targets = source_targets(sources.select("source", "source_size"), weights, limit)
     sources = targets.join(sources.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # a ratio a rounding error below a whole number counts as that number
     sources = sources.withColumn("copies", F.floor(ratio + 1e-9)).withColumn("odds", F.greatest(F.lit(0.0), ratio - F.col("copies")))
-    sources = sources.withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
+    sources = sources.withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("copies") * F.col("source_size")))
     number = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))
     sources = cut_lineage(sources.withColumn("source_no", number).withColumn("n_buckets", F.ceil(F.col("n") / _BUCKET)))
 
+    # equal rows apart, those of a large group over many tasks
+    blocks = equal.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("many") - 1) / _EQUAL))))
+    blocks = blocks.repartition("row_key", "size", "block")
+    nth = F.sequence(F.col("block") * _EQUAL, F.least(F.col("many"), (F.col("block") + 1) * _EQUAL) - 1)
+    rows = blocks.withColumn("nth", F.explode(nth)).drop("block", "many")
     known = sources.select(F.col("source").alias("s"), "source_no", "source_size", "target", "copies", "odds", "n_buckets")
-    rows = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    chance = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("odds") * F.col("doc_weight")))
-    rows = rows.withColumn("draw", uniform(F.col("row_key"), F.col("size")))
-    rows = rows.withColumn("rank", F.col("draw") / (1 - F.col("draw")) / (chance / (1 - chance)))
-    # ranks as positions in (0, 1), so that buckets hold similar numbers of rows
-    odds = F.col("odds")
-    spread = F.col("rank") * (F.greatest(odds, F.lit(1e-9)) / (1 - F.least(odds, F.lit(1 - 1e-9))))
-    rows = rows.withColumn("u", F.least(spread / (1 + spread), F.lit(1 - 1e-12)))
-    columns = ["row_key", "size", "source_size", "target", "copies", "source_no", "n_buckets", "rank", "u"]
-    done, budgets, left = [], sources.select("source_no", "budget"), rows.select(*columns)
-    for turn in range(_PASSES):
-        taken = cut_lineage(_take_first(left, budgets))
-        used = taken.where("fits").groupBy("source_no").agg(F.sum("size").alias("used"))
+    rows = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("measure", F.col("size") * F.col("doc_weight"))
+    rows = cut_lineage(rows.withColumn("rid", F.monotonically_increasing_id()))
+    per_word = cut_lineage(_odds_per_word(rows.where("measure > 0"), sources))
+    drawn = rows.join(per_word, "source_no", "left").withColumn("expected", F.coalesce(F.col("per_word"), F.lit(0.0)) * F.col("measure"))
+    chance = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("expected")))
+    drawn = drawn.withColumn("draw", uniform(F.col("row_key"), F.col("size"), F.col("nth")))
+    random_odds = F.col("draw") / (1 - F.col("draw"))
+    drawn = drawn.withColumn("rank", F.when(F.col("expected") >= 1, 0.0).otherwise(random_odds / (chance / (1 - chance))))
+    # ranks as positions in (0, 1), by the mean odds, so that buckets hold similar numbers of rows
+    mean = F.greatest(F.col("odds"), F.lit(1e-9)) / (1 - F.least(F.col("odds"), F.lit(1 - 1e-9)))
+    drawn = drawn.withColumn("u", F.least(F.col("rank") * mean / (1 + F.col("rank") * mean), F.lit(1 - 1e-12)))
+    columns = ["rid", "row_key", "nth", "size", "copies", "source_no", "n_buckets", "rank", "u"]
+
+    budgets, level = sources.select("source_no", "budget"), 0
+    first = cut_lineage(_take_first(drawn.select(*columns), budgets))
+    granted, grants = first.where("fits AND size > 0").select("rid", "source_no", "size"), []
+    left = first.where("NOT fits AND size > 0")
+    while True:
+        used = granted.groupBy("source_no").agg(F.sum("size").alias("used"))
         budgets = budgets.join(used, "source_no", "left").select("source_no", (F.col("budget") - F.coalesce("used", F.lit(0))).alias("budget"))
-        if turn == _PASSES - 1:
-            done.append(taken.select(*columns, "fits"))
-            break
         budgets = cut_lineage(budgets)
-        open_rows = taken.join(budgets, "source_no").withColumn("later", ~F.col("fits") & (F.col("size") <= F.col("budget")))
-        done.append(open_rows.where(~F.col("later")).select(*columns, "fits"))
-        left = open_rows.where("later").select(*columns)
-    rows = done[0]
-    for more in done[1:]:
-        rows = rows.unionByName(more)
-    copies = F.when(F.col("size") > 0, F.col("copies") + F.col("fits").cast("long")).otherwise(0).cast("long")
-    return rows.select(F.col("row_key").alias(key), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"))
+        left = cut_lineage(left.select(*columns).join(budgets, "source_no").where("size <= budget").drop("budget"))
+        while left.isEmpty():  # none fits once; those taken may fit once more
+            level += 1
+            if level >= limit:
+                break
+            again = first.where("size > 0").where(F.col("copies") + level + 1 <= limit).select(*columns)
+            left = cut_lineage(again.join(budgets, "source_no").where("size <= budget").drop("budget"))
+        if level >= limit:
+            break
+        taken = cut_lineage(_take_first(left, budgets))
+        granted, left = taken.where("fits").select("rid", "source_no", "size"), taken.where("NOT fits")
+        grants.append(granted.select("rid"))
+    extra = F.col("fits").cast("long")
+    if grants:
+        more = reduce(DataFrame.union, grants).groupBy("rid").agg(F.count("*").alias("more"))
+        first = first.join(more, "rid", "left")
+        extra = extra + F.coalesce("more", F.lit(0))
+    copies = F.when(F.col("size") > 0, F.col("copies") + extra).otherwise(0).cast("long")
+    shares = sources.select("source_no", "source_size", "target")
+    return first.join(shares, "source_no").select(
+        F.col("row_key").alias(key), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies")
+    )
 
 
 def take_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, limit: float = LIMIT) -> DataFrame:
@@ -136,5 +176,5 @@ def take_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     counts = cut_lineage(counts.groupBy(F.col(f"{p}key").alias(f"{p}own")).agg(F.sum("copies").alias(f"{p}copies"), F.count("*").alias(f"{p}rows")))
     if not counts.where(f"{p}rows > 1").isEmpty():
         keyed = keyed.dropDuplicates([f"{p}key"])
-    taken = keyed.join(counts.where(f"{p}copies > 0"), F.col(f"{p}key").eqNullSafe(F.col(f"{p}own")))
+    taken = keyed.join(counts.where(f"{p}copies > 0").hint("shuffle_hash"), F.col(f"{p}key").eqNullSafe(F.col(f"{p}own")))
     return only(taken.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}copies")))), docs.columns)
