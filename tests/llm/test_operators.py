@@ -422,6 +422,59 @@ def test_page_evidence(spark):
     assert (rows[3].declared, rows[3].suffix) == (None, "fr")
 
 
+def plain_posterior(rows, sample=language.SAMPLE):
+    """{row: (language, confidence)} of (text, declared, suffix, host) rows, counted one by one."""
+    texts = {}
+    for text, declared, _, _ in rows:
+        if declared and text:
+            texts.setdefault(declared.lower(), set()).add(text)
+    names, model = language.fit_text(texts)
+    n = len(names) + 1
+    bins = [language.trigrams(np.frombuffer((text or "").encode(), np.uint8)) for text, *_ in rows]
+    logs = np.array([[float(m[b].sum(dtype=np.float64)) / 3 for m in model] + [-len(b) * np.log(1 << 16) / 3] for b in bins])
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    word = [bool((text or "").strip(" \t\n\r\x0b\x0c")) for text, *_ in rows]
+    belief = np.array([soft(x) * w for x, w in zip(logs, word)])
+    parts = []
+    for _, declared, suffix, host in rows:
+        host = host and host.lower()
+        domain = ".".join(host.split(".")[-2:]) if host and host.count(".") > 1 else None
+        parts.append({"declared": declared and declared.lower(), "suffix": suffix and suffix.lower(), "host": host, "domain": domain})
+    out = []
+    for i in range(len(rows)):
+        total = logs[i].copy()
+        others = lambda kind: sum((belief[j] for j in range(len(rows)) if parts[j][kind] == parts[i][kind]), np.zeros(n)) - belief[i]
+        for kind in ("declared", "suffix"):
+            if parts[i][kind] is not None:
+                values = len({p[kind] for p in parts} - {None})
+                whole = sum(belief[j] for j in range(len(rows)) if parts[j][kind] is not None) - belief[i]
+                total += np.log((others(kind) + 0.5) / (whole + 0.5 * values))
+        prior = (belief.sum(axis=0) + 1) / (belief.sum() + n)
+        for kind in ("domain", "host"):
+            if parts[i][kind] is not None:
+                prior = (others(kind) + 20 * prior) / (others(kind).sum() + 20)
+        posterior = soft(total + np.log(prior))
+        out.append(([*names, "und"][int(posterior.argmax())], float(posterior.max())) if word[i] else ("und", 0.0))
+    return out
+
+
+def test_language_equals_the_posterior_counted_by_hand(spark):
+    rng = random.Random(21)
+    spoken = {"aa": "abcd", "bb": "efgh", "cc": "adeh"}
+    rows = []
+    for i in range(90):
+        tongue = rng.choice(list(spoken))
+        text = " ".join("".join(rng.choices(spoken[tongue], k=3)) for _ in range(rng.choice([0, 1, 2, 12])))
+        declared = rng.choice([tongue, tongue, tongue.upper(), None, rng.choice(list(spoken))])
+        host = rng.choice([None, f"www.{tongue}.org", f"x{i % 3}.mixed.net", "plain"])
+        rows.append((text if rng.random() < 0.95 else None, declared, rng.choice([None, tongue, "com"]), host))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k long, t string, d string, s string, h string")
+    got = {r.k: (r.language, r.confidence) for r in language.identify_language(df, "k", "t", "d", "h", "s").collect()}
+    for i, (name, sure) in enumerate(plain_posterior(rows)):
+        assert got[i][1] == pytest.approx(sure, abs=1e-4)
+        assert got[i][0] == name or sure < 0.5001
+
+
 def test_mix_of_odd_sources(spark):
     rng = random.Random(12)
     rows = [*ODD, (20, sentence(rng, 3000), "en", "c")] + [(30 + i, sentence(rng, rng.randint(1, 30)), "en", rng.choice(["a", "b", None])) for i in range(300)]
@@ -440,6 +493,27 @@ def test_mix_of_odd_sources(spark):
     assert all(n <= 3 * sum((k, t) == (r[0], r[1]) for r in rows) for (k, t), n in counts.items())
 
 
+def test_mix_of_equal_rows(spark):
+    """Equal rows are drawn apart, and the sum comes as near to the target as one of them."""
+    rows = [(7, "w " * 20, "en", "a")] * 100 + [(i, "w " * 13, "en", "b") for i in range(200)]
+    got = mixing.mix_sources(documents(spark, rows)).collect()
+    for size, n in ((20, 100), (13, 200)):
+        mine = [r for r in got if r["size"] == size]
+        assert len(mine) == n and mine[0].target - size < sum(r.taken for r in mine) <= mine[0].target
+        assert max(r.taken for r in mine) <= 3 * size
+
+
+def test_mix_favours_large_documents(spark):
+    """Inclusion odds go by size: of small and large documents, the large ones are taken more often."""
+    rows = [(i, "w " * (10 if i % 2 else 40), "en", "a") for i in range(600)] + [(1000 + i, "w " * 1000, "en", "b") for i in range(3)]
+    rows += [(2000 + i, "w " * 30, "en", "c") for i in range(800)]
+    got = [r for r in mixing.mix_sources(documents(spark, rows)).collect() if r.doc_id >= 2000 or r.doc_id < 600]
+    part = [r for r in got if r.doc_id < 600]
+    base = min(r.copies for r in part)
+    share = lambda size: sum(r.copies > base for r in part if r["size"] == size) / 300
+    assert share(40) > 1.5 * share(10)
+
+
 def odd_vectors():
     rng = np.random.default_rng(3)
     rows = []
@@ -452,7 +526,12 @@ def odd_vectors():
     return rows
 
 
-def test_vector_near_duplicates(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_vector_near_duplicates(spark, monkeypatch, small):
+    """Also with groups of two vectors, whose cones are compared in blocks of eight."""
+    if small:
+        for name, value in (("LEAST_GROUP", 2), ("MOST_GROUP", 2), ("_HEADERS", 8)):
+            monkeypatch.setattr(vector_dedup, name, value)
     rows = odd_vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit(1)).withColumn("id", F.lit(2))
     got = sorted(map(tuple, vector_dedup.near_duplicate_vectors(df).collect()), key=str)

@@ -1,10 +1,12 @@
 """The pipeline on the smallest tables: the parts that have one right answer against plain Python."""
 
+import random
 import re
 
 import corpus_pipeline
 from rundiff.session import cut_lineage
 from tests.llm import plain
+from tests.llm.test_operators import ODD, documents, sentence
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -48,3 +50,36 @@ def test_stages(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     assert "sequence_id" in rows.columns and rows.count() > 0
+
+
+def odd_documents(spark):
+    rng = random.Random(8)
+    rows = list(ODD) + [(100 + i, f"{sentence(rng, 40)} mail a{i}@b.org", "en", rng.choice(["a", None])) for i in range(30)]
+    rows += [(200, rows[-1][1], "en", "a"), (129, rows[-1][1], "en", "a"), (300, sentence(rng, 9000), "en", "c"), (None, sentence(rng, 30), "en", None), (301, sentence(rng, 30), None, "a")]
+    return documents(spark, rows)
+
+
+def test_stages_on_odd_rows(spark):
+    docs = odd_documents(spark)
+    columns, n = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, FOLDER))
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert all((r.rid, r.component_id) == ("x", "x") for r in rows)
+        if name == "language":
+            assert all(plain.words(r.text) for r in rows)
+        if name == "near_duplicates":
+            assert len({(r.doc_id, r.text) for r in rows}) == len(rows) < n
+            assert 200 not in {r.doc_id for r in rows}
+        if name == "personal_data":
+            assert not any("@" in r.text for r in rows) and all(r.n_chars == len(r.text) for r in rows)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
+    assert sum(r.piece == 0 for r in packed) == docs.count()
+
+
+def test_stages_on_no_rows(spark):
+    docs = odd_documents(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = cut_lineage(stage(spark, docs, FOLDER))
+        assert docs.count() == 0
