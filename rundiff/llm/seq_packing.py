@@ -25,7 +25,7 @@ def _pieces(path, capacity, end_id):
     import pyarrow as pa
 
     def run(batches):
-        encode = tokens.encoder(path)
+        encode = tokens.new_encoder(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         names = ["id", "piece", "start", "length", "ids_crc32"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
