@@ -13,8 +13,9 @@ from rundiff.session import cut_lineage
 
 LEAST_GROUP, MOST_GROUP = 2048, 32768  # vectors of one group: two groups meet in one task
 _TILE = 1024
-_MOST_HEADERS = 20000  # groups whose centres the driver holds to skip pairs of groups; beyond that, none is skipped
-_SLACK = 1e-5  # more than all rounding of the float32 arithmetic
+_MOST_CENTRES = 1024
+_HEADERS = 1024  # groups whose cones are compared with those of as many others in one place
+_SLACK = 1e-9  # more than all rounding of the double arithmetic; products of codes are exact
 
 
 def usable(vector: Column) -> Column:
@@ -79,13 +80,18 @@ def _pack(table):
             "grp": table.column("grp").slice(0, 1),
             "dim": pa.array([x.shape[1]], pa.int32()),
             "rows": pa.array([np.array(table.column("row")).astype(np.int64).tobytes()], pa.binary()),
-            "vectors": pa.array([x.astype(np.float64).tobytes()], pa.binary()),
+            "vectors": pa.array([(x if x.dtype == np.float32 else x.astype(np.float64)).tobytes()], pa.binary()),
             "centre": pa.array([centre.tobytes()], pa.binary()),
             "angle": pa.array([angle], pa.float64()),
         }
     )
 
 
+def _vectors(blob, rows, dim):
+    """The vectors of a group as they were packed, in single or double precision."""
+    return np.frombuffer(blob, dtype=np.float32 if len(blob) == 4 * rows * dim else np.float64).reshape(rows, dim)
+
+
 def _hook(parent, a, b):
     """Joins the trees of a[i] and b[i] for all i; roots are the smallest members."""
     while len(a):
@@ -109,9 +115,9 @@ def _meet(threshold):
         sides = []
         for i in range(table.num_rows):
             rows = np.frombuffer(table.column("rows")[i].as_py(), dtype=np.int64)
-            u = unit(np.frombuffer(table.column("vectors")[i].as_py(), dtype=np.float64).reshape(len(rows), -1))
+            u = unit(_vectors(table.column("vectors")[i].as_py(), len(rows), table.column("dim")[i].as_py()))
             codes, scale, error = quantise(u)
-            exact = u.shape[1] * 127 * 127 < 1 << 24  # integer sums that float32 holds
+            exact = u.shape[1] * 127 * 127 < 1 << 24  # integer sums that float32 holds; float64 holds all others
             sides.append((rows, u, codes.astype(np.float32 if exact else np.float64), scale, error))
         one = len(sides) == 1
         (rows_a, u_a, c_a, s_a, e_a), (rows_b, u_b, c_b, s_b, e_b) = sides[0], sides[-1]
@@ -120,11 +126,11 @@ def _meet(threshold):
         links, parent = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
         for i in range(0, len(rows_a), _TILE):
             to_i = min(i + _TILE, len(rows_a))
-            left, e_i = c_a[i:to_i] * s_a[i:to_i, None].astype(c_a.dtype), e_a[i:to_i, None]
+            e_i = e_a[i:to_i, None]
             for j in range(i if one else 0, len(rows_b), _TILE):
                 to_j = min(j + _TILE, len(rows_b))
                 e_j = e_b[None, j:to_j]
-                near = left @ (c_b[j:to_j] * s_b[j:to_j, None].astype(c_b.dtype)).T
+                near = (c_a[i:to_i] @ c_b[j:to_j].T) * (s_a[i:to_i, None] * s_b[None, j:to_j])  # whole numbers, then scales
                 if near.max() + (e_i.max() * (1 + e_j.max()) + e_j.max() + _SLACK) < threshold:
                     continue
                 bound = e_i * (1 + e_j) + e_j + _SLACK
@@ -151,40 +157,42 @@ def _meet(threshold):
     return run
 
 
-def _partners(headers, count, threshold):
-    """Repeats each group for every group it meets, skipping pairs whose cones are too far apart."""
+def _near_cones(threshold):
+    """(low, high) of the groups of two blocks that may hold a link: their cones are near enough."""
     import pyarrow as pa
 
     limit = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-    if headers is not None:
-        grps = np.array([h[0] for h in headers])
-        dims = np.array([h[1] for h in headers])
-        angles = np.array([h[3] for h in headers])
-        centres = {d: np.array([np.frombuffer(h[2]) for h in headers if h[1] == d]) for d in set(dims)}
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                own = row.column("grp")[0].as_py()
-                if headers is None:
-                    other = np.arange(count)
-                else:
-                    dim = row.column("dim")[0].as_py()
-                    same = dims == dim
-                    between = np.arccos(np.clip(centres[dim] @ np.frombuffer(row.column("centre")[0].as_py()), -1, 1))
-                    other = grps[same][between - angles[same] - row.column("angle")[0].as_py() <= limit]
-                    other = np.union1d(other, [own])
-                for partner in other.tolist():
-                    low, high = min(own, partner), max(own, partner)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([low], pa.int64()), pa.array([high], pa.int64()), *[row.column(c) for c in ("grp", "rows", "vectors")]],
-                        names=["low", "high", "grp", "rows", "vectors"],
-                    )
+    def run(key, table):
+        low, high = (k.as_py() for k in key)
+        blocks, dims, groups, angles = (np.array(table.column(c)) for c in ("block", "dim", "grp", "angle"))
+        centres = np.array(table.column("centre").to_pylist(), dtype=object)
+        found = []
+        for dim in np.unique(dims):
+            left, right = (np.flatnonzero((blocks == b) & (dims == dim)) for b in (low, high))
+            if not len(left) or not len(right):
+                continue
+            x, y = (np.array([np.frombuffer(c) for c in centres[side]]) for side in (left, right))
+            between = np.arccos(np.clip(x @ y.T, -1, 1))
+            near = between - angles[left, None] - angles[None, right] <= limit
+            near |= groups[left, None] == groups[None, right]
+            p, q = np.nonzero(near & (groups[left, None] <= groups[None, right]))
+            found.append((groups[left[p]], groups[right[q]]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
+        return pa.table({"low": columns[0], "high": columns[1]})
 
     return run
 
 
+def _near_groups(packed: DataFrame, groups: int, threshold: float) -> DataFrame:
+    """(low, high): pairs of groups that may hold a link, each group with itself too; found block of cones by block."""
+    heads = packed.select("grp", "dim", "centre", "angle", F.floor(F.col("grp") / _HEADERS).alias("block"))
+    others = F.sequence(F.lit(0).cast("long"), F.lit((groups - 1) // _HEADERS).cast("long"))
+    sent = heads.withColumn("other", F.explode(others))
+    sent = sent.select("grp", "dim", "centre", "angle", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return cut_lineage(sent.groupBy("low", "high").applyInArrow(_near_cones(threshold), "low long, high long"))
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row per row: (key, n_links, component_id, kept).
 
@@ -197,18 +205,18 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, key: str
 
     Null, empty, zero vectors and those with null or non-finite components link with nothing, nor do
     vectors of different length. Repeated rows are vectors of their own; a null key is left out of the
-    smallest key of its component and ``kept`` is then false. An empty table gives no rows.
+    smallest key of its component, and its row is never kept. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     base = cut_lineage(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(vector).alias("vector")))
     valid = base.where(usable(F.col("vector"))).select("row", F.size("vector").alias("dim"), "vector")
     sizes = {r["dim"]: r["count"] for r in valid.groupBy("dim").count().collect()}  # one row per vector length
     if not sizes:
-        return base.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return base.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     group = max(LEAST_GROUP, min(MOST_GROUP, sum(sizes.values()) // 8))
     centres = []
     for dim, n in sizes.items():
-        some = valid.where(F.col("dim") == dim).orderBy(F.xxhash64("row")).limit(max(1, min(64, n // group)))
+        some = valid.where(F.col("dim") == dim).orderBy(F.xxhash64("row")).limit(max(1, min(_MOST_CENTRES, n // group)))
         centres += [unit(np.array([r["vector"]]))[0] for r in some.select("vector").collect()]
     kind = valid.schema["vector"].dataType.simpleString()
     placed = cut_lineage(valid.mapInArrow(_nearest_centre(centres), f"row long, dim int, vector {kind}, part int"))
@@ -224,12 +232,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, key: str
     packed = cut_lineage(
         grouped.groupBy("grp").applyInArrow(_pack, "grp long, dim int, rows binary, vectors binary, centre binary, angle double")
     )
-    headers = None
-    if offset <= _MOST_HEADERS:
-        headers = [tuple(r) for r in packed.select("grp", "dim", "centre", "angle").collect()]
-    elif len(sizes) > 1:
-        raise ValueError("vectors of several lengths: compare them apart")
-    cells = packed.mapInArrow(_partners(headers, offset, threshold), "low long, high long, grp long, rows binary, vectors binary")
+    near = _near_groups(packed, offset, threshold)
+    ends = F.explode(F.array_distinct(F.array("low", "high"))).alias("grp")
+    cells = packed.select("grp", "dim", "rows", "vectors").join(near.select("low", "high", ends), "grp")
     met = cut_lineage(cells.groupBy("low", "high").applyInArrow(_meet(threshold), "row long, links long, root long"))
     counts = met.groupBy("row").agg(F.sum("links").alias("n_links"))
     nodes = components(met.select(F.col("row").alias("a"), F.col("root").alias("b")))
