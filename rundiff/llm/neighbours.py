@@ -14,7 +14,7 @@ from rundiff.session import cut_lineage
 DEGREE = 32  # neighbours of a vector in the graph
 REVERSE = 16  # vectors that have it as a neighbour and meet with them, about
 LEAST_CHANGE = 0.02  # share of changed neighbours below which no further round of NN-descent is made
-TREES, LEAF = 8, 4096  # random projection trees for the first graph
+TREES, LEAF = 8, 128  # random projection trees for the first graph, and vectors of a leaf, about
 SAMPLE = 20000  # vectors that the trees are fitted on, about
 BEAM = 128  # vectors that a search keeps
 _SALTS = 64
