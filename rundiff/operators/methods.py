@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rundiff.functions.text import strip
+from rundiff.operators.lookup import look_up as look_up_rows
+from rundiff.operators.lookup import merge_join
 from rundiff.operators.ordered import BLOCK_ROWS, Running, list_pieces, running
 from rundiff.operators.statements import long_statements
 from rundiff.session import cut_lineage
@@ -26,6 +28,8 @@ CALL_PATTERNS = [
     r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*[=;]",
 ]
 FIELD_PATTERN = r"^\s*(private|protected|public)?\s+.*\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*[=;].*$"
+# What every such line holds: the pattern itself goes back and forth over other lines, at the cube of their indent.
+FIELD_PART = r"\s[a-zA-Z_][a-zA-Z0-9_]*+\s*+[=;]"
 
 # Limits for large files, where a caller asks for them, and for signatures in lists.
 LARGE_FILE_LINES = 1000
@@ -132,7 +136,7 @@ def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS, reuse: bool = F
         more = long_declarations(lines, block_rows).select(
             F.col("path").alias("_lp"), F.col("start_line").alias("_ll"), F.col("last_line"), *[F.col(c).alias(f"_l{c}") for c in _DECLARED]
         )
-        joined = declared.join(more, (F.col("path") == F.col("_lp")) & (F.col("line_no") == F.col("_ll")), "left")
+        joined = merge_join(declared, more, (F.col("path") == F.col("_lp")) & (F.col("line_no") == F.col("_ll")), "left")
         own = F.col("name").isNotNull()
         parts = {c: F.when(own, F.col(c)).otherwise(F.col(f"_l{c}")) for c in _DECLARED}
         declared = joined.withColumns({"_decl": F.when(own, F.col("_decl")).otherwise(F.coalesce("last_line", "_decl")), **parts})
@@ -143,7 +147,7 @@ def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS, reuse: bool = F
 
     found = found.withColumn("_depth", F.col("_balance") - F.col("_net"))
     at_open = marked.where("_has_open").select(F.col("path").alias("_bp"), F.col("line_no").alias("_bl"), F.col("_balance").alias("_after"))
-    found = found.join(at_open, (F.col("path") == F.col("_bp")) & (F.col("_open") == F.col("_bl")), "left")
+    found = merge_join(found, at_open, (F.col("path") == F.col("_bp")) & (F.col("_open") == F.col("_bl")), "left")
     one_line = F.col("signature").endswith(";")
     immediate = F.coalesce(F.col("_after") <= F.col("_depth"), F.lit(False))
     none = F.lit(None).cast("long")
@@ -162,7 +166,7 @@ def method_index(lines: DataFrame, block_rows: int = BLOCK_ROWS, reuse: bool = F
     )
     on = (F.col("path") == F.col("_p")) & (F.col("_depth") == F.col("_d")) & (F.col("_open") == F.col("_a"))
     end = F.when(one_line, F.col("_decl")).when(immediate, F.col("_open")).otherwise(F.col("_end"))
-    index = found.join(following, on, "left").select(
+    index = merge_join(found, following, on, "left").select(
         "path",
         "name",
         "return_type",
@@ -191,7 +195,7 @@ def method_lines(methods: DataFrame, lines: DataFrame) -> DataFrame:
     low = F.greatest(F.col("start_line"), F.col("_span") * SPAN)
     high = F.least(F.col("end_line"), F.col("_span") * SPAN + SPAN - 1)
     numbered = span.select("path", "name", "start_line", F.explode(F.sequence(low, high)).alias("line_no"))
-    return numbered.join(lines.select("path", "line_no", "text"), ["path", "line_no"])
+    return merge_join(numbered, lines.select("path", "line_no", "text"), ["path", "line_no"])
 
 
 def method_bodies(body_lines: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
@@ -234,15 +238,15 @@ def _names_with_part(asked: DataFrame, names: DataFrame) -> DataFrame:
     """
     size = F.least(F.length("_part"), F.lit(GRAM))
     sized = asked.withColumn("_size", size)
-    held = names.join(sized.select("path", "_size").distinct(), "path").where(F.length("_lower") >= F.col("_size"))
+    held = merge_join(names, sized.select("path", "_size").distinct(), "path").where(F.length("_lower") >= F.col("_size"))
     postings = cut_lineage(held.select("path", "_lower", "_size", F.explode(_grams(F.col("_lower"), F.col("_size"))).alias("_gram")))
     counts = postings.groupBy("path", "_size", "_gram").agg(F.count("*").alias("_names"))
     wanted = sized.select("path", "_part", "_size", F.explode(_grams(F.col("_part"), F.col("_size"))).alias("_gram"))
-    rarest = wanted.join(counts, ["path", "_size", "_gram"], "left").groupBy("path", "_part", "_size").agg(
+    rarest = merge_join(wanted, counts, ["path", "_size", "_gram"], "left").groupBy("path", "_part", "_size").agg(
         F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r")
     )
     keyed = rarest.where("_r.n > 0").select("path", "_part", "_size", F.col("_r.gram").alias("_gram"))
-    return postings.join(keyed, ["path", "_size", "_gram"]).where(F.contains("_lower", F.col("_part"))).select("path", "_part", "_lower")
+    return merge_join(postings, keyed, ["path", "_size", "_gram"]).where(F.contains("_lower", F.col("_part"))).select("path", "_part", "_lower")
 
 
 def find_methods(requests: DataFrame, methods: DataFrame) -> DataFrame:
@@ -261,7 +265,7 @@ def find_methods(requests: DataFrame, methods: DataFrame) -> DataFrame:
         return listed.groupBy("path", "_key").agg(F.min("_m").alias(out), F.count("*").alias(f"{out}_n"))
 
     def look_up(df: DataFrame, index: DataFrame, key: Column) -> DataFrame:
-        return df.withColumn("_key", key).join(index, ["path", "_key"], "left").drop("_key")
+        return merge_join(df.withColumn("_key", key), index, ["path", "_key"], "left").drop("_key")
 
     lower = F.lower("method")
     exact = look_up(wanted, first(methods, F.col("name"), "_exact"), F.col("method"))
@@ -269,7 +273,7 @@ def find_methods(requests: DataFrame, methods: DataFrame) -> DataFrame:
 
     asked = cut_lineage(cased.where(F.col("_ci").isNull()).select("path", lower.alias("_part")).distinct())
     candidates = _names_with_part(asked, methods.select("path", F.lower("name").alias("_lower")).distinct())
-    listed = methods.withColumn("_lower", F.lower("name")).join(candidates, ["path", "_lower"])
+    listed = merge_join(methods.withColumn("_lower", F.lower("name")), candidates, ["path", "_lower"])
     found = look_up(cased, first(listed, F.col("_part"), "_part"), lower)
 
     best = F.coalesce("_exact", "_ci", "_part")
@@ -283,7 +287,7 @@ def find_methods(requests: DataFrame, methods: DataFrame) -> DataFrame:
         best.alias("found"),
         F.coalesce("_exact_n", F.lit(0)).alias("overloads"),
     )
-    return requests.join(matched, ["path", "method"], "left")
+    return look_up_rows(requests, matched, ["path", "method"])
 
 
 def overloads(requests: DataFrame, methods: DataFrame) -> DataFrame:
@@ -292,8 +296,7 @@ def overloads(requests: DataFrame, methods: DataFrame) -> DataFrame:
     wanted = requests.select("path", "method").distinct()
     first = named.groupBy("path", "method").agg(F.min("start_line").alias("_first"))
     return (
-        named.join(wanted, ["path", "method"], "left_semi")
-        .join(first, ["path", "method"])
+        merge_join(merge_join(named, wanted, ["path", "method"], "left_semi"), first, ["path", "method"])
         .withColumn("is_default", F.col("start_line") == F.col("_first"))
         .drop("_first")
     )
@@ -313,7 +316,7 @@ def call_edges(deps: DataFrame, methods: DataFrame) -> DataFrame:
     """
     callee = F.struct(F.col("start_line").alias("line"), F.col("end_line").alias("end"))
     defined = methods.groupBy("path", F.col("name").alias("dependency")).agg(F.min(callee).alias("_c"))
-    return deps.join(defined, ["path", "dependency"]).select(
+    return merge_join(deps, defined, ["path", "dependency"]).select(
         "path",
         F.col("name").alias("caller"),
         F.col("start_line").alias("caller_line"),
@@ -335,8 +338,8 @@ def near_edges(
     Contexts keep all edges; this is for a caller that wants short ones.
     """
     ends = methods.select("path", F.col("name").alias("caller"), F.col("start_line").alias("caller_line"), "end_line")
-    sized = edges.join(ends.dropDuplicates(["path", "caller", "caller_line"]), ["path", "caller", "caller_line"])
-    sized = sized.join(file_sizes, "path")
+    sized = merge_join(edges, ends.dropDuplicates(["path", "caller", "caller_line"]), ["path", "caller", "caller_line"])
+    sized = merge_join(sized, file_sizes, "path")
     near = (F.col("callee_line") >= F.col("caller_line") - near_lines) & (
         F.col("callee_line") <= F.col("end_line") + near_lines
     )
@@ -382,7 +385,7 @@ def class_fields(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Field lines between the first class line and the first public method after it."""
     line = strip(F.col("text"))
     class_line = F.contains(line, F.lit("class ")) & F.contains(line, F.lit("{"))
-    field_like = F.col("text").rlike(FIELD_PATTERN)
+    field_like = F.col("text").rlike(FIELD_PART) & F.col("text").rlike(FIELD_PATTERN)
     flagged = (
         lines.withColumn("_class", class_line)
         .withColumn("_field", ~class_line & field_like & ~line.startswith("//"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rundiff.operators.frames import TOKEN_IS_CLASS
+from rundiff.operators.lookup import look_up, merge_join
 
 # Source folders tried for a class path, in order.
 SOURCE_DIRS = ["src/main/java", "src/test/java", "src/java", "src", "test/java", "tests/src"]
@@ -61,7 +62,7 @@ def _best(catalog: DataFrame, key: Column, rank: Sequence[Column], out: str) ->
 
 
 def _find(frames: DataFrame, key: Column, best: DataFrame) -> DataFrame:
-    return frames.withColumn("_k", key).join(best, F.col("_k") == F.col("_key"), "left").drop("_k", "_key")
+    return look_up(frames.withColumn("_key", key), best, ["_key"]).drop("_key")
 
 
 def by_class_path(frames: DataFrame, catalog: DataFrame, fqn: str = "class_fqn", out: str = "exact") -> DataFrame:
@@ -100,7 +101,7 @@ def candidate_files(frames: DataFrame, catalog: DataFrame, fqn: str = "class_fqn
     name = F.lower(F.concat(F.substring_index(F.substring_index(fqn, "$", 1), ".", -1), F.lit(".java")))
     wanted = frames.select(name.alias("lower_name")).distinct()
     named = catalog.withColumn("lower_name", F.lower("file_name"))
-    return named.join(wanted, "lower_name", "left_semi").select("lower_name", "path", "depth")
+    return merge_join(named, wanted, "lower_name", "left_semi").select("lower_name", "path", "depth")
 
 
 def by_explicit_path(frames: DataFrame, catalog: DataFrame, root: str = "", path: str = "explicit_path") -> DataFrame:
@@ -173,15 +174,14 @@ def by_sequential_path(frames: DataFrame, catalog: DataFrame, root_name: str) ->
     # 0 where a folder has the part's own case, 1 where it is the lower-case form
     fit = F.zip_with("_parts", "_folders", lambda p, d: F.when(p == d, 0).when(F.lower(p) == d, 1))
     matched = (
-        wanted.withColumn("_k", key)
-        .join(files, F.col("_k") == F.col("_key"))
+        merge_join(wanted.withColumn("_k", key), files, F.col("_k") == F.col("_key"))
         .withColumn("_fit", fit)
         .where(~F.exists("_fit", lambda x: x.isNull()))
         .groupBy("package_path", "file_name")
         .agg(F.min(F.struct("_fit", "_path")).alias("_b"))
         .select("package_path", "file_name", F.col("_b._path").alias("path"))
     )
-    return frames.join(matched, ["package_path", "file_name"], "left")
+    return merge_join(frames, matched, ["package_path", "file_name"], "left")
 
 
 def by_token_walk(frames: DataFrame, catalog: DataFrame, fqn: str = "class_fqn") -> DataFrame:
@@ -201,9 +201,9 @@ def by_token_walk(frames: DataFrame, catalog: DataFrame, fqn: str = "class_fqn")
     folders = F.filter(F.slice(tokens, 1, F.col("_x.i") + 1), lambda t: ~is_class(t))
     tried = F.concat_ws("/", F.array_join(folders, "/"), F.concat(F.col("_x.t"), F.lit(".java")))
     steps = steps.select(fqn, F.col("_x.i").alias("_step"), F.regexp_replace(tried, "^/", "").alias("_k"))
-    hits = steps.join(catalog.select(F.col("path").alias("_path")), F.col("_k") == F.col("_path"))
+    hits = merge_join(steps, catalog.select(F.col("path").alias("_path")), F.col("_k") == F.col("_path"))
     first = hits.groupBy(fqn).agg(F.min(F.struct("_step", "_path")).alias("_walk"))
-    found = by_file_name(wanted.join(first, fqn, "left"), catalog, fqn)
+    found = by_file_name(merge_join(wanted, first, fqn, "left"), catalog, fqn)
     walked = F.col("_walk._path")
     resolved = found.select(
         fqn,
@@ -213,7 +213,7 @@ def by_token_walk(frames: DataFrame, catalog: DataFrame, fqn: str = "class_fqn")
         .when(F.col("fuzzy_ci").isNotNull(), "case_insensitive")
         .alias("how_found"),
     )
-    return frames.join(resolved, fqn, "left")
+    return merge_join(frames, resolved, fqn, "left")
 
 
 def by_path_suffix(frames: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def by_path_suffix(frames: DataFrame, catalog: DataFrame) -> DataFrame:
         F.col("_b.n").alias("tail_length"),
         F.col("_b.c").alias("match_count"),
     )
-    return frames.join(longest, ["package_path", "file_name"], "left")
+    return merge_join(frames, longest, ["package_path", "file_name"], "left")
 
 
 def declared_files(catalog: DataFrame, source_lines: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def declared_files(catalog: DataFrame, source_lines: DataFrame) -> DataFrame:
         F.concat(F.lit("interface "), stem)
     )
     declaring = source_lines.where(declares).select("path").distinct()
-    return catalog.join(declaring, "path", "left_semi")
+    return merge_join(catalog, declaring, "path", "left_semi")
 
 
 def by_declaration(frames: DataFrame, catalog: DataFrame, source_lines: DataFrame, fqn: str = "class_fqn") -> DataFrame:

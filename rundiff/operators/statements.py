@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rundiff.operators.lookup import merge_join
 from rundiff.operators.ordered import BLOCK_ROWS, Running, running
 from rundiff.session import cut_lineage
 
@@ -46,7 +47,7 @@ def with_comment_state(lines: DataFrame, out: str = "in_comment", block_rows: in
     marks = running(marks, ["path"], "line_no", [Running("_set", "max", told)], block_rows)
     after = (F.coalesce(F.col("_set") % 2, F.lit(0)) + odd) % 2
     marks = cut_lineage(marks.select(F.col("path").alias("_p"), F.col("line_no").alias("_l"), (F.col("line_no") * 2 + after).alias("_after")))
-    marked = lines.join(marks, (F.col("path") == F.col("_p")) & (F.col("line_no") == F.col("_l")), "left").drop("_p", "_l")
+    marked = merge_join(lines, marks, (F.col("path") == F.col("_p")) & (F.col("line_no") == F.col("_l")), "left").drop("_p", "_l")
     last = running(cut_lineage(marked), ["path"], "line_no", [Running("_last", "max", F.col("_after"), exclusive=True)], block_rows)
     return last.withColumn(out, F.coalesce(F.col("_last") % 2 == 1, F.lit(False))).drop("_after", "_last")
 

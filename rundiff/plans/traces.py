@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rundiff.operators import frames, methods, resolve
+from rundiff.operators.lookup import look_up, merge_join
 from rundiff.operators.ordered import list_pieces
 from rundiff.session import cut_lineage
 
@@ -67,7 +68,7 @@ def resolve_traces(
             F.col("_o.parse_type").alias("pattern"),
         )
         usable = (frame["pattern"] == "fallback") & F.col("_o").isNotNull()
-        parsed = parsed.join(other, "line", "left").withColumn("frame", F.when(usable, from_path).otherwise(frame))
+        parsed = merge_join(parsed, other, "line", "left").withColumn("frame", F.when(usable, from_path).otherwise(frame))
     flat = cut_lineage(
         parsed.select(
             "line",
@@ -84,10 +85,10 @@ def resolve_traces(
     )
     same_frame = (F.col("class_fqn") == F.col("_c")) & F.col("explicit_path").eqNullSafe(F.col("_e"))
     # the distinct frames with their files are few; the look-up reads them several times
-    located = cut_lineage(distinct.join(files, same_frame).drop("_c", "_e"))
+    located = cut_lineage(merge_join(distinct, files, same_frame).drop("_c", "_e"))
     found = methods.find_methods(located, method_index)
     per_file = method_index.groupBy("path").agg(F.count("*").alias("method_count"))
-    answers = found.join(per_file, "path", "left").select(
+    answers = look_up(found, per_file, ["path"]).select(
         F.col("class_fqn").alias("_c"),
         F.col("method").alias("_m"),
         F.col("explicit_path").alias("_e"),
@@ -103,7 +104,7 @@ def resolve_traces(
         & F.col("method").eqNullSafe(F.col("_m"))
         & F.col("explicit_path").eqNullSafe(F.col("_e"))
     )
-    per_line = flat.join(answers, same, "left").drop("_c", "_m", "_e")
+    per_line = merge_join(flat, answers, same, "left").drop("_c", "_m", "_e")
     missed = F.col("method").isNotNull() & F.col("match").isNull()
     reason = (
         F.when(~F.col("parsed"), "parsing_failed")
@@ -123,7 +124,7 @@ def resolve_traces(
     )
     tried = resolve.searched_paths(F.col("class_fqn"), F.col("explicit_path"))
     return (
-        lines.join(per_line, "line", "left")
+        merge_join(lines, per_line, "line", "left")
         .withColumn("reason", F.when(F.col("line").isNull(), "parsing_failed").otherwise(F.col("reason")))
         .fillna({"status": "failure", "extraction_type": "error", "parsed": False})
         .withColumn("display_path", resolve.display_path(F.col("path")))
@@ -188,7 +189,7 @@ def context_references(targets: DataFrame, method_index: DataFrame, lines: DataF
     """
     wanted = targets.select(*_METHOD).distinct()
     # read by several branches, so the lines of the files that matter are written once
-    own = cut_lineage(lines.join(wanted.select("path").distinct(), "path", "left_semi"))
+    own = cut_lineage(merge_join(lines, wanted.select("path").distinct(), "path", "left_semi"))
     classes = methods.class_declarations(own).select(
         "path", F.coalesce("line_no", F.lit(0)).alias("line_no"), F.col("declaration").alias("text")
     )
@@ -197,7 +198,7 @@ def context_references(targets: DataFrame, method_index: DataFrame, lines: DataF
         .unionByName(classes.withColumn("part", F.lit(1)))
         .unionByName(methods.class_fields(own).withColumn("part", F.lit(2)))
     )
-    index = method_index.join(wanted.select("path").distinct(), "path", "left_semi")
+    index = merge_join(method_index, wanted.select("path").distinct(), "path", "left_semi")
     body_lines = cut_lineage(methods.method_lines(index, own).withColumn("offset", F.col("line_no") - F.col("start_line")))
     hashes = [F.hex(F.bit_xor(F.xxhash64(F.lit(seed), "offset", "text"))) for seed in (1, 2)]
     bodies = cut_lineage(
@@ -206,8 +207,8 @@ def context_references(targets: DataFrame, method_index: DataFrame, lines: DataF
         )
     )
     first = bodies.groupBy("body").agg(F.min(F.struct(*_METHOD)).alias("_first")).select("body", "_first.*")
-    texts = body_lines.join(first, _METHOD).select("body", "offset", "text")
-    calling = body_lines.join(wanted, _METHOD, "left_semi").select(*_METHOD, "text")
+    texts = merge_join(body_lines, first, _METHOD).select("body", "offset", "text")
+    calling = merge_join(body_lines, wanted, _METHOD, "left_semi").select(*_METHOD, "text")
     used = methods.call_edges(methods.dependencies(calling), index)
     calls = used.select(
         "path", F.col("caller").alias("name"), F.col("caller_line").alias("start_line"), F.lit(4).alias("part"), F.col("callee").alias("body_name"), F.col("callee_line").alias("part_line")
@@ -218,7 +219,7 @@ def context_references(targets: DataFrame, method_index: DataFrame, lines: DataF
 
 def _with_bodies(context: CodeContext) -> DataFrame:
     named = context.bodies.select("path", F.col("name").alias("body_name"), F.col("start_line").alias("part_line"), "body", "lines", "chars")
-    return context.edges.join(named, ["path", "body_name", "part_line"])
+    return merge_join(context.edges, named, ["path", "body_name", "part_line"])
 
 
 def context_text(context: CodeContext) -> DataFrame:
@@ -323,7 +324,7 @@ def available_methods(resolved: DataFrame, method_index: DataFrame) -> DataFrame
     ``method_not_found`` or ``all_methods``.
     """
     asked = resolved.where((F.col("reason") == "method_not_found") | (F.col("extraction_type") == "all_methods"))
-    return methods.method_lists(method_index.join(asked.select("path").distinct(), "path", "left_semi"))
+    return methods.method_lists(merge_join(method_index, asked.select("path").distinct(), "path", "left_semi"))
 
 
 def candidate_paths(resolved: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -331,7 +332,7 @@ def candidate_paths(resolved: DataFrame, catalog: DataFrame) -> DataFrame:
     lost = resolved.where("reason = 'file_not_found' AND class_fqn IS NOT NULL").select("class_fqn").distinct()
     files = resolve.candidate_files(lost, catalog)
     name = F.lower(F.concat(F.substring_index(F.substring_index("class_fqn", "$", 1), ".", -1), F.lit(".java")))
-    return lost.withColumn("lower_name", name).join(files, "lower_name").select("class_fqn", "lower_name", "path", "depth")
+    return merge_join(lost.withColumn("lower_name", name), files, "lower_name").select("class_fqn", "lower_name", "path", "depth")
 
 
 def needs_chunking(context: DataFrame) -> DataFrame:
@@ -343,5 +344,5 @@ def needs_chunking(context: DataFrame) -> DataFrame:
 def _sized(own: DataFrame, shared_lines: DataFrame) -> DataFrame:
     shared = shared_lines.groupBy("path").agg(F.sum(F.length("text") + 1).alias("_shared"))
     chars = F.col("_own") + F.coalesce("_shared", F.lit(0))
-    total = own.join(shared, "path", "left").withColumn("code_chars", chars)
+    total = merge_join(own, shared, "path", "left").withColumn("code_chars", chars)
     return total.drop("_own", "_shared").withColumn("chunked", F.col("code_chars") > MAX_CONTEXT_CHARS)

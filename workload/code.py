@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from rundiff.operators import frames, methods, resolve, results
+from rundiff.operators.lookup import look_up, merge_join
 from rundiff.plans import traces
 from rundiff.session import shared_folder
 from workload import inputs
@@ -316,7 +317,7 @@ def method_overloads(spark, sf_dir):
     requests = index.select("path", F.concat(F.lit("m"), F.regexp_extract("path", "/p([0-9]+)/", 1)).alias("method")).distinct()
     found = methods.overloads(requests, index)
     counts = methods.find_methods(requests, index).select("path", "method", F.col("overloads").alias("candidates"))
-    return found.join(counts, ["path", "method"]).select("path", "method", "start_line", "end_line", "signature", "is_default", "candidates")
+    return merge_join(found, counts, ["path", "method"]).select("path", "method", "start_line", "end_line", "signature", "is_default", "candidates")
 
 
 @query(
@@ -532,7 +533,7 @@ def trace_methods(spark, sf_dir):
     resolved = traces.resolve_traces(_lines(spark, sf_dir), _catalog(spark, sf_dir), index)
     lists = traces.available_methods(resolved, index)
     names = lists.select("path", F.explode("name").alias("name")).groupBy("path").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))
-    return names.join(lists.groupBy("path").agg(F.sum("method_count").alias("method_count")), "path")
+    return merge_join(names, lists.groupBy("path").agg(F.sum("method_count").alias("method_count")), "path")
 
 
 @query(
@@ -660,7 +661,7 @@ def trace_failures(spark, sf_dir):
     lost = traces.resolve_traces(lines, _catalog(spark, sf_dir), index).where("reason is not null")
     choices = traces.available_methods(lost, index).where("piece_no = 0").select("path", F.array_join("name", ",").alias("choices"))
     missed = F.when(F.col("reason") == "method_not_found", F.col("choices"))
-    return lost.join(choices, "path", "left").select(
+    return look_up(lost, choices, ["path"]).select(
         "line", "n", "reason", F.array_join("suggestions", "|").alias("suggestions"), F.array_join("searched_paths", "|").alias("searched"), missed.alias("choices")
     )
 
