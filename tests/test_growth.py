@@ -3,11 +3,14 @@
 import glob
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rundiff.operators import methods, resolve
 from rundiff.operators.lookup import look_up
+from rundiff.operators.ordered import Running, running
 from rundiff.session import shared_folder
+from rundiff.sources import xml_events
 from workload import QUERIES, inputs
 
 
@@ -91,3 +94,26 @@ def test_a_language_is_written_by_several_tasks(spark, tmp_path):
     (folder,) = set(glob.glob(f"{re.sub('^file:', '', shared_folder(spark))}/rundiff-listing-*")) - before
     assert got == {"txt": (1, 4 * sum(len(t) + 1 for _, t, _ in rows)), "csv": (1, None), "json": (1, None)}
     assert len(glob.glob(f"{folder}/texts/lang=en/*.txt")) == 4
+
+
+def test_a_window_by_kept_blocks_needs_no_shuffle(spark, capsys):
+    rows = spark.range(100).selectExpr("id % 3 AS k", "id AS pos", "id % 7 AS v")
+    summed = running(rows, ["k"], "pos", [Running("total", "sum", F.col("v"))], 16, keep_block="b")
+    more = summed.withColumn("here", F.sum("total").over(Window.partitionBy("k", "b").orderBy("pos")))
+    assert _plan(more, capsys).count("Exchange hashpartitioning") == _plan(summed, capsys).count("Exchange hashpartitioning")
+    assert {(r.k, r.pos): r.total for r in summed.collect()} == {(i % 3, i): sum(j % 7 for j in range(i + 1) if j % 3 == i % 3) for i in range(100)}
+
+
+def test_texts_of_xml_are_written_few_times(spark, tmp_path, monkeypatch):
+    text = "<r>\n" + "".join(f"  <o id='{i}'>\n<s>F</s> a <!-- <t> --><t><![CDATA[{i}<&>]]></t>b</o>\n" for i in range(40)) + "</r>"
+    for name in ("a.xml", "b.xml"):
+        (tmp_path / name).write_text(text)
+    written, cut = [], xml_events.cut_lineage
+    monkeypatch.setattr(xml_events, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    whole = xml_events.read_xml_events(spark, str(tmp_path))
+    # the pieces, the tags with what follows them, the tags with their owners, the elements
+    assert sum("piece" in c or "text" in c for c in written) <= 4
+    in_blocks = xml_events.read_xml_events(spark, str(tmp_path), block_rows=8)
+    assert sorted(map(str, whole.elements.collect())) == sorted(map(str, in_blocks.elements.collect()))
+    assert {(r.tag, r.text) for r in whole.elements.where("pos < 12 AND file_id LIKE '%a.xml'").collect()} == {("r", None), ("o", "a b"), ("s", "F"), ("t", "0<&>"), ("s", "F")}
+    assert [r.error for r in whole.files.collect()] == [None, None]
