@@ -362,6 +362,42 @@ def test_passages_of_common_lines(spark):
         assert got == {(1, 20, 80, 2), (1, 100, 160, 2), (2, 30, 90, 1)}
 
 
+def test_passages_of_lines_in_other_order(spark):
+    """Passages of common lines, a word that differs after each: no two documents but the pair hold a whole one."""
+    rng = random.Random(13)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    lines, rows, pairs = [words(5) for _ in range(30)], [], []
+    for i in range(12):
+        chosen = rng.sample(lines, 14)
+        sides = [sum((line + words(1) for line in chosen), []) for _ in range(2)]
+        rows += [(10 * i + j, " ".join(words(8 + j) + side + words(12)), "en", "s") for j, side in enumerate(sides)]
+        pairs.append((10 * i, 10 * i + 1))
+    for i, line in enumerate(lines):
+        rows += [(1000 + 30 * i + j, " ".join(words(20) + line + words(30)), "en", "s") for j in range(30)]
+    got = {(r.doc_id, r.partner_id): (r.start_word, r.end_word) for r in passages.repeated_passages(documents(spark, rows)).collect()}
+    assert set(got) == {x for a, b in pairs for x in ((a, b), (b, a))}
+    for a, b in pairs:
+        for key, other, at in ((a, b, 8), (b, a, 9)):
+            assert got[key, other][0] <= at and got[key, other][1] >= at + 83
+
+
+def test_places_of_a_frequent_seed_all_meet(monkeypatch):
+    """Cut into blocks and chunks, each two places of a seed still meet once."""
+    pa = pytest.importorskip("pyarrow")
+    texts = [np.arange(i * 100, i * 100 + 20, dtype=np.uint64) for i in range(1, 40)]
+    for t in texts:
+        t[5:9] = [1, 2, 3, 4]
+    send = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))])], names=["text"])
+    monkeypatch.setattr(passages.arrays, "row_words", lambda column: enumerate(texts))
+    monkeypatch.setattr(passages, "_BLOCK_PLACES", 7)
+    monkeypatch.setattr(passages, "_CHUNK_PAIRS", 10)
+    blobs = sorted((x.to_pylist()[0] for x in passages._send_seeds(8, 4)([send])), key=lambda x: x["bucket"])
+    tiles = list(passages._tiles([pa.RecordBatch.from_pylist(blobs, schema=pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))]))
+    got = [(r["a"], r["b"], tuple(np.frombuffer(r["places"], np.uint32))) for x in passages._join_seeds(tiles) for r in x.to_pylist()]
+    keys = sorted(int(passages._sequence_key(t).view(np.int64)) for t in texts)
+    assert sorted(got) == [(a, b, (5, 5, 3)) for i, a in enumerate(keys) for b in keys[i + 1 :]]
+
+
 @pytest.mark.parametrize("split", ["128m", "150"])
 def test_warc_with_records_inside_payloads(spark, split):
     fake = "\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
