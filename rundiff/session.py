@@ -39,6 +39,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def size_shuffles(spark: SparkSession, tasks: int, mb: int = 8) -> None:
+    """From now on, shuffles and scans of this session have ``tasks`` partitions, and small partitions are put together up to ``mb`` MB.
+
+    The lines of texts take many times their compressed bytes in a sort. With Spark's 64 MB a task and a fixed number of
+    partitions, the memory of a task grows with the input. Settings that make smaller tasks stay.
+    """
+    now = {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.files.minPartitionNum": spark.conf.get("spark.sql.files.minPartitionNum", "1")}
+    for name, least in now.items():
+        if int(least) < tasks:
+            spark.conf.set(name, str(tasks))
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(name, "64m").lower()).groups()
+    if int(number) * 1024 ** " kmgtp".index(unit or " ") > mb << 20:
+        spark.conf.set(name, f"{mb}m")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from its files.
 

@@ -32,6 +32,26 @@ def test_no_side_of_source_joins_is_broadcast(spark, tmp_path, capsys):
         assert "Broadcast" not in _plan(QUERIES[name](spark, str(tmp_path)), capsys), name
 
 
+def test_shuffles_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """Lines dealt to many tasks are not put into fewer by the shuffles and scans after it, nor put together up to 64 MB."""
+    _parts(spark, tmp_path, 300)
+    monkeypatch.setattr(inputs, "FILES_PER_TASK", 10)
+    names = ["spark.sql.shuffle.partitions", "spark.sql.files.minPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.enabled"]
+    before = {c: spark.conf.get(c, None) for c in names}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        lines = inputs.sources(spark, str(tmp_path))
+        assert lines.groupBy("line_no").count().rdd.getNumPartitions() >= 30
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+        inputs.sources(spark, str(tmp_path))
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16k"
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
 def test_no_side_of_a_resolution_is_broadcast(spark, capsys):
     named = spark.createDataFrame([("a.B", None), ("c.D", "x/D.java")], "class_fqn string, explicit_path string")
     catalog = resolve.file_catalog(spark.createDataFrame([("a/B.java",), ("x/D.java",)], "path string"))

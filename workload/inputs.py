@@ -15,6 +15,7 @@ from rundiff.operators.lookup import merge_join
 from rundiff.operators.methods import source_lines
 from rundiff.operators.ordered import dense_index
 from rundiff.operators.results import result_key
+from rundiff.session import size_shuffles
 
 RUN_SPLIT = "2024-01-16 00:00:00"
 FILES_PER_TASK = 1 << 14
@@ -27,8 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, rows: int, per_task: int, key: str) -> DataFrame:
-    """``df`` dealt out by ``key`` to tasks of about ``per_task`` of ``rows`` rows, as the files of a table say nothing of what a row grows to."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / per_task)), key)
+    """``df`` dealt out by ``key`` to tasks of about ``per_task`` of ``rows`` rows, as the files of a table say nothing of what a row grows to.
+
+    The shuffles after it get as many partitions at least.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / per_task))
+    size_shuffles(df.sparkSession, tasks)
+    return df.repartition(tasks, key)
 
 
 # Profiler calls from events: the first half of the month is run A, the second run B, and
