@@ -51,33 +51,41 @@ def uniform(*keys: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def _take_first(docs: DataFrame, budgets: DataFrame) -> DataFrame:
+def _take_first(docs: DataFrame) -> DataFrame:
     """Adds ``fits``: whether the words of all documents up to this one, by rank, stay within the budget of the source.
 
-    The running sum has two levels: sums of rank buckets, then rows inside a bucket.
+    ``budget`` is a column of the rows, the same for all of a source. The running sum has two levels: sums of rank
+    buckets, then rows inside a bucket.
     """
     docs = docs.withColumn("bucket", F.floor(F.col("u") * F.col("n_buckets")))
     inside = Window.partitionBy("source_no", "bucket").orderBy("rank", F.desc("size"), "row_key", "nth").rowsBetween(Window.unboundedPreceding, 0)
     sums = docs.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).join(budgets, "source_no")
+    sums = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     # buckets wholly below or above the budget need no order
     settled = docs.join(sums, ["source_no", "bucket"])
     whole = F.col("before") + F.col("bucket_size") <= F.col("budget")
     cut = ~whole & (F.col("before") <= F.col("budget"))
     even = settled.where(~cut).withColumn("fits", whole)
     mixed = settled.where(cut).withColumn("fits", F.col("before") + F.sum("size").over(inside) <= F.col("budget"))
-    return even.unionByName(mixed).drop("bucket", "bucket_size", "before", "budget")
+    return even.unionByName(mixed).drop("bucket", "bucket_size", "before")
 
 
-def _odds_per_word(rows: DataFrame, sources: DataFrame) -> DataFrame:
+def _still_fit(rows: DataFrame, granted: DataFrame) -> DataFrame:
+    """The rows no larger than what is left of their budget after the words granted, with that as their budget."""
+    used = granted.groupBy("source_no").agg(F.sum("size").alias("used"))
+    left = rows.join(used, "source_no", "left").withColumn("budget", F.col("budget") - F.coalesce("used", F.lit(0)))
+    return left.where("size <= budget").select(*rows.columns)
+
+
+def _odds_per_word(rows: DataFrame) -> DataFrame:
     """(source_no, per_word): inclusion odds are per_word times the measure of a document, 1 at most, such that the
     words expected are the budget.
 
     Documents that would pass 1 are certain: the measures are gone through from the greatest, as long as what is
     left of the budget would give the next one more than 1. One row per source and measure is all that is sorted.
     """
-    words = rows.groupBy("source_no", "measure").agg(F.sum("size").alias("words")).join(sources.select("source_no", "budget"), "source_no")
+    words = rows.groupBy("source_no", "measure").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
     order = Window.partitionBy("source_no").orderBy(F.desc("measure"))
     certain = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     open_ = F.sum(F.col("words") * F.col("measure")).over(order.rowsBetween(0, Window.unboundedFollowing))
@@ -122,10 +130,10 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     blocks = blocks.repartition("row_key", "size", "block")
     nth = F.sequence(F.col("block") * _EQUAL, F.least(F.col("many"), (F.col("block") + 1) * _EQUAL) - 1)
     rows = blocks.withColumn("nth", F.explode(nth)).drop("block", "many")
-    known = sources.select(F.col("source").alias("s"), "source_no", "source_size", "target", "copies", "odds", "n_buckets")
+    known = sources.select(F.col("source").alias("s"), "source_no", "source_size", "target", "copies", "odds", "budget", "n_buckets")
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("measure", F.col("size") * F.col("doc_weight"))
     rows = cut_lineage(rows.withColumn("rid", F.monotonically_increasing_id()))
-    per_word = cut_lineage(_odds_per_word(rows.where("measure > 0"), sources))
+    per_word = cut_lineage(_odds_per_word(rows.where("measure > 0")))
     drawn = rows.join(per_word, "source_no", "left").withColumn("expected", F.coalesce(F.col("per_word"), F.lit(0.0)) * F.col("measure"))
     chance = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("expected")))
     drawn = drawn.withColumn("draw", uniform(F.col("row_key"), F.col("size"), F.col("nth")))
@@ -134,36 +142,32 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     # ranks as positions in (0, 1), by the mean odds, so that buckets hold similar numbers of rows
     mean = F.greatest(F.col("odds"), F.lit(1e-9)) / (1 - F.least(F.col("odds"), F.lit(1 - 1e-9)))
     drawn = drawn.withColumn("u", F.least(F.col("rank") * mean / (1 + F.col("rank") * mean), F.lit(1 - 1e-12)))
-    columns = ["rid", "row_key", "nth", "size", "copies", "source_no", "n_buckets", "rank", "u"]
+    columns = ["rid", "row_key", "nth", "size", "copies", "source_no", "budget", "n_buckets", "rank", "u"]
 
-    budgets, level = sources.select("source_no", "budget"), 0
-    first = cut_lineage(_take_first(drawn.select(*columns), budgets))
-    granted, grants = first.where("fits AND size > 0").select("rid", "source_no", "size"), []
-    left = first.where("NOT fits AND size > 0")
+    # every join with a table of the sources takes memory of the driver, so rows carry what they need of it
+    first = cut_lineage(_take_first(cut_lineage(drawn.select(*columns, "source_size", "target"))))
+    granted, left, grants, level = first.where("fits AND size > 0"), first.where("NOT fits AND size > 0"), [], 0
     while True:
-        used = granted.groupBy("source_no").agg(F.sum("size").alias("used"))
-        budgets = budgets.join(used, "source_no", "left").select("source_no", (F.col("budget") - F.coalesce("used", F.lit(0))).alias("budget"))
-        budgets = cut_lineage(budgets)
-        left = cut_lineage(left.select(*columns).join(budgets, "source_no").where("size <= budget").drop("budget"))
+        left = cut_lineage(_still_fit(left.select(*columns), granted))
         while left.isEmpty():  # none fits once; those taken may fit once more
             level += 1
             if level >= limit:
                 break
             again = first.where("size > 0").where(F.col("copies") + level + 1 <= limit).select(*columns)
-            left = cut_lineage(again.join(budgets, "source_no").where("size <= budget").drop("budget"))
+            every = reduce(DataFrame.union, grants, first.where("fits AND size > 0").select("rid", "source_no", "size"))
+            left = cut_lineage(_still_fit(again, every))
         if level >= limit:
             break
-        taken = cut_lineage(_take_first(left, budgets))
+        taken = cut_lineage(_take_first(left))
         granted, left = taken.where("fits").select("rid", "source_no", "size"), taken.where("NOT fits")
-        grants.append(granted.select("rid"))
+        grants.append(granted)
     extra = F.col("fits").cast("long")
     if grants:
         more = reduce(DataFrame.union, grants).groupBy("rid").agg(F.count("*").alias("more"))
         first = first.join(more, "rid", "left")
         extra = extra + F.coalesce("more", F.lit(0))
     copies = F.when(F.col("size") > 0, F.col("copies") + extra).otherwise(0).cast("long")
-    shares = sources.select("source_no", "source_size", "target")
-    return first.join(shares, "source_no").select(
+    return first.select(
         F.col("row_key").alias(key), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies")
     )
 

@@ -550,6 +550,17 @@ def test_mix_favours_large_documents(spark):
     assert share(40) > 1.5 * share(10)
 
 
+def test_mix_joins_few_tables_of_sources(spark, monkeypatch):
+    """A round of the mix joins what was granted and the sums of the buckets only; budgets are columns of the rows."""
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(3, 60), "en", rng.choice("abc")) for i in range(400)]
+    joins, cut = [], mixing.cut_lineage
+    monkeypatch.setattr(mixing, "cut_lineage", lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or cut(df))
+    got = mixing.mix_sources(documents(spark, rows)).collect()
+    assert len(joins) > 8 and max(joins) <= 2
+    assert len(got) == 400 and all(sum(r.taken for r in got if r.target == t) <= t for t in {r.target for r in got})
+
+
 def odd_vectors():
     rng = np.random.default_rng(3)
     rows = []
