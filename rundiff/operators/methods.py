@@ -309,13 +309,16 @@ def dependencies(body_lines: DataFrame) -> DataFrame:
     return body_lines.select("path", "name", "start_line", F.explode(kept).alias("dependency")).distinct()
 
 
-def call_edges(deps: DataFrame, methods: DataFrame) -> DataFrame:
+def call_edges(deps: DataFrame, methods: DataFrame, first: bool = False) -> DataFrame:
     """Dependencies that are methods of the same file: caller, callee and callee lines.
 
-    The callee is the first method of that name, so the join adds no rows.
+    A name that several methods of the file have gives an edge to each of them; a method that is listed twice counts
+    once. With ``first``, the callee is the first method of that name, so the join adds no rows.
     """
     callee = F.struct(F.col("start_line").alias("line"), F.col("end_line").alias("end"))
-    defined = methods.groupBy("path", F.col("name").alias("dependency")).agg(F.min(callee).alias("_c"))
+    named = methods.select("path", F.col("name").alias("dependency"), F.col("start_line").alias("_line"), callee.alias("_c"))
+    keys = ["path", "dependency"] if first else ["path", "dependency", "_line"]
+    defined = named.groupBy(*keys).agg(F.min("_c").alias("_c"))
     return merge_join(deps, defined, ["path", "dependency"]).select(
         "path",
         F.col("name").alias("caller"),

@@ -209,7 +209,7 @@ def context_references(targets: DataFrame, method_index: DataFrame, lines: DataF
     first = bodies.groupBy("body").agg(F.min(F.struct(*_METHOD)).alias("_first")).select("body", "_first.*")
     texts = merge_join(body_lines, first, _METHOD).select("body", "offset", "text")
     calling = merge_join(body_lines, wanted, _METHOD, "left_semi").select(*_METHOD, "text")
-    used = methods.call_edges(methods.dependencies(calling), index)
+    used = methods.call_edges(methods.dependencies(calling), index, first=True)
     calls = used.select(
         "path", F.col("caller").alias("name"), F.col("caller_line").alias("start_line"), F.lit(4).alias("part"), F.col("callee").alias("body_name"), F.col("callee_line").alias("part_line")
     )

@@ -246,6 +246,22 @@ def test_method_parts_and_lookup(spark, java):
     assert listed.line == sorted(listed.line) and listed.method_count == len(listed.name)
 
 
+def test_calls_reach_every_method_of_a_name(spark):
+    text = "class A {\n    void run() {\n        put(1);\n        run();\n    }\n    void put(int a) {\n        put(a, 2);\n    }\n    void put(int a, int b) { }\n}"
+    files = spark.createDataFrame([("A.java", text), ("B.java", "class B {\n    void put() { }\n}")], "path string, content string")
+    lines = methods.source_lines(files)
+    index = methods.method_index(lines, reuse=True).where("return_type = 'void'")
+    deps = methods.dependencies(methods.method_lines(index, lines))
+    columns = ["path", "caller", "caller_line", "callee", "callee_line", "callee_end_line"]
+    puts = [("put", 6, 8), ("put", 9, 9)]
+    want = {("A.java", *c, *p) for c in (("run", 2), ("put", 6), ("put", 9)) for p in puts} | {("A.java", "run", 2, "run", 2, 5), ("B.java", "put", 2, "put", 2, 2)}
+    assert sorted(tuple(r) for r in methods.call_edges(deps, index).select(columns).collect()) == sorted(want)
+    # a method that is listed twice is one
+    assert sorted(tuple(r) for r in methods.call_edges(deps, index.unionByName(index)).select(columns).collect()) == sorted(want)
+    firsts = {(r.caller, r.caller_line, r.callee_line) for r in methods.call_edges(deps, index, first=True).where("path = 'A.java'").collect()}
+    assert firsts == {("run", 2, 6), ("run", 2, 2), ("put", 6, 6), ("put", 9, 6)}
+
+
 def test_class_parts(spark, java):
     path, lines, _ = java
     assert [r.text for r in methods.imports(lines, 3).where(F.col("path") == path).orderBy("line_no").collect()] == ["package com.example;", "import java.util.List;"]

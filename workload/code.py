@@ -702,5 +702,5 @@ JOIN (SELECT path, count(*) AS n FROM source_lines GROUP BY path) s ON s.path =
 def near_calls(spark, sf_dir):
     deps, index = _deps(spark, sf_dir)
     sizes = methods.file_sizes(inputs.sources(spark, sf_dir))
-    near = methods.near_edges(methods.call_edges(deps, index), index, sizes, large_file_lines=14, near_lines=0)
+    near = methods.near_edges(methods.call_edges(deps, index, first=True), index, sizes, large_file_lines=14, near_lines=0)
     return near.select("path", "caller", "caller_line", "callee", "callee_line", "callee_end_line")
