@@ -137,3 +137,23 @@ def test_texts_of_xml_are_written_few_times(spark, tmp_path, monkeypatch):
     assert sorted(map(str, whole.elements.collect())) == sorted(map(str, in_blocks.elements.collect()))
     assert {(r.tag, r.text) for r in whole.elements.where("pos < 12 AND file_id LIKE '%a.xml'").collect()} == {("r", None), ("o", "a b"), ("s", "F"), ("t", "0<&>"), ("s", "F")}
     assert [r.error for r in whole.files.collect()] == [None, None]
+
+
+def test_a_tag_is_matched_once(spark, tmp_path, monkeypatch, capsys):
+    """Long lists of attributes cost one match of the tag, not one for each thing that is asked of it."""
+    (tmp_path / "a.xml").write_bytes(b"<r\n a = '1>&amp;' b=\"/\" ><s  \xff='\xe2\x82' >\xff t\xe2\x82 &lt;</s\n><t/ ><t k='x=\"y\"'/></r>".replace(b"/ >", b" />"))
+    plans, cut = [], xml_events.cut_lineage
+    monkeypatch.setattr(xml_events, "cut_lineage", lambda df: plans.append(_plan(df, capsys)) or cut(df))
+    found = xml_events.read_xml_events(spark, str(tmp_path))
+    assert max(p.count(", ^(/") + p.count("(?s)^") for p in plans) == 1
+    odd = "\ufffd"
+    want = [("r", [("a", "1>&"), ("b", "/")], None), ("s", [(odd, odd)], f"{odd} t{odd} <"), ("t", [], None), ("t", [("k", 'x="y"')], None)]
+    assert [(r.tag, [tuple(a) for a in r.attributes], r.text) for r in found.elements.orderBy("pos").collect()] == want
+    assert [r.error for r in found.files.collect()] == [None]
+
+
+def test_json_texts_equal_to_json(spark):
+    texts = ["", "a", "a b<&>'/", 'q"q', "b\\b", "t\tn\nr\r", "\x00\x1f\x7f", "é\u2028😀\ufeff", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").union(spark.sql("SELECT cast(unhex('61FFE28262') AS string)"))
+    rows = df.select(xml_events._json(F.col("t")).alias("a"), F.to_json(F.array("t")).alias("b")).collect()
+    assert len(rows) == len(texts) + 1 and all(f"[{r.a}]" == r.b for r in rows)
